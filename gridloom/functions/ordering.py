@@ -52,7 +52,7 @@ def running_sums(
     out = b.join(offsets, [*group, "_b"])
     for o, s in sums.items():
         out = out.withColumn(o, F.sum(s).over(inside) + F.col(f"_o_{o}"))
-    return out.drop("_b", "_k", *[f"_o_{o}" for o in sums])
+    return out.drop("_b", *([] if keys else ["_k"]), *[f"_o_{o}" for o in sums])
 
 
 def running_max(df: DataFrame, keys: list[str], order: str, value: str, out: str, bucket: Column) -> DataFrame:

@@ -244,14 +244,14 @@ def resize_linear(df: DataFrame, max_dim: int, keys: list[str] = IMG) -> DataFra
 
 
 def downsample2(df: DataFrame, keys: list[str] = IMG) -> DataFrame:
-    """2x2 block means; an odd last row or column is cropped."""
+    """2x2 block means of integer planes, truncated; an odd last row or column is cropped."""
     s = with_stats(df, keys, _h=F.max("y") + 1, _w=F.max("x") + 1)
     s = s.filter((F.col("y") < F.expr("_h - _h % 2")) & (F.col("x") < F.expr("_w - _w % 2")))
-    return s.groupBy(*keys, F.expr("y div 2").alias("y"), F.expr("x div 2").alias("x")).agg(F.avg("v").alias("v"))
+    return s.groupBy(*keys, F.expr("y div 2").alias("y"), F.expr("x div 2").alias("x")).agg(F.floor(F.avg("v")).alias("v"))
 
 
 def pyramid(df: DataFrame, levels: int, keys: list[str] = IMG) -> DataFrame:
-    cur = df.select(*keys, "y", "x", F.col("v").cast("double").alias("v"))
+    cur = df.select(*keys, "y", "x", F.col("v").cast("long").alias("v"))
     out = cur.withColumn("level", F.lit(0))
     for i in range(1, levels):
         cur = downsample2(cur, keys)

@@ -79,9 +79,8 @@ def _(s, d):
 @query("a7_write_chunked")
 def _(s, d):
     path = scratch(s)
-    base = V.stack(s, d).withColumn("v", F.col("v").cast("double"))
-    L.write_chunks(R.pyramid(base, 3, R.SLICE), path, 4)
-    return L.read_region(s, path, 0, 1, 2, 1, 0).select("image_id", "y", "x", rnd("v").alias("v"))
+    L.write_chunks(R.pyramid(V.stack(s, d), 3, R.SLICE), path, 4)
+    return L.read_region(s, path, 0, 1, 2, 1, 0).select("image_id", "y", "x", "v")
 
 
 @query("a8_read_profiles")
@@ -182,7 +181,7 @@ def _(s, d):
 
 
 @query("b8_minmax_u16", "pix", """m AS (SELECT image_id, min(v) AS lo, max(v) AS hi FROM pix GROUP BY 1)
-SELECT image_id, y, x, CASE WHEN hi>lo THEN CAST(floor(65535*(v-lo)/(hi-lo)) AS BIGINT) ELSE 0 END AS v FROM pix JOIN m USING (image_id)""")
+SELECT image_id, y, x, CASE WHEN hi>lo THEN CAST(floor(65535.0::DOUBLE*(v-lo)/(hi-lo)) AS BIGINT) ELSE 0 END AS v FROM pix JOIN m USING (image_id)""")
 def _(s, d):
     return R.minmax_u16(V.pix(s, d))
 
@@ -249,8 +248,8 @@ def _(s, d):
     return R.resize_linear(V.pix(s, d), 13).withColumn("v", rnd("v", 4))
 
 
-@query("b19_pyramid", "pix", """l1 AS (SELECT image_id, y//2 AS y, x//2 AS x, avg(v) AS v FROM pix GROUP BY ALL), l2 AS (SELECT image_id, y//2 AS y, x//2 AS x, avg(v) AS v FROM l1 GROUP BY ALL)
-SELECT image_id, y, x, CAST(v AS DOUBLE) AS v, 0 AS level FROM pix UNION ALL SELECT image_id, y, x, v, 1 FROM l1 UNION ALL SELECT image_id, y, x, v, 2 FROM l2""")
+@query("b19_pyramid", "pix", """l1 AS (SELECT image_id, y//2 AS y, x//2 AS x, CAST(floor(avg(v)) AS BIGINT) AS v FROM pix GROUP BY ALL), l2 AS (SELECT image_id, y//2 AS y, x//2 AS x, CAST(floor(avg(v)) AS BIGINT) AS v FROM l1 GROUP BY ALL)
+SELECT image_id, y, x, v, 0 AS level FROM pix UNION ALL SELECT image_id, y, x, v, 1 FROM l1 UNION ALL SELECT image_id, y, x, v, 2 FROM l2""")
 def _(s, d):
     return R.pyramid(V.pix(s, d), 3)
 
