@@ -20,29 +20,26 @@ def _line(keys: list[str], axis: str, r: int):
     return W.partitionBy(*keys, other).orderBy(axis).rowsBetween(-r, r)
 
 
-def _picks(arr: Column, pos: Column, r: int, border: str, zero: Column | None = None) -> list[Column]:
-    """The 2r+1 values around `pos` out of the (clipped) frame `arr`, border rule applied."""
-    start = F.greatest(pos - r, F.lit(0))
-    last = start + F.size(arr) - 1
-    out = []
-    for k in range(-r, r + 1):
-        i = pos + k
-        if border == ZERO:
-            outside = F.lit(0.0) if zero is None else zero
-            out.append(F.when((i < 0) | (i > last), outside).otherwise(F.get(arr, (i - start).cast("int"))))
-            continue
-        if border == REFLECT:
-            lo, hi = -1 - i, 2 * last + 1 - i
-        elif border == MIRROR:
-            lo, hi = -i, 2 * last - i
-        else:
-            lo, hi = F.lit(0), last
-        if k < 0:
-            i = F.when(i < 0, lo).otherwise(i)
-        elif k > 0:
-            i = F.when(i > last, hi).otherwise(i)
-        out.append(F.get(arr, (i - start).cast("int")))
-    return out
+def _padded(frame: str, axis: str, r: int, border: str, zero: str = "0D") -> Column:
+    """The clipped frame completed to 2r+1 values by the border rule.
+
+    Inner pixels keep the frame as it is; only border pixels evaluate the index mapping.
+    """
+    start = f"greatest({axis} - {r}, 0)"
+    last = f"({start} + size({frame}) - 1)"
+    i = f"({axis} + k)"
+    mapped = {
+        REFLECT: f"CASE WHEN {i} < 0 THEN -1 - {i} WHEN {i} > {last} THEN 2 * {last} + 1 - {i} ELSE {i} END",
+        MIRROR: f"CASE WHEN {i} < 0 THEN -{i} WHEN {i} > {last} THEN 2 * {last} - {i} ELSE {i} END",
+        NEAREST: f"least(greatest({i}, 0), {last})",
+        ZERO: i,
+    }[border]
+    value = f"get({frame}, CAST(({mapped}) - {start} AS INT))"
+    if border == ZERO:
+        value = f"coalesce({value}, {zero})"
+    return F.expr(
+        f"CASE WHEN size({frame}) = {2 * r + 1} THEN {frame} ELSE transform(sequence(-{r}, {r}), k -> {value}) END"
+    )
 
 
 def correlate_axis(
@@ -51,18 +48,14 @@ def correlate_axis(
     """One-dimensional weighted sums along an axis: {output: (input, 2r+1 weights)}."""
     r = max(len(w) // 2 for _, w in weights.values())
     win = _line(keys, axis, r)
-    frames = {src: f"_f_{src}" for src, _ in weights.values()}
-    for src, name in frames.items():
-        df = df.withColumn(name, F.collect_list(F.col(src).cast("double")).over(win))
+    frames = {src: f"_f_{src}" for src in dict.fromkeys(s for s, _ in weights.values())}
+    df = df.withColumns({f: F.collect_list(F.col(src).cast("double")).over(win) for src, f in frames.items()})
+    df = df.withColumns({f: _padded(f, axis, r, border) for f in frames.values()})
+    sums = {}
     for out, (src, w) in weights.items():
-        rr = len(w) // 2
-        full = _picks(F.col(frames[src]), F.col(axis), r, border)[r - rr : r + rr + 1]
-        terms = [v * F.lit(float(c)) for v, c in zip(full, w) if c != 0]
-        total = terms[0]
-        for t in terms[1:]:
-            total = total + t
-        df = df.withColumn(out, total)
-    return df.drop(*frames.values())
+        at = r - len(w) // 2
+        sums[out] = F.expr(" + ".join(f"{frames[src]}[{at + k}] * {float(c)!r}D" for k, c in enumerate(w) if c != 0))
+    return df.withColumns(sums).drop(*frames.values())
 
 
 def separable(
@@ -77,11 +70,11 @@ def separable(
 
 def gather(df: DataFrame, keys: list[str], value: str, r: int, border: str, out: str = "nb") -> DataFrame:
     """Add the (2r+1)^2 window as nested arrays: out[dx + r][dy + r]."""
+    n = 2 * r + 1
     df = df.withColumn("_f", F.collect_list(F.col(value).cast("double")).over(_line(keys, "y", r)))
-    df = df.withColumn("_f", F.array(*_picks(F.col("_f"), F.col("y"), r, border)))
-    df = df.withColumn("_g", F.collect_list("_f").over(_line(keys, "x", r)))
-    cols = _picks(F.col("_g"), F.col("x"), r, border, F.array(*[F.lit(0.0)] * (2 * r + 1)))
-    return df.withColumn(out, F.array(*cols)).drop("_f", "_g")
+    df = df.withColumn("_f", _padded("_f", "y", r, border))
+    df = df.withColumn(out, F.collect_list("_f").over(_line(keys, "x", r)))
+    return df.withColumn(out, _padded(out, "x", r, border, f"array_repeat(0D, {n})")).drop("_f")
 
 
 def convolve(
@@ -90,15 +83,13 @@ def convolve(
     """Correlate with several small 2-D kernels at once; every kernel becomes a column."""
     r = max(len(k) for k in kernels.values()) // 2
     df = gather(df, keys, value, r, border, "_nb")
+    sums = {}
     for name, k in kernels.items():
-        rr = len(k) // 2
-        total = F.lit(0.0)
-        for j, row in enumerate(k):
-            for i, wgt in enumerate(row):
-                if wgt:
-                    total = total + F.col("_nb")[i + r - rr][j + r - rr] * F.lit(float(wgt))
-        df = df.withColumn(name, total)
-    return df.drop("_nb")
+        at = r - len(k) // 2
+        sums[name] = F.expr(" + ".join(
+            f"_nb[{i + at}][{j + at}] * {float(w)!r}D" for j, row in enumerate(k) for i, w in enumerate(row) if w
+        ))
+    return df.withColumns(sums).drop("_nb")
 
 
 def extreme(df: DataFrame, keys: list[str], value: str, r: int, how: str, out: str) -> DataFrame:

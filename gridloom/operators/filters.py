@@ -446,7 +446,7 @@ def line_profile(segments: DataFrame, pixels: DataFrame, width: int, sizes: Data
     """Samples along segments (image_id, seg, y0, x0, y1, x1): one per unit length, averaged over
     `width` parallels, bilinear, 0 outside the image."""
     dy, dx = F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0")
-    n = F.ceil(F.sqrt(dy * dy + dx * dx) + 1)
+    n = F.ceil(F.round(F.sqrt(dy * dy + dx * dx), 9) + 1)
     s = segments.join(sizes, "image_id").withColumn("_n", n).withColumn("_th", F.atan2(dy, dx))
     s = s.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
     s = s.withColumn("_f", F.when(F.col("_n") > 1, F.col("i") / (F.col("_n") - 1)).otherwise(0.0))

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from gridloom.plans import evaluation, filters, profiles, rasters  # noqa: F401
+from gridloom.plans import evaluation, filters, profiles, rasters, regions  # noqa: F401
 from gridloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]

@@ -157,7 +157,7 @@ def para_sql(src: str, radius: float) -> str:
     for n, (axis, sign) in enumerate((("x", 1), ("x", -1), ("y", 1), ("y", -1))):
         o = "y" if axis == "x" else "x"
         f, op = ("min", "+") if sign > 0 else ("max", "-")
-        parts.append(f"pb{n} AS (SELECT a.image_id, a.y, a.x, {f}(b.v {op} t.h) AS v FROM {cur} a CROSS JOIN (VALUES {vals}) t(d, h) JOIN {cur} b ON b.image_id=a.image_id AND b.{o}=a.{o} AND b.{axis}=a.{axis}+t.d GROUP BY 1,2,3)")
+        parts.append(f"ps{n} AS MATERIALIZED (SELECT a.image_id, a.y, a.x, t.h, a.{axis}+t.d AS q FROM {cur} a CROSS JOIN (VALUES {vals}) t(d, h)), pb{n} AS (SELECT a.image_id, a.y, a.x, {f}(b.v {op} a.h) AS v FROM ps{n} a JOIN {cur} b ON b.image_id=a.image_id AND b.{o}=a.{o} AND b.{axis}=a.q GROUP BY 1,2,3)")
         cur = f"pb{n}"
     return ", ".join(parts)
 
@@ -171,7 +171,7 @@ def ball_sql(src: str, radius: float) -> str:
     r = math.ceil(radius)
     offs = ",".join(f"({j},{i},{math.sqrt(radius**2 - i * i - j * j) / 255!r}::DOUBLE)" for j in range(-r, r + 1) for i in range(-r, r + 1) if i * i + j * j <= radius**2)
     def one(name, cur, f, op):
-        return f"{name} AS (SELECT a.image_id, a.y, a.x, {f}(b.v {op} t.h) AS v FROM (SELECT *, (SELECT max(y) FROM {cur}) AS ly, (SELECT max(x) FROM {cur}) AS lx FROM {cur}) a CROSS JOIN (VALUES {offs}) t(dy, dx, h) JOIN {cur} b ON b.image_id=a.image_id AND b.y={K._map('(a.y+t.dy)', 'a.ly', 'reflect')} AND b.x={K._map('(a.x+t.dx)', 'a.lx', 'reflect')} GROUP BY 1,2,3)"
+        return f"{name}_s AS MATERIALIZED (SELECT a.image_id, a.y, a.x, t.h, {K._map('(a.y+t.dy)', 'a.ly', 'reflect')} AS ny, {K._map('(a.x+t.dx)', 'a.lx', 'reflect')} AS nx FROM (SELECT *, (SELECT max(y) FROM {cur}) AS ly, (SELECT max(x) FROM {cur}) AS lx FROM {cur}) a CROSS JOIN (VALUES {offs}) t(dy, dx, h)), {name} AS (SELECT a.image_id, a.y, a.x, {f}(b.v {op} a.h) AS v FROM {name}_s a JOIN {cur} b ON b.image_id=a.image_id AND b.y=a.ny AND b.x=a.nx GROUP BY 1,2,3)"
     return one("ba", src, "min", "-") + ", " + one("bb", "ba", "max", "+")
 
 
@@ -197,12 +197,8 @@ def _(s, d):
     return N.remove_small(V.frags(s, d), 33).select("image_id", "label", "y", "x")
 
 
-def edt_sql(sy: float, sx: float) -> str:
-    return f"""SELECT a.image_id, a.y, a.x, round(coalesce((SELECT min(sqrt(pow((b.y-a.y)*{sy}::DOUBLE, 2)+pow((b.x-a.x)*{sx}::DOUBLE, 2))) FROM mosaic b WHERE NOT b.fg AND b.image_id=a.image_id AND abs(b.y-a.y)<=9 AND abs(b.x-a.x)<=9), 0), 6) AS dist FROM mosaic a"""
-
-
-@query("c19_distance_transform", "mosaic", """o AS (SELECT a.i AS dy, b.i AS dx FROM (SELECT unnest(range(-7,8)) AS i) a, (SELECT unnest(range(-7,8)) AS i) b), bg AS (SELECT image_id, y, x FROM mosaic WHERE NOT fg)
-SELECT a.image_id, a.y, a.x, round(min(sqrt(pow(dy*2.0::DOUBLE, 2)+pow(dx*1.0::DOUBLE, 2))), 6) AS dist FROM mosaic a CROSS JOIN o JOIN bg b ON b.image_id=a.image_id AND b.y=a.y+dy AND b.x=a.x+dx GROUP BY 1,2,3""")
+@query("c19_distance_transform", "mosaic", """o AS (SELECT a.i AS dy, b.i AS dx FROM (SELECT unnest(range(-7,8)) AS i) a, (SELECT unnest(range(-7,8)) AS i) b), bg AS (SELECT image_id, y AS ny, x AS nx FROM mosaic WHERE NOT fg), sp AS MATERIALIZED (SELECT image_id, y, x, dy, dx, y+dy AS ny, x+dx AS nx FROM mosaic a CROSS JOIN o)
+SELECT image_id, y, x, round(min(sqrt(pow(dy*2.0::DOUBLE, 2)+pow(dx*1.0::DOUBLE, 2))), 6) AS dist FROM sp JOIN bg USING (image_id, ny, nx) GROUP BY 1,2,3""")
 def _(s, d):
     return out(N.distance_transform(V.mosaic(s, d).select("image_id", "y", "x", "fg"), "fg", (2.0, 1.0)), "dist", places=6)
 
@@ -244,14 +240,14 @@ def frangi_sql(scales) -> str:
         for nm, src, wy, wx in ((f"dx{n}", "fu", g, dd), (f"dy{n}", "fu", dd, g), (f"hxx{n}", f"dx{n}", g, dd), (f"hxy{n}", f"dx{n}", dd, g), (f"hyy{n}", f"dy{n}", dd, g)):
             parts.append(K.gauss(nm, src, 0, "zero", wy=wy, wx=wx))
         parts.append(f"""ei{n} AS (SELECT image_id, y, x, ((p.v+r.v)/2+sqrt(pow((p.v-r.v)/2, 2)+q.v*q.v))*{sg**2!r}::DOUBLE AS l1, ((p.v+r.v)/2-sqrt(pow((p.v-r.v)/2, 2)+q.v*q.v))*{sg**2!r}::DOUBLE AS l2 FROM hxx{n} p JOIN hxy{n} q USING (image_id, y, x) JOIN hyy{n} r USING (image_id, y, x))""")
-        parts.append(f"""ve{n} AS (SELECT image_id, y, x, CASE WHEN l2>0 THEN 0 ELSE exp(-pow(l1/CASE WHEN l2=0 THEN 1e-10 ELSE l2 END, 2)/0.5::DOUBLE)*(1-exp(-(l1*l1+l2*l2)/(2*pow({15 / 255!r}::DOUBLE, 2)))) END AS v FROM ei{n})""")
+        parts.append(f"""ve{n} AS (SELECT image_id, y, x, CASE WHEN l2>0 THEN 0.0::DOUBLE ELSE exp(-pow(l1/CASE WHEN l2=0 THEN 1e-10 ELSE l2 END, 2)/0.5::DOUBLE)*(1-exp(-(l1*l1+l2*l2)/(2*pow({15 / 255!r}::DOUBLE, 2)))) END AS v FROM ei{n})""")
     return ", ".join(parts)
 
 
 FR = (1.2, 1.6)
 
 
-@query("c28_frangi", "pix", frangi_sql(FR) + " SELECT image_id, y, x, round(greatest(a.v, b.v), 8)+0.0 AS vesselness, CASE WHEN round(b.v, 12)>round(a.v, 12) THEN 1.6::DOUBLE WHEN a.v>0 THEN 1.2::DOUBLE ELSE 0.0::DOUBLE END AS scale FROM ve0 a JOIN ve1 b USING (image_id, y, x)")
+@query("c28_frangi", "pix", frangi_sql(FR) + " SELECT image_id, y, x, round(greatest(a.v, b.v), 8)+0.0 AS vesselness, CASE WHEN b.v>a.v THEN 1.6::DOUBLE WHEN a.v>0 THEN 1.2::DOUBLE ELSE 0.0::DOUBLE END AS scale FROM ve0 a JOIN ve1 b USING (image_id, y, x)")
 def _(s, d):
     f = N.frangi(V.pix(s, d).withColumn("v", F.col("v") / 65535.0), list(FR))
     return f.select("image_id", "y", "x", rnd("vesselness", 8).alias("vesselness"), "scale")
@@ -279,7 +275,7 @@ def segments(s, d):
 def profile_sql(seg: str, pix: str, width: int, last: str = "7", last_x: str | None = None) -> str:
     offs = ",".join(f"({j - (width - 1) / 2}::DOUBLE)" for j in range(width))
     lx = last_x or last
-    return f"""pn AS (SELECT *, CAST(ceil(sqrt(pow(y1-y0, 2)+pow(x1-x0, 2))+1) AS BIGINT) AS n, atan2(y1-y0, x1-x0) AS th FROM {seg}),
+    return f"""pn AS (SELECT *, CAST(ceil(round(sqrt(pow(y1-y0, 2)+pow(x1-x0, 2)), 9)+1) AS BIGINT) AS n, atan2(y1-y0, x1-x0) AS th FROM {seg}),
 pi AS (SELECT *, unnest(range(n)) AS i FROM pn), pj AS (SELECT image_id, seg, i, round(y0+CASE WHEN n>1 THEN i/(n-1) ELSE 0 END*(y1-y0)+j*cos(th), 9) AS py, round(x0+CASE WHEN n>1 THEN i/(n-1) ELSE 0 END*(x1-x0)-j*sin(th), 9) AS px FROM pi, (VALUES {offs}) t(j)),
 pc AS (SELECT *, py-floor(py) AS fy, px-floor(px) AS fx FROM pj),
 pw AS (SELECT image_id, seg, i, CAST(floor(py) AS BIGINT)+a AS y, CAST(floor(px) AS BIGINT)+b AS x, CASE WHEN py BETWEEN 0 AND {last} AND px BETWEEN 0 AND {lx} THEN (CASE a WHEN 0 THEN 1-fy ELSE fy END)*(CASE b WHEN 0 THEN 1-fx ELSE fx END) ELSE 0 END AS wt FROM pc, (VALUES (0),(1)) t(a), (VALUES (0),(1)) u(b)),
