@@ -31,14 +31,15 @@ def _near(query: DataFrame, points: DataFrame) -> DataFrame:
 def centroid_knn(regions: DataFrame, m: int) -> DataFrame:
     """The m nearest regions by centroid, exact: (image_id, i, j, d2, rank).
 
-    Cells are sized from the image's region density to hold a few points.  The m-th distance of
+    Cells are sized from the image's region density so that even a corner point of an evenly
+    filled image finds its neighbours in the first round.  The m-th distance of
     a point is final when it does not exceed the cell side, because everything nearer lies in
     the 3 x 3 block; the few points that fail repeat with cells twice as large.
     """
     pts = regions.select("image_id", "label", "cy", "cx")
     s = with_stats(pts, ["image_id"], _n=F.count("*"), _h=F.max("cy") - F.min("cy") + 1, _w=F.max("cx") - F.min("cx") + 1)
     s = s.withColumn("_m", F.least(F.lit(m), F.col("_n") - 1)).filter("_m > 0")
-    s = s.withColumn("_s", F.greatest(F.sqrt(F.col("_h") * F.col("_w") * (F.col("_m") + 1) / F.col("_n")), F.lit(1.0)))
+    s = s.withColumn("_s", F.greatest(1.25 * F.sqrt(F.col("_h") * F.col("_w") * (F.col("_m") + 1) / F.col("_n")), F.lit(1.0)))
     s = s.select("image_id", "label", "cy", "cx", "_m", "_s", F.greatest("_h", "_w").alias("_span"))
     s, obs = materialize(s, n=F.count(F.lit(1)))
     todo, done = s, []

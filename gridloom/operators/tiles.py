@@ -74,8 +74,8 @@ def ball_background(df: DataFrame, radius: float, keys: list[str] = IMG, tile: i
 
 
 def relax(
-    state: DataFrame, local: Callable[[pd.DataFrame], pd.DataFrame], columns: list[str], changed: Callable[[], Column],
-    keys: list[str] = IMG, tile: int = 256, halo: int = 1, max_rounds: int = 100_000,
+    state: DataFrame, local: Callable[[pd.DataFrame], pd.DataFrame], columns: list[str], keys: list[str] = IMG, tile: int = 256, halo: int = 1,
+    max_rounds: int = 100_000,
 ) -> DataFrame:
     """Repeat a tile-local fixed point with halo exchange until no tile changes.
 
@@ -136,39 +136,52 @@ def geodesic_distance(mask: DataFrame, source: DataFrame, pixel_size: float = 1.
             g = best
         return pdf.assign(dist=g[y, x])
 
-    out = relax(state, local, ["dist"], None, keys, tile)
+    out = relax(state, local, ["dist"], keys, tile)
     return out.withColumn("dist", F.when(F.col("dist") == float("inf"), 0.0).otherwise(F.col("dist") * pixel_size))
 
 
 def seeded_watershed(df: DataFrame, seeds: DataFrame, keys: list[str] = IMG, tile: int = 256) -> DataFrame:
-    """Every pixel of (.., y, x, height) joins the seed reachable over the lowest pass, the
-    smaller seed id on ties: smallest (highest height on the path, seed) over 4-connected paths."""
-    s = seeds.select(*keys, "y", "x", "seed")
+    """Every pixel of (.., y, x, height) joins the seed reachable over the lowest pass.
+
+    First the pass height: the smallest possible maximum along a 4-connected path to any seed.
+    Then labels flow along steps that keep that height; the smaller seed wins ties and seed
+    pixels keep their own.  Both are fixed points with a unique result.
+    """
+    s = seeds.select(*keys, "y", "x", F.col("seed").cast("double").alias("seed"))
+    inf = F.lit(float("inf"))
     state = df.select(*keys, "y", "x", F.col("height").cast("double").alias("height")).join(s, [*keys, "y", "x"], "left")
-    state = state.select(*keys, "y", "x", "height", F.when(F.col("seed").isNotNull(), F.col("height")).otherwise(float("inf")).alias("cost"),
-                         F.coalesce(F.col("seed").cast("double"), F.lit(float("inf"))).alias("seed"))
+    is_seed = F.col("seed").isNotNull()
+    state = state.select(*keys, "y", "x", "height", F.when(is_seed, F.col("height")).otherwise(inf).alias("cost"),
+                         F.coalesce("seed", inf).alias("seed"), is_seed.cast("double").alias("fixed"))
 
-    def local(pdf: pd.DataFrame) -> pd.DataFrame:
+    def cost(pdf: pd.DataFrame) -> pd.DataFrame:
         h, y, x = _grid(pdf, "height", np.inf)
         c, _, _ = _grid(pdf, "cost", np.inf)
-        q, _, _ = _grid(pdf, "seed", np.inf)
-        on = np.zeros(h.shape, bool)
-        on[y, x] = True
         while True:
-            any_change = False
+            best = c.copy()
             for dy, dx in SHIFTS4:
-                nc = np.maximum(moved_view(c, dy, dx, np.inf), h)
-                nq = moved_view(q, dy, dx, np.inf)
-                better = on & np.isfinite(nq) & ((nc < c) | ((nc == c) & (nq < q)))
-                if better.any():
-                    any_change = True
-                    c[better], q[better] = nc[better], nq[better]
-            if not any_change:
-                break
-        return pdf.assign(cost=c[y, x], seed=q[y, x])
+                np.minimum(best, np.maximum(moved_view(c, dy, dx, np.inf), h), out=best)
+            if np.array_equal(best, c):
+                return pdf.assign(cost=c[y, x])
+            c = best
 
-    out = relax(state, local, ["height", "cost", "seed"], None, keys, tile)
-    return out.filter(F.col("seed") < float("inf")).select(*keys, "y", "x", F.col("seed").cast("long").alias("seed"))
+    def label(pdf: pd.DataFrame) -> pd.DataFrame:
+        h, y, x = _grid(pdf, "height", np.inf)
+        c, _, _ = _grid(pdf, "cost", np.inf)
+        q, _, _ = _grid(pdf, "seed", np.inf)
+        f, _, _ = _grid(pdf, "fixed", 1.0)
+        feeds = [(f == 0) & (np.maximum(moved_view(c, dy, dx, np.inf), h) == c) & np.isfinite(c) for dy, dx in SHIFTS4]
+        while True:
+            best = q.copy()
+            for (dy, dx), ok in zip(SHIFTS4, feeds):
+                np.minimum(best, np.where(ok, moved_view(q, dy, dx, np.inf), np.inf), out=best)
+            if np.array_equal(best, q):
+                return pdf.assign(seed=q[y, x])
+            q = best
+
+    columns = ["height", "cost", "seed", "fixed"]
+    out = relax(relax(state, cost, columns, keys, tile), label, columns, keys, tile)
+    return out.filter(F.col("seed") < inf).select(*keys, "y", "x", F.col("seed").cast("long").alias("seed"))
 
 
 def thin(mask: DataFrame, keys: list[str] = IMG, tile: int = 256, steps: int = 8) -> DataFrame:

@@ -79,7 +79,9 @@ def _(s, d):
 
 @query("c21_seeded_watershed", "mosaic", """px AS MATERIALIZED (SELECT y*4294967296+x AS id, y, x, 70000-v AS h FROM mosaic WHERE e>-0.02), sd AS (SELECT id, (y//16)*100+x//16+1 AS seed, h FROM px WHERE y%16=8 AND x%16=8),
 ws_n AS MATERIALIZED (SELECT id, (y+dy)*4294967296+x+dx AS nid FROM px CROSS JOIN (VALUES (0,1),(1,0),(0,-1),(-1,0)) t(dy, dx)), ws_e AS MATERIALIZED (SELECT n.id AS src, p.id AS dst, p.h FROM ws_n n JOIN px p ON p.id=n.nid),
-ws(id, cost, seed) USING KEY (id) AS (SELECT id, h, seed FROM sd UNION (SELECT DISTINCT ON (e.dst) e.dst, greatest(v.cost, e.h) AS c, v.seed FROM ws v JOIN ws_e e ON e.src=v.id LEFT JOIN recurring.ws u ON u.id=e.dst WHERE u.id IS NULL OR greatest(v.cost, e.h)<u.cost OR (greatest(v.cost, e.h)=u.cost AND v.seed<u.seed) ORDER BY e.dst, c, v.seed))
+wc(id, cost) USING KEY (id) AS (SELECT id, h FROM sd UNION (SELECT DISTINCT ON (e.dst) e.dst, greatest(v.cost, e.h) AS c FROM wc v JOIN ws_e e ON e.src=v.id LEFT JOIN recurring.wc u ON u.id=e.dst WHERE u.id IS NULL OR greatest(v.cost, e.h)<u.cost ORDER BY e.dst, c)),
+fe AS MATERIALIZED (SELECT e.src, e.dst FROM ws_e e JOIN wc a ON a.id=e.src JOIN wc b ON b.id=e.dst WHERE greatest(a.cost, e.h)=b.cost AND e.dst NOT IN (SELECT id FROM sd)),
+ws(id, seed) USING KEY (id) AS (SELECT id, seed FROM sd UNION (SELECT DISTINCT ON (e.dst) e.dst, v.seed FROM ws v JOIN fe e ON e.src=v.id LEFT JOIN recurring.ws u ON u.id=e.dst WHERE u.id IS NULL OR v.seed<u.seed ORDER BY e.dst, v.seed))
 SELECT CAST(0 AS BIGINT) AS image_id, y, x, seed FROM ws JOIN px USING (id)""")
 def _(s, d):
     m = mos(s, d).filter("e > -0.02").select("image_id", "y", "x", (70000 - F.col("v")).alias("height"))
@@ -268,10 +270,10 @@ def _(s, d):
     return dims(MS.edgeconv_max(V.nodes(s, d), both_directions(V.pairs(s, d))))
 
 
-@query("g15_neighbour_mean", "bip", "it AS (SELECT p_partkey AS item_id, unnest([0,1,2]) AS dim, unnest([p_size*1.0::DOUBLE, p_retailprice/100, p_partkey%7*1.0::DOUBLE]) AS u FROM part) SELECT user_id, CAST(dim AS INT) AS dim, round(avg(u), 6) AS u FROM bip JOIN it USING (item_id) GROUP BY 1,2")
+@query("g15_neighbour_mean", "bip", "it AS (SELECT p_partkey AS item_id, unnest([0,1,2]) AS dim, unnest([p_size*1.0::DOUBLE, p_retailprice/100, p_partkey%7*1.0::DOUBLE]) AS u FROM part) SELECT user_id, CAST(dim AS INT) AS dim, round(avg(u)+1e-9, 6) AS u FROM bip JOIN it USING (item_id) GROUP BY 1,2")
 def _(s, d):
     it = V.table(s, d, "part").select(F.col("p_partkey").alias("item_id"), F.array(F.col("p_size").cast("double"), F.col("p_retailprice") / 100, (F.col("p_partkey") % 7).cast("double")).alias("vec"))
-    return MS.neighbour_mean(it, V.bip(s, d)).withColumn("u", rnd("u"))
+    return MS.neighbour_mean(it, V.bip(s, d)).withColumn("u", rnd(F.col("u") + 1e-9))
 
 
 @query("g15_link_dot", "pairs", "SELECT src, dst, round(list_dot_product(a.vec, b.vec), 6)+0.0 AS score FROM pairs JOIN nodes a ON a.node=src JOIN nodes b ON b.node=dst")
