@@ -15,19 +15,21 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) ->
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 
-def bucketed(df: DataFrame, keys: list[str], order: str, buckets: int = 32) -> DataFrame:
+def bucketed(df: DataFrame, keys: list[str], order: str, buckets: int = 32, fine: int = 256) -> DataFrame:
     """Add `_b`, an order-preserving bucket of `order` inside each group.
 
-    Cut points come from a mergeable quantile sketch, so buckets hold similar numbers of
-    distinct values whatever the distribution.
+    Cut points come from a mergeable quantile sketch, so slices hold similar numbers of rows
+    whatever the distribution; a slice splits again linearly into up to `fine` parts.  A group
+    of any size becomes buckets * fine pieces at the price of one small aggregate.
     """
-    probs = [i / buckets for i in range(1, buckets)]
+    probs = [i / buckets for i in range(buckets + 1)]
     cuts = df.groupBy(*keys).agg(F.percentile_approx(order, probs, 1000).alias("_cuts"))
-    return (
-        df.join(cuts, keys)
-        .withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(order))))
-        .drop("_cuts")
-    )
+    at = F.size(F.filter(F.slice("_cuts", 2, buckets - 1), lambda c: c < F.col(order)))
+    d = df.join(cuts, keys).withColumn("_b", at)
+    lo, hi = F.get("_cuts", F.col("_b")).cast("double"), F.get("_cuts", F.col("_b") + 1).cast("double")
+    part = F.when(hi > lo, F.floor((F.col(order).cast("double") - lo) / (hi - lo) * fine)).otherwise(0)
+    part = F.least(F.greatest(part, F.lit(0)), F.lit(fine - 1))
+    return d.withColumn("_b", (F.col("_b") * fine + part).cast("long")).drop("_cuts")
 
 
 def running_sums(

@@ -44,7 +44,7 @@ def centroid_knn(regions: DataFrame, m: int) -> DataFrame:
     s, obs = materialize(s, n=F.count(F.lit(1)))
     todo, done = s, []
     points = s.select("image_id", "label", "cy", "cx", "_s")
-    while obs["n"]:
+    while obs["n"] or not done:  # once even for an empty input, which fixes the schema
         near = first_by(_near(todo.select("image_id", "label", "cy", "cx", "_s"), points), ["image_id", "i"], [F.col("d2"), F.col("j")], m)
         near, _ = materialize(near)  # read twice
         got = near.groupBy("image_id", F.col("i").alias("label")).agg(F.count("*").alias("_c"), F.max("d2").alias("_d"))
@@ -78,6 +78,7 @@ def boundary_distance(pairs: DataFrame, boundary: DataFrame, cell: int = 8) -> D
     pair's best upper bound expand to points, so far sides of large outlines never meet.
     """
     b = boundary.withColumn("gy", F.expr(f"y div {cell}")).withColumn("gx", F.expr(f"x div {cell}"))
+    b, _ = materialize(b)  # read four times
     boxes = b.groupBy("image_id", "label", "gy", "gx").agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"))
 
     def side(k: str) -> DataFrame:
@@ -89,7 +90,7 @@ def boundary_distance(pairs: DataFrame, boundary: DataFrame, cell: int = 8) -> D
         gap = F.greatest(F.col(f"i{a}0") - F.col(f"j{a}1"), F.col(f"j{a}0") - F.col(f"i{a}1"), F.lit(0))
         far = F.greatest(F.col(f"i{a}1") - F.col(f"j{a}0"), F.col(f"j{a}1") - F.col(f"i{a}0"))
         low, up = low + gap * gap, up + far * far
-    c = c.select(*P, "ig", "jg", low.alias("low"), up.alias("up"))
+    c, _ = materialize(c.select(*P, "ig", "jg", low.alias("low"), up.alias("up")))
     c = with_stats(c, P, _best=F.min("up")).filter("low <= _best")
 
     def points(k: str) -> DataFrame:
@@ -216,21 +217,22 @@ def connectivity_score(paths: DataFrame, width: int = 3) -> DataFrame:
     return s.withColumn("score", (F.col("_raw") - F.col("_lo")) / span * F.exp(-(d * d) / (2 * 2.5**2))).drop("_raw", "_lo", "_hi")
 
 
-def vector_knn(vectors: DataFrame, k: int, pivots: int = 8) -> DataFrame:
+def vector_knn(vectors: DataFrame, k: int) -> DataFrame:
     """Exact k nearest vectors inside each graph, without comparing all pairs of a graph.
 
-    Every graph gets a few of its own vectors as pivots.  A vector belongs to its nearest pivot's
+    Every graph takes the square root of its size in pivots from its own vectors.  A vector belongs to its nearest pivot's
     cell; its k-th best distance inside that cell bounds the search, and only cells the triangle
     inequality cannot exclude are searched: |q - pivot| - cell radius must not exceed the bound.
     """
-    from gridloom.functions.ordering import hash_order
+    from gridloom.functions.ordering import hash_rank
 
     def dist(a, b):
         return F.sqrt(F.greatest(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v), F.lit(0.0)))
 
     v = vectors.select("graph_id", "node", "vec")
-    pv = first_by(v, ["graph_id"], [hash_order("node", 1)], pivots).select("graph_id", F.col("node").alias("cell"), F.col("vec").alias("pvec"))
-    reach = v.join(pv, "graph_id").withColumn("pd", dist("vec", "pvec")).drop("pvec")  # pivots per graph are fixed
+    pv = with_stats(hash_rank(v, ["graph_id"], "node", 1), ["graph_id"], _n=F.count("*")).filter("rank <= ceil(sqrt(_n))")
+    pv = pv.select("graph_id", F.col("node").alias("cell"), F.col("vec").alias("pvec"))
+    reach = v.join(pv, "graph_id").withColumn("pd", dist("vec", "pvec")).drop("pvec")
     own = reach.groupBy("graph_id", "node").agg(F.min(F.struct("pd", "cell")).alias("m"))
     cells = v.join(own.select("graph_id", "node", F.col("m.cell").alias("cell"), F.col("m.pd").alias("od")), ["graph_id", "node"])
     cells, _ = materialize(cells)

@@ -16,21 +16,46 @@ IMG = ["image_id"]
 ROW = 2**32  # pixel id = y * ROW + x
 
 
-def connected_components(edges: DataFrame, keys: list[str], max_rounds: int = 200) -> DataFrame:
+def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Smallest member of each of n items' components under the links a-b."""
+    parent = np.arange(n)
+    while True:
+        pa, pb = parent[a], parent[b]
+        open_ = pa != pb
+        if not open_.any():
+            return parent
+        np.minimum.at(parent, np.maximum(pa, pb)[open_], np.minimum(pa, pb)[open_])
+        while not np.array_equal(parent[parent], parent):
+            parent = parent[parent]
+
+
+def connected_components(edges: DataFrame, keys: list[str], max_rounds: int = 200, local_limit: int = 100_000) -> DataFrame:
     """(keys, node, component) for every node with an edge; a component is named by its smallest
     node.  `edges` has (keys, a, b).
 
     Randomized contraction: each round every node follows the member of its closed neighbourhood
     with the smallest hash, edges move to those representatives and loops vanish.  The graph
     shrinks by a constant factor per round whatever its shape, a hub only meets a partial
-    minimum, and the maps of the rounds are composed at the end.
+    minimum, and the maps of the rounds are composed at the end.  Once the counted remainder is
+    at most `local_limit` edges in total, each key's rest is finished in place.
     """
+    ks = list(keys)
+
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, at = np.unique(pdf[["a", "b"]].to_numpy().ravel(), return_inverse=True)
+        a, b = at.reshape(-1, 2).T
+        out = pd.DataFrame({"node": ids, "rep": ids[_roots(a, b, len(ids))]})
+        return out.assign(**{k: pdf[k].iloc[0] for k in ks})
+
     e = edges.filter("a <> b").select(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     e, obs = materialize(e, n=F.count(F.lit(1)))
     maps: list[DataFrame] = []
     for i in range(max_rounds):
         if not obs["n"]:
             break
+        if obs["n"] <= local_limit:
+            maps.append(e.groupBy(*keys).applyInPandas(finish, f"node long, rep long, {key_schema(e, keys)}").select(*keys, "node", "rep"))
+            break
         both = e.select(*keys, "a", "b").unionByName(e.select(*keys, F.col("b").alias("a"), F.col("a").alias("b")))
 
         def ranked(c: str):
@@ -47,6 +72,8 @@ def connected_components(edges: DataFrame, keys: list[str], max_rounds: int = 20
     if not maps:
         return edges.select(*keys, F.col("a").alias("node"), F.col("a").alias("component")).limit(0)
     final = maps[-1].withColumnRenamed("rep", "root")
+    if len(maps) == 1 and obs["n"]:
+        return final.withColumnRenamed("root", "component")  # all in place: roots are smallest nodes
     for m in reversed(maps[:-1]):
         up = final.withColumnsRenamed({"node": "rep", "root": "up"})
         final = m.join(up, [*keys, "rep"], "left").select(*keys, "node", F.coalesce("up", "rep").alias("root"))
@@ -59,21 +86,13 @@ def _local_labels(y: np.ndarray, x: np.ndarray, conn: int) -> np.ndarray:
     """Index of the smallest member of each pixel's component inside one tile."""
     grid = np.full((y.max() + 3, x.max() + 3), -1, dtype=np.int64)
     grid[y + 1, x + 1] = np.arange(len(y))
-    parent = np.arange(len(y))
     links = []
     for dy, dx in [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if conn == 8 else []):
         other = grid[y + 1 + dy, x + 1 + dx]
         hit = other >= 0
         links.append(np.c_[np.flatnonzero(hit), other[hit]])
     a, b = np.concatenate(links).T
-    while True:
-        pa, pb = parent[a], parent[b]
-        open_ = pa != pb
-        if not open_.any():
-            return parent
-        np.minimum.at(parent, np.maximum(pa, pb)[open_], np.minimum(pa, pb)[open_])
-        while not np.array_equal(parent[parent], parent):
-            parent = parent[parent]
+    return _roots(a, b, len(y))
 
 
 def label_components(mask: DataFrame, conn: int = 4, keys: list[str] = IMG, tile: int = 256) -> DataFrame:
@@ -332,7 +351,7 @@ def merge_edges(labels: DataFrame, boundary: DataFrame, assign: DataFrame, start
     f = with_stats(f.select(*keys, "label", "r0", "r1", "c0", "c1"), keys, _n=F.count("*")).filter("_n >= 2")
     todo, obs = materialize(f, n=F.count(F.lit(1)))
     radius, done = start, []
-    while obs["n"]:
+    while obs["n"] or not done:  # once even for an empty input, which fixes the schema
         def cells(lo: str, hi: str):
             return F.sequence(F.floor((F.col(lo) - radius / 2) / radius).cast("long"), F.floor((F.col(hi) + radius / 2) / radius).cast("long"))
 
@@ -348,7 +367,7 @@ def merge_edges(labels: DataFrame, boundary: DataFrame, assign: DataFrame, start
         done.append(tree.join(state.filter("_ok").select(*keys).distinct(), keys, "left_semi"))
         todo, obs = materialize(state.filter("NOT _ok").drop("_e", "_ok"), n=F.count(F.lit(1)))
         radius *= 4
-    out = done[0] if done else None
+    out = done[0]
     for t in done[1:]:
         out = out.unionByName(t)
     return out

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from gridloom.functions.columns import with_stats
+from gridloom.functions.ordering import hash_rank
 
 
 def rasters_to_pixels(df: DataFrame, width: int, array: str, key: str) -> DataFrame:
@@ -98,12 +99,9 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def read_profiles(spark, path: str) -> DataFrame:
     """Profiles of many CSV files in one frame; labels get the file's ordinal as a suffix."""
-    from pyspark.sql import Window as W
-
     raw = spark.read.schema("label string, distance double, intensity double").option("header", True).csv(path)
     raw = raw.withColumn("_file", F.col("_metadata.file_path"))
-    files = raw.select("_file").distinct()  # one row per file: small next to the data
-    files = files.withColumn("_i", F.row_number().over(W.orderBy("_file")) - 1)
+    files = hash_rank(raw.select("_file").distinct(), [], "_file", 0).select("_file", (F.col("rank") - 1).alias("_i"))
     return raw.join(files, "_file").select(F.concat("label", F.lit("_f"), F.col("_i").cast("string")).alias("label"), "distance", "intensity")
 
 

@@ -204,18 +204,17 @@ def edge_report(edges: DataFrame, t: float) -> DataFrame:
     """Report rows of directed edges (graph_id, src, dst, a1, a2, prob, true_label).
 
     Weights of both directions are averaged; the index numbers a graph's edges by (src, dst)
-    using counts per source node, not one window over the graph.
+    using running counts over sources and, inside a source, over ranges of targets.
     """
-    from pyspark.sql import Window as W
-
     pair = ["graph_id", F.least("src", "dst").alias("_lo"), F.greatest("src", "dst").alias("_hi")]
     sym = edges.groupBy(*pair).agg(F.avg("a1").alias("a1"), F.avg("a2").alias("a2"))
     e = edges.drop("a1", "a2").withColumn("_lo", F.least("src", "dst")).withColumn("_hi", F.greatest("src", "dst"))
     e = e.join(sym, ["graph_id", "_lo", "_hi"])
     per = edges.groupBy("graph_id", "src").agg(F.count("*").alias("_n"))
     off = running_sums(per, ["graph_id"], "src", {"_to": "_n"}, 8).select("graph_id", "src", (F.col("_to") - F.col("_n")).alias("_off"))
+    e = running_sums(e.withColumn("_one", F.lit(1)), ["graph_id", "src"], "dst", {"_r": "_one"}, bucket=F.expr("dst div 65536"))
     e = e.join(off, ["graph_id", "src"])
-    idx = F.col("_off") + F.row_number().over(W.partitionBy("graph_id", "src").orderBy("dst")) - 1
+    idx = F.col("_off") + F.col("_r") - 1
     e = confusion_class(e.withColumn("edge_idx", idx), t, "prob", "true_label")
     return e.select("graph_id", "edge_idx", "src", F.col("dst").alias("tgt"), "a1", "a2", "prob", "true_label", "edge_class")
 
@@ -236,18 +235,17 @@ CLASS_ORDER = ["TP", "TN", "FP", "FN"]
 def report_order(df: DataFrame, id_col: str) -> DataFrame:
     """Position of every row inside its outcome class (TN by falling score, others rising) and a
     mark on the first row of every class but the first one present."""
-    from pyspark.sql import Window as W
-
     u = F.when(F.col("edge_class") == "TN", 1 - F.col("prob")).otherwise(F.col("prob"))
     d = df.withColumn("u", u)
     per = d.groupBy("edge_class", "u").agg(F.count("*").alias("_n"))
     off = running_sums(per, ["edge_class"], "u", {"_to": "_n"}, bucket=score_bucket()).select("edge_class", "u", (F.col("_to") - F.col("_n")).alias("_off"))
+    d = running_sums(d.withColumn("_one", F.lit(1)), ["edge_class", "u"], id_col, {"_r": "_one"}, bucket=F.expr(f"{id_col} div 65536"))
     d = d.join(off, ["edge_class", "u"])
-    pos = F.col("_off") + F.row_number().over(W.partitionBy("edge_class", "u").orderBy(id_col))
+    pos = F.col("_off") + F.col("_r")
     order = F.array_position(F.array(*[F.lit(c) for c in CLASS_ORDER]), F.col("edge_class"))
     d = d.withColumn("class_order", order).withColumn("class_rank", pos)
     d = with_stats(d, [], _first=F.min("class_order"))
-    return d.withColumn("boundary", (F.col("class_rank") == 1) & (F.col("class_order") > F.col("_first"))).drop("u", "_off", "_first")
+    return d.withColumn("boundary", (F.col("class_rank") == 1) & (F.col("class_order") > F.col("_first"))).drop("u", "_off", "_first", "_r", "_one")
 
 
 def rmse(df: DataFrame, lo: float, hi: float, pred: str = "pred", truth: str = "truth") -> DataFrame:

@@ -44,11 +44,12 @@ def test_isolated_nodes_are_kept_and_numbered(spark):
     assert C.summarize_cells(top).first().summary == "3 cells: 2 singleton, 1 path"
 
 
-def test_components_survive_long_paths_and_hubs(spark):
+@pytest.mark.parametrize("limit", [0, 100, 10_000])
+def test_components_survive_long_paths_and_hubs(spark, limit):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1001 + i) for i in range(200)]
     random.Random(1).shuffle(edges)
     e = spark.createDataFrame([(0, a, b) for a, b in edges], "graph_id long, a long, b long")
-    got = {r.node: r.component for r in C.connected_components(e, ["graph_id"]).collect()}
+    got = {r.node: r.component for r in C.connected_components(e, ["graph_id"], local_limit=limit).collect()}
     assert {v for k, v in got.items() if k <= 300} == {0} and {v for k, v in got.items() if k >= 1000} == {1000}
 
 
