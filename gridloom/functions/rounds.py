@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,13 +25,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, **observed: Column) -> tuple[DataFrame, dict]:
     """Write a round to the shared folder and read it back: lineage ends here and a lost
-    executor costs a re-read, not a recomputation.  Aggregates in `observed` are collected
-    while writing, so a convergence test needs no extra pass."""
+    executor costs a re-read, not a recomputation.  Aggregates in `observed` come from the
+    written table and read only the columns they name."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/round-{uuid.uuid4().hex}"
-    obs = None
-    if observed:
-        obs = Observation()
-        df = df.observe(obs, *[F.coalesce(c, F.lit(0)).alias(n) for n, c in observed.items()])
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), (obs.get if obs else {})
+    out = spark.read.schema(df.schema).parquet(path)
+    if not observed:
+        return out, {}
+    row = out.agg(*[F.coalesce(c, F.lit(0)).alias(n) for n, c in observed.items()]).first()
+    return out, row.asDict()
