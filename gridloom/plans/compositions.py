@@ -17,8 +17,7 @@ from gridloom.streaming import early_stop as ES
 @query("c34_rf_pixels")
 def _(s, d):
     f = ML.pixel_features(V.pix(s, d)).withColumn("label", (F.col("v") > 33000).cast("double"))
-    train = f.filter(F.xxhash64("image_id") % 2 == 0)
-    r = ML.rf_pixels(train, f, "label", 10)
+    r = ML.rf_pixels(f, f, "label", 10)
     return r.select("image_id", "y", "x", "cls", rnd(F.col("probability")[1]).alias("p1"))
 
 
@@ -33,7 +32,7 @@ def _(s, d):
 @query("i23_pca")
 def _(s, d):
     n = V.nodes(s, d).select("graph_id", "node", "vec")
-    p = ML.pca(n.filter("graph_id = 0"), n)
+    p = ML.pca(n, n)
     return p.select("graph_id", "node", *[rnd(c).alias(c) for c in ("pc1", "pc2", "explained1", "explained2")])
 
 

@@ -81,12 +81,12 @@ def _(s, d):
     return S.negative_links(V.bip(s, d), 1.0, 9)
 
 
-@query("h9_sample_neighbours", "bip", f"""h1 AS (SELECT user_id, item_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY md5({LINK_ID} || '-2')) AS rk FROM bip WHERE user_id % 7 = 0) WHERE rk <= 20),
+@query("h9_sample_neighbours", "bip", f"""h1 AS (SELECT user_id, item_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY md5({LINK_ID} || '-2')) AS rk FROM bip) WHERE rk <= 20),
 h2 AS (SELECT user_id, item_id FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY md5({LINK_ID} || '-2')) AS rk FROM bip WHERE item_id IN (SELECT item_id FROM h1)) WHERE rk <= 10)
 SELECT 1 AS hop, * FROM h1 UNION ALL SELECT 2, * FROM h2""")
 def _(s, d):
     b = V.bip(s, d)
-    return S.sample_neighbours(b, b.filter("user_id % 7 = 0"), (20, 10), 2)
+    return S.sample_neighbours(b, b, (20, 10), 2)
 
 
 @query("h10_index_ids", "bip", "u AS (SELECT user_id, dense_rank() OVER (ORDER BY user_id)-1 AS u FROM (SELECT DISTINCT user_id FROM bip)), i AS (SELECT item_id, dense_rank() OVER (ORDER BY item_id)-1 AS i FROM (SELECT DISTINCT item_id FROM bip)) SELECT u, i, rating FROM bip JOIN u USING (user_id) JOIN i USING (item_id)")

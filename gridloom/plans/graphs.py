@@ -199,10 +199,10 @@ def _(s, d):
     return C.chain_order(*cells(s, d), local_limit=5)
 
 
-@query("g4_relabel", "frags", "SELECT image_id, y, x, (label-1)//3+1 AS label FROM frags WHERE label%7<>0")
+@query("g4_relabel", "frags", "SELECT image_id, y, x, (label-1)//3+1 AS label FROM frags")
 def _(s, d):
     f = V.frags(s, d)
-    lut = f.select("image_id", "label").distinct().filter("label % 7 <> 0").withColumn("cell", F.expr("(label-1) div 3 + 1"))
+    lut = f.select("image_id", "label").distinct().withColumn("cell", F.expr("(label-1) div 3 + 1"))
     return C.relabel(f, lut)
 
 
