@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gridloom.llm import lines, mixing, shards, toxicity
+from gridloom.llm import bpe, lines, mixing, shards, toxicity
 from gridloom.llm.tables import crc_mod, documents
 
 QUERIES: dict = {}
@@ -65,6 +65,19 @@ def op7(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.score_documents(docs, m, held_out(5, 0))
 
 
+def vocabulary() -> tuple[str, str]:
+    """Rank file and pattern of the public tokenizer the query is asked for."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+@query("op9_byte_bpe")
+def op9(spark: SparkSession, d: str) -> DataFrame:
+    r = documents(spark, d).select("doc_id", bpe.coded(spark, F.col("text"), *vocabulary(), ids=False).alias("c"))
+    return r.select("doc_id", "c.n_tokens", "c.ids_sha256", "c.decoded_sha256")
+
+
 @query(
     "op10_line_dedup",
     r"""WITH p AS MATERIALIZED (SELECT doc_id, unnest(range(len(p))) AS i, unnest(p) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)),
