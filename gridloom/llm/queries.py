@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gridloom.llm import bpe, lines, mixing, shards, toxicity
+from gridloom.llm import bpe, jaccard, langid, lines, mixing, shards, toxicity
 from gridloom.llm.tables import crc_mod, documents
 
 QUERIES: dict = {}
@@ -32,6 +32,19 @@ def held_out(n: int, remainder: int) -> Column:
     return F.coalesce(crc_mod(F.col("doc_id"), n) == remainder, F.lit(False))
 
 
+@query("op1_language_crf")
+def op1(spark: SparkSession, d: str) -> DataFrame:
+    docs = documents(spark, d)
+    field = langid.learn(docs, crc_mod(F.col("doc_id"), 3) != 1)
+    r = docs.select("doc_id", held_out(3, 1).alias("held_out"), langid.predicted("text", field).alias("p"))
+    return r.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), "p.score", "p.n_words", "p.switched")
+
+
+@query("op2_ngram_jaccard")
+def op2(spark: SparkSession, d: str) -> DataFrame:
+    return jaccard.similar_groups(documents(spark, d)).select("doc_id", "n_shingles", "component_id")
+
+
 @query("op5_external_shuffle")
 def op5(spark: SparkSession, d: str) -> DataFrame:
     out = shards.external_shuffle(documents(spark, d))
