@@ -21,8 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession, functions as F
 
-#: bytes of pieces in one recursive query, and pieces a worker keeps
-BLOCK, KEPT = 1 << 19, 1 << 18
+#: bytes of pieces in one recursive query, pieces in a generation of those a worker keeps, texts looked at together
+BLOCK, KEPT, ROWS = 1 << 19, 200_000, 2500
 
 #: token-position rows join the merge table once; from then on a piece carries its tokens and the ranks of
 #: their pairs (NONE: no pair), and each turn joins only the two pairs that a contraction makes
@@ -45,8 +45,9 @@ SHORT = CONTRACT.format(key="", all="ALL")
 LONG = CONTRACT.format(key="USING KEY (w)", all="")
 LONG_BYTES = 64
 DECODE = """
-SELECT w, string_agg(hex(token), '' ORDER BY pos) AS bytes
-FROM (SELECT w, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM coded) JOIN vocabulary USING (id) GROUP BY w
+SELECT c.w, array_to_string(c.ids, ',') AS comma, len(c.ids) AS n, d.bytes
+FROM coded c JOIN (SELECT w, unhex(string_agg(hex(token), '' ORDER BY pos)) AS bytes
+                   FROM (SELECT w, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM coded) JOIN vocabulary USING (id) GROUP BY w) d USING (w)
 """
 
 
@@ -83,19 +84,20 @@ class Coder:
             self.con.register("given", table)
             self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.con.unregister("given")
-        self.known: dict[str, tuple[str, int, bytes]] = {}
+        self.token = {r: t for t, r in self.ranks.items()}
+        self.known: dict[str, tuple[str, int, bytes]] = {}  # the latest generation, and the one before
+        self.older: dict[str, tuple[str, int, bytes]] = {}
 
     def pieces(self, texts: list[str]) -> list[tuple[str, int, bytes]]:
         """(ids joined by commas, number of ids, decoded bytes) of each of some distinct pieces."""
-        if len(self.known) > KEPT:
-            self.known.clear()
-        out = dict.fromkeys(texts)
-        todo = []
+        out, todo = {}, []
+        known, older = self.known, self.older
         for p in texts:
-            if (hit := self.known.get(p)) is not None:
-                out[p] = hit
-            else:
+            hit = known.get(p) or older.get(p)
+            if hit is None:
                 todo.append(p)
+            else:
+                out[p] = known[p] = hit
         block, size = [], 0
         for p in todo:
             block.append(p)
@@ -104,21 +106,20 @@ class Coder:
                 out.update(self._block(block))
                 block, size = [], 0
         out.update(self._block(block))
-        if len(todo) <= KEPT:
-            self.known.update((p, out[p]) for p in todo if len(p) < 64)
+        known.update((p, out[p]) for p in todo if len(p) <= LONG_BYTES)
+        if len(known) > KEPT:
+            self.known, self.older = {}, known if len(known) <= 3 * KEPT else {}
         return [out[p] for p in texts]
 
-    def _run(self, name: str, table: pa.Table, sql: str) -> pa.Table:
-        self.con.register(name, table)
-        try:
-            return self.con.sql(sql).to_arrow_table()
-        finally:
-            self.con.unregister(name)
-
     def _block(self, block: list[str]) -> dict[str, tuple[str, int, bytes]]:
         raw = [p.encode() for p in block]
-        ids: list = [[self.ranks[b]] if b in self.ranks else None for b in raw]
-        rest = [i for i, x in enumerate(ids) if x is None and raw[i]]
+        out = {}
+        for i, (p, b) in enumerate(zip(block, raw, strict=True)):
+            if (r := self.ranks.get(b)) is not None:
+                out[p] = (str(r), 1, self.token[r])
+            elif not b:
+                out[p] = ("", 0, b"")
+        rest = [i for i, p in enumerate(block) if p not in out]
         for sql, some in ((SHORT, [i for i in rest if len(raw[i]) <= LONG_BYTES]), (LONG, [i for i in rest if len(raw[i]) > LONG_BYTES])):
             if not some:
                 continue
@@ -126,13 +127,14 @@ class Coder:
             first = np.repeat(np.cumsum(sizes) - sizes, sizes)
             data = np.frombuffer(b"".join(raw[i] for i in some), np.uint8)
             start = pa.table({"w": np.repeat(np.array(some, np.int32), sizes), "pos": (np.arange(len(data)) - first).astype(np.int32), "id": self.byte[data]})
-            got = self._run("start", start, sql)
-            for w, x in zip(got.column("w").to_pylist(), got.column("ids").to_pylist(), strict=True):
-                ids[w] = x
-        ids = [x or [] for x in ids]
-        got = self._run("coded", pa.table({"w": pa.array(range(len(ids)), pa.int32()), "ids": pa.array(ids, pa.list_(pa.int32()))}), DECODE)
-        decoded = dict(zip(got.column("w").to_pylist(), got.column("bytes").to_pylist(), strict=True))
-        return {p: (",".join(map(str, x)), len(x), bytes.fromhex(decoded.get(i, ""))) for i, (p, x) in enumerate(zip(block, ids, strict=True))}
+            self.con.register("start", start)
+            self.con.execute(f"CREATE OR REPLACE TEMP TABLE coded AS {sql}")
+            self.con.unregister("start")
+            got = self.con.sql(DECODE).to_arrow_table()
+            self.con.execute("DROP TABLE coded")
+            for w, *x in zip(*(got.column(c).to_pylist() for c in ("w", "comma", "n", "bytes")), strict=True):
+                out[block[w]] = tuple(x)
+        return out
 
 
 def coded(spark: SparkSession, text: Column, vocabulary: str, pattern: str, ids: bool = True) -> Column:
@@ -149,8 +151,8 @@ def coded(spark: SparkSession, text: Column, vocabulary: str, pattern: str, ids:
     def code(pieces: pa.Array, odd: pa.Array) -> pa.Array:
         coder = Coder.of(content.value)
         n, listed, id_hash, text_hash = [], [], [], []
-        for at in range(0, len(pieces), 1000):
-            part, other = pieces.slice(at, 1000), odd.slice(at, 1000)
+        for at in range(0, len(pieces), ROWS):
+            part, other = pieces.slice(at, ROWS), odd.slice(at, ROWS)
             if other.null_count < len(other):
                 import regex
 
