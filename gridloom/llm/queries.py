@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gridloom.llm import bpe, jaccard, langid, lines, mixing, shards, toxicity
+from gridloom.llm import bpe, covertree, forest, jaccard, langid, lines, mixing, shards, toxicity
 from gridloom.llm.tables import crc_mod, documents
 
 QUERIES: dict = {}
@@ -45,6 +45,11 @@ def op2(spark: SparkSession, d: str) -> DataFrame:
     return jaccard.similar_groups(documents(spark, d)).select("doc_id", "n_shingles", "component_id")
 
 
+@query("op3_projection_forest")
+def op3(spark: SparkSession, d: str) -> DataFrame:
+    return forest.near_links(spark.read.parquet(f"{d}/embeddings.parquet"))
+
+
 @query("op5_external_shuffle")
 def op5(spark: SparkSession, d: str) -> DataFrame:
     out = shards.external_shuffle(documents(spark, d))
@@ -78,6 +83,17 @@ def op7(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.score_documents(docs, m, held_out(5, 0))
 
 
+@query(
+    "op8_dual_cover_trees",
+    """WITH v AS MATERIALIZED (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(64 * x)) AS v FROM embeddings WHERE embedding IS NOT NULL),
+    s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
+    r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+    SELECT * FROM r WHERE rank <= 20""",
+)
+def op8(spark: SparkSession, d: str) -> DataFrame:
+    return covertree.top_k(spark.read.parquet(f"{d}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
 def vocabulary() -> tuple[str, str]:
     """Rank file and pattern of the public tokenizer the query is asked for."""
     import public_tokenizers
