@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, SparkSession, functions as F
 
 #: bytes of pieces in one recursive query, pieces in a generation of those a worker keeps, texts looked at together
-BLOCK, KEPT, ROWS = 1 << 19, 200_000, 2500
+BLOCK, KEPT, ROWS = 1 << 18, 80_000, 1500
 
 #: token-position rows join the merge table once; from then on a piece carries its tokens and the ranks of
 #: their pairs (NONE: no pair), and each turn joins only the two pairs that a contraction makes
@@ -76,7 +76,7 @@ class Coder:
         tokens = list(self.ranks)
         pairs = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         vocabulary = pa.table({"token": pa.array(tokens, pa.binary()), "id": pa.array([self.ranks[t] for t in tokens], pa.int64())})
         left, right, rank = (pa.array(x, pa.int32()) for x in zip(*pairs, strict=True)) if pairs else (pa.array([], pa.int32()),) * 3
         merges = pa.table({"l": left, "r": right, "rank": rank})

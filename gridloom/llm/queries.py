@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gridloom.llm import bpe, covertree, forest, jaccard, langid, lines, mixing, shards, toxicity
+from gridloom.llm import bpe, covertree, fmindex, forest, jaccard, langid, lines, mixing, shards, toxicity
 from gridloom.llm.tables import crc_mod, documents
 
 QUERIES: dict = {}
@@ -50,6 +50,21 @@ def op3(spark: SparkSession, d: str) -> DataFrame:
     return forest.near_links(spark.read.parquet(f"{d}/embeddings.parquet"))
 
 
+@query(
+    "op4_fm_index",
+    r"""WITH w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    s AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35),
+    r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY array_to_string(ws[i:i + 34], ' ')) AS n FROM s),
+    c AS MATERIALIZED (SELECT DISTINCT doc_id, i + o AS p FROM r, range(35) t(o) WHERE n > 1),
+    p AS (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS p FROM w),
+    k AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS kept FROM p ANTI JOIN c USING (doc_id, p) GROUP BY 1)
+    SELECT w.doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM w LEFT JOIN k USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM c GROUP BY 1) USING (doc_id)""",
+)
+def op4(spark: SparkSession, d: str) -> DataFrame:
+    return fmindex.drop_repeats(documents(spark, d)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 @query("op5_external_shuffle")
 def op5(spark: SparkSession, d: str) -> DataFrame:
     out = shards.external_shuffle(documents(spark, d))
