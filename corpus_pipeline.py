@@ -1,11 +1,20 @@
-"""The corpus pipeline: documents in, token counts of the kept and mixed documents out."""
+"""The corpus pipeline: documents in, tokens of the kept and mixed documents out.
+
+toxicity (toxic documents go), line dedup (later repeats of runs of lines are cut), n-gram Jaccard join
+(one document of each group of near copies stays), mixing (documents are taken as often as the sources'
+targets ask for), byte-level BPE.  All stages but the last keep the columns of documents.
+
+Nulls: a null text is never toxic, has no lines, no near copy and no tokens; it is taken by whole
+repetitions of its source.  Rows that are equal in doc_id and text count as one document for line
+dedup and as copies for the near-copy stage.  An empty table gives empty results.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridloom.functions.shipping import ship
-from gridloom.llm import lines, mixing, toxicity
+from gridloom.llm import bpe, jaccard, lines, mixing, queries, toxicity
 from gridloom.llm.tables import documents, written
 
 
@@ -32,7 +41,20 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return taken.select("row.*")
 
 
-STAGES = [("toxicity", toxic), ("line dedup", line_dedup), ("mixing", mix)]
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one with the smallest doc_id."""
+    ship(spark)
+    return jaccard.drop_similar(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of every document, with digests of the ids and of the decoded bytes."""
+    ship(spark)
+    coded = docs.select("doc_id", "source", bpe.coded(spark, F.col("text"), *queries.vocabulary()).alias("c"))
+    return coded.select("doc_id", "source", "c.n_tokens", "c.ids", "c.ids_sha256", "c.decoded_sha256")
+
+
+STAGES = [("toxicity", toxic), ("line dedup", line_dedup), ("n-gram Jaccard join", near_copies), ("mixing sources", mix), ("byte-level BPE", encode)]
 ORACLE_SQL = None
 
 

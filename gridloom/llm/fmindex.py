@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gridloom.llm.tables import written
+from gridloom.llm.tables import sieve, written
 from gridloom.llm.words import U, _WORDS, chunks, mix, words
 
 SEGMENTS = "array<struct<gram: long, content: long, first: int, n: int>>"
@@ -182,7 +182,8 @@ def drop_repeats(docs: DataFrame, window: int = 35, gram: int = 12, crowd: int =
     crowded = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > crowd).select("gram", F.lit(True).alias("crowded"))
     kinds = kinds.join(crowded, "gram", "left").select("gram", "content", "copies", F.coalesce("crowded", F.lit(False)).alias("crowded"), "one.*")
     wanted = kinds.groupBy("row").agg(F.collect_list(F.struct("gram", "content", "copies", "crowded", "first", "n")).alias("wanted"))
-    source = rows.join(wanted, "row")
+    wanted = written(wanted)
+    source = rows.filter(sieve(wanted.select("row"))(F.col("row"))).join(wanted, "row")
 
     @F.arrow_udf("array<struct<gram: long, content: long, copies: long, part: int, key: long, words: binary>>")
     def fetched(texts: pa.Array, lists: pa.Array) -> pa.Array:
@@ -255,4 +256,9 @@ def drop_repeats(docs: DataFrame, window: int = 35, gram: int = 12, crowd: int =
         kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
         return pa.StructArray.from_arrays([pa.array(text, pa.string()), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string()), pa.array(spans, kind)], ["text", "n_words", "n_removed", "kept_sha256", "spans"])
 
-    return rows.join(starts, "row", "left").select("doc_id", kept.asNondeterministic()("text", "starts").alias("k")).select("doc_id", "k.*")
+    # texts that the sieve stops have no hit for sure and stay where they are
+    starts = written(starts)
+    rows = rows.withColumn("hit", sieve(starts.select("row"))(F.col("row")))
+    some = rows.filter("hit").join(starts, "row", "left").select("doc_id", "text", "starts")
+    none = rows.filter("not hit").select("doc_id", "text", F.lit(None).cast("array<int>").alias("starts"))
+    return some.unionByName(none).select("doc_id", kept.asNondeterministic()("text", "starts").alias("k")).select("doc_id", "k.*")

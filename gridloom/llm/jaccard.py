@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, BooleanType
 
-from gridloom.llm.tables import components, count, written
+from gridloom.llm.tables import components, count, sieve, written
 from gridloom.llm.words import U, chunks, mix, words
 
 WIDTH = 5
@@ -115,16 +115,20 @@ def similar_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
     d = docs.select("doc_id", F.xxhash64("text").alias("th"), described.asNondeterministic()("text").alias("x"))
     d = written(d.select("doc_id", "th", "x.*"))
     # `lower`: at this place the set may still be similar to one of its own size or larger
+    low = f"{100 + percent} * (n - at) >= {2 * percent} * n"
     posted = d.filter("post is not null").select(F.posexplode("post").alias("at", "token"), "cls", "n")
-    posted = posted.withColumn("lower", F.expr(f"{100 + percent} * (n - at) >= {2 * percent} * n"))
+    posted = posted.select("token", "cls", F.expr("shiftleft(bigint(n), 32) | at").alias("n_at"))  # narrow rows for the shuffle
     by_token = "over (partition by token)"
-    met = posted.select("*", F.expr(f"min(cls) {by_token}").alias("least"), F.expr(f"max(cls) {by_token}").alias("most"), F.expr(f"max(lower) {by_token}").alias("any"))
-    met = written(met.filter("least < most and any").select("token", "cls", "n", "at", "lower").distinct())
+    met = posted.select("*", F.expr(f"min(cls) {by_token}").alias("least"), F.expr(f"max(cls) {by_token}").alias("most")).filter("least < most")
+    met = met.selectExpr("token", "cls", "int(shiftright(n_at, 32)) n", "int(n_at & 4294967295) at").distinct()
+    met = written(met.withColumn("lower", F.expr(low)))
 
     # the sets of the classes that met another one, from one text of each
     one = d.filter("n > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "th")).alias("one")).join(met.select("cls").distinct(), "cls", "left_semi")
     one = one.select(F.col("one.doc_id").alias("one_id"), F.col("one.th").alias("one_th"), "cls")
+    one = written(one)
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
+    texts = texts.filter(sieve(one.select("one_th"))(F.col("th")))
     texts = one.join(texts, F.col("one_id").eqNullSafe(F.col("doc_id")) & (F.col("one_th") == F.col("th")))
 
     @F.arrow_udf(BinaryType())

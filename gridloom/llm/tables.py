@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import BooleanType
 
 from gridloom.functions.rounds import shared_dir
+from gridloom.llm.words import U, mix
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -58,3 +63,50 @@ def components(links: DataFrame) -> DataFrame:
     for m in reversed(maps[:-1]):
         out = m.join(out.toDF("root", "up"), "root", "left").select("node", F.coalesce("up", "root").alias("root"))
     return written(out)
+
+
+def sieve(keys: DataFrame, log_bits: int = 23) -> Callable[[Column], Column]:
+    """A test on long keys that holds for every key of `keys` (one long column) and for few others.
+
+    The keys set two bits each of a bit field of fixed size, a MB by default whatever their number, which
+    is all that is broadcast; so rows without a partner needn't be shuffled.  Too many keys only let
+    more others pass.
+    """
+    size, blocks = 1 << (log_bits - 3), 64
+
+    def bits(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        k = column.to_numpy(zero_copy_only=False).astype(np.int64).view(U)
+        return mix(k, 41) >> U(64 - log_bits), mix(k, 42) >> U(64 - log_bits)
+
+    def marked(batches):
+        field = np.zeros(size, np.uint8)
+        for b in batches:
+            for at in bits(b.column(0).drop_null()):
+                np.bitwise_or.at(field, (at >> U(3)).astype(np.int64), np.uint8(1) << (at & U(7)).astype(np.uint8))
+        parts = field.reshape(blocks, -1)
+        some = np.flatnonzero(parts.any(axis=1))
+        if len(some):
+            yield pa.record_batch({"block": pa.array(some, pa.int32()), "bits": pa.array([parts[i].tobytes() for i in some], pa.binary())})
+
+    def joined(batches):
+        parts: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, raw in zip(b.column("block").to_pylist(), b.column("bits").to_pylist(), strict=True):
+                parts[k] = parts.get(k, np.uint8(0)) | np.frombuffer(raw, np.uint8)
+        for k, x in parts.items():
+            yield pa.record_batch({"block": pa.array([k], pa.int32()), "bits": pa.array([x.tobytes()], pa.binary())})
+
+    kind = "block int, bits binary"
+    field = np.zeros((blocks, size // blocks), np.uint8)
+    for r in keys.mapInArrow(marked, kind).repartition(blocks, "block").mapInArrow(joined, kind).collect():
+        field[r["block"]] = np.frombuffer(r["bits"], np.uint8)
+    shared = keys.sparkSession.sparkContext.broadcast(field.ravel())
+
+    @F.arrow_udf(BooleanType())
+    def passes(column: pa.Array) -> pa.Array:
+        f = shared.value
+        a, b = bits(column.fill_null(0))
+        hit = [(f[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1 for at in (a, b)]
+        return pa.array((hit[0] & hit[1]).astype(bool))
+
+    return lambda key: passes(key)

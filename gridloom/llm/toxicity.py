@@ -2,11 +2,14 @@
 
 Learning, from a bounded, seeded sample of labelled rows (at most `max_docs` of either class):
 
+* tokens are words and the beginnings of longer words (a word that tells nothing by itself may begin like
+  words that do);
 * of documents with the same smallest 5-word shingle (copies, mostly) one is learned from;
-* one half gives every token a log-odds of toxic against clean documents, with an informative
+* a half gives every token a log-odds of toxic against clean documents, with an informative
   Dirichlet prior in proportion to the token's overall frequency; a fixed step is subtracted, so an
   ordinary token costs a little and only telling tokens earn;
 * lambda of the extreme-value law is the root of  E[exp(lambda s)] = 1  over clean tokens;
+* tokens are learned from one half for calibration, and again from both halves for the final scores;
 * the other half calibrates: a Gumbel law is fitted to the best segment of its clean documents
   (lambda S - ln n), and a logistic curve turns the two statistics of a document into a score.
 
@@ -32,6 +35,7 @@ from pyspark.sql.types import LongType
 from gridloom.llm.tables import written
 from gridloom.llm.words import MARKS, chunks, words
 
+HEADS = (4, 5, 6)  # bytes of a word's beginnings that count as tokens too
 PASSAGES = "array<struct<first: int, last: int, score: double, expected: double>>"
 
 
@@ -72,12 +76,13 @@ def _scan(texts: pa.Array, m: Model):
     """Per row: number of tokens and maximal segments."""
     for _, part in chunks(texts):
         w = words(part, MARKS, lower=True)
-        k = np.minimum(np.searchsorted(m.token, w.hash), len(m.token) - 1) if len(m.token) else None
-        hit = np.flatnonzero((m.token[k] == w.hash) & (m.gain[k] > 0)) if k is not None and len(w.hash) else np.empty(0, int)
         loss = np.full(len(w.hash), m.cost)
-        if k is not None and len(w.hash):
-            known = m.token[k] == w.hash
-            loss[known] = m.gain[k][known]
+        if len(m.token) and len(w.hash):
+            for h in (*(w.heads(n) for n in HEADS), w.hash):  # the whole word has the last say
+                k = np.minimum(np.searchsorted(m.token, h), len(m.token) - 1)
+                known = m.token[k] == h
+                loss[known] = np.maximum(loss[known], m.gain[k][known]) if h is not w.hash else m.gain[k][known]
+        hit = np.flatnonzero(loss > 0)
         run = np.concatenate([[0.0], np.cumsum(np.minimum(loss, 0))])
         row = np.searchsorted(hit, w.at)
         for r in range(len(part)):
@@ -110,26 +115,47 @@ def _probability(n: int, found: list, m: Model) -> float:
 
 
 def _tokens(sample: DataFrame) -> DataFrame:
-    """(token, toxic, clean): documents of either class with the token, added up within batches first."""
+    """(half, token, toxic, clean): documents of either class with the token, added up within batches first."""
 
     def count(batches):
         for b in batches:
-            toxic = np.array(b.column("toxic").to_pylist(), bool)
-            h, y = [], []
+            toxic, half = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("toxic", "half"))
+            h, kind = [], []
             for first, part in chunks(b.column("text")):
                 w = words(part, MARKS, lower=True)
+                forms = [w.hash, *(w.heads(n) for n in HEADS)]
                 for r in range(len(part)):
-                    u = np.unique(w.hash[w.at[r] : w.at[r + 1]])
+                    u = np.unique(np.concatenate([x[w.at[r] : w.at[r + 1]] for x in forms]))
                     h.append(u)
-                    y.append(np.full(len(u), toxic[first + r]))
+                    kind.append(np.full(len(u), 2 * half[first + r] + toxic[first + r]))
             if h:
                 u, i = np.unique(np.concatenate(h), return_inverse=True)
-                y = np.concatenate(y)
-                t = np.bincount(i, y, len(u)).astype(np.int64)
-                yield pa.record_batch({"token": u.view(np.int64), "toxic": t, "clean": np.bincount(i, minlength=len(u)).astype(np.int64) - t})
+                n = np.bincount(4 * i + np.concatenate(kind), minlength=4 * len(u)).reshape(-1, 4)
+                for k in (0, 1):
+                    some = n[:, 2 * k] + n[:, 2 * k + 1] > 0
+                    yield pa.record_batch({"half": np.full(some.sum(), k, np.int64), "token": u.view(np.int64)[some], "toxic": n[some, 2 * k + 1], "clean": n[some, 2 * k]})
 
-    out = sample.select("text", "toxic").mapInArrow(count, "token long, toxic long, clean long")
-    return out.groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    out = sample.select("half", "text", "toxic").mapInArrow(count, "half long, token long, toxic long, clean long")
+    return out.groupBy("half", "token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+
+
+def _odds(found: DataFrame, prior: float, step: float, sure: float, expect: float) -> Model:
+    """Scores of the telling tokens of some counts."""
+    size = found.agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).first()
+    if not size["t"] or not size["c"]:
+        return Model(np.empty(0, np.uint64), np.empty(0), -step)
+    nt, nc = float(size["t"]), float(size["c"])
+    a = F.lit(prior) * (F.col("toxic") + F.col("clean"))
+    yt, yc, more = F.col("toxic") + a, F.col("clean") + a, prior * (nt + nc)
+    odds = F.log(yt / (F.lit(nt + more) - yt)) - F.log(yc / (F.lit(nc + more) - yc))
+    z = odds / F.sqrt(1 / yt + 1 / yc)
+    kept = found.select("token", odds.alias("odds"), z.alias("z"), "clean").filter((F.abs("z") >= sure) & (F.abs("odds") > step)).toPandas()
+    token = kept["token"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(token)
+    m = Model(token[order], np.clip(kept["odds"].to_numpy(float)[order] - step, -4 * step, 12), -step, expect=expect)
+    if (m.gain > 0).any():
+        m.rate = _root(m.gain, np.maximum(kept["clean"].to_numpy(float)[order], 0.5) / nc, m.cost)
+    return m
 
 
 @F.arrow_udf(LongType())
@@ -162,34 +188,20 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 20_000, prior: flo
     sample = written(sample.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(2))).withColumn("cluster", _cluster("text")))
     one = sample.groupBy("cluster", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     sample = sample.join(F.broadcast(one), "doc_id", "left_semi")
-    first = sample.filter("half = 0")
-
-    found = _tokens(first)
-    size = found.agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).first()
-    nothing = Model(np.empty(0, np.uint64), np.empty(0), -step)
-    if not size["t"] or not size["c"]:
-        return nothing
-    nt, nc = float(size["t"]), float(size["c"])
-    a = F.lit(prior) * (F.col("toxic") + F.col("clean"))
-    yt, yc, more = F.col("toxic") + a, F.col("clean") + a, prior * (nt + nc)
-    odds = F.log(yt / (F.lit(nt + more) - yt)) - F.log(yc / (F.lit(nc + more) - yc))
-    z = odds / F.sqrt(1 / yt + 1 / yc)
-    kept = found.select("token", odds.alias("odds"), z.alias("z"), "clean").filter((F.abs("z") >= sure) & (F.abs("odds") > step)).toPandas()
-    order_ = np.argsort(kept["token"].to_numpy().astype(np.int64).view(np.uint64))
-    m = Model(kept["token"].to_numpy().astype(np.int64).view(np.uint64)[order_], np.clip(kept["odds"].to_numpy(float)[order_] - step, -4 * step, 12), -step, expect=expect)
+    sample = sample.withColumn("toxic", F.col("toxic").cast("int"))
+    found = written(_tokens(sample))
+    m = _odds(found.filter("half = 0"), prior, step, sure, expect)
     if not (m.gain > 0).any():
         return m
-    share = np.maximum(kept["clean"].to_numpy(float)[order_], 0.5) / nc
-    m.rate = _root(m.gain, share, m.cost)
 
     def statistics(batches):
         for b in batches:
             y, rows = b.column("toxic").to_pylist(), []
             for k, (n, seg) in enumerate(_scan(b.column("text"), m)):
                 rows.append((y[k], n, len(seg), *(max(s for _, _, s in seg) if seg else 0.0,), [s for _, _, s in seg]))
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64())), strict=True)], ["toxic", "n", "k", "best", "each"])
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64())), strict=True)], ["toxic", "n", "k", "best", "each"])
 
-    seen = sample.filter("half = 1").select("toxic", "text").mapInArrow(statistics, "toxic boolean, n long, k long, best double, each array<double>").toPandas()
+    seen = sample.filter("half = 1").select("toxic", "text").mapInArrow(statistics, "toxic int, n long, k long, best double, each array<double>").toPandas()
     y = seen["toxic"].to_numpy(bool) if len(seen) else np.empty(0, bool)
     if not y.any() or y.all():
         return m
@@ -200,6 +212,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 20_000, prior: flo
         m.place = x.mean() - 0.5772156649015329 * m.scale
     ev = np.array([_evidence(n, [(0, 0, s) for s in e], m) for n, e in zip(seen["n"], seen["each"], strict=True)])
     m.curve = _logistic(np.log1p(ev), y)
+    every = _odds(found.groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), prior, step, sure, expect)
+    m.token, m.gain = every.token, every.gain  # the calibration stays the one of tokens learned apart from it
     return m
 
 

@@ -68,6 +68,14 @@ class Words:
     end: np.ndarray
     hash: np.ndarray
     at: np.ndarray
+    total: np.ndarray  # running sums that word hashes come from
+
+    def heads(self, n: int) -> np.ndarray:
+        """Hashes of the first n bytes of each word; words that aren't longer have their own hash."""
+        _, down = _BYTES(len(self.data) + 1)
+        long = self.end - self.start > n
+        h = mix((self.total[np.minimum(self.start + n, len(self.data))] - self.total[self.start]) * down[self.start], 50 + n)
+        return np.where(long, h, self.hash)
 
     def rows(self) -> np.ndarray:
         """The row of every word."""
@@ -104,7 +112,7 @@ def words(texts: pa.Array, separators: np.ndarray = SPACES, lower: bool = False)
     up, down = _BYTES(len(b) + 1)
     total = np.concatenate([[U(0)], np.cumsum(_CODES[lower][b] * up[:-1])])
     h = mix((total[end] - total[start]) * down[start], 1)
-    return Words(b, start, end, h, np.searchsorted(start, o))
+    return Words(b, start, end, h, np.searchsorted(start, o), total)
 
 
 def chunks(texts: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, pa.Array]]:
