@@ -123,19 +123,22 @@ def similar_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
     met = met.selectExpr("token", "cls", "int(shiftright(n_at, 32)) n", "int(n_at & 4294967295) at").distinct()
     met = written(met.withColumn("lower", F.expr(low)))
 
-    # the sets of the classes that met another one, from one text of each
-    one = d.filter("n > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "th")).alias("one")).join(met.select("cls").distinct(), "cls", "left_semi")
-    one = one.select(F.col("one.doc_id").alias("one_id"), F.col("one.th").alias("one_th"), "cls")
-    one = written(one)
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
-    texts = texts.filter(sieve(one.select("one_th"))(F.col("th")))
-    texts = one.join(texts, F.col("one_id").eqNullSafe(F.col("doc_id")) & (F.col("one_th") == F.col("th")))
+    # a text for each class, fetched only for classes that are proposed
+    one = d.filter("n > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "th")).alias("one"))
+    one = written(one.select(F.col("one.doc_id").alias("one_id"), F.col("one.th").alias("one_th"), "cls"))
+    again = d.filter("n > 0").groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    repeats = count(again.limit(1)) > 0
 
     @F.arrow_udf(BinaryType())
     def packed(t: pa.Array) -> pa.Array:
         return pa.array([s.tobytes() for s in shingles(t)], pa.binary())
 
-    sets = written(texts.select("cls", packed("text").alias("tokens")).dropDuplicates(["cls"]))
+    def sets_of(classes: DataFrame) -> DataFrame:
+        wanted = written(one.join(classes, "cls", "left_semi"))
+        texts = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
+        texts = texts.filter(sieve(wanted.select("one_th"))(F.col("th")))
+        sets = wanted.join(texts, F.col("one_id").eqNullSafe(F.col("doc_id")) & (F.col("one_th") == F.col("th"))).select("cls", packed("text").alias("tokens"))
+        return written(sets.dropDuplicates(["cls"]) if repeats else sets)
 
     @F.arrow_udf(BooleanType())
     def agree(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -154,7 +157,8 @@ def similar_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of classes that pass all filters and the exact test."""
-        p = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        p = written(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        sets = sets_of(p.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
         p = p.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
         return p.withColumn("ok", agree.asNondeterministic()("x", "y")).filter("ok").select("a", "b")
 
