@@ -161,7 +161,7 @@ def segments(texts: pa.Array, window: int, gram: int):
             yield g[pick[first]].view(np.int64), content.view(np.int64), first, n
 
 
-def drop_repeats(docs: DataFrame, window: int = 35, gram: int = 12, crowd: int = 2000, shard_words: int = 500_000) -> DataFrame:
+def drop_repeats(docs: DataFrame, window: int = 35, gram: int = 12, crowd: int = 2000, shard_words: int = 250_000) -> DataFrame:
     """(doc_id, text, n_words, n_removed, kept_sha256, spans): each row of `docs` (doc_id, text) with its
     kept words joined by one space, and the removed word ranges."""
     found_type = pa.list_(pa.struct([("gram", pa.int64()), ("content", pa.int64()), ("first", pa.int32()), ("n", pa.int32())]))
@@ -185,29 +185,32 @@ def drop_repeats(docs: DataFrame, window: int = 35, gram: int = 12, crowd: int =
     wanted = written(wanted)
     source = rows.filter(sieve(wanted.select("row"))(F.col("row"))).join(wanted, "row")
 
-    @F.arrow_udf("array<struct<gram: long, content: long, copies: long, part: int, key: long, words: binary>>")
-    def fetched(texts: pa.Array, lists: pa.Array) -> pa.Array:
-        out = []
-        lists = lists.to_pylist()
-        for first_row, part in chunks(texts):
-            w = words(part)
-            for r in range(len(part)):
-                have = []
-                for s in lists[first_row + r]:
-                    a = w.at[r] + s["first"]
-                    base = {"gram": s["gram"], "content": s["content"], "copies": s["copies"]}
-                    if s["crowded"]:
-                        for j in range(s["n"]):
-                            h = w.hash[a + j : a + j + window]
-                            key = int(mix((h * _WORDS(window)[0]).sum(dtype=U, keepdims=True), 8).view(np.int64)[0])
-                            have.append(base | {"part": j, "key": key, "words": h.tobytes()})
-                    else:
-                        have.append(base | {"part": -1, "key": s["content"], "words": w.hash[a : a + s["n"] + window - 1].tobytes()})
-                out.append(have)
-        kind = pa.struct([("gram", pa.int64()), ("content", pa.int64()), ("copies", pa.int64()), ("part", pa.int32()), ("key", pa.int64()), ("words", pa.binary())])
-        return pa.array(out, pa.list_(kind))
+    def fetched(batches):
+        """The words of the wanted segments, a few texts at a time; of crowded ones each window by itself."""
+        for batch in batches:
+            for first_row, part in chunks(batch.column("text")):
+                w = words(part)
+                lists = batch.column("wanted").slice(first_row, len(part))
+                s = lists.flatten()
+                col = {f: s.field(f).to_numpy(zero_copy_only=False) for f in ("gram", "content", "copies", "crowded", "first", "n")}
+                start = np.repeat(w.at[:-1], lists.value_lengths().to_numpy()) + col["first"]
+                crowded = col["crowded"].astype(bool)
+                times = np.where(crowded, col["n"], 1)
+                at = np.repeat(np.arange(len(start)), times)
+                j = np.where(crowded[at], np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times), -1)
+                for k in range(0, len(at), 20_000):
+                    i, o = at[k : k + 20_000], j[k : k + 20_000]
+                    size = np.where(o < 0, col["n"][i] + window - 1, window)
+                    begin = start[i] + np.maximum(o, 0)
+                    off = np.concatenate([[0], np.cumsum(size)])
+                    data = w.hash[np.arange(off[-1]) + np.repeat(begin - off[:-1], size)]
+                    up, _ = _WORDS(int(size.max(initial=1)))
+                    key = mix(np.add.reduceat(data * up[np.arange(off[-1]) - np.repeat(off[:-1], size)], off[:-1]), 8).view(np.int64) if len(i) else np.empty(0, np.int64)
+                    raw = pa.Array.from_buffers(pa.binary(), len(i), [None, pa.py_buffer((off * 8).astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+                    yield pa.record_batch({"gram": col["gram"][i], "content": col["content"][i], "copies": col["copies"][i], "part": o.astype(np.int32), "key": np.where(o < 0, col["content"][i], key), "words": raw})
 
-    pieces = written(source.select(F.explode(fetched.asNondeterministic()("text", "wanted")).alias("p")).select("p.*").dropDuplicates(["gram", "content", "part"]))
+    made = source.select("text", "wanted").mapInArrow(fetched, "gram long, content long, copies long, part int, key long, words binary")
+    pieces = written(made.dropDuplicates(["gram", "content", "part"]))
     single = pieces.filter("part >= 0").groupBy("gram", "key").agg(F.sum("copies").alias("copies"), F.first("words").alias("words"), F.lit(True).alias("single"))
     whole = pieces.filter("part < 0").select("gram", "key", "copies", "words", F.lit(False).alias("single"))
     size = pieces.agg(F.sum(F.length("words")) / 8).first()[0] or 0
