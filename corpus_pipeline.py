@@ -50,7 +50,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of every document, with digests of the ids and of the decoded bytes."""
     ship(spark)
-    coded = docs.select("doc_id", "source", bpe.coded(spark, F.col("text"), *queries.vocabulary()).alias("c"))
+    coded = docs.select("doc_id", "source", bpe.coded(spark, F.col("text"), *queries.vocabulary(), keep=False).alias("c"))
     return coded.select("doc_id", "source", "c.n_tokens", "c.ids", "c.ids_sha256", "c.decoded_sha256")
 
 

@@ -137,12 +137,13 @@ class Coder:
         return out
 
 
-def coded(spark: SparkSession, text: Column, vocabulary: str, pattern: str, ids: bool = True) -> Column:
+def coded(spark: SparkSession, text: Column, vocabulary: str, pattern: str, ids: bool = True, keep: bool = True) -> Column:
     """struct(n_tokens, ids, ids_sha256, decoded_sha256) of whole texts.
 
     `vocabulary` is a rank file the driver can read; its content, a fixed file of about a MB, is
     broadcast.  Java's classes stand for the pattern's; a text with a character that Java doesn't know
-    is cut by the `regex` library instead.  Without `ids` that field is null.
+    is cut by the `regex` library instead.  Without `ids` that field is null.  Without `keep` a worker
+    keeps nothing between batches, which costs time and frees its memory for other stages.
     """
     with open(vocabulary, "rb") as f:
         content = spark.sparkContext.broadcast(f.read())
@@ -172,6 +173,10 @@ def coded(spark: SparkSession, text: Column, vocabulary: str, pattern: str, ids:
                 id_hash.append(hashlib.sha256(joined.encode()).hexdigest())
                 text_hash.append(hashlib.sha256(b"".join([data[i] for i in row])).hexdigest())
                 listed.append(np.array(joined.split(","), np.int32) if ids and row else [] if ids else None)
+        if not keep:
+            del coder
+            Coder._own.clear()
+            pa.default_memory_pool().release_unused()
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(listed, pa.list_(pa.int32())), pa.array(id_hash, pa.string()), pa.array(text_hash, pa.string())], ["n_tokens", "ids", "ids_sha256", "decoded_sha256"])
 
     text = F.coalesce(text, F.lit(""))

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 CHUNK = 1 << 20  # bytes of text handled at once; one longer text is handled by itself
@@ -119,8 +120,7 @@ def chunks(texts: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, pa.Array]]
     """Slices of a text column with about `most` bytes each: (first row, slice)."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    sizes = texts.fill_null("").cast(pa.large_string())
-    o = np.frombuffer(sizes.buffers()[1], np.int64)[sizes.offset : sizes.offset + len(sizes) + 1] if len(sizes) else np.zeros(1, np.int64)
+    o = np.concatenate([[0], np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)])
     first = 0
     while first < len(texts):
         last = max(first + 1, int(np.searchsorted(o, o[first] + most, "right")) - 1)
