@@ -29,7 +29,7 @@ def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
             parent = parent[parent]
 
 
-def connected_components(edges: DataFrame, keys: list[str], max_rounds: int = 200, local_limit: int = 100_000) -> DataFrame:
+def connected_components(edges: DataFrame, keys: list[str], local_limit: int = 100_000) -> DataFrame:
     """(keys, node, component) for every node with an edge; a component is named by its smallest
     node.  `edges` has (keys, a, b).
 
@@ -50,9 +50,9 @@ def connected_components(edges: DataFrame, keys: list[str], max_rounds: int = 20
     e = edges.filter("a <> b").select(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     e, obs = materialize(e, n=F.count(F.lit(1)))
     maps: list[DataFrame] = []
-    for i in range(max_rounds):
-        if not obs["n"]:
-            break
+    i = -1
+    while obs["n"]:
+        i += 1
         if obs["n"] <= local_limit:
             maps.append(e.groupBy(*keys).applyInPandas(finish, f"node long, rep long, {key_schema(e, keys)}").select(*keys, "node", "rep"))
             break

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gridloom.functions.columns import with_stats
 from gridloom.functions.ordering import first_by, hash_order, hash_rank, running_sums
+from gridloom.functions.rounds import materialize
 
 
 def vector_zscore(train: DataFrame, apply_to: DataFrame, vec: str = "vec") -> DataFrame:
@@ -80,17 +81,35 @@ def negative_links(edges: DataFrame, ratio: float, seed: int) -> DataFrame:
     """User-item pairs that are not edges, ratio times as many as edges.
 
     Every edge proposes a few items for its user by hashing into the item index, proposals that
-    are edges or repeats fall out, and the hash rank trims to the exact count.  No cross join.
+    are edges or repeats fall out, and rounds with new seeds go on until there are enough.  If the
+    pairs that are no edges are few against what is asked for, all pairs are at most a small multiple
+    of it, and every user proposes every item.  The hash rank trims to the exact count.
     """
     items = index_ids(edges, "item_id")
-    size = edges.agg(F.count("*").alias("_n"), F.count_distinct("item_id").alias("_m"))
+    size = edges.agg(F.count("*").alias("n"), F.count_distinct("item_id").alias("m"), F.count_distinct("user_id").alias("u"), F.count_distinct("user_id", "item_id").alias("e")).first()
+    left = size["u"] * size["m"] - size["e"]
+    want = min(int(size["n"] * ratio), left)
     tries = int(ratio * 2) + 2
-    p = edges.crossJoin(F.broadcast(size)).withColumn("t", F.explode(F.array(*[F.lit(i) for i in range(tries)])))
-    p = p.select("user_id", "_n", F.pmod(F.xxhash64("user_id", "item_id", "t", F.lit(seed)), F.col("_m")).alias("idx"))
-    p = p.join(items, "idx").select("user_id", "item_id", "_n").distinct()
-    p = p.join(edges, ["user_id", "item_id"], "left_anti")
-    r = hash_rank(p, [], F.concat_ws("-", "user_id", "item_id"), seed)
-    return r.filter(F.col("rank") <= F.floor(F.col("_n") * ratio)).select("user_id", "item_id")
+
+    def fresh(proposed: DataFrame) -> DataFrame:
+        p = proposed.join(items, "idx").select("user_id", "item_id").distinct()
+        return p.join(edges, ["user_id", "item_id"], "left_anti")
+
+    if left <= 2 * want:
+        every = F.sequence(F.lit(0).cast("long"), F.lit(size["m"] - 1).cast("long")) if size["m"] else F.array().cast("array<bigint>")
+        found = fresh(edges.select("user_id").distinct().withColumn("idx", F.explode(every)))
+    else:
+        found, turn = None, 0
+        while True:
+            t = F.explode(F.array(*[F.lit(turn * tries + i) for i in range(tries)]))
+            p = edges.withColumn("t", t).select("user_id", F.pmod(F.xxhash64("user_id", "item_id", "t", F.lit(seed)), F.lit(size["m"])).alias("idx"))
+            found = fresh(p) if found is None else found.union(fresh(p)).distinct()
+            found, obs = materialize(found, n=F.count(F.lit(1)))
+            turn += 1
+            if obs["n"] >= want:
+                break
+    r = hash_rank(found, [], F.concat_ws("-", "user_id", "item_id"), seed)
+    return r.filter(F.col("rank") <= want).select("user_id", "item_id")
 
 
 def sample_neighbours(edges: DataFrame, seeds: DataFrame, fanout: tuple[int, int], seed: int) -> DataFrame:

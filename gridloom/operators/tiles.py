@@ -75,7 +75,6 @@ def ball_background(df: DataFrame, radius: float, keys: list[str] = IMG, tile: i
 
 def relax(
     state: DataFrame, local: Callable[[pd.DataFrame], pd.DataFrame], columns: list[str], keys: list[str] = IMG, tile: int = 256, halo: int = 1,
-    max_rounds: int = 100_000,
 ) -> DataFrame:
     """Repeat a tile-local fixed point with halo exchange until no tile changes.
 
@@ -93,12 +92,11 @@ def relax(
         return out[pdf["own"].to_numpy()]
 
     cur = state
-    for _ in range(max_rounds):
+    while True:
         cur, obs = materialize(per_tile(cur, tile, halo, fn, schema, keys), moved=F.sum("moved"))
         cur = cur.drop("moved")
         if not obs["moved"]:
-            break
-    return cur
+            return cur
 
 
 SHIFTS4 = [(-1, 0), (1, 0), (0, -1), (0, 1)]
@@ -187,7 +185,7 @@ def seeded_watershed(df: DataFrame, seeds: DataFrame, keys: list[str] = IMG, til
 def thin(mask: DataFrame, keys: list[str] = IMG, tile: int = 256, steps: int = 8) -> DataFrame:
     """Zhang-Suen thinning.  A tile with a halo of 2*steps rows runs `steps` full iterations
     exactly, so only every steps-th iteration exchanges halos."""
-    schema = key_schema(mask, keys) + ", y long, x long, moved long"
+    schema = key_schema(mask, keys) + ", y long, x long"
     ks = list(keys)
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -208,16 +206,11 @@ def thin(mask: DataFrame, keys: list[str] = IMG, tile: int = 256, steps: int = 8
             if (g == start).all():
                 break
         kept = g[y, x] == 1
-        own = pdf["own"].to_numpy()
-        out = pdf[[*ks, "y", "x"]].assign(moved=0)[own & kept]
-        lost = int((own & ~kept).sum())
-        if lost and len(out):
-            out.iloc[0, out.columns.get_loc("moved")] = lost
-        return out
-
-    cur = mask.select(*keys, "y", "x")
-    while True:
-        cur, obs = materialize(per_tile(cur, tile, 2 * steps, fn, schema, keys), moved=F.sum("moved"))
-        cur = cur.drop("moved")
-        if not obs["moved"]:
+        return pdf[[*ks, "y", "x"]][pdf["own"].to_numpy() & kept]
+
+    cur, before = mask.select(*keys, "y", "x"), None
+    while True:  # pixels only ever go, so an equal count is the end
+        cur, obs = materialize(per_tile(cur, tile, 2 * steps, fn, schema, keys), n=F.count(F.lit(1)))
+        if obs["n"] == before:
             return cur
+        before = obs["n"]

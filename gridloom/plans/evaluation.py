@@ -250,13 +250,13 @@ def _(s, d):
     return m.select("graph_id", *[rnd(c, 8).alias(c) for c in ("baseline", "accuracy", "gain")])
 
 
-STOP = """r0 AS (SELECT repeat, fold, epoch, auc, max(auc) OVER (PARTITION BY repeat, fold ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM runs WHERE epoch>=10),
-r1 AS (SELECT *, coalesce(max(CASE WHEN auc > coalesce(pm, -1) THEN epoch END) OVER (PARTITION BY repeat, fold ORDER BY epoch), 0) AS le FROM r0),
-sx AS (SELECT repeat, fold, min(epoch) FILTER (epoch-greatest(le, 9)>=60) AS stop_epoch, max(le) AS al FROM r1 GROUP BY 1,2),
-best AS (SELECT sx.repeat, sx.fold, stop_epoch, coalesce((SELECT max(le) FROM r1 WHERE r1.repeat=sx.repeat AND r1.fold=sx.fold AND r1.epoch=sx.stop_epoch), al) AS best_epoch FROM sx)"""
+STOP = """rm AS MATERIALIZED (SELECT repeat, fold, epoch, auc FROM runs),
+r0 AS MATERIALIZED (SELECT repeat, fold, epoch, auc, max(auc) OVER (PARTITION BY repeat, fold ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM rm WHERE epoch>=10),
+r1 AS MATERIALIZED (SELECT *, coalesce(max(CASE WHEN auc > coalesce(pm, -1) THEN epoch END) OVER (PARTITION BY repeat, fold ORDER BY epoch), 0) AS le FROM r0),
+best AS MATERIALIZED (SELECT repeat, fold, min(epoch) FILTER (epoch-greatest(le, 9)>=60) AS stop_epoch, coalesce(arg_min(le, epoch) FILTER (epoch-greatest(le, 9)>=60), max(le)) AS best_epoch FROM r1 GROUP BY 1,2)"""
 
 
-@query("i15_early_stop", "runs", STOP + " SELECT best.repeat, best.fold, best_epoch, stop_epoch, round(auc, 8) AS best_value FROM best LEFT JOIN runs ON runs.repeat=best.repeat AND runs.fold=best.fold AND runs.epoch=best_epoch")
+@query("i15_early_stop", "runs", STOP + " SELECT best.repeat, best.fold, best_epoch, stop_epoch, round(auc, 8) AS best_value FROM best LEFT JOIN rm ON rm.repeat=best.repeat AND rm.fold=best.fold AND rm.epoch=best_epoch")
 def _(s, d):
     return M.early_stop(V.runs(s, d), 60, 10).withColumn("best_value", rnd("best_value", 8))
 

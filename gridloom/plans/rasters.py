@@ -117,7 +117,7 @@ def _(s, d):
 
 @query("b1_split_channels", "stack", "SELECT image_id, c, z, y, x, v FROM stack")
 def _(s, d):
-    return R.split_channels(V.pages(s, d), 3, check=True)
+    return R.split_channels(V.pages(s, d), 3)
 
 
 MID = """n AS (SELECT image_id, c, count(DISTINCT z) AS n FROM stack GROUP BY 1,2),
@@ -215,13 +215,14 @@ def _(s, d):
     return R.sum_and_stretch(V.stack(s, d), coords=("z", "y", "x"))
 
 
-@query("b14_merge_channels", "pgs", """f AS (SELECT image_id, page%4 AS c, page//4 AS z, y, x, v FROM pgs WHERE page%4 <= image_id%4),
+@query("b14_merge_channels", "pgs", """f AS (SELECT image_id, page%(1+image_id%4) AS c, page//(1+image_id%4) AS z, y, x, v FROM pgs),
 p AS (SELECT image_id, z, y, x, count(*) AS n, max(v) FILTER (c=0) AS c0, max(v) FILTER (c=1) AS c1, max(v) FILTER (c=2) AS c2, sum(v) FILTER (c>=2) AS tail FROM f GROUP BY ALL),
 k AS (SELECT *, CAST(CASE WHEN n=2 THEN c0+c1 WHEN n>3 THEN tail END AS DOUBLE) AS mix FROM p), mm AS (SELECT image_id, min(mix) AS lo, max(mix) AS hi FROM k GROUP BY 1),
 g AS (SELECT k.*, CASE WHEN hi>lo THEN floor((mix-lo)/(hi-lo)*65535) ELSE 0 END AS g FROM k JOIN mm USING (image_id))
 SELECT image_id, z, y, x, CAST(CASE n WHEN 1 THEN c0 WHEN 2 THEN g ELSE c0 END AS BIGINT) AS r, CAST(CASE n WHEN 1 THEN c0 WHEN 2 THEN g ELSE c1 END AS BIGINT) AS g, CAST(CASE n WHEN 1 THEN c0 WHEN 2 THEN g WHEN 3 THEN c2 ELSE g END AS BIGINT) AS b FROM g""")
 def _(s, d):
-    return R.merge_channels(R.split_channels(V.pages(s, d), 4).filter("c <= image_id % 4"))
+    pages = V.pages(s, d)  # 1 to 4 channels, by image
+    return R.merge_channels(pages.selectExpr("image_id", "page % (1 + image_id % 4) AS c", "page div (1 + image_id % 4) AS z", "y", "x", "v"))
 
 
 @query("b15_stack_channels", "stack", "SELECT image_id, z, y, x, max(v) FILTER (c=0) AS c0, max(v) FILTER (c=1) AS c1, max(v) FILTER (c=2) AS c2 FROM stack GROUP BY ALL")
@@ -261,14 +262,14 @@ def _(s, d):
 
 
 @query("b21_best_shift", "stack", """ker(dy, dx, kx, ky) AS (VALUES (-1,-1,-1,-1),(-1,0,0,-2),(-1,1,1,-1),(0,-1,-2,0),(0,1,2,0),(1,-1,-1,1),(1,0,0,2),(1,1,1,1)),
-s0 AS (SELECT * FROM stack WHERE z = 0 AND c < 2),
-ed AS (SELECT a.image_id, a.c, a.y, a.x, sqrt(CAST(sum(kx*b.v)*sum(kx*b.v)+sum(ky*b.v)*sum(ky*b.v) AS DOUBLE)) AS m FROM s0 a, ker JOIN s0 b ON b.image_id=a.image_id AND b.c=a.c AND b.y=least(greatest(a.y+dy,0),7) AND b.x=least(greatest(a.x+dx,0),7) GROUP BY 1,2,3,4),
+ed AS (SELECT a.image_id, a.c, a.z, a.y, a.x, sqrt(CAST(sum(kx*b.v)*sum(kx*b.v)+sum(ky*b.v)*sum(ky*b.v) AS DOUBLE)) AS m FROM stack a, ker JOIN stack b ON b.image_id=a.image_id AND b.c=a.c AND b.z=a.z AND b.y=least(greatest(a.y+dy,0),7) AND b.x=least(greatest(a.x+dx,0),7) GROUP BY 1,2,3,4,5),
 sh AS (SELECT a.i AS dy, b.i AS dx FROM (SELECT unnest(range(-2,3)) AS i) a, (SELECT unnest(range(-2,3)) AS i) b),
-sc AS (SELECT r.image_id, dy, dx, round(corr(r.m, m.m), 9) AS score FROM ed r, sh JOIN ed m ON m.image_id=r.image_id AND m.c=1 AND m.y+dy=r.y AND m.x+dx=r.x WHERE r.c=0 GROUP BY 1,2,3)
-SELECT image_id, CAST(dy AS INT) AS dy, CAST(dx AS INT) AS dx, score FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, dy, dx) AS rn FROM sc) WHERE rn=1""")
+sc AS (SELECT m.image_id, m.c, m.z, dy, dx, round(corr(r.m, m.m), 9) AS score FROM ed r, sh JOIN ed m ON m.image_id=r.image_id AND m.c>0 AND m.z=r.z AND m.y+dy=r.y AND m.x+dx=r.x WHERE r.c=0 GROUP BY 1,2,3,4,5)
+SELECT image_id, c, z, CAST(dy AS INT) AS dy, CAST(dx AS INT) AS dx, score FROM (SELECT *, row_number() OVER (PARTITION BY image_id, c, z ORDER BY score DESC, dy, dx) AS rn FROM sc) WHERE rn=1""")
 def _(s, d):
-    st = V.stack(s, d).filter("z = 0").select("image_id", "c", "y", "x", "v")
-    return R.best_shift(st.filter("c = 0").drop("c"), st.filter("c = 1").drop("c"), 2)
+    st = V.stack(s, d)  # every other channel against channel 0, in every slice
+    ref = st.filter("c = 0").withColumn("c", F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))))
+    return R.best_shift(ref, st.filter("c > 0"), 2, R.SLICE)
 
 
 @query("b22_rotate90", "pix", """SELECT image_id, 0 AS k, y, x, v FROM pix UNION ALL SELECT image_id, 1, 7-x, y, v FROM pix UNION ALL SELECT image_id, 2, 7-y, 7-x, v FROM pix UNION ALL SELECT image_id, 3, x, 7-y, v FROM pix""")

@@ -43,13 +43,8 @@ def pix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "embeddings").agg(F.expr("count(*) div 24").alias("n_stacks"))
-    return (
-        emb(spark, d)
-        .crossJoin(F.broadcast(n))  # one row
-        .filter(_idiv("vec_id", 24) < F.col("n_stacks"))
-        .select(_idiv("vec_id", 24).alias("image_id"), (F.col("vec_id") % 24).alias("page"), _y(), _x(), _v())
-    )
+    """24 vectors are the pages of an image; the last image may have fewer."""
+    return emb(spark, d).select(_idiv("vec_id", 24).alias("image_id"), (F.col("vec_id") % 24).alias("page"), _y(), _x(), _v())
 
 
 def stack(spark: SparkSession, d: str) -> DataFrame:
@@ -152,15 +147,10 @@ def files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tiles(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "embeddings").agg(F.expr("count(*) div 4").alias("n_images"))
-    return (
-        emb(spark, d)
-        .crossJoin(F.broadcast(n))  # one row
-        .filter(_idiv("vec_id", 4) < F.col("n_images"))
-        .select(
-            _idiv("vec_id", 4).alias("image_id"), (F.col("vec_id") % 4).alias("tile_id"),
-            _idiv("pos", 8).alias("fy"), (F.col("pos") % 8).cast("long").alias("fx"), F.col("e").alias("f"),
-        )
+    """4 vectors are the tiles of an image; the last image may have fewer."""
+    return emb(spark, d).select(
+        _idiv("vec_id", 4).alias("image_id"), (F.col("vec_id") % 4).alias("tile_id"),
+        _idiv("pos", 8).alias("fy"), (F.col("pos") % 8).cast("long").alias("fx"), F.col("e").alias("f"),
     )
 
 
@@ -193,7 +183,7 @@ _V = "CAST(floor((e+0.6)*50000) AS INT) AS v"
 SQL_VIEWS: dict[str, tuple[list[str], str]] = {
     "emb": ([], "SELECT vec_id, label, i-1 AS pos, CAST(embedding[i] AS DOUBLE) AS e FROM (SELECT vec_id, label, embedding, unnest(range(1,65)) AS i FROM embeddings)"),
     "pix": (["emb"], f"SELECT vec_id AS image_id, pos//8 AS y, pos%8 AS x, {_V} FROM emb"),
-    "pgs": (["emb"], f"SELECT vec_id//24 AS image_id, vec_id%24 AS page, pos//8 AS y, pos%8 AS x, {_V} FROM emb WHERE vec_id//24 < (SELECT count(*)//24 FROM embeddings)"),
+    "pgs": (["emb"], f"SELECT vec_id//24 AS image_id, vec_id%24 AS page, pos//8 AS y, pos%8 AS x, {_V} FROM emb"),
     "stack": (["pgs"], "SELECT image_id, page%3 AS c, page//3 AS z, y, x, v FROM pgs"),
     "mosaic": (["emb"], f"SELECT CAST(0 AS BIGINT) AS image_id, (vec_id//20)*8+pos//8 AS y, (vec_id%20)*8+pos%8 AS x, e, {_V}, e > 0.05 AS fg FROM emb"),
     "region": (["emb"], f"SELECT vec_id//100 AS image_id, ((vec_id%100)//10)*8+pos//8 AS y, (vec_id%10)*8+pos%8 AS x, {_V}, CASE WHEN e>0 THEN vec_id%100+1 ELSE 0 END AS frag, CASE WHEN e > 0.02*(vec_id%10) THEN (vec_id%100)//4+1 ELSE 0 END AS gt FROM emb"),
@@ -204,7 +194,7 @@ SQL_VIEWS: dict[str, tuple[list[str], str]] = {
     "bip": ([], "SELECT o_custkey AS user_id, l_partkey AS item_id, max(l_quantity)/10 AS rating FROM orders JOIN lineitem ON o_orderkey=l_orderkey GROUP BY 1,2"),
     "cls": ([], "SELECT d.doc_id, CAST(d.n_chars AS DOUBLE)/(d.n_chars+2000) AS prob, l.quality AS truth FROM labels l JOIN documents d USING (doc_id)"),
     "files": ([], "SELECT page_id, url FROM pages"),
-    "tiles": (["emb"], "SELECT vec_id//4 AS image_id, vec_id%4 AS tile_id, pos//8 AS fy, pos%8 AS fx, e AS f FROM emb WHERE vec_id//4 < (SELECT count(*)//4 FROM embeddings)"),
+    "tiles": (["emb"], "SELECT vec_id//4 AS image_id, vec_id%4 AS tile_id, pos//8 AS fy, pos%8 AS fx, e AS f FROM emb"),
     "nodes": ([], "SELECT vec_id//100 AS graph_id, vec_id AS node, label, label % 3 AS node_type, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings"),
     "near": (["nodes"], "SELECT * FROM (SELECT a.graph_id, a.node AS i, b.node AS j, a.label = b.label AS same, list_dot_product(a.vec, b.vec) AS s, row_number() OVER (PARTITION BY a.node ORDER BY list_dot_product(a.vec, b.vec) DESC, b.node) AS rn FROM nodes a JOIN nodes b ON a.graph_id = b.graph_id AND a.node <> b.node) WHERE rn <= 6"),
     "pairs": (["near"], "SELECT graph_id, least(i,j) AS src, greatest(i,j) AS dst, CAST(bool_or(same) AS INT) AS true_label, min(round((1+s)/2, 6)) AS prob FROM near GROUP BY 1,2,3"),
