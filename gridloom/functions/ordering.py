@@ -15,6 +15,11 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) ->
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 
+def attach(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
+    """Join per-group statistics; without keys they are one row, which is broadcast."""
+    return df.join(stats, keys) if keys else df.crossJoin(F.broadcast(stats))
+
+
 def bucketed(df: DataFrame, keys: list[str], order: str, buckets: int = 32, fine: int = 256) -> DataFrame:
     """Add `_b`, an order-preserving bucket of `order` inside each group.
 
@@ -25,7 +30,7 @@ def bucketed(df: DataFrame, keys: list[str], order: str, buckets: int = 32, fine
     probs = [i / buckets for i in range(buckets + 1)]
     cuts = df.groupBy(*keys).agg(F.percentile_approx(order, probs, 1000).alias("_cuts"))
     at = F.size(F.filter(F.slice("_cuts", 2, buckets - 1), lambda c: c < F.col(order)))
-    d = df.join(cuts, keys).withColumn("_b", at)
+    d = attach(df, cuts, keys).withColumn("_b", at)
     lo, hi = F.get("_cuts", F.col("_b")).cast("double"), F.get("_cuts", F.col("_b") + 1).cast("double")
     part = F.when(hi > lo, F.floor((F.col(order).cast("double") - lo) / (hi - lo) * fine)).otherwise(0)
     part = F.least(F.greatest(part, F.lit(0)), F.lit(fine - 1))
@@ -41,9 +46,7 @@ def running_sums(
     are shifted by the totals of the buckets before them, so no task sees more than one bucket.
     `bucket` may give an order-preserving bucket directly when the range of `order` is known.
     """
-    group = keys or ["_k"]
-    if not keys:
-        df = df.withColumn("_k", F.lit(0))
+    group = keys
     b = bucketed(df, group, order, buckets) if bucket is None else df.withColumn("_b", bucket)
     totals = b.groupBy(*group, "_b").agg(*[F.sum(s).alias(f"_t_{o}") for o, s in sums.items()])
     before = W.partitionBy(*group).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
@@ -54,7 +57,7 @@ def running_sums(
     out = b.join(offsets, [*group, "_b"])
     for o, s in sums.items():
         out = out.withColumn(o, F.sum(s).over(inside) + F.col(f"_o_{o}"))
-    return out.drop("_b", *([] if keys else ["_k"]), *[f"_o_{o}" for o in sums])
+    return out.drop("_b", *[f"_o_{o}" for o in sums])
 
 
 def running_max(df: DataFrame, keys: list[str], order: str, value: str, out: str, bucket: Column) -> DataFrame:
@@ -74,13 +77,10 @@ def exact_percentile(
     Rows collapse to distinct values with counts first; the two order statistics around each
     position are then picked by their rank interval.
     """
-    if not keys:
-        one = exact_percentile(df.withColumn("_k", F.lit(0)), ["_k"], value, probs, buckets)
-        return one.drop("_k")
     distinct = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
     ranked = running_sums(distinct, keys, value, {"_to": "_n"}, buckets)
     total = ranked.groupBy(*keys).agg(F.max("_to").alias("_total"))
-    r = ranked.join(total, keys)
+    r = attach(ranked, total, keys)
     picks = []
     for name, p in probs.items():
         pos = (F.col("_total") - 1) * F.lit(float(p))
@@ -109,8 +109,6 @@ def hash_rank(df: DataFrame, keys: list[str], id_col: str | Column, seed: int |
     are shifted by the sizes of earlier buckets, so a group of any size spreads over the cluster.
     """
     h = df.withColumn("_h", hash_order(id_col, seed)).withColumn("_b", F.substring("_h", 1, 3))
-    if not keys:
-        h, keys = h.withColumn("_k", F.lit(0)), ["_k"]
     sizes = h.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
     before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     sizes = sizes.select(*keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
@@ -118,5 +116,5 @@ def hash_rank(df: DataFrame, keys: list[str], id_col: str | Column, seed: int |
     return (
         h.join(sizes, [*keys, "_b"])
         .withColumn(out, F.row_number().over(inside) + F.col("_off"))
-        .drop("_h", "_b", "_off", "_k")
+        .drop("_h", "_b", "_off")
     )

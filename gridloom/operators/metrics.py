@@ -1,7 +1,7 @@
 """Evaluation metrics and cross-validation tables.
 
 Score-ordered metrics first collapse to counts per distinct score, then take running sums in
-score buckets, so they hold for any number of rows.
+buckets cut at score quantiles, so they hold for any number of rows and any distribution of scores.
 """
 
 from __future__ import annotations
@@ -11,9 +11,6 @@ from pyspark.sql import DataFrame, functions as F
 from gridloom.functions.columns import with_stats
 from gridloom.functions.ordering import running_max, running_sums
 
-def score_bucket():
-    return F.floor(F.col("u") * 1024)
-
 
 def bce_loss(df: DataFrame, keys: list[str] = []) -> DataFrame:
     p, y = F.col("prob"), F.col("truth")
@@ -30,7 +27,7 @@ def degree_penalty(directed: DataFrame, degree: DataFrame) -> DataFrame:
     """
     d = directed.groupBy("src", F.col("prob").alias("p")).agg(F.count("*").alias("n"))
     d = d.withColumn("u", 1 - F.col("p"))
-    r = running_sums(d, ["src"], "u", {"upto": "n"}, bucket=score_bucket())
+    r = running_sums(d, ["src"], "u", {"upto": "n"})
     r = r.join(degree.filter("degree > 0").select(F.col("node").alias("src"), "degree"), "src")
     taken = F.greatest(F.least(F.col("degree") - (F.col("upto") - F.col("n")), F.col("n")), F.lit(0))
     g = r.groupBy("src").agg(
@@ -56,7 +53,7 @@ def _by_score(df: DataFrame) -> DataFrame:
 
 def pr_curve(df: DataFrame) -> DataFrame:
     """Precision and recall at every distinct score taken as an inclusive threshold."""
-    s = running_sums(_by_score(df), [], "u", {"pos_upto": "pos", "n_upto": "n"}, bucket=score_bucket())
+    s = running_sums(_by_score(df), [], "u", {"pos_upto": "pos", "n_upto": "n"})
     s = with_stats(s, [], _p=F.sum("pos"), _n=F.sum("n"))
     tp = F.col("_p") - F.col("pos_upto") + F.col("pos")
     called = F.col("_n") - F.col("n_upto") + F.col("n")
@@ -82,7 +79,7 @@ def f1(df: DataFrame, t: float) -> DataFrame:
 def roc_auc(df: DataFrame, keys: list[str] = []) -> DataFrame:
     """Tie-aware area under the ROC curve from average ranks; NULL for a single class."""
     g = df.groupBy(*keys, F.col("prob").alias("u")).agg(F.sum("truth").alias("pos"), F.count("*").alias("n"))
-    s = running_sums(g, keys, "u", {"upto": "n"}, bucket=score_bucket())
+    s = running_sums(g, keys, "u", {"upto": "n"})
     mean_rank = F.col("upto") - F.col("n") + (F.col("n") + 1) / 2
     p, n = F.sum("pos"), F.sum("n") - F.sum("pos")
     auc = (F.sum(F.col("pos") * mean_rank) - p * (p + 1) / 2) / (p * n)
@@ -238,7 +235,7 @@ def report_order(df: DataFrame, id_col: str) -> DataFrame:
     u = F.when(F.col("edge_class") == "TN", 1 - F.col("prob")).otherwise(F.col("prob"))
     d = df.withColumn("u", u)
     per = d.groupBy("edge_class", "u").agg(F.count("*").alias("_n"))
-    off = running_sums(per, ["edge_class"], "u", {"_to": "_n"}, bucket=score_bucket()).select("edge_class", "u", (F.col("_to") - F.col("_n")).alias("_off"))
+    off = running_sums(per, ["edge_class"], "u", {"_to": "_n"}).select("edge_class", "u", (F.col("_to") - F.col("_n")).alias("_off"))
     d = running_sums(d.withColumn("_one", F.lit(1)), ["edge_class", "u"], id_col, {"_r": "_one"}, bucket=F.expr(f"{id_col} div 65536"))
     d = d.join(off, ["edge_class", "u"])
     pos = F.col("_off") + F.col("_r")

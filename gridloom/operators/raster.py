@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gridloom.functions.columns import with_stats
-from gridloom.functions.ordering import first_by, running_sums
+from gridloom.functions.ordering import attach, exact_percentile, first_by, running_sums
 from gridloom.functions import stencil
 
 IMG = ["image_id"]
@@ -381,8 +381,8 @@ def histogram(df: DataFrame, value: str, bins: int, lo: float | None = None, hi:
     u = F.col(value).cast("double")
     s = df.select(u.alias("u"))
     if clip:
-        s = with_stats(s, [], _p=F.percentile("u", F.array(F.lit(0.005), F.lit(0.995))))
-        s = s.select(F.least(F.greatest("u", F.col("_p")[0]), F.col("_p")[1]).alias("u"))
+        ends = exact_percentile(s, [], "u", {"_low": 0.005, "_high": 0.995})
+        s = attach(s, ends, []).select(F.least(F.greatest("u", "_low"), "_high").alias("u"))
     if log:
         s = s.select(F.log(F.col("u") + 1e-9).alias("u"))
     if lo is None or hi is None:
