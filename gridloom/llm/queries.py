@@ -53,10 +53,10 @@ def op3(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "op4_fm_index",
     r"""WITH w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-    s AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35),
-    r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY array_to_string(ws[i:i + 34], ' ')) AS n FROM s),
+    p AS MATERIALIZED (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS p FROM w),
+    s AS (SELECT doc_id, p AS i, md5(string_agg(x, ' ') OVER v) AS words, count(*) OVER v AS m FROM p WINDOW v AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+    r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY words) AS n FROM s WHERE m = 35),
     h AS (SELECT doc_id, i AS p, true AS hit FROM r WHERE n > 1),
-    p AS (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS p FROM w),
     k AS (SELECT doc_id, p, x, count(hit) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) > 0 AS gone FROM p LEFT JOIN h USING (doc_id, p)),
     g AS (SELECT doc_id, count(*) FILTER (gone) AS n, string_agg(x, ' ' ORDER BY p) FILTER (NOT gone) AS kept FROM k GROUP BY 1)
     SELECT w.doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN g USING (doc_id)""",
