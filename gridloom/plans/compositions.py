@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.columns import rnd
 from gridloom.operators import components as C, learning as ML
+from gridloom.plans.evaluation import STOP
 from gridloom.plans.pipelines import build_graph, extract_profiles
 from gridloom.plans.rasters import scratch
 from gridloom.plans.registry import query
@@ -86,7 +87,7 @@ def _(s, d):
     return p.select("image_id", "label", "channel", "distance", rnd("intensity").alias("intensity"))
 
 
-@query("l1_early_stop_stream")
+@query("l1_early_stop_stream", "runs", STOP + " SELECT best.repeat, best.fold, best_epoch, stop_epoch, round(auc, 8) AS best_value FROM best LEFT JOIN rm ON rm.repeat=best.repeat AND rm.fold=best.fold AND rm.epoch=best_epoch")
 def _(s, d):
     src = scratch(s)
     V.runs(s, d).select("repeat", "fold", "epoch", "auc").repartitionByRange(6, "epoch").write.parquet(src)

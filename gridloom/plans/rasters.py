@@ -76,28 +76,31 @@ def _(s, d):
     return L.pixels_to_rasters(V.pix(s, d), ["image_id"], 4)
 
 
-@query("a7_write_chunked")
+@query("a7_write_chunked", "stack", """l1 AS (SELECT image_id, c, z, y//2 AS y, x//2 AS x, CAST(floor(avg(v)) AS BIGINT) AS v FROM stack GROUP BY ALL), l2 AS (SELECT image_id, c, z, y//2 AS y, x//2 AS x, CAST(floor(avg(v)) AS BIGINT) AS v FROM l1 GROUP BY ALL)
+SELECT CAST(0 AS BIGINT) AS level, image_id, c, z, y, x, CAST(v AS BIGINT) AS v FROM stack UNION ALL SELECT 1, image_id, c, z, y, x, v FROM l1 UNION ALL SELECT 2, image_id, c, z, y, x, v FROM l2""")
 def _(s, d):
     path = scratch(s)
     L.write_chunks(R.pyramid(V.stack(s, d), 3, R.SLICE), path, 4)
-    return L.read_region(s, path, 0, 1, 2, 1, 0).select("image_id", "y", "x", "v")
+    return s.read.parquet(path).select(*[F.col(k).cast("long").alias(k) for k in ("level", "image_id", "c", "z", "y", "x", "v")])
 
 
-@query("a8_read_profiles")
+@query("a8_read_profiles", "profile", "SELECT label, count(*) AS n, round(max(distance), 6)+0.0 AS max_distance FROM profile GROUP BY 1")
 def _(s, d):
     path = scratch(s)
     L.write_csv(V.profile(s, d), path)
-    return L.read_profiles(s, path).groupBy("label").agg(F.count("*").alias("n"), rnd(F.max("distance")).alias("max_distance"))
+    r = L.read_profiles(s, path)  # how rows are dealt to files is Spark's choice
+    return r.groupBy(F.regexp_replace("label", r"_f\d+$", "").alias("label")).agg(F.count("*").alias("n"), rnd(F.max("distance")).alias("max_distance"))
 
 
-@query("a9_read_metrics")
+@query("a9_read_metrics", "metrics", "SELECT repeat, fold, " + ", ".join(f"round(avg(value) FILTER (tag='{t}'), 6)+0.0 AS {t}" for t in ("auc", "f1", "pr_auc")) + " FROM metrics GROUP BY 1,2")
 def _(s, d):
     path = scratch(s)
     L.write_csv(V.metrics(s, d).select("repeat", "fold", "step", "tag", "value"), path)
     return L.read_metrics(s, path).groupBy("repeat", "fold").pivot("tag", ["auc", "f1", "pr_auc"]).agg(rnd(F.avg("value")))
 
 
-@query("a10_write_graph")
+@query("a10_write_graph", "nodes pairs", """pos AS (SELECT src, dst FROM pairs WHERE true_label = 1), deg AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM pos UNION ALL SELECT dst FROM pos) GROUP BY 1)
+SELECT graph_id, node, node_type, coalesce(degree, 0) AS degree FROM nodes LEFT JOIN deg USING (node)""")
 def _(s, d):
     path = scratch(s)
     L.write_graph(V.nodes(s, d).drop("vec"), V.pairs(s, d).filter("true_label = 1"), path)
@@ -106,7 +109,7 @@ def _(s, d):
     return n.join(deg, "node", "left").select("graph_id", "node", "node_type", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
-@query("a11_save_dataset")
+@query("a11_save_dataset", "nodes pairs", "SELECT n.graph_id, n_nodes, n_edges FROM (SELECT graph_id, count(*) AS n_nodes FROM nodes GROUP BY 1) n LEFT JOIN (SELECT graph_id, count(*) AS n_edges FROM pairs GROUP BY 1) e USING (graph_id)")
 def _(s, d):
     path = scratch(s)
     L.write_graph(V.nodes(s, d), V.pairs(s, d), path)

@@ -9,38 +9,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 SCHEMA = "repeat string, fold int, epoch int, auc double"
+NEVER = 2**31 - 1  # without a lateness a missing epoch is waited for
 OUT = "repeat string, fold int, best_epoch int, best_value double, stop_epoch int"
 
 
 class StopWatcher(StatefulProcessor):
-    """State per run: best value, its epoch, next expected epoch, stop epoch, and epochs that
-    arrived early.  A run's row is emitted whenever its answer changes; the last row of a run
-    equals the batch result."""
+    """State per run, one record: best value, its epoch, next expected epoch, stop epoch, and the
+    epochs that arrived early.  A run's row is emitted whenever its answer changes; the last row of
+    a run equals the batch result over the epochs seen.
 
-    def __init__(self, patience: int, min_epoch: int):
-        self.patience, self.min_epoch = patience, min_epoch
+    A missing epoch is waited for until one that lies more than `lateness` epochs later has come;
+    then it counts as lost, and counts for nothing should it come after all.  Nothing is kept after
+    the stop.
+    """
+
+    def __init__(self, patience: int, min_epoch: int, lateness: int):
+        self.patience, self.min_epoch, self.lateness = patience, min_epoch, lateness
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("run", "best double, best_epoch int, next int, stop int")
-        self.early = handle.getMapState("early", "epoch int", "value double")
+        self.state = handle.getValueState("run", "best double, best_epoch int, next int, stop int, epochs array<int>, scores array<double>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        best, best_epoch, nxt, stop = self.state.get() if self.state.exists() else (-1.0, 0, 1, 0)
+        best, best_epoch, nxt, stop, epochs, scores = self.state.get() if self.state.exists() else (-1.0, 0, self.min_epoch, 0, [], [])
         start = (best_epoch, stop)
-        for pdf in rows:
-            for epoch, value in zip(pdf["epoch"].tolist(), pdf["auc"].tolist()):
-                if epoch >= nxt:
-                    self.early.updateValue((epoch,), (value,))
-        while self.early.containsKey((nxt,)):
-            value = self.early.getValue((nxt,))[0]
-            self.early.removeKey((nxt,))
-            if nxt >= self.min_epoch and not stop:
+        early = pd.concat([pd.DataFrame({"epoch": list(epochs), "auc": list(scores)}), *[r[["epoch", "auc"]] for r in rows]])
+        if stop:
+            return
+        early = early[early["epoch"] >= nxt].drop_duplicates("epoch").sort_values("epoch")
+        epoch, score = early["epoch"].astype(int).tolist(), early["auc"].tolist()
+        done = 0
+        for e, value in zip(epoch, score, strict=True):
+            if e > nxt and epoch[-1] - nxt <= self.lateness:
+                break
+            done, nxt = done + 1, e + 1
+            if e >= self.min_epoch:
                 if value > best:
-                    best, best_epoch = value, nxt
-                elif nxt - max(best_epoch, self.min_epoch - 1) >= self.patience:
-                    stop = nxt
-            nxt += 1
-        self.state.update((best, best_epoch, nxt, stop))
+                    best, best_epoch = value, e
+                elif e - max(best_epoch, self.min_epoch - 1) >= self.patience:
+                    stop, done = e, len(epoch)
+                    break
+        self.state.update((best, best_epoch, nxt, stop, epoch[done:], score[done:]))
         if (best_epoch, stop) != start:
             yield pd.DataFrame({"repeat": [key[0]], "fold": [key[1]], "best_epoch": [best_epoch], "best_value": [best], "stop_epoch": [stop]})
 
@@ -48,17 +56,17 @@ class StopWatcher(StatefulProcessor):
         pass
 
 
-def early_stop_stream(stream: DataFrame, patience: int, min_epoch: int) -> DataFrame:
+def early_stop_stream(stream: DataFrame, patience: int, min_epoch: int, lateness: int = NEVER) -> DataFrame:
     """Streaming rows (repeat, fold, epoch, auc) to changes of each run's answer.
 
     State per run is one record plus the epochs that overtook others; nothing is ever replayed.
     """
     return stream.groupBy("repeat", "fold").transformWithStateInPandas(
-        statefulProcessor=StopWatcher(patience, min_epoch), outputStructType=OUT, outputMode="Update", timeMode="None",
+        statefulProcessor=StopWatcher(patience, min_epoch, lateness), outputStructType=OUT, outputMode="Update", timeMode="None",
     )
 
 
-def run_available(spark: SparkSession, source: str, work: str, patience: int, min_epoch: int, per_batch: int = 2) -> DataFrame:
+def run_available(spark: SparkSession, source: str, work: str, patience: int, min_epoch: int, per_batch: int = 2, lateness: int = NEVER) -> DataFrame:
     """Process all files in `source` and return the latest answer of every run."""
     from pyspark.sql import functions as F
 
@@ -72,7 +80,7 @@ def run_available(spark: SparkSession, source: str, work: str, patience: int, mi
             df.withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{work}/out")
 
         q = (
-            early_stop_stream(stream, patience, min_epoch).writeStream.outputMode("update")
+            early_stop_stream(stream, patience, min_epoch, lateness).writeStream.outputMode("update")
             .option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).foreachBatch(save).start()
         )
         q.awaitTermination()

@@ -53,3 +53,18 @@ print('rows', [e.queries()[q](s, {DIR!r}).count() > 0 for q in ('g1_connected_co
 """
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=400)
     assert "rows [True, True]" in out.stdout, out.stderr[-2000:]
+
+
+def test_stream_settles_gaps(spark, tmp_path):
+    """Shuffled batches, epoch 0, and a lost epoch: the stream agrees with the batch form."""
+    from gridloom.operators.metrics import early_stop
+    from gridloom.streaming import early_stop as ES
+
+    rng = np.random.default_rng(8)
+    rows = [(r, f, e, float(0.5 + 0.4 * (1 - np.exp(-e / 30)) + rng.normal() * 0.02)) for r in "AB" for f in range(2) for e in range(200) if (r, e) != ("A", 37)]
+    order = sorted(rows, key=lambda x: x[2] + rng.random() * 25)
+    for k in range(0, len(order), 100):
+        spark.createDataFrame(order[k : k + 100], ES.SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "src"))
+    got = {(r["repeat"], r.fold): (r.best_epoch, r.stop_epoch) for r in ES.run_available(spark, str(tmp_path / "src"), str(tmp_path / "work"), 25, 3, 1, 40).collect()}
+    want = {(r["repeat"], r.fold): (r.best_epoch, r.stop_epoch) for r in early_stop(spark.createDataFrame(rows, ES.SCHEMA), 25, 3).collect()}
+    assert got == want
