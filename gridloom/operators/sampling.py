@@ -122,9 +122,13 @@ def sample_neighbours(edges: DataFrame, seeds: DataFrame, fanout: tuple[int, int
 
 
 def multi_hot(df: DataFrame, id_col: str, column: str, sep: str, vocabulary: list[str]) -> DataFrame:
-    """Indicator column per word; a projection, since membership needs no shuffle."""
+    """Indicator column per word; a projection, since membership needs no shuffle.  A word outside
+    the vocabulary is an error."""
     words = F.split(column, sep)
-    return df.select(id_col, *[F.array_contains(words, w).cast("int").alias(f"w_{w}") for w in vocabulary])
+    unknown = F.array_except(words, F.array(*[F.lit(w) for w in vocabulary]))
+    stop = F.raise_error(F.concat(F.lit("word outside the vocabulary: "), F.get(unknown, F.lit(0)))).cast(df.schema[id_col].dataType)
+    checked = F.when(F.size(unknown) > 0, stop).otherwise(F.col(id_col)).alias(id_col)
+    return df.select(checked, *[F.array_contains(words, w).cast("int").alias(f"w_{w}") for w in vocabulary])
 
 
 def vocabulary(df: DataFrame, column: str, sep: str) -> DataFrame:
