@@ -78,10 +78,6 @@ class Words:
         h = mix((self.total[np.minimum(self.start + n, len(self.data))] - self.total[self.start]) * down[self.start], 50 + n)
         return np.where(long, h, self.hash)
 
-    def rows(self) -> np.ndarray:
-        """The row of every word."""
-        return np.repeat(np.arange(len(self.at) - 1), np.diff(self.at))
-
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all k consecutive words inside a row, and offsets by row."""
         n = np.diff(self.at)
