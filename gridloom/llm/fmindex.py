@@ -177,7 +177,7 @@ def drop_repeats(docs: DataFrame, window: int = 35, gram: int = 12, crowd: int =
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", F.xxhash64("text")).alias("row"))
     every = rows.select("row", F.explode(cut.asNondeterministic()("text")).alias("s")).select("row", "s.*")
     met = every.withColumn("uses", F.expr("count(*) over (partition by gram)")).filter("uses > 1").drop("uses")
-    met = written(met)
+    met = written(met, batch=2000)
     kinds = met.groupBy("gram", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "first", "n")).alias("one"))
     crowded = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > crowd).select("gram", F.lit(True).alias("crowded"))
     kinds = kinds.join(crowded, "gram", "left").select("gram", "content", "copies", F.coalesce("crowded", F.lit(False)).alias("crowded"), "one.*")
@@ -210,7 +210,7 @@ def drop_repeats(docs: DataFrame, window: int = 35, gram: int = 12, crowd: int =
                     yield pa.record_batch({"gram": col["gram"][i], "content": col["content"][i], "copies": col["copies"][i], "part": o.astype(np.int32), "key": np.where(o < 0, col["content"][i], key), "words": raw})
 
     made = source.select("text", "wanted").mapInArrow(fetched, "gram long, content long, copies long, part int, key long, words binary")
-    pieces = written(made.dropDuplicates(["gram", "content", "part"]))
+    pieces = written(made.dropDuplicates(["gram", "content", "part"]), batch=500)
     single = pieces.filter("part >= 0").groupBy("gram", "key").agg(F.sum("copies").alias("copies"), F.first("words").alias("words"), F.lit(True).alias("single"))
     whole = pieces.filter("part < 0").select("gram", "key", "copies", "words", F.lit(False).alias("single"))
     size = pieces.agg(F.sum(F.length("words")) / 8).first()[0] or 0

@@ -113,7 +113,7 @@ def similar_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
         return pa.StructArray.from_arrays([pa.array(n, pa.int32()), pa.array(cls, pa.int64()), pa.array(post, pa.list_(pa.int64()))], ["n", "cls", "post"])
 
     d = docs.select("doc_id", F.xxhash64("text").alias("th"), described.asNondeterministic()("text").alias("x"))
-    d = written(d.select("doc_id", "th", "x.*"))
+    d = written(d.select("doc_id", "th", "x.*"), batch=1000)
     # `lower`: at this place the set may still be similar to one of its own size or larger
     low = f"{100 + percent} * (n - at) >= {2 * percent} * n"
     posted = d.filter("post is not null").select(F.posexplode("post").alias("at", "token"), "cls", "n")
@@ -138,7 +138,7 @@ def similar_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
         texts = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
         texts = texts.filter(sieve(wanted.select("one_th"))(F.col("th")))
         sets = wanted.join(texts, F.col("one_id").eqNullSafe(F.col("doc_id")) & (F.col("one_th") == F.col("th"))).select("cls", packed("text").alias("tokens"))
-        return written(sets.dropDuplicates(["cls"]) if repeats else sets)
+        return written(sets.dropDuplicates(["cls"]) if repeats else sets, batch=500)
 
     @F.arrow_udf(BooleanType())
     def agree(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -185,7 +185,7 @@ def similar_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
             rank = [F.lit(0), F.col("at")] if turn % 2 == 0 else [F.xxhash64("root", F.lit(turn)), F.col("at")]
             pivot = low.groupBy("token").agg(F.min(F.struct(rank[0].alias("r"), rank[1].alias("s"), F.xxhash64("cls", F.lit(turn)).alias("h"), "cls", "n", "at", "root")).alias("p")).select("token", "p.cls", "p.n", "p.at", "p.root")
             pairs = open_.join(pivot.select("token", *other), "token").filter(near)
-        new = written(verified(pairs.select(F.col("cls").alias("a"), "b")))
+        new = written(verified(pairs.select(F.col("cls").alias("a"), "b")), batch=250)
         links = new if links is None else links.union(new)
         root = components(links)
         if last:

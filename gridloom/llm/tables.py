@@ -20,10 +20,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared folder and read again: what follows never repeats this step."""
+def written(df: DataFrame, batch: int | None = None) -> DataFrame:
+    """The rows, written to the shared folder and read again: what follows never repeats this step.
+
+    `batch` rows at most go to a Python worker at once while this step runs; wide rows need few.
+    """
     path = f"{shared_dir(df.sparkSession)}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    try:
+        if batch:
+            conf.set(key, str(min(batch, int(before)) if int(before) > 0 else batch))
+        df.write.parquet(path)
+    finally:
+        conf.set(key, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
