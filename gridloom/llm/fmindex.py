@@ -264,4 +264,5 @@ def drop_repeats(docs: DataFrame, window: int = 35, gram: int = 12, crowd: int =
     rows = rows.withColumn("hit", sieve(starts.select("row"))(F.col("row")))
     some = rows.filter("hit").join(starts, "row", "left").select("doc_id", "text", "starts")
     none = rows.filter("not hit").select("doc_id", "text", F.lit(None).cast("array<int>").alias("starts"))
-    return some.unionByName(none).select("doc_id", kept.asNondeterministic()("text", "starts").alias("k")).select("doc_id", "k.*")
+    out = some.unionByName(none).select("doc_id", kept.asNondeterministic()("text", "starts").alias("k")).select("doc_id", "k.*")
+    return written(out, batch=1000)
