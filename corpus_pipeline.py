@@ -26,7 +26,8 @@ def _as_documents(df: DataFrame, docs: DataFrame, text: str) -> DataFrame:
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored as toxic go."""
     ship(spark)
-    return toxicity.drop_toxic(docs, toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    kept = toxicity.drop_toxic(docs, toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return written(kept, batch=1000)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +52,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of every document, with digests of the ids and of the decoded bytes."""
     ship(spark)
     coded = docs.select("doc_id", "source", bpe.coded(spark, F.col("text"), *queries.vocabulary(), keep=False).alias("c"))
-    return coded.select("doc_id", "source", "c.n_tokens", "c.ids", "c.ids_sha256", "c.decoded_sha256")
+    return written(coded.select("doc_id", "source", "c.n_tokens", "c.ids", "c.ids_sha256", "c.decoded_sha256"), batch=1500)
 
 
 STAGES = [("toxicity", toxic), ("line dedup", line_dedup), ("n-gram Jaccard join", near_copies), ("mixing sources", mix), ("byte-level BPE", encode)]

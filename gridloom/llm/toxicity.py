@@ -185,11 +185,11 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 20_000, prior: flo
     ids = [known.filter(F.col("toxic") == F.lit(t)).orderBy(order, "doc_id").limit(max_docs) for t in (True, False)]
     ids = ids[0].unionByName(ids[1])
     sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    sample = written(sample.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(2))).withColumn("cluster", _cluster("text")))
+    sample = written(sample.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(2))).withColumn("cluster", _cluster("text")), batch=1000)
     one = sample.groupBy("cluster", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     sample = sample.join(F.broadcast(one), "doc_id", "left_semi")
     sample = sample.withColumn("toxic", F.col("toxic").cast("int"))
-    found = written(_tokens(sample))
+    found = written(_tokens(sample), batch=1000)
     m = _odds(found.filter("half = 0"), prior, step, sure, expect)
     if not (m.gain > 0).any():
         return m
