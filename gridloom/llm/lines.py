@@ -1,4 +1,4 @@
-"""Line dedup by winnowing: later repeats of runs of at least `run` lines go.
+"""Line dedup by winnowing: later repeats of runs of at least `run` lines go, and of single lines of enough words.
 
 A document is the sequence of its lines that hold a word; blank lines stay where they are and are
 never counted.  Of every `run` consecutive lines the one with the smallest hash (the last of equal
@@ -10,23 +10,40 @@ runs are covered by the selected lines inside them.
 
 Order is (doc_id, text hash, line), a null doc_id first.  Rows equal in doc_id and text count as one
 document: all get the same result.  A null text stays null; a text that loses every line becomes
-empty (or its blank lines).  Single repeated lines stay when `run` is 2 or more.
+empty (or its blank lines).
+
+When `run` is 2 or more a single repeated line stays, unless `alone` is given: then lines of at least
+`alone` words are also winnowed as runs of one, in texts of one line too, and both cuts are united.  The
+earliest of equal lines is in no later repeat, so it always stays.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gridloom.llm.tables import WORD
+
 NONBLANK = r"[^\x20\x09-\x0D]"
 
 
-def repeated_lines(docs: DataFrame, run: int = 2) -> DataFrame:
+def repeated_lines(docs: DataFrame, run: int = 2, alone: int | None = None) -> DataFrame:
     """(doc_id, text_hash, cut): the lines to cut from each document that has any, numbered from 0."""
-    lines = F.filter(
-        F.transform(F.split("text", "\n", -1), lambda s, i: F.struct(i.alias("i"), F.xxhash64(s).alias("h"), F.xxhash64(s, F.lit(1)).alias("g"), s.rlike(NONBLANK).alias("full"))),
-        lambda x: x["full"],
-    )
-    d = docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), lines.alias("seq")).filter(F.size("seq") >= run)
+
+    def line(s: Column, i: Column) -> Column:
+        words = [] if alone is None else [F.regexp_count(s, F.lit(WORD)).alias("words")]
+        return F.struct(i.alias("i"), F.xxhash64(s).alias("h"), F.xxhash64(s, F.lit(1)).alias("g"), s.rlike(NONBLANK).alias("full"), *words)
+
+    lines = F.filter(F.transform(F.split("text", "\n", -1), line), lambda x: x["full"])
+    d = docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), lines.alias("seq"))
+    later = _later_runs(d, run)
+    if alone is not None:
+        later = later.unionByName(_later_runs(d.withColumn("seq", F.filter("seq", lambda x: x["words"] >= alone)), 1))
+    return later.groupBy("doc_id", "text_hash").agg(F.array_distinct(F.flatten(F.collect_set("cut"))).alias("cut"))
+
+
+def _later_runs(d: DataFrame, run: int) -> DataFrame:
+    """(doc_id, text_hash, cut): the lines of every later repeat that a selected line shows, from the lines `seq`."""
+    d = d.filter(F.size("seq") >= run)
     last = F.size("seq") - run  # start of the last run
 
     def smallest(start: Column) -> Column:
@@ -45,15 +62,14 @@ def repeated_lines(docs: DataFrame, run: int = 2) -> DataFrame:
     key = ["line", "o", "k1", "k2"]
     # every way is met at least once, so ways met once are left out before the join back
     first = found.groupBy(*key).agg(F.min(place).alias("first"), F.max(place).alias("final")).filter("first < final").drop("final")
-    later = found.join(first, key).filter(place > F.col("first"))
-    return later.groupBy("doc_id", "text_hash").agg(F.array_distinct(F.flatten(F.collect_set("cut"))).alias("cut"))
+    return found.join(first, key).filter(place > F.col("first")).select("doc_id", "text_hash", "cut")
 
 
-def drop_repeated_lines(docs: DataFrame, run: int = 2) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, run: int = 2, alone: int | None = None) -> DataFrame:
     """(row, text, n_lines, n_removed): every document (all columns, in the struct `row`) with its text
     after the cut, its number of lines with a word, and how many of them went."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"))
-    cut = repeated_lines(docs, run)
+    cut = repeated_lines(docs, run, alone)
     j = rows.join(cut, rows["id"].eqNullSafe(cut["doc_id"]) & (rows["th"] == cut["text_hash"]), "left")
     parts = F.split("row.text", "\n", -1)
     rest = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("cut"))

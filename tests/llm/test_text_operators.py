@@ -168,6 +168,29 @@ def test_line_dedup(docs):
     assert len(cut) > 3
 
 
+@pytest.mark.parametrize("alone", [1, 4, 12])
+def test_line_dedup_of_single_lines(spark, docs, alone):
+    """Lines of enough words go as runs of one: between unique neighbours and in texts of one line."""
+    long = " ".join(f"m{k}" for k in range(12))
+    more = [(2000, f"u1\n{long}\nu2"), (2001, f"u3\n\n{long}\nu4"), (2002, long), (2003, long), (2004, "m0 m1"), (2005, "m0 m1"), (2006, f"{long}\nu5\n{long}")]
+    d = docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    rows = sorted(listed(d))
+    seen, cut = {}, defaultdict(set)
+    for i, t in rows:
+        ls = [(k, x) for k, x in enumerate((t or "").split("\n")) if split(x)]
+        for (a, x), (b, y) in zip(ls, ls[1:]):
+            if seen.setdefault((x, y), (i, a)) != (i, a):
+                cut[i] |= {a, b}
+        for a, x in ls:
+            if len(split(x)) >= alone and seen.setdefault(x, (i, a)) != (i, a):
+                cut[i].add(a)
+    got = {r["row"]["doc_id"]: r for r in lines.drop_repeated_lines(d, alone=alone).collect()}
+    for i, t in rows:
+        want = None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in cut[i])
+        assert got[i]["text"] == want and got[i]["n_removed"] == len(cut[i])
+    assert got[2001]["text"] == "u3\n\nu4" and got[2003]["text"] == "" and got[2006]["text"] == "u5"
+
+
 def test_repeated_rows_share_a_line_result(docs):
     r = lines.drop_repeated_lines(docs.filter("doc_id = 905")).collect()
     assert len(r) == 3 and {x["n_removed"] for x in r} == {0}
