@@ -98,6 +98,12 @@ def prefix(tokens: np.ndarray, classes: np.ndarray, order: int, percent: int) ->
 def similar_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, text_hash, n_shingles, component_id): one row per row of `docs` (doc_id, text); the
     component is the smallest doc_id reachable by links."""
+    return _grouped(docs, percent).drop("root")
+
+
+def _grouped(docs: DataFrame, percent: int) -> DataFrame:
+    """Groups with their `root`, one class of the component: it tells components apart that have the same smallest
+    doc_id, or none.  Null for empty sets."""
     spark = docs.sparkSession
     classes = spark.sparkContext.broadcast(frequency_classes(docs))
 
@@ -197,25 +203,33 @@ def similar_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
     if root is not None:
         tied = mine.join(root.withColumnRenamed("node", "cls"), "cls")
         least = tied.groupBy("root").agg(F.min("first").alias("least"))
-        tied = tied.join(least, "root").select("cls", "least")
-        mine = mine.join(tied, "cls", "left").select("cls", F.coalesce("least", "first").alias("component_id"))
+        tied = tied.join(least, "root").select("cls", "root", "least")
+        mine = mine.join(tied, "cls", "left").select("cls", F.coalesce("least", "first").alias("component_id"), F.coalesce("root", "cls").alias("root"))
     else:
-        mine = mine.withColumnRenamed("first", "component_id")
+        mine = mine.select("cls", F.col("first").alias("component_id"), F.col("cls").alias("root"))
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     out = d.drop("post").join(mine, "cls", "left")
-    return out.select("doc_id", F.col("th").alias("text_hash"), F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
+    return out.select("doc_id", F.col("th").alias("text_hash"), F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"), "root")
 
 
 def drop_similar(docs: DataFrame, percent: int = 80) -> DataFrame:
     """One document of each group, the one with the smallest doc_id; all columns stay.  Documents with
-    empty sets all stay.  Rows that are equal in doc_id and text count as copies too."""
-    g = written(similar_groups(docs, percent))
+    empty sets all stay.  Rows that are equal in doc_id and text count as copies too; of different texts
+    of a group under its smallest doc_id the one with the smallest hash stays.  A group without a
+    doc_id keeps one as well; groups that share a doc_id, or have none, are groups of their own."""
+    g = written(_grouped(docs, percent))
     keep = F.col("component_id").eqNullSafe(F.col("doc_id"))
-    gone = g.filter(~keep).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
-    match = F.col("doc_id").eqNullSafe(F.col("gone_id")) & F.xxhash64("text").eqNullSafe(F.col("gone_hash"))
-    out = docs.join(gone, match, "left_anti")
-    twice = g.filter(keep & (F.col("n_shingles") > 0)).groupBy("component_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select(F.col("component_id").alias("twice"))
+    first = g.filter(keep & (F.col("n_shingles") > 0))
+    twice = first.groupBy("root").agg(F.count(F.lit(1)).alias("k"), F.min("text_hash").alias("one")).filter("k > 1")
+    twice = written(first.join(twice, "root").select("doc_id", "text_hash", "one"))
+    gone = g.filter(~keep).select("doc_id", "text_hash").union(twice.filter("text_hash <> one").select("doc_id", "text_hash"))
+
+    def matches(pairs: DataFrame, how: str, out: DataFrame) -> DataFrame:
+        p = pairs.toDF("that_id", "that_hash").distinct()
+        return out.join(p, F.col("doc_id").eqNullSafe(F.col("that_id")) & (F.xxhash64("text") == F.col("that_hash")), how)
+
+    out = matches(gone, "left_anti", docs)
     if not count(twice):
         return out
-    again = F.col("doc_id").eqNullSafe(F.col("twice"))
-    return out.join(twice, again, "left_anti").unionByName(out.join(twice, again, "left_semi").dropDuplicates(["doc_id"]))
+    again = twice.filter("text_hash = one").select("doc_id", "text_hash")
+    return matches(again, "left_anti", out).unionByName(matches(again, "left_semi", out).dropDuplicates(["doc_id", "text"]))

@@ -116,6 +116,18 @@ def test_drop_similar(docs):
     assert ids[905] == 1 and ids[900] == ids[901] == ids[902] == 1
 
 
+def test_drop_similar_tells_groups_under_one_id_apart(spark):
+    """Different texts under null and under one repeated doc_id all stay, but for copies of each other."""
+    a, b, c, d, e = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcde")
+    near = c.replace("c39", "other")
+    rows = [(i, t) for i in (None, 7) for t in ("own words of " + str(i), "a second text of " + str(i), None, "", "")]
+    rows += [(None, a), (None, a), (None, b), (7, c), (7, near), (7, near), (7, d), (7, d), (3, d), (None, d), (None, e), (9, e), (9, e)]
+    kept = Counter(tuple(r) for r in jaccard.drop_similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    variant = [t for t in (c, near) if kept[(7, t)]]
+    assert len(variant) == 1
+    assert kept == Counter([*rows[:10], (None, a), (None, b), (7, variant[0]), (3, d), (9, e)])
+
+
 def test_repeated_windows(docs):
     rows, n = listed(docs), 35
     where = defaultdict(list)
