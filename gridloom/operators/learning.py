@@ -8,21 +8,24 @@ from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gridloom.functions import stencil as st
 from gridloom.functions.columns import dot
 from gridloom.functions.rounds import materialize
-from gridloom.operators import filters as N, metrics as M, sampling as S
+from gridloom.operators import filters as N, metrics as M, raster as R, sampling as S
 
 
-def pixel_features(df: DataFrame, sigma: float = 1.0) -> DataFrame:
-    """Filter responses per pixel: value, blur, gradient, Laplacian, local mean, vesselness."""
+def pixel_features(df: DataFrame, sigma: float = 1.0, side: int = 3, scales: tuple[float, ...] = (1.2, 1.6)) -> DataFrame:
+    """Filter responses per pixel: value, blur, gradient, Laplacian, local mean, vesselness (of 16-bit values as shares)."""
     f = N.sobel(df).withColumnRenamed("magnitude", "f_sobel").drop("gx", "gy")
     f = N.gaussian_blur(f, sigma, out="f_blur")
     f = N.laplacian(f).withColumnRenamed("lap", "f_laplacian")
     f = N.gaussian_gradient(f, sigma).withColumnRenamed("magnitude", "f_gradient").drop("gx", "gy")
-    return f.withColumn("f_value", F.col("v").cast("double"))
+    f = st.separable(f, N.IMG, "v", {"f_mean": ([1 / side] * side,) * 2}, st.REFLECT)
+    f = N.frangi(f.withColumn("_raw", F.col("v")).withColumn("v", F.col("v") / float(R.U16)), list(scales)).withColumnRenamed("vesselness", "f_vesselness")
+    return f.drop("v", "scale").withColumnRenamed("_raw", "v").withColumn("f_value", F.col("v").cast("double"))
 
 
-FEATURES = ["f_value", "f_blur", "f_sobel", "f_laplacian", "f_gradient"]
+FEATURES = ["f_value", "f_blur", "f_sobel", "f_laplacian", "f_gradient", "f_mean", "f_vesselness"]
 
 
 def rf_pixels(train: DataFrame, apply_to: DataFrame, label: str, trees: int = 20, seed: int = 42) -> DataFrame:

@@ -139,3 +139,16 @@ def test_region_read_touches_one_directory(spark, tmp_path):
     assert r.count() == 16
     plan = r._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull" in plan and "PushedFilters: [IsNotNull(ty)" in plan
+
+
+def test_pixel_features_hold_mean_and_vesselness(spark):
+    from gridloom.operators import filters, learning
+
+    v = np.random.default_rng(4).integers(0, 65536, (9, 11))
+    df = spark.createDataFrame([(0, y, x, int(v[y, x])) for y in range(9) for x in range(11)], "image_id long, y long, x long, v long")
+    f = {(r["y"], r["x"]): r for r in learning.pixel_features(df).collect()}
+    ves = {(r["y"], r["x"]): r["vesselness"] for r in filters.frangi(df.withColumn("v", F.col("v") / 65535.0), [1.2, 1.6]).collect()}
+    wide = np.pad(v, 1, mode="symmetric")
+    for (y, x), r in f.items():
+        assert r["v"] == v[y, x] and abs(r["f_mean"] - wide[y : y + 3, x : x + 3].mean()) < 1e-6 and abs(r["f_vesselness"] - ves[y, x]) < 1e-9
+    assert len(f) == v.size and {"f_mean", "f_vesselness"} <= set(learning.FEATURES) and any(ves.values())
