@@ -1,14 +1,18 @@
 """Each stage of the pipeline against a brute-force version on its own input."""
 
 import hashlib
+import math
+import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gridloom.llm import bpe, mixing, queries, toxicity
 from gridloom.llm.tables import written
+from gridloom.llm.words import MARKS, words
 from test_text_operators import shingle_sets, split
 
 DIR = "/root/testdata/sf0.001"
@@ -95,3 +99,75 @@ def test_mix_and_encode(spark, steps):
 def test_run(spark):
     r = corpus_pipeline.run(spark, DIR)
     assert r.count() > 0 and r.filter("size(ids) <> n_tokens").count() == 0
+
+
+def best_parts(x):
+    """Scores of the maximal segments by their definition: the best one, then those left and right of it."""
+    out, todo = [], [(0, len(x))]
+    while todo:
+        first, end = todo.pop()
+        best, at, run, start = 0.0, None, 0.0, first
+        for i in range(first, end):
+            if run <= 0:
+                run, start = 0.0, i
+            run += x[i]
+            if run > best + 1e-9:
+                best, at = run, (start, i)
+        if at:
+            out.append(best)
+            todo += [(first, at[0]), (at[1] + 1, end)]
+    return out
+
+
+def test_toxicity_by_a_plain_scan(spark):
+    """On the 0.01 scale: no text of the smaller one is toxic."""
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    m = toxicity.learn(docs, spark.read.parquet(f"{d}/labels.parquet"))
+    gain = dict(zip(m.token.tolist(), m.gain.tolist(), strict=True))
+    mark, known = re.compile("[" + re.escape("".join(chr(b) for b in range(128) if MARKS[b])) + "]+"), {}
+
+    def worth(word):
+        if word not in known:
+            w = words(pa.array([word]), MARKS, lower=True)
+            heads = [gain[h] for h in (int(w.heads(n)[0]) for n in toxicity.HEADS) if h in gain]
+            known[word] = gain.get(int(w.hash[0]), max([m.cost, *heads]))
+        return known[word]
+
+    def toxic(text):
+        x = [worth(w) for w in mark.split(text or "") if w]
+        bits = []
+        for s in best_parts(x):
+            z = (m.rate * s - math.log(len(x)) - m.place) / m.scale
+            p = -math.expm1(-math.exp(-min(max(z, -30.0), 500.0)))
+            bits.append(min(-math.log10(p) if p > 0 else z / math.log(10), 60.0))
+        c = m.curve
+        return c is not None and c[0] + c[1] * math.log1p(max(bits, default=0.0)) + c[2] * math.log1p(sum(b for b in bits if b >= 1)) >= 0
+
+    every = rows(docs)
+    want = Counter(r for r in every if not toxic(r[1]))
+    assert Counter(rows(corpus_pipeline.toxic(spark, docs, d))) == want and 0 < sum(want.values()) < len(every)
+
+
+def test_mix_by_a_plain_loop(steps):
+    sources = defaultdict(list)
+    for r in rows(steps[3]):
+        sources[r[3]].append((hashlib.md5(("6" if r[0] is None else f"6:{r[0]}").encode()).hexdigest(), r[0], len(split(r[1])), r))
+    size = {s: sum(x[2] for x in d) for s, d in sources.items()}
+    name = {s: (s is None, s or "") for s in sources}
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sorted(sources, key=name.get))}
+    left, parts, target = 1.5 * sum(size.values()), sum(weight.values()), {}
+    turns = sorted(sources, key=lambda s: (2 * size[s] / weight[s], name[s]))
+    while turns and 2 * size[turns[0]] / weight[turns[0]] <= left / parts:
+        s = turns.pop(0)
+        target[s] = 2.0 * size[s]
+        left, parts = left - target[s], parts - weight[s]
+    target |= {s: weight[s] * (left / parts) for s in turns}
+    want = Counter()
+    for s, d in sources.items():
+        whole = int(target[s] // size[s]) if size[s] else 0
+        start = 0
+        for _, _, n, r in sorted(d, key=lambda x: x[:3]):
+            want[r] += whole + (n > 0 and start + n / 2 <= target[s] - whole * size[s])
+            start += n
+    assert Counter(rows(steps[4])) == +want and len(sources) > 2
