@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gridloom.llm import bpe, covertree, fmindex, forest, jaccard, langid, lines, mixing, shards, toxicity
+from gridloom.llm import bpe, covertree, fmindex, forest, jaccard, langid, lines, mixing, resample, shards, toxicity
 from gridloom.llm.tables import crc_mod, documents
 
 QUERIES: dict = {}
@@ -135,3 +135,25 @@ def op9(spark: SparkSession, d: str) -> DataFrame:
 def op10(spark: SparkSession, d: str) -> DataFrame:
     r = lines.drop_repeated_lines(documents(spark, d))
     return r.select(F.col("row.doc_id").alias("doc_id"), F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query(
+    "op12_importance_resampling",
+    r"""WITH table_of AS (SELECT list_transform(range(256), lambda c: list_reduce(list_prepend(c, range(8)), lambda x, k: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))) AS t),
+    x AS (SELECT doc_id, NULL AS item, text FROM documents UNION ALL SELECT NULL, item_id, text FROM benchmark),
+    w AS MATERIALIZED (SELECT doc_id, item, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM x),
+    b AS MATERIALIZED (SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, strlen(word)), lambda i: ('0x' || hex(encode(word))[2 * i + 1:2 * i + 2])::BIGINT)),
+                       lambda a, y: xor(a >> 8, t[xor(a & 255, y) + 1])), 4294967295) % 10000 AS bucket FROM (SELECT DISTINCT word FROM w), table_of),
+    f AS MATERIALIZED (SELECT doc_id, item, bucket FROM w JOIN b USING (word)),
+    n AS (SELECT bucket, count(*) FILTER (item IS NULL)::DOUBLE AS s, count(item)::DOUBLE AS t FROM f GROUP BY 1),
+    total AS (SELECT sum(s) AS s, sum(t) AS t FROM n),
+    g AS (SELECT bucket, floor(1000 * ln((n.t + 1) * (total.s + 10000) / ((n.s + 1) * (total.t + 10000))))::BIGINT AS gain FROM n, total),
+    d AS (SELECT doc_id, count(*) AS n_features, floor(sum(gain) / count(*))::BIGINT AS weight FROM f JOIN g USING (bucket) WHERE item IS NULL GROUP BY 1),
+    r AS (SELECT d0.doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+          coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('2024:' || d0.doc_id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM documents d0 LEFT JOIN d USING (doc_id)),
+    k AS (SELECT *, row_number() OVER (ORDER BY n_features < 20, score DESC, doc_id) AS rank, count(*) FILTER (n_features >= 20) OVER () * 10 // 100 AS quota FROM r)
+    SELECT doc_id, n_features, weight, score, CASE WHEN rank <= quota THEN rank END AS rank FROM k""",
+)
+def op12(spark: SparkSession, d: str) -> DataFrame:
+    r = resample.resample(documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet"))
+    return r.select("doc_id", "n_features", "weight", "score", "rank")
