@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gridloom.llm import bpe, covertree, fmindex, forest, jaccard, langid, lines, mixing, resample, shards, toxicity
+from gridloom.llm import bpe, collocations, covertree, fmindex, forest, jaccard, langid, lines, mixing, pieces, resample, shards, toxicity
 from gridloom.llm.tables import crc_mod, documents
 
 QUERIES: dict = {}
@@ -157,3 +157,32 @@ def op10(spark: SparkSession, d: str) -> DataFrame:
 def op12(spark: SparkSession, d: str) -> DataFrame:
     r = resample.resample(documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet"))
     return r.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op11_sentencepiece")
+def op11(spark: SparkSession, d: str) -> DataFrame:
+    import public_tokenizers
+
+    r = documents(spark, d).select("doc_id", pieces.coded(spark, F.col("text"), public_tokenizers.path("piece_bpe_32k.model"), ids=False).alias("c"))
+    return r.select("doc_id", "c.n_tokens", "c.ids_sha256", "c.decoded_sha256")
+
+
+@query(
+    "op13_collocations",
+    r"""WITH p AS MATERIALIZED (SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(range(len(p))) AS i, unnest(p) AS t
+          FROM (SELECT doc_id, lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS p FROM documents)),
+    w AS MATERIALIZED (SELECT lang, regexp_extract_all(t, '[^\x20\x09]+') AS w FROM p),
+    g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, range(1, 5) r(k) WHERE len(w) >= k),
+    f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL),
+    c AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k >= 2 AND a >= 30),
+    x AS (SELECT lang, k, phrase, a, j, array_to_string(w[1:j], ' ') AS x, array_to_string(w[j + 1:], ' ') AS y FROM c, range(1, 4) r(j) WHERE j < k),
+    s AS (SELECT x.lang, x.phrase, x.a, l.a AS l, r.a AS r, (2000000::HUGEINT * x.a // (l.a + r.a))::BIGINT AS score, x.j FROM x JOIN f l ON l.lang = x.lang AND l.phrase = x.x JOIN f r ON r.lang = x.lang AND r.phrase = x.y),
+    m AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS o FROM s),
+    d AS (SELECT DISTINCT b.lang, array_to_string(b.w[i:i + n - 1], ' ') AS phrase, b.a AS longer FROM c b, range(1, 4) r(i), range(2, 4) q(n) WHERE i + n - 1 <= k AND n < k),
+    o AS (SELECT lang, phrase, max(longer) AS longer FROM d GROUP BY ALL),
+    n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY 1),
+    v AS (SELECT m.lang, m.phrase, m.a, l, r, score, row_number() OVER (PARTITION BY m.lang ORDER BY score DESC, m.a DESC, m.phrase) AS rank FROM m LEFT JOIN o USING (lang, phrase) WHERE m.o = 1 AND (longer IS NULL OR 100 * longer < 80 * m.a))
+    SELECT lang, rank, phrase, a, l, r, n, score FROM v JOIN n USING (lang) WHERE rank <= 2000""",
+)
+def op13(spark: SparkSession, d: str) -> DataFrame:
+    return collocations.collocations(documents(spark, d))

@@ -75,23 +75,24 @@ def components(links: DataFrame) -> DataFrame:
     return written(out)
 
 
-def sieve(keys: DataFrame, log_bits: int = 23) -> Callable[[Column], Column]:
-    """A test on long keys that holds for every key of `keys` (one long column) and for few others.
+def _bits(k: np.ndarray, log_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    return mix(k, 41) >> U(64 - log_bits), mix(k, 42) >> U(64 - log_bits)
 
-    The keys set two bits each of a bit field of fixed size, a MB by default whatever their number, which
-    is all that is broadcast; so rows without a partner needn't be shuffled.  Too many keys only let
-    more others pass.
-    """
-    size, blocks = 1 << (log_bits - 3), 64
 
-    def bits(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        k = column.to_numpy(zero_copy_only=False).astype(np.int64).view(U)
-        return mix(k, 41) >> U(64 - log_bits), mix(k, 42) >> U(64 - log_bits)
+def marks(field: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each of some unsigned keys may be one that `bit_field` was made from."""
+    a, b = ((field[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1 for at in _bits(keys, len(field).bit_length() + 2))
+    return (a & b).astype(bool)
+
+
+def bit_field(keys: DataFrame, log_bits: int = 23) -> np.ndarray:
+    """A bit field of fixed size, a MB by default, in which every key of `keys` (one long column) sets two bits."""
+    size, blocks = 1 << (log_bits - 3), 64
 
     def marked(batches):
         field = np.zeros(size, np.uint8)
         for b in batches:
-            for at in bits(b.column(0).drop_null()):
+            for at in _bits(b.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64).view(U), log_bits):
                 np.bitwise_or.at(field, (at >> U(3)).astype(np.int64), np.uint8(1) << (at & U(7)).astype(np.uint8))
         parts = field.reshape(blocks, -1)
         some = np.flatnonzero(parts.any(axis=1))
@@ -110,13 +111,19 @@ def sieve(keys: DataFrame, log_bits: int = 23) -> Callable[[Column], Column]:
     field = np.zeros((blocks, size // blocks), np.uint8)
     for r in keys.mapInArrow(marked, kind).repartition(blocks, "block").mapInArrow(joined, kind).collect():
         field[r["block"]] = np.frombuffer(r["bits"], np.uint8)
-    shared = keys.sparkSession.sparkContext.broadcast(field.ravel())
+    return field.ravel()
+
+
+def sieve(keys: DataFrame, log_bits: int = 23) -> Callable[[Column], Column]:
+    """A test on long keys that holds for every key of `keys` (one long column) and for few others.
+
+    Only a bit field of fixed size is broadcast, so rows without a partner needn't be shuffled.  Too many
+    keys only let more others pass.
+    """
+    shared = keys.sparkSession.sparkContext.broadcast(bit_field(keys, log_bits))
 
     @F.arrow_udf(BooleanType())
     def passes(column: pa.Array) -> pa.Array:
-        f = shared.value
-        a, b = bits(column.fill_null(0))
-        hit = [(f[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1 for at in (a, b)]
-        return pa.array((hit[0] & hit[1]).astype(bool))
+        return pa.array(marks(shared.value, column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(U)))
 
     return lambda key: passes(key)
