@@ -87,7 +87,7 @@ def marks(field: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def bit_field(keys: DataFrame, log_bits: int = 23) -> np.ndarray:
     """A bit field of fixed size, a MB by default, in which every key of `keys` (one long column) sets two bits."""
-    size, blocks = 1 << (log_bits - 3), 64
+    size, blocks = 1 << (log_bits - 3), 16
 
     def marked(batches):
         field = np.zeros(size, np.uint8)
