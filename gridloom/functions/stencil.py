@@ -1,9 +1,10 @@
 """Neighbourhoods on dense pixel grids (coordinates from 0, no gaps).
 
 A two-dimensional window is gathered line by line: first along y, partitioned by (image, x),
-then along x, partitioned by (image, y).  Each line is one window partition, so an image of any
-size spreads over the cluster, no pixel is copied (2r+1)^2 times, and both passes stay inside
-the JVM.
+then along x, partitioned by (image, y).  A line is cut into segments of fixed length; pixels less
+than r away from a segment are its halo and are copied to it.  So no window partition is longer than
+a segment and two halos, whatever the image, no pixel is copied (2r+1)^2 times, and both passes stay
+inside the JVM.
 """
 
 from __future__ import annotations
@@ -15,9 +16,36 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 REFLECT, MIRROR, NEAREST, ZERO = "reflect", "mirror", "nearest", "zero"
 
 
-def _line(keys: list[str], axis: str, r: int):
-    other = "x" if axis == "y" else "y"
-    return W.partitionBy(*keys, other).orderBy(axis).rowsBetween(-r, r)
+#: pixels of a line in one window partition, besides its halos
+SEGMENT = 4096
+#: radius from which running extremes pay
+RUNNING = 6
+
+
+def across(axis: str) -> str:
+    return "x" if axis == "y" else "y"
+
+
+def segmented(df: DataFrame, axis: str, r: int, size: int | None = None) -> DataFrame:
+    """Every pixel once for each segment (`_s`) of its line that it belongs to or is a halo of."""
+    n = size or SEGMENT
+    return df.withColumn("_s", F.explode(F.expr(f"sequence(greatest(({axis} - {r}) div {n}, 0), ({axis} + {r}) div {n})")))
+
+
+def own(df: DataFrame, axis: str, size: int | None = None) -> DataFrame:
+    """The pixels of the segments themselves."""
+    return df.filter(F.col("_s") == F.expr(f"{axis} div {size or SEGMENT}")).drop("_s")
+
+
+def segment(keys: list[str], axis: str):
+    """The window partition of a segment, in the order of its pixels."""
+    return W.partitionBy(*keys, across(axis), "_s").orderBy(axis)
+
+
+def framed(df: DataFrame, keys: list[str], axis: str, r: int, frames: dict[str, Column], size: int | None = None) -> DataFrame:
+    """Lists of the values from r pixels before to r pixels after each pixel of a line."""
+    win = segment(keys, axis).rowsBetween(-r, r)
+    return own(segmented(df, axis, r, size).withColumns({out: F.collect_list(v).over(win) for out, v in frames.items()}), axis, size)
 
 
 def _padded(frame: str, axis: str, r: int, border: str, zero: str = "0D") -> Column:
@@ -47,9 +75,8 @@ def correlate_axis(
 ) -> DataFrame:
     """One-dimensional weighted sums along an axis: {output: (input, 2r+1 weights)}."""
     r = max(len(w) // 2 for _, w in weights.values())
-    win = _line(keys, axis, r)
     frames = {src: f"_f_{src}" for src in dict.fromkeys(s for s, _ in weights.values())}
-    df = df.withColumns({f: F.collect_list(F.col(src).cast("double")).over(win) for src, f in frames.items()})
+    df = framed(df, keys, axis, r, {f: F.col(src).cast("double") for src, f in frames.items()})
     df = df.withColumns({f: _padded(f, axis, r, border) for f in frames.values()})
     sums = {}
     for out, (src, w) in weights.items():
@@ -71,9 +98,9 @@ def separable(
 def gather(df: DataFrame, keys: list[str], value: str, r: int, border: str, out: str = "nb") -> DataFrame:
     """Add the (2r+1)^2 window as nested arrays: out[dx + r][dy + r]."""
     n = 2 * r + 1
-    df = df.withColumn("_f", F.collect_list(F.col(value).cast("double")).over(_line(keys, "y", r)))
+    df = framed(df, keys, "y", r, {"_f": F.col(value).cast("double")})
     df = df.withColumn("_f", _padded("_f", "y", r, border))
-    df = df.withColumn(out, F.collect_list("_f").over(_line(keys, "x", r)))
+    df = framed(df, keys, "x", r, {out: F.col("_f")})
     return df.withColumn(out, _padded(out, "x", r, border, f"array_repeat(0D, {n})")).drop("_f")
 
 
@@ -94,9 +121,38 @@ def convolve(
 
 def extreme(df: DataFrame, keys: list[str], value: str, r: int, how: str, out: str) -> DataFrame:
     """Maximum or minimum over a square window; the frame simply ends at the border."""
-    f = F.max if how == "max" else F.min
-    df = df.withColumn("_e", f(value).over(_line(keys, "y", r)))
-    return df.withColumn(out, f("_e").over(_line(keys, "x", r))).drop("_e")
+    df = line_extreme(df, keys, "y", value, r, how, "_e")
+    return line_extreme(df, keys, "x", "_e", r, how, out).drop("_e")
+
+
+def line_extreme(
+    df: DataFrame, keys: list[str], axis: str, value: str, r: int, how: str, out: str,
+    size: int | None = None, running: int | None = None,
+) -> DataFrame:
+    """Maximum or minimum from r pixels before to r pixels after.
+
+    From a radius of `running` on, a frame isn't scanned for every pixel: lines are also cut into
+    blocks of 2r+1 pixels, and a frame is the end of one block and the beginning of the next, so its
+    extreme is that of a running extreme towards the end of a block, r pixels back, and of one from
+    the beginning of a block, r pixels ahead.
+    """
+    f, pick = (F.max, F.greatest) if how == "max" else (F.min, F.least)
+    d = segmented(df, axis, r, size)
+    line = segment(keys, axis)
+    if r < (RUNNING if running is None else running):
+        return own(d.withColumn(out, f(value).over(line.rowsBetween(-r, r))), axis, size)
+    n = 2 * r + 1
+    whole = W.partitionBy(*keys, across(axis), "_s")
+    block = W.partitionBy(*keys, across(axis), "_s", "_k")
+    d = d.withColumn("_last", F.max(axis).over(whole)).withColumn("_k", F.expr(f"{axis} div {n}"))
+    d = d.withColumn("_from", f(value).over(block.orderBy(axis).rowsBetween(W.unboundedPreceding, 0)))
+    d = d.withColumn("_to", f(value).over(block.orderBy(F.col(axis).desc()).rowsBetween(W.unboundedPreceding, 0)))
+    d = d.withColumn("_end", F.max_by("_from", axis).over(whole))
+    # beyond the end of the line the last block counts as a whole, if the frame reaches it from before
+    beyond = F.when(F.expr(f"{axis} < {r} or _last div {n} > ({axis} - {r}) div {n}"), F.col("_end"))
+    ahead = F.coalesce(F.lead("_from", r).over(line), beyond)
+    d = d.withColumn(out, pick(F.lag("_to", r).over(line), ahead))
+    return own(d.drop("_last", "_k", "_from", "_to", "_end"), axis, size)
 
 
 def gaussian_weights(sigma: float, truncate: float = 4.0, order: int = 0) -> list[float]:

@@ -10,6 +10,7 @@ from gridloom.functions.columns import fold_angle, with_stats
 from gridloom.functions.ordering import first_by
 from gridloom.functions.rounds import materialize
 from gridloom.operators.filters import line_profile
+from gridloom.operators.neighbours import nearest
 
 P = ["image_id", "i", "j"]
 
@@ -29,39 +30,8 @@ def _near(query: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def centroid_knn(regions: DataFrame, m: int) -> DataFrame:
-    """The m nearest regions by centroid, exact: (image_id, i, j, d2, rank).
-
-    Cells are sized from the image's region density so that even a corner point of an evenly
-    filled image finds its neighbours in the first round.  The m-th distance of
-    a point is final when it does not exceed the cell side, because everything nearer lies in
-    the 3 x 3 block; the few points that fail repeat with cells twice as large.
-    """
-    pts = regions.select("image_id", "label", "cy", "cx")
-    s = with_stats(pts, ["image_id"], _n=F.count("*"), _h=F.max("cy") - F.min("cy") + 1, _w=F.max("cx") - F.min("cx") + 1)
-    s = s.withColumn("_m", F.least(F.lit(m), F.col("_n") - 1)).filter("_m > 0")
-    s = s.withColumn("_s", F.greatest(1.25 * F.sqrt(F.col("_h") * F.col("_w") * (F.col("_m") + 1) / F.col("_n")), F.lit(1.0)))
-    s = s.select("image_id", "label", "cy", "cx", "_m", "_s", F.greatest("_h", "_w").alias("_span"))
-    s, obs = materialize(s, n=F.count(F.lit(1)))
-    todo, done = s, []
-    points = s.select("image_id", "label", "cy", "cx", "_s")
-    while obs["n"] or not done:  # once even for an empty input, which fixes the schema
-        near = first_by(_near(todo.select("image_id", "label", "cy", "cx", "_s"), points), ["image_id", "i"], [F.col("d2"), F.col("j")], m)
-        near, _ = materialize(near)  # read twice
-        got = near.groupBy("image_id", F.col("i").alias("label")).agg(F.count("*").alias("_c"), F.max("d2").alias("_d"))
-        state = todo.join(got, ["image_id", "label"], "left")
-        safe = ((F.coalesce("_c", F.lit(0)) >= F.col("_m")) & (F.col("_d") <= F.col("_s") * F.col("_s"))) | (F.col("_s") >= F.col("_span"))
-        state, obs = materialize(state.withColumn("_safe", safe), n=F.sum((~safe).cast("int")))
-        done.append(near.join(state.filter("_safe").select("image_id", F.col("label").alias("i")), ["image_id", "i"], "left_semi"))
-        todo = state.filter(~F.col("_safe")).drop("_c", "_d", "_safe").withColumn("_s", F.col("_s") * 2)
-        sides = todo.select("image_id", "_s").distinct()
-        points = points.drop("_s").join(sides, "image_id")
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    from pyspark.sql import Window as W
-
-    out = out.withColumn("rank", F.row_number().over(W.partitionBy("image_id", "i").orderBy("d2", "j")))  # at most m rows
-    return out.select(*P, "d2", "rank")
+    """The m nearest regions by centroid, exact: (image_id, i, j, d2, rank)."""
+    return nearest(regions.select("image_id", "label", "cy", "cx"), m)
 
 
 def pairs_within(regions: DataFrame, radius: float) -> DataFrame:
@@ -71,32 +41,67 @@ def pairs_within(regions: DataFrame, radius: float) -> DataFrame:
     return near.select(*P, F.sqrt("d2").alias("dist"))
 
 
-def boundary_distance(pairs: DataFrame, boundary: DataFrame, cell: int = 8) -> DataFrame:
-    """Smallest distance between the outlines of two regions and the pair of points there.
+def _outline_boxes(boundary: DataFrame, cell: int) -> tuple[DataFrame, DataFrame, int]:
+    """Points with their smallest box (`by`, `bx`); boxes of every level with their children; the top level.
 
-    Outlines are cut into cells first.  Only cell pairs whose lower bound does not exceed the
-    pair's best upper bound expand to points, so far sides of large outlines never meet.
+    A box of level n covers cell * 2^n pixels from the corner of its outline; the top one covers it all.
+    """
+    b = with_stats(boundary.select("image_id", "label", "y", "x"), ["image_id", "label"], _y=F.min("y"), _x=F.min("x"), _side=F.greatest(F.max("y") - F.min("y"), F.max("x") - F.min("x")))
+    b = b.withColumn("by", F.expr(f"(y - _y) div {cell}")).withColumn("bx", F.expr(f"(x - _x) div {cell}"))
+    top = F.ceil(F.log2(F.expr(f"_side div {cell} + 1").cast("double"))).cast("int")
+    b, obs = materialize(b.withColumn("top", top).drop("_y", "_x", "_side"), top=F.max("top"))
+    side = F.struct("lv", "gy", "gx", "y0", "y1", "x0", "x1")
+    small = b.groupBy("image_id", "label", "top", "by", "bx").agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"))
+    up = small.withColumn("lv", F.explode(F.sequence(F.lit(0), F.col("top"))))
+    at = [F.expr("shiftright(by, lv)").alias("gy"), F.expr("shiftright(bx, lv)").alias("gx")]
+    box = up.groupBy("image_id", "label", "top", "lv", *at).agg(F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.min("x0").alias("x0"), F.max("x1").alias("x1"))
+    box = box.select("image_id", "label", "top", "lv", "gy", "gx", side.alias("box"))
+    parent = box.filter("lv < top").select("image_id", "label", (F.col("lv") + 1).alias("lv"), F.expr("shiftright(gy, 1)").alias("gy"), F.expr("shiftright(gx, 1)").alias("gx"), "box")
+    kids = parent.groupBy("image_id", "label", "lv", "gy", "gx").agg(F.collect_list("box").alias("kids"))
+    boxes, _ = materialize(box.join(kids, ["image_id", "label", "lv", "gy", "gx"], "left"))
+    return b, boxes, obs["top"]
+
+
+def outline_cell_pairs(pairs: DataFrame, boxes: DataFrame, top: int) -> DataFrame:
+    """(image_id, i, j, a, b): the pairs of smallest boxes that may hold the nearest points of a pair of outlines.
+
+    All pairs start with one box a side and are opened level by level, on both sides at once; a pair
+    of boxes goes when its smallest distance exceeds the largest one of some other pair of boxes.
     """
-    b = boundary.withColumn("gy", F.expr(f"y div {cell}")).withColumn("gx", F.expr(f"x div {cell}"))
-    b, _ = materialize(b)  # read four times
-    boxes = b.groupBy("image_id", "label", "gy", "gx").agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"))
 
-    def side(k: str) -> DataFrame:
-        return boxes.select("image_id", F.col("label").alias(k), F.struct("gy", "gx").alias(f"{k}g"), *[F.col(c).alias(f"{k}{c}") for c in ("y0", "y1", "x0", "x1")])
+    def roots(k: str, name: str) -> DataFrame:
+        return boxes.filter("lv = top").select("image_id", F.col("label").alias(k), F.col("box").alias(name))
 
-    c = pairs.select(*P).distinct().join(side("i"), ["image_id", "i"]).join(side("j"), ["image_id", "j"])
-    low, up = F.lit(0), F.lit(0)
-    for a in ("y", "x"):
-        gap = F.greatest(F.col(f"i{a}0") - F.col(f"j{a}1"), F.col(f"j{a}0") - F.col(f"i{a}1"), F.lit(0))
-        far = F.greatest(F.col(f"i{a}1") - F.col(f"j{a}0"), F.col(f"j{a}1") - F.col(f"i{a}0"))
+    low, up = F.lit(0).cast("long"), F.lit(0).cast("long")
+    for c in ("y", "x"):
+        gap = F.greatest(F.col(f"a.{c}0") - F.col(f"b.{c}1"), F.col(f"b.{c}0") - F.col(f"a.{c}1"), F.lit(0))
+        far = F.greatest(F.col(f"a.{c}1") - F.col(f"b.{c}0"), F.col(f"b.{c}1") - F.col(f"a.{c}0"))
         low, up = low + gap * gap, up + far * far
-    c, _ = materialize(c.select(*P, "ig", "jg", low.alias("low"), up.alias("up")))
-    c = with_stats(c, P, _best=F.min("up")).filter("low <= _best")
+    c = pairs.select(*P).distinct().join(roots("i", "a"), ["image_id", "i"]).join(roots("j", "b"), ["image_id", "j"])
+    for level in range(top - 1, -1, -1):
+        for k, name in (("i", "a"), ("j", "b")):
+            wide = boxes.filter(F.col("lv") == level + 1).select("image_id", F.col("label").alias(k), F.col("gy").alias("_y"), F.col("gx").alias("_x"), F.lit(level + 1).alias("_l"), "kids")
+            on = c.withColumn("_l", F.col(f"{name}.lv")).withColumn("_y", F.col(f"{name}.gy")).withColumn("_x", F.col(f"{name}.gx"))
+            c = on.join(wide, ["image_id", k, "_l", "_y", "_x"], "left").withColumn(name, F.explode(F.coalesce("kids", F.array(name)))).select(*P, "a", "b")
+        c, _ = materialize(c.withColumn("low", low).withColumn("up", up))
+        c = with_stats(c, P, _best=F.min("up")).filter("low <= _best").select(*P, "a", "b")
+    return c
+
+
+def boundary_distance(pairs: DataFrame, boundary: DataFrame, cell: int = 8) -> DataFrame:
+    """Smallest distance between the outlines of two regions and the pair of points there.
+
+    Outlines are hierarchies of boxes (see `outline_cell_pairs`), so far sides of large outlines never
+    meet, and only points of the smallest boxes that may decide are compared.
+    """
+    points, boxes, top = _outline_boxes(boundary, cell)
+    c = outline_cell_pairs(pairs, boxes, top)
 
-    def points(k: str) -> DataFrame:
-        return b.select("image_id", F.col("label").alias(k), F.struct("gy", "gx").alias(f"{k}g"), F.col("y").alias(f"{k}y"), F.col("x").alias(f"{k}x"))
+    def side(k: str, name: str) -> DataFrame:
+        return points.select("image_id", F.col("label").alias(k), F.struct("by", "bx").alias(name), F.col("y").alias(f"{k}y"), F.col("x").alias(f"{k}x"))
 
-    q = c.join(points("i"), ["image_id", "i", "ig"]).join(points("j"), ["image_id", "j", "jg"])
+    q = c.select(*P, *[F.struct(F.col(f"{n}.gy").alias("by"), F.col(f"{n}.gx").alias("bx")).alias(n) for n in ("a", "b")])
+    q = q.join(side("i", "a"), ["image_id", "i", "a"]).join(side("j", "b"), ["image_id", "j", "b"])
     dy, dx = F.col("iy") - F.col("jy"), F.col("ix") - F.col("jx")
     best = q.groupBy(*P).agg(F.min(F.struct((dy * dy + dx * dx).alias("d2"), "iy", "ix", "jy", "jx")).alias("m"))
     return best.select(*P, F.sqrt("m.d2").alias("dist"), "m.iy", "m.ix", "m.jy", "m.jx")

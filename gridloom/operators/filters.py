@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gridloom.functions import stencil as st
@@ -144,8 +145,7 @@ def paraboloid_background(df: DataFrame, radius: float, keys: list[str] = IMG) -
     heights = [u * u / (radius * radius) for u in range(-r, r + 1)]
 
     def pass_(d: DataFrame, axis: str, sign: int, value: str, out: str) -> DataFrame:
-        win = W.partitionBy(*keys, "x" if axis == "y" else "y").orderBy(axis).rowsBetween(-r, r)
-        d = d.withColumn("_f", F.collect_list(value).over(win))
+        d = st.framed(d, keys, axis, r, {"_f": F.col(value)})
         first = F.greatest(F.col(axis) - r, F.lit(0)) - F.col(axis) + r
         add = F.transform("_f", lambda v, i: v + sign * F.get(F.array(*[F.lit(h) for h in heights]), (i + first).cast("int")))
         return d.withColumn(out, F.array_min(add) if sign > 0 else F.array_max(add)).drop("_f")
@@ -384,31 +384,78 @@ def remove_small(labels: DataFrame, n: int, keys: list[str] = ["image_id", "labe
     return with_stats(labels, keys, _n=F.count("*")).filter(F.col("_n") >= n).drop("_n")
 
 
-def distance_transform(df: DataFrame, fg: str, sampling: tuple[float, float] = (1.0, 1.0), keys: list[str] = IMG) -> DataFrame:
-    """Exact Euclidean distance to the nearest background pixel, anisotropic.
+def nearest_on_line(df: DataFrame, keys: list[str], axis: str, at: Column, size: int | None = None) -> DataFrame:
+    """Add `_n`, the distance along the axis to the nearest position `at` of the same line, null if it has none.
 
-    Pass one finds the nearest background along the column and along the row (line windows).
-    The column distance bounds how far pass two must look sideways, so each pixel asks only the
-    pixels of its row inside that bound.
+    Running positions inside segments, in both directions; what lies in other segments comes from one
+    row a segment.
+    """
+    line = [*keys, st.across(axis)]
+    d = df.withColumn("_s", F.expr(f"{axis} div {size or st.SEGMENT}")).withColumn("_at", at)
+    ends = d.groupBy(*line, "_s").agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"))
+    by = W.partitionBy(*line).orderBy("_s")
+    ends = ends.select(*line, "_s", F.max("_last").over(by.rowsBetween(W.unboundedPreceding, -1)).alias("_left"), F.min("_first").over(W.partitionBy(*line).orderBy(F.desc("_s")).rowsBetween(W.unboundedPreceding, -1)).alias("_right"))
+    part = W.partitionBy(*line, "_s")
+    d = d.withColumn("_back", F.max("_at").over(part.orderBy(axis).rowsBetween(W.unboundedPreceding, 0)))
+    d = d.withColumn("_ahead", F.min("_at").over(part.orderBy(F.desc(axis)).rowsBetween(W.unboundedPreceding, 0)))
+    d = d.join(ends, [*line, "_s"])
+    near = F.least(F.col(axis) - F.coalesce("_back", "_left"), F.coalesce("_ahead", "_right") - F.col(axis))
+    return d.withColumn("_n", near).drop("_s", "_at", "_back", "_ahead", "_left", "_right")
+
+
+def _lower(x: list[int], h: list[float], unit: float) -> tuple[list[int], list[float]]:
+    """Which parabolas h[i] + (unit * (t - x[i]))^2, by ascending x, are lowest anywhere, and from which t on."""
+    keep: list[int] = []
+    since: list[float] = []
+    for i in range(len(x)):
+        t = -math.inf
+        while keep:
+            k = keep[-1]
+            t = ((h[i] - h[k]) / (unit * unit) + x[i] * x[i] - x[k] * x[k]) / (2.0 * (x[i] - x[k]))
+            if t > since[-1]:
+                break
+            keep.pop()
+            since.pop()
+            t = -math.inf
+        keep.append(i)
+        since.append(t)
+    return keep, since
+
+
+def distance_transform(df: DataFrame, fg: str, sampling: tuple[float, float] = (1.0, 1.0), keys: list[str] = IMG, size: int | None = None) -> DataFrame:
+    """Exact Euclidean distance to the nearest background pixel, anisotropic; null without background.
+
+    Pass one finds the distance g to the nearest background along the column.  In pass two a pixel of a
+    row is the parabola g^2 + dx^2, and distances are the lower envelope of the row: every segment keeps
+    the parabolas of its own envelope, these are merged to the row's envelope, and a parabola gives the
+    pixels of the interval where it is lowest.  The work is linear in the pixels.
     """
     sy, sx = sampling
-    d = df
-    for axis, out, scale in (("y", "_g", sy), ("x", "_b", sx)):
-        line = W.partitionBy(*keys, "x" if axis == "y" else "y").orderBy(axis)
-        at = F.when(~F.col(fg), F.col(axis))
-        back = F.last(at, True).over(line.rowsBetween(W.unboundedPreceding, 0))
-        ahead = F.first(at, True).over(line.rowsBetween(0, W.unboundedFollowing))
-        d = d.withColumn(out, F.least(F.col(axis) - back, ahead - F.col(axis)) * scale)
-    d = with_stats(d, keys, _w=F.max("x"))
-    near = F.least("_g", "_b")
-    reach = F.floor(F.coalesce(near, F.col("_w") * sx) / sx)
-    fgp = d.filter(F.col(fg)).select(*keys, "y", "x", near.alias("_near"), F.explode(F.sequence(F.greatest(F.col("x") - reach, F.lit(0)).cast("long"), F.least(F.col("x") + reach, F.col("_w")).cast("long"))).alias("_q"))
-    cols = d.filter(F.col("_g").isNotNull()).select(*keys, "y", F.col("x").alias("_q"), "_g")
-    j = fgp.join(cols, [*keys, "y", "_q"], "left")
-    dx = (F.col("_q") - F.col("x")) * sx
-    dist = F.min(F.sqrt(dx * dx + F.col("_g") * F.col("_g")))
-    inside = j.groupBy(*keys, "y", "x").agg(F.least(dist, F.first("_near")).alias("dist"))
-    return inside.unionByName(d.filter(~F.col(fg)).select(*keys, "y", "x", F.lit(0.0).alias("dist")))
+    site = "array<struct<x: long, g: double, lo: long, hi: long>>"
+
+    def envelope(sites: pa.Array) -> pa.Array:
+        out = []
+        for row in sites.to_pylist():
+            row = sorted(row, key=lambda s: s["x"])
+            keep, since = _lower([s["x"] for s in row], [s["g"] * s["g"] for s in row], sx)
+            first = [max(math.floor(t) + 1, 0) if t > -math.inf else 0 for t in since]
+            out.append([{"x": row[i]["x"], "g": row[i]["g"], "lo": a, "hi": b} for i, a, b in zip(keep, first, [f - 1 for f in first[1:]] + [None], strict=True)])
+        return pa.array(out, pa.list_(pa.struct([("x", pa.int64()), ("g", pa.float64()), ("lo", pa.int64()), ("hi", pa.int64())])))
+
+    lowest = F.arrow_udf(envelope, site)
+    base = df.select(*keys, "y", "x", F.col(fg).alias("_fg"))
+    d = nearest_on_line(base, keys, "y", F.when(~F.col("_fg"), F.col("y")), size)
+    sites = d.filter("_n is not null").select(*keys, "y", F.expr(f"x div {size or st.SEGMENT}").alias("_s"), F.struct(F.col("x").cast("long").alias("x"), (F.col("_n") * sy).cast("double").alias("g")).alias("p"))
+    part = sites.groupBy(*keys, "y", "_s").agg(F.collect_list("p").alias("p")).select(*keys, "y", lowest("p").alias("p"))
+    row = part.groupBy(*keys, "y").agg(F.flatten(F.collect_list("p")).alias("p"))
+    row = row.join(base.groupBy(*keys).agg(F.max("x").alias("_w")), keys)
+    low = row.select(*keys, "y", "_w", F.explode(lowest(F.transform("p", lambda s: F.struct(s["x"].alias("x"), s["g"].alias("g"))))).alias("s"))
+    low = low.withColumn("_hi", F.least(F.coalesce("s.hi", "_w"), F.col("_w"))).filter("s.lo <= _hi")
+    low = low.select(*keys, "y", "s", F.explode(F.sequence("s.lo", "_hi")).alias("x"))
+    dx = (F.col("s.x") - F.col("x")) * sx
+    found = low.select(*keys, "y", "x", F.sqrt(dx * dx + F.col("s.g") * F.col("s.g")).alias("dist"))
+    bare = base.groupBy(*keys).agg(F.bool_and("_fg").alias("_all")).filter("_all").drop("_all")
+    return found.unionByName(base.join(bare, keys, "left_semi").select(*keys, "y", "x", F.lit(None).cast("double").alias("dist")))
 
 
 def skeleton_degree(skel: DataFrame, keys: list[str] = IMG) -> DataFrame:

@@ -78,12 +78,12 @@ def _(s, d):
 MED = K.window("md", "{0}", 1, "nearest", "median(b.v) AS v")
 
 
-@query("c8_difference_of_gaussians", "mosaic", MED.replace("{0}", "mosaic") + ", " + K.gauss("da", "md", 1.5, "mirror") + ", " + K.gauss("db", "md", 2.4, "mirror") + """,
+@query("c8_difference_of_gaussians", "mosaics", MED.replace("{0}", "mosaics") + ", " + K.gauss("da", "md", 1.5, "mirror") + ", " + K.gauss("db", "md", 2.4, "mirror") + """,
 dd AS (SELECT da.image_id, da.y, da.x, abs(da.v-db.v) AS v FROM da JOIN db ON da.image_id=db.image_id AND da.y=db.y AND da.x=db.x), dm AS (SELECT image_id, min(v) AS lo, max(v) AS hi FROM dd GROUP BY 1),
 du AS (SELECT image_id, y, x, floor(65535.0::DOUBLE*(v-lo)/(hi-lo)) AS v FROM dd JOIN dm USING (image_id)), dn AS (SELECT image_id, min(v) AS lo, max(v) AS hi FROM du GROUP BY 1),
 de AS (SELECT image_id, y, x, CAST(floor(255*(v-lo)/(hi-lo)) AS BIGINT) AS v FROM du JOIN dn USING (image_id)), """ + K.otsu8("ot", "de", "v") + " SELECT image_id, y, x, CAST(v>t AS INT) AS edge FROM de JOIN ot USING (image_id)")
 def _(s, d):
-    return N.difference_of_gaussians(V.mosaic(s, d).select("image_id", "y", "x", "v"), 1.5, 2.4)
+    return N.difference_of_gaussians(V.mosaics(s, d).select("image_id", "y", "x", "v"), 1.5, 2.4)
 
 
 @query("c9_median_filter", "pix", K.window("md", "pix", 1, "nearest", "median(b.v) AS v") + " SELECT image_id, y, x, v FROM md")
@@ -144,10 +144,10 @@ def _(s, d):
 
 
 def unit(s, d):
-    return V.mosaic(s, d).select("image_id", "y", "x", (F.col("v") / 65535.0).alias("v"))
+    return V.mosaics(s, d).select("image_id", "y", "x", (F.col("v") / 65535.0).alias("v"))
 
 
-UNIT = "un AS (SELECT image_id, y, x, v/65535.0::DOUBLE AS v FROM mosaic)"
+UNIT = "un AS (SELECT image_id, y, x, v/65535.0::DOUBLE AS v FROM mosaics)"
 
 
 def para_sql(src: str, radius: float) -> str:
@@ -162,7 +162,7 @@ def para_sql(src: str, radius: float) -> str:
     return ", ".join(parts)
 
 
-@query("c15_sliding_paraboloid", "mosaic", UNIT + ", " + para_sql("un", 4) + " SELECT u.image_id, u.y, u.x, round(least(greatest(u.v-p.v, 0), 1), 8)+0.0 AS v FROM un u JOIN pb3 p ON p.image_id=u.image_id AND p.y=u.y AND p.x=u.x")
+@query("c15_sliding_paraboloid", "mosaics", UNIT + ", " + para_sql("un", 4) + " SELECT u.image_id, u.y, u.x, round(least(greatest(u.v-p.v, 0), 1), 8)+0.0 AS v FROM un u JOIN pb3 p ON p.image_id=u.image_id AND p.y=u.y AND p.x=u.x")
 def _(s, d):
     return out(N.subtract_background(unit(s, d), 4, True), "v", places=8)
 
@@ -171,11 +171,11 @@ def ball_sql(src: str, radius: float) -> str:
     r = math.ceil(radius)
     offs = ",".join(f"({j},{i},{math.sqrt(radius**2 - i * i - j * j) / 255!r}::DOUBLE)" for j in range(-r, r + 1) for i in range(-r, r + 1) if i * i + j * j <= radius**2)
     def one(name, cur, f, op):
-        return f"{name}_s AS MATERIALIZED (SELECT a.image_id, a.y, a.x, t.h, {K._map('(a.y+t.dy)', 'a.ly', 'reflect')} AS ny, {K._map('(a.x+t.dx)', 'a.lx', 'reflect')} AS nx FROM (SELECT *, (SELECT max(y) FROM {cur}) AS ly, (SELECT max(x) FROM {cur}) AS lx FROM {cur}) a CROSS JOIN (VALUES {offs}) t(dy, dx, h)), {name} AS (SELECT a.image_id, a.y, a.x, {f}(b.v {op} a.h) AS v FROM {name}_s a JOIN {cur} b ON b.image_id=a.image_id AND b.y=a.ny AND b.x=a.nx GROUP BY 1,2,3)"
+        return f"{name}_s AS MATERIALIZED (SELECT a.image_id, a.y, a.x, t.h, {K._map('(a.y+t.dy)', 'a.ly', 'reflect')} AS ny, {K._map('(a.x+t.dx)', 'a.lx', 'reflect')} AS nx FROM (SELECT *, max(y) OVER (PARTITION BY image_id) AS ly, max(x) OVER (PARTITION BY image_id) AS lx FROM {cur}) a CROSS JOIN (VALUES {offs}) t(dy, dx, h)), {name} AS (SELECT a.image_id, a.y, a.x, {f}(b.v {op} a.h) AS v FROM {name}_s a JOIN {cur} b ON b.image_id=a.image_id AND b.y=a.ny AND b.x=a.nx GROUP BY 1,2,3)"
     return one("ba", src, "min", "-") + ", " + one("bb", "ba", "max", "+")
 
 
-@query("c15_rolling_ball", "mosaic", UNIT + ", " + ball_sql("un", 4) + " SELECT u.image_id, u.y, u.x, round(least(greatest(u.v-p.v, 0), 1), 8)+0.0 AS v FROM un u JOIN bb p ON p.image_id=u.image_id AND p.y=u.y AND p.x=u.x")
+@query("c15_rolling_ball", "mosaics", UNIT + ", " + ball_sql("un", 4) + " SELECT u.image_id, u.y, u.x, round(least(greatest(u.v-p.v, 0), 1), 8)+0.0 AS v FROM un u JOIN bb p ON p.image_id=u.image_id AND p.y=u.y AND p.x=u.x")
 def _(s, d):
     return out(N.subtract_background(unit(s, d), 4, False), "v", places=8)
 
@@ -183,10 +183,10 @@ def _(s, d):
 SHRUNK = UNIT + ", " + K.line("s1", "un", "y", [0.5, 0.5, 0.0], "reflect") + ", " + K.line("s2", "s1", "x", [0.5, 0.5, 0.0], "reflect") + ", sm AS (SELECT image_id, y//2 AS y, x//2 AS x, v FROM s2 WHERE y%2=0 AND x%2=0)"
 
 
-@query("c15_rolling_ball_shrunk", "mosaic", SHRUNK + ", " + ball_sql("sm", 6) + """, d1 AS (SELECT max(y)+1 AS h, max(x)+1 AS w FROM un), d2 AS (SELECT max(y)+1 AS sh, max(x)+1 AS sw FROM sm),
-fy AS (SELECT y, least(greatest((y+0.5::DOUBLE)*sh/h-0.5, 0), sh-1) AS f FROM (SELECT DISTINCT y FROM un), d1, d2), fx AS (SELECT x, least(greatest((x+0.5::DOUBLE)*sw/w-0.5, 0), sw-1) AS f FROM (SELECT DISTINCT x FROM un), d1, d2),
-wy AS (SELECT y, CAST(floor(f) AS BIGINT)+k AS sy, CASE k WHEN 0 THEN 1-(f-floor(f)) ELSE f-floor(f) END AS wt FROM fy, (VALUES (0),(1)) t(k)), wx AS (SELECT x, CAST(floor(f) AS BIGINT)+k AS sx, CASE k WHEN 0 THEN 1-(f-floor(f)) ELSE f-floor(f) END AS wt FROM fx, (VALUES (0),(1)) t(k)),
-bg AS (SELECT b.image_id, wy.y, wx.x, sum(b.v*wy.wt*wx.wt) AS v FROM bb b JOIN wy ON wy.sy=b.y JOIN wx ON wx.sx=b.x WHERE wy.wt>0 AND wx.wt>0 GROUP BY 1,2,3)
+@query("c15_rolling_ball_shrunk", "mosaics", SHRUNK + ", " + ball_sql("sm", 6) + """, d1 AS (SELECT image_id, max(y)+1 AS h, max(x)+1 AS w FROM un GROUP BY 1), d2 AS (SELECT image_id, max(y)+1 AS sh, max(x)+1 AS sw FROM sm GROUP BY 1),
+fy AS (SELECT image_id, y, least(greatest((y+0.5::DOUBLE)*sh/h-0.5, 0), sh-1) AS f FROM (SELECT DISTINCT image_id, y FROM un) JOIN d1 USING (image_id) JOIN d2 USING (image_id)), fx AS (SELECT image_id, x, least(greatest((x+0.5::DOUBLE)*sw/w-0.5, 0), sw-1) AS f FROM (SELECT DISTINCT image_id, x FROM un) JOIN d1 USING (image_id) JOIN d2 USING (image_id)),
+wy AS (SELECT image_id, y, CAST(floor(f) AS BIGINT)+k AS sy, CASE k WHEN 0 THEN 1-(f-floor(f)) ELSE f-floor(f) END AS wt FROM fy, (VALUES (0),(1)) t(k)), wx AS (SELECT image_id, x, CAST(floor(f) AS BIGINT)+k AS sx, CASE k WHEN 0 THEN 1-(f-floor(f)) ELSE f-floor(f) END AS wt FROM fx, (VALUES (0),(1)) t(k)),
+bg AS (SELECT b.image_id, wy.y, wx.x, sum(b.v*wy.wt*wx.wt) AS v FROM bb b JOIN wy ON wy.image_id=b.image_id AND wy.sy=b.y JOIN wx ON wx.image_id=b.image_id AND wx.sx=b.x WHERE wy.wt>0 AND wx.wt>0 GROUP BY 1,2,3)
 SELECT u.image_id, u.y, u.x, round(least(greatest(u.v-p.v, 0), 1), 8)+0.0 AS v FROM un u JOIN bg p ON p.image_id=u.image_id AND p.y=u.y AND p.x=u.x""")
 def _(s, d):
     return out(N.subtract_background(unit(s, d), 12, False), "v", places=8)
@@ -197,15 +197,15 @@ def _(s, d):
     return N.remove_small(V.frags(s, d), 33).select("image_id", "label", "y", "x")
 
 
-@query("c19_distance_transform", "mosaic", """o AS (SELECT a.i AS dy, b.i AS dx FROM (SELECT unnest(range(-7,8)) AS i) a, (SELECT unnest(range(-7,8)) AS i) b), bg AS (SELECT image_id, y AS ny, x AS nx FROM mosaic WHERE NOT fg), sp AS MATERIALIZED (SELECT image_id, y, x, dy, dx, y+dy AS ny, x+dx AS nx FROM mosaic a CROSS JOIN o)
+@query("c19_distance_transform", "mosaics", """o AS (SELECT a.i AS dy, b.i AS dx FROM (SELECT unnest(range(-7,8)) AS i) a, (SELECT unnest(range(-7,8)) AS i) b), bg AS (SELECT image_id, y AS ny, x AS nx FROM mosaics WHERE NOT fg), sp AS MATERIALIZED (SELECT image_id, y, x, dy, dx, y+dy AS ny, x+dx AS nx FROM mosaics a CROSS JOIN o)
 SELECT image_id, y, x, round(min(sqrt(pow(dy*2.0::DOUBLE, 2)+pow(dx*1.0::DOUBLE, 2))), 6) AS dist FROM sp JOIN bg USING (image_id, ny, nx) GROUP BY 1,2,3""")
 def _(s, d):
-    return out(N.distance_transform(V.mosaic(s, d).select("image_id", "y", "x", "fg"), "fg", (2.0, 1.0)), "dist", places=6)
+    return out(N.distance_transform(V.mosaics(s, d).select("image_id", "y", "x", "fg"), "fg", (2.0, 1.0)), "dist", places=6)
 
 
-@query("c20_local_peaks", "mosaic", K.window("lp", "mosaic", 3, "zero", "max(b.v) AS m, any_value(a.v) AS v") + " SELECT image_id, y, x, v FROM lp WHERE v=m")
+@query("c20_local_peaks", "mosaics", K.window("lp", "mosaics", 3, "zero", "max(b.v) AS m, any_value(a.v) AS v") + " SELECT image_id, y, x, v FROM lp WHERE v=m")
 def _(s, d):
-    return N.local_peaks(V.mosaic(s, d).select("image_id", "y", "x", "v"), 3)
+    return N.local_peaks(V.mosaics(s, d).select("image_id", "y", "x", "v"), 3)
 
 
 @query("c23_gradient_orientation", "pix", sobel_sql("pix") + """, tp AS (SELECT image_id, max(magnitude) AS top FROM so GROUP BY 1), an AS (SELECT image_id, y, x, magnitude, degrees(atan2(gy, gx))+90 AS a FROM so)

@@ -28,12 +28,18 @@ def fg(s, d):
 PID = "y*4294967296+x"
 
 
-def cc_sql(src: str, conn: int, name: str = "cc") -> str:
-    """Component per pixel of `src`(image_id, y, x) of one image, named by its smallest pixel id."""
+#: pixel ids over several images of less than 2^20 rows and columns, and the id inside the image
+IMG_PID = "image_id*1099511627776+y*1048576+x"
+IMG_COMP = "((comp//1048576)%1048576)*4294967296+comp%1048576"
+
+
+def cc_sql(src: str, conn: int, name: str = "cc", pid: str = PID) -> str:
+    """Component per pixel of `src`(image_id, y, x), named by its smallest pixel id; of one image unless `pid` tells images apart."""
+    at = lambda e, img, y, x: e.replace("image_id", img).replace("*4294967296+x", f"*4294967296+{x}").replace("*1048576+x", f"*1048576+{x}").replace("+y*", f"+{y}*") if "image_id" in e else e.replace("+x", f"+{x}").replace("y*", f"{y}*", 1)
     near = "(VALUES (0,1),(1,0),(0,-1),(-1,0)" + (",(1,1),(1,-1),(-1,1),(-1,-1)" if conn == 8 else "") + ")"
     return f"""{name}_n AS MATERIALIZED (SELECT image_id, y, x, y+dy AS ny, x+dx AS nx FROM {src} CROSS JOIN {near} t(dy, dx)),
-{name}_e AS MATERIALIZED (SELECT a.{PID.replace('+x', '+a.x')} AS src, a.ny*4294967296+a.nx AS dst FROM {name}_n a JOIN {src} b ON b.image_id=a.image_id AND b.y=a.ny AND b.x=a.nx),
-{name}(id, comp) USING KEY (id) AS (SELECT {PID}, {PID} FROM {src} UNION (SELECT DISTINCT ON (u.id) u.id, v.comp FROM recurring.{name} u, {name} v, {name}_e e WHERE e.src=u.id AND e.dst=v.id AND v.comp<u.comp ORDER BY u.id, v.comp))"""
+{name}_e AS MATERIALIZED (SELECT {at(pid, 'a.image_id', 'a.y', 'a.x')} AS src, {at(pid, 'a.image_id', 'a.ny', 'a.nx')} AS dst FROM {name}_n a JOIN {src} b ON b.image_id=a.image_id AND b.y=a.ny AND b.x=a.nx),
+{name}(id, comp) USING KEY (id) AS (SELECT {pid}, {pid} FROM {src} UNION (SELECT DISTINCT ON (u.id) u.id, v.comp FROM recurring.{name} u, {name} v, {name}_e e WHERE e.src=u.id AND e.dst=v.id AND v.comp<u.comp ORDER BY u.id, v.comp))"""
 
 
 def outside_sql(name: str, src: str, col: str) -> str:
@@ -62,19 +68,19 @@ def _(s, d):
     return C.combine_masks(mos(s, d), "e", "v", -0.02, 32000)
 
 
-@query("b30_hybrid_threshold", "mosaic", otsu_sql("mosaic", "image_id") + ", " + K.gauss("lm", "mosaic", 1.0, "reflect", out="m") + ", fgp AS (SELECT image_id, y, x FROM mosaic JOIN lm USING (image_id, y, x) JOIN ot USING (image_id) WHERE v>m AND v>0.95*threshold), " + cc_sql("fgp", 4) + f", lb AS (SELECT image_id, y, x, comp AS component, count(*) OVER (PARTITION BY comp) AS n FROM fgp JOIN cc ON id={PID}) SELECT image_id, y, x, component FROM lb WHERE n>=6")
+@query("b30_hybrid_threshold", "mosaics", otsu_sql("mosaics", "image_id") + ", " + K.gauss("lm", "mosaics", 1.0, "reflect", out="m") + ", fgp AS (SELECT image_id, y, x FROM mosaics JOIN lm USING (image_id, y, x) JOIN ot USING (image_id) WHERE v>m AND v>0.95*threshold), " + cc_sql("fgp", 4, pid=IMG_PID) + f", lb AS (SELECT image_id, y, x, {IMG_COMP} AS component, count(*) OVER (PARTITION BY comp) AS n FROM fgp JOIN cc ON id={IMG_PID}) SELECT image_id, y, x, component FROM lb WHERE n>=6")
 def _(s, d):
-    return C.hybrid_threshold(mos(s, d).select("image_id", "y", "x", "v"), 0.95, 7, 6)
+    return C.hybrid_threshold(V.mosaics(s, d).select("image_id", "y", "x", "v"), 0.95, 7, 6)
 
 
-NMS = sobel_sql("mosaic") + ", " + K.window("nb", "so", 1, "zero", "any_value(a.magnitude) AS m, any_value(CASE WHEN degrees(atan2(a.gy, a.gx))<0 THEN degrees(atan2(a.gy, a.gx))+180 ELSE degrees(atan2(a.gy, a.gx)) END) AS a, " + ", ".join(f"coalesce(max(b.magnitude) FILTER (t.dy={dy} AND t.dx={dx}), 0) AS q{i}" for i, (dx, dy) in enumerate([(1, 0), (-1, 0), (1, -1), (-1, 1), (0, -1), (0, 1), (-1, -1), (1, 1)])), "magnitude") + """,
+NMS = sobel_sql("mosaics") + ", " + K.window("nb", "so", 1, "zero", "any_value(a.magnitude) AS m, any_value(CASE WHEN degrees(atan2(a.gy, a.gx))<0 THEN degrees(atan2(a.gy, a.gx))+180 ELSE degrees(atan2(a.gy, a.gx)) END) AS a, " + ", ".join(f"coalesce(max(b.magnitude) FILTER (t.dy={dy} AND t.dx={dx}), 0) AS q{i}" for i, (dx, dy) in enumerate([(1, 0), (-1, 0), (1, -1), (-1, 1), (0, -1), (0, 1), (-1, -1), (1, 1)])), "magnitude") + """,
 nm AS (SELECT image_id, y, x, CASE WHEN CASE WHEN a<22.5 OR a>=157.5 THEN m>=q0 AND m>=q1 WHEN a<67.5 THEN m>=q2 AND m>=q3 WHEN a<112.5 THEN m>=q4 AND m>=q5 ELSE m>=q6 AND m>=q7 END THEN m ELSE 0 END AS nms FROM nb),
-nt AS (SELECT *, (SELECT max(nms) FROM nm) AS top FROM nm), n8 AS (SELECT image_id, y, x, nms, top, CAST(floor(nms/top*255) AS BIGINT) AS q FROM nt), """ + K.otsu8("ot", "n8", "q") + """, hy AS MATERIALIZED (SELECT image_id, y, x, nms>=t/255.0::DOUBLE*top AS strong FROM n8 JOIN ot USING (image_id) WHERE nms>=t/255.0::DOUBLE*top*0.5)"""
+nt AS (SELECT *, max(nms) OVER (PARTITION BY image_id) AS top FROM nm), n8 AS (SELECT image_id, y, x, nms, top, CAST(floor(nms/top*255) AS BIGINT) AS q FROM nt), """ + K.otsu8("ot", "n8", "q") + """, hy AS MATERIALIZED (SELECT image_id, y, x, nms>=t/255.0::DOUBLE*top AS strong FROM n8 JOIN ot USING (image_id) WHERE nms>=t/255.0::DOUBLE*top*0.5)"""
 
 
-@query("c26_canny_link", "mosaic", NMS + ", " + cc_sql("hy", 8) + f", lb AS (SELECT image_id, y, x, comp AS component, count(*) OVER w AS n, bool_or(strong) OVER w AS s FROM hy JOIN cc ON id={PID} WINDOW w AS (PARTITION BY comp)) SELECT image_id, y, x, component FROM lb WHERE n>=5 AND s")
+@query("c26_canny_link", "mosaics", NMS + ", " + cc_sql("hy", 8, pid=IMG_PID) + f", lb AS (SELECT image_id, y, x, {IMG_COMP} AS component, count(*) OVER w AS n, bool_or(strong) OVER w AS s FROM hy JOIN cc ON id={IMG_PID} WINDOW w AS (PARTITION BY comp)) SELECT image_id, y, x, component FROM lb WHERE n>=5 AND s")
 def _(s, d):
-    return C.canny_link(mos(s, d).select("image_id", "y", "x", "v"), 5)
+    return C.canny_link(V.mosaics(s, d).select("image_id", "y", "x", "v"), 5)
 
 
 @query("c21_seeded_watershed", "mosaic", """px AS MATERIALIZED (SELECT y*4294967296+x AS id, y, x, 70000-v AS h FROM mosaic WHERE e>-0.02), sd AS (SELECT id, (y//16)*100+x//16+1 AS seed, h FROM px WHERE y%16=8 AND x%16=8),

@@ -26,7 +26,7 @@ def line(name: str, src: str, axis: str, weights, border: str, val="v", out="v",
     vals = ",".join(f"({k - r},{float(w)!r}::DOUBLE)" for k, w in enumerate(weights) if w != 0)
     m = _map(f"(a.{axis}+t.d)", "a.l_", border)
     return (
-        f"{name}_s AS MATERIALIZED (SELECT a.*, t.w AS w_, {m} AS n_ FROM (SELECT *, (SELECT max({axis}) FROM {src}) AS l_ FROM {src}) a CROSS JOIN (VALUES {vals}) t(d, w)), "
+        f"{name}_s AS MATERIALIZED (SELECT a.*, t.w AS w_, {m} AS n_ FROM (SELECT *, max({axis}) OVER (PARTITION BY {keys}) AS l_ FROM {src}) a CROSS JOIN (VALUES {vals}) t(d, w)), "
         f"{name} AS (SELECT {sel}, a.y, a.x, sum(a.w_*b.{val}) AS {out} FROM {name}_s a JOIN {src} b ON {on} AND b.{o}=a.{o} AND b.{axis}=a.n_ GROUP BY ALL)"
     )
 
@@ -56,7 +56,7 @@ def conv(name: str, src: str, kernels: dict, border: str, val="v", keys="image_i
     outs = ", ".join(f"sum(a.{n}*b.{val}) AS {o}" for n, o in zip(names, kernels))
     return (
         f"{name}_s AS MATERIALIZED (SELECT a.*, {', '.join('t.' + n for n in names)}, {_map('(a.y+t.dy)', 'a.ly_', border)} AS ny_, {_map('(a.x+t.dx)', 'a.lx_', border)} AS nx_ "
-        f"FROM (SELECT *, (SELECT max(y) FROM {src}) AS ly_, (SELECT max(x) FROM {src}) AS lx_ FROM {src}) a CROSS JOIN (VALUES {','.join(rows)}) t(dy, dx, {', '.join(names)})), "
+        f"FROM (SELECT *, max(y) OVER (PARTITION BY {keys}) AS ly_, max(x) OVER (PARTITION BY {keys}) AS lx_ FROM {src}) a CROSS JOIN (VALUES {','.join(rows)}) t(dy, dx, {', '.join(names)})), "
         f"{name} AS (SELECT {sel}, a.y, a.x, {outs} FROM {name}_s a JOIN {src} b ON {on} AND b.y=a.ny_ AND b.x=a.nx_ GROUP BY ALL)"
     )
 
@@ -68,7 +68,7 @@ def window(name: str, src: str, r: int, border: str, expr: str, val="v", keys="i
     expr = expr.replace("t.d", "a.d")
     return (
         f"{name}_s AS MATERIALIZED (SELECT a.*, t.dy, t.dx, {_map('(a.y+t.dy)', 'a.ly_', border)} AS ny_, {_map('(a.x+t.dx)', 'a.lx_', border)} AS nx_ "
-        f"FROM (SELECT *, (SELECT max(y) FROM {src}) AS ly_, (SELECT max(x) FROM {src}) AS lx_ FROM {src}) a CROSS JOIN (VALUES {offs}) t(dy, dx)), "
+        f"FROM (SELECT *, max(y) OVER (PARTITION BY {keys}) AS ly_, max(x) OVER (PARTITION BY {keys}) AS lx_ FROM {src}) a CROSS JOIN (VALUES {offs}) t(dy, dx)), "
         f"{name} AS (SELECT {sel}, a.y, a.x, {expr} FROM {name}_s a JOIN {src} b ON {on} AND b.y=a.ny_ AND b.x=a.nx_ GROUP BY {sel}, a.y, a.x)"
     )
 

@@ -64,6 +64,13 @@ def mosaic(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def mosaics(spark: SparkSession, d: str) -> DataFrame:
+    """Mosaics of 200 vectors, 20 in a row; the last image may be lower."""
+    return emb(spark, d).select(
+        _idiv("vec_id", 200).alias("image_id"), _y("(vec_id % 200) div 20"), _x("vec_id % 20"), "e", _v(), (F.col("e") > 0.05).alias("fg"),
+    )
+
+
 def region(spark: SparkSession, d: str) -> DataFrame:
     return emb(spark, d).select(
         _idiv("vec_id", 100).alias("image_id"),
@@ -186,6 +193,7 @@ SQL_VIEWS: dict[str, tuple[list[str], str]] = {
     "pgs": (["emb"], f"SELECT vec_id//24 AS image_id, vec_id%24 AS page, pos//8 AS y, pos%8 AS x, {_V} FROM emb"),
     "stack": (["pgs"], "SELECT image_id, page%3 AS c, page//3 AS z, y, x, v FROM pgs"),
     "mosaic": (["emb"], f"SELECT CAST(0 AS BIGINT) AS image_id, (vec_id//20)*8+pos//8 AS y, (vec_id%20)*8+pos%8 AS x, e, {_V}, e > 0.05 AS fg FROM emb"),
+    "mosaics": (["emb"], f"SELECT vec_id//200 AS image_id, ((vec_id%200)//20)*8+pos//8 AS y, (vec_id%20)*8+pos%8 AS x, e, {_V}, e > 0.05 AS fg FROM emb"),
     "region": (["emb"], f"SELECT vec_id//100 AS image_id, ((vec_id%100)//10)*8+pos//8 AS y, (vec_id%10)*8+pos%8 AS x, {_V}, CASE WHEN e>0 THEN vec_id%100+1 ELSE 0 END AS frag, CASE WHEN e > 0.02*(vec_id%10) THEN (vec_id%100)//4+1 ELSE 0 END AS gt FROM emb"),
     "frags": (["region"], "SELECT image_id, frag AS label, y, x FROM region WHERE frag > 0"),
     "profile": ([], "SELECT CAST(user_id AS VARCHAR) AS label, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id))/3600000000.0 AS distance, value AS intensity FROM events"),
