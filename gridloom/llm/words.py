@@ -1,7 +1,8 @@
 """Words of Arrow text columns as hashes, for whole batches at once.
 
-A text is read as UTF-8 bytes.  A word's hash is a polynomial in its bytes modulo 2^64, taken from
-running sums, so no word becomes a Python object; a mixer spreads it over all 64 bits.
+A text is read as UTF-8 bytes.  A byte at a place of a word stands for a random number of its own, and a
+word's hash is the mixed sum of them, taken from running sums, so no word becomes a Python object.  (A
+polynomial modulo 2^64 would not do: for every base there are short periodic words it can't tell apart.)
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ import pyarrow.compute as pc
 
 U = np.uint64
 CHUNK = 1 << 20  # bytes of text handled at once; one longer text is handled by itself
-_BASE, _GRAM = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+_GRAM = 0xD1342543DE82EF95
+_PLACES = 128  # places of a word whose numbers come from a table
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -42,7 +44,7 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-_BYTES, _WORDS = _Powers(_BASE), _Powers(_GRAM)
+_WORDS = _Powers(_GRAM)
 
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
@@ -50,14 +52,18 @@ SPACES[[0x20, *range(0x09, 0x0E)]] = True
 MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
-def _codes(lower: bool) -> np.ndarray:
-    codes = mix(np.arange(1, 257, dtype=U), 7) | U(1)
-    if lower:
-        codes[ord("A") : ord("Z") + 1] = codes[ord("a") : ord("z") + 1]
-    return codes
+_NUMBERS = mix(np.arange(_PLACES << 8, dtype=U), 7)
+_SAME = np.arange(256)
+_LOWER = np.where((_SAME >= ord("A")) & (_SAME <= ord("Z")), _SAME + 32, _SAME)
 
 
-_CODES = {False: _codes(False), True: _codes(True)}
+def _numbers(code: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The numbers of bytes at places of a word."""
+    out = _NUMBERS[np.minimum(place, _PLACES - 1) << 8 | code]
+    far = np.flatnonzero(place >= _PLACES)
+    if len(far):
+        out[far] = mix((place[far] << 8 | code[far]).astype(U), 7)
+    return out
 
 
 @dataclass
@@ -69,13 +75,14 @@ class Words:
     end: np.ndarray
     hash: np.ndarray
     at: np.ndarray
-    total: np.ndarray  # running sums that word hashes come from
+    total: np.ndarray  # running sums over the bytes of words
+    first: np.ndarray  # where each word begins in them
 
     def heads(self, n: int) -> np.ndarray:
         """Hashes of the first n bytes of each word; words that aren't longer have their own hash."""
-        _, down = _BYTES(len(self.data) + 1)
         long = self.end - self.start > n
-        h = mix((self.total[np.minimum(self.start + n, len(self.data))] - self.total[self.start]) * down[self.start], 50 + n)
+        stop = self.first[:-1] + np.minimum(n, self.end - self.start)
+        h = mix(self.total[stop] - self.total[self.first[:-1]], 50 + n)
         return np.where(long, h, self.hash)
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,10 +113,12 @@ def words(texts: pa.Array, separators: np.ndarray = SPACES, lower: bool = False)
     edge[o] = True
     start = np.flatnonzero(inside[1:] & (edge | ~inside[:-1]))
     end = np.flatnonzero(inside[:-1] & (edge | ~inside[1:]))
-    up, down = _BYTES(len(b) + 1)
-    total = np.concatenate([[U(0)], np.cumsum(_CODES[lower][b] * up[:-1])])
-    h = mix((total[end] - total[start]) * down[start], 1)
-    return Words(b, start, end, h, np.searchsorted(start, o), total)
+    size = end - start
+    first = np.concatenate([[0], np.cumsum(size)])
+    place = np.arange(first[-1]) - np.repeat(first[:-1], size)
+    total = np.concatenate([[U(0)], np.cumsum(_numbers((_LOWER if lower else _SAME)[b[inside[1:-1]]], place))])
+    h = mix(total[first[1:]] - total[first[:-1]], 1)
+    return Words(b, start, end, h, np.searchsorted(start, o), total, first)
 
 
 def chunks(texts: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, pa.Array]]:
