@@ -17,6 +17,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import StructType
 
 from gridloom.functions.rounds import shared_dir
 
@@ -49,7 +50,7 @@ def external_shuffle(docs: DataFrame, shards: int = 40, seed: int = 5, bucket_by
     gathered = gathered.sortWithinPartitions("shard", "bucket")
     shuffled = gathered.select("shard", "bucket", F.posexplode(F.shuffle(F.sort_array("rows"), F.lit(seed))).alias("i", "x"))
     shuffled.select("shard", "bucket", "i", "x.record").write.partitionBy("shard").parquet(path)
-    out = spark.read.schema("bucket int, i int, record " + docs.schema.simpleString() + ", shard int").parquet(path)
+    out = spark.read.schema(StructType().add("bucket", "integer").add("i", "integer").add("record", docs.schema).add("shard", "integer")).parquet(path)
     sizes = out.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     offset = sizes.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
