@@ -10,6 +10,9 @@ from gridloom.llm.tables import crc_mod, documents
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
+#: a single line of so many words that repeats is cut too
+LINE_WORDS = 5
+
 SQL_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
@@ -74,7 +77,7 @@ def op5(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "op6_capped_water_filling",
-    f"""WITH d AS MATERIALIZED (SELECT doc_id, source, len({SQL_WORDS}) AS size, md5(concat('6:', doc_id)) AS h FROM documents),
+    f"""WITH d AS MATERIALIZED (SELECT doc_id, source, len({SQL_WORDS}) AS size, md5(concat_ws(':', '6', doc_id, md5(text))) AS h FROM documents),
     s AS (SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM d GROUP BY source),
     r AS (SELECT *, source_size * 2 AS cap, source_size * 2 / weight AS ratio FROM s),
     l AS (SELECT *, row_number() OVER f AS turn, sum(source_size) OVER ()::DOUBLE * 1.5 - (sum(cap) OVER f - cap)::DOUBLE AS left_size,
@@ -127,13 +130,15 @@ def op9(spark: SparkSession, d: str) -> DataFrame:
     r"""WITH p AS MATERIALIZED (SELECT doc_id, unnest(range(len(p))) AS i, unnest(p) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)),
     l AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM p WHERE regexp_matches(t, '[^\x20\x09-\x0D]')),
     r AS (SELECT a.doc_id, a.n, row_number() OVER (PARTITION BY a.t, b.t ORDER BY a.doc_id, a.n) AS k FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.n = a.n + 1),
-    cut AS MATERIALIZED (SELECT doc_id, i FROM l JOIN (SELECT DISTINCT doc_id, n + o AS n FROM r, (VALUES (0), (1)) v(o) WHERE k > 1) USING (doc_id, n)),
+    s AS (SELECT doc_id, i, row_number() OVER (PARTITION BY t ORDER BY doc_id, n) AS k FROM l WHERE len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) >= 5),
+    cut AS MATERIALIZED (SELECT doc_id, i FROM l JOIN (SELECT DISTINCT doc_id, n + o AS n FROM r, (VALUES (0), (1)) v(o) WHERE k > 1) USING (doc_id, n)
+        UNION SELECT doc_id, i FROM s WHERE k > 1),
     kept AS (SELECT doc_id, string_agg(t, chr(10) ORDER BY i) AS kept FROM p ANTI JOIN cut USING (doc_id, i) GROUP BY 1)
     SELECT d.doc_id, coalesce(c.n, 0) AS n_lines, coalesce(g.n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
     FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM l GROUP BY 1) c USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM cut GROUP BY 1) g USING (doc_id)""",
 )
 def op10(spark: SparkSession, d: str) -> DataFrame:
-    r = lines.drop_repeated_lines(documents(spark, d))
+    r = lines.drop_repeated_lines(documents(spark, d), alone=LINE_WORDS)
     return r.select(F.col("row.doc_id").alias("doc_id"), F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
