@@ -208,7 +208,8 @@ class Encoder:
     def decode(self, ids: list[int]) -> str:
         """The text of any ids; a byte that is part of no character becomes U+FFFD."""
         data = b"".join([self.model.text[i] for i in ids])
-        if self.model.prefix and ids and self.model.text[next((i for i in ids if self.model.text[i]), ids[0])][:1] == b" ":
+        first = next((i for i in ids if self.model.text[i]), None)
+        if self.model.prefix and data[:1] == b" " and first not in self.model.bytes:  # the space put before the text
             data = data[1:]
         return data.decode("utf-8", "each-byte")
 
