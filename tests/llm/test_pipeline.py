@@ -51,6 +51,9 @@ def test_lines(steps):
         for (a, x), (b, y) in zip(ls, ls[1:]):
             if seen.setdefault((x, y), (i, a)) != (i, a):
                 cut[i] |= {a, b}
+        for a, x in ls:
+            if len(split(x)) >= queries.LINE_WORDS and seen.setdefault(x, (i, a)) != (i, a):
+                cut[i].add(a)
     for r in rows(steps[1]):
         ls = None if r[1] is None else r[1].split("\n")
         left = None if ls is None else [x for k, x in enumerate(ls) if k not in cut[r[0]]]
@@ -101,6 +104,21 @@ def test_run(spark):
     assert r.count() > 0 and r.filter("size(ids) <> n_tokens").count() == 0
 
 
+def test_empty_table_and_extra_columns(spark):
+    """Columns with the operators' own names pass through all stages; an empty table gives empty results."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").limit(40)
+    for name in ("row", "that_id", "my-col", "copies", "at", "cut", "that_source", "root", "score"):
+        docs = docs.withColumn(name, F.lit(name))
+    for table in (docs, docs.filter("false")):
+        d = written(table)
+        for _, stage in corpus_pipeline.STAGES[:4]:
+            d = written(stage(spark, d, DIR))
+            assert d.columns == docs.columns
+            assert d.filter("`my-col` <> 'my-col' or that_id <> 'that_id'").count() == 0
+        coded = corpus_pipeline.STAGES[4][1](spark, d, DIR)
+        assert (coded.count() > 0) == (table.count() > 0)
+
+
 def best_parts(x):
     """Scores of the maximal segments by their definition: the best one, then those left and right of it."""
     out, todo = [], [(0, len(x))]
@@ -149,10 +167,16 @@ def test_toxicity_by_a_plain_scan(spark):
     assert Counter(rows(corpus_pipeline.toxic(spark, docs, d))) == want and 0 < sum(want.values()) < len(every)
 
 
+def place(doc_id, text):
+    """Where a document stands in the seeded order of its source."""
+    parts = ["6", *([] if doc_id is None else [str(doc_id)]), *([] if text is None else [hashlib.md5(text.encode()).hexdigest()])]
+    return hashlib.md5(":".join(parts).encode()).hexdigest()
+
+
 def test_mix_by_a_plain_loop(steps):
     sources = defaultdict(list)
     for r in rows(steps[3]):
-        sources[r[3]].append((hashlib.md5(("6" if r[0] is None else f"6:{r[0]}").encode()).hexdigest(), r[0], len(split(r[1])), r))
+        sources[r[3]].append((place(r[0], r[1]), r[0], len(split(r[1])), r))
     size = {s: sum(x[2] for x in d) for s, d in sources.items()}
     name = {s: (s is None, s or "") for s in sources}
     weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sorted(sources, key=name.get))}
@@ -167,7 +191,7 @@ def test_mix_by_a_plain_loop(steps):
     for s, d in sources.items():
         whole = int(target[s] // size[s]) if size[s] else 0
         start = 0
-        for _, _, n, r in sorted(d, key=lambda x: x[:3]):
+        for _, _, n, r in sorted(d, key=lambda x: x[0]):
             want[r] += whole + (n > 0 and start + n / 2 <= target[s] - whole * size[s])
             start += n
     assert Counter(rows(steps[4])) == +want and len(sources) > 2

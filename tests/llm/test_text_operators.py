@@ -65,6 +65,21 @@ def test_words_and_grams():
     assert off.tolist() == [0, 2, 2, 2, 5] and g[0] == g[2] and g[1] == g[3]
 
 
+def thue_morse(n, a, b):
+    return "".join(b if i.bit_count() % 2 else a for i in range(n))
+
+
+@pytest.mark.parametrize("n", [128, 1024, 4096])
+def test_periodic_words_differ(spark, n):
+    """Words that no polynomial modulo 2^64 tells apart."""
+    x, y = thue_morse(n, "a", "b"), thue_morse(n, "b", "a")
+    w = words(pa.array([x, y, x]))
+    assert w.hash[0] != w.hash[1] and w.hash[0] == w.hash[2]
+    assert w.heads(64)[0] != w.heads(64)[1] and w.heads(64)[0] == words(pa.array([x[:70]])).heads(64)[0]
+    d = spark.createDataFrame([(1, x), (2, y), (3, x.upper())], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.similar_groups(d).collect()} == {1: 1, 2: 2, 3: 1}
+
+
 def shingle_sets(rows):
     out = []
     for i, t in rows:
@@ -244,6 +259,43 @@ def test_external_shuffle(docs):
     assert sum(a < b for a, b in zip(first, first[1:])) < 0.7 * len(first)
 
 
+def test_clashing_names(spark):
+    """Columns named like inner ones, or in need of quotes, change nothing."""
+    d = spark.createDataFrame([(i, f"the text number {i // 2} of a few", "x") for i in range(8)], "doc_id long, text string, source string")
+    for name in ("my-col", "that_id", "that_hash", "th", "cls", "record", "shard", "bucket", "size", "cut", "a b"):
+        d = d.withColumn(name, F.lit(name))
+    kept = jaccard.drop_similar(d)
+    assert kept.columns == d.columns and sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 4, 6]
+    out = shards.external_shuffle(d, shards=2)
+    assert sorted(r["record"]["my-col"] + str(r["record"]["doc_id"]) for r in out.collect()) == [f"my-col{i}" for i in range(8)]
+    assert {r["row"]["cut"] for r in mixing.mix(d).collect()} == {"cut"}
+    assert {r["row"]["th"] for r in lines.drop_repeated_lines(d).collect()} == {"th"}
+
+
+def test_mix_cuts_through_equal_rows(spark):
+    """A third of all rows equal, some under null: what the cut goes through is taken in part."""
+    rows = [(7, "the same five words here", "a")] * 30 + [(None, "null id", None)] * 9 + [(i, f"w {i} and more", "a") for i in range(40)] + [(None, None, "b")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    m = mixing.mix(d, share=0.9).collect()
+    assert Counter((r["row"]["doc_id"], r["row"]["text"]) for r in m) == Counter((i, t) for i, t, _ in rows)
+    for s in ("a", None):
+        rs = [r for r in m if r["row"]["source"] == s]
+        assert abs(sum(r["size"] * r["copies"] for r in rs) - rs[0]["target"]) <= 5
+
+
+def test_scratch_tables_go(spark, docs):
+    import os
+
+    from gridloom.functions.rounds import shared_dir
+
+    def tables():
+        return set(os.listdir(shared_dir(spark)))
+
+    before = tables()
+    g = jaccard.similar_groups(docs)
+    assert len(tables() - before) == 1 and g.count() == docs.count()
+
+
 def test_shards_grow_into_the_new_one(docs):
     r = docs.select(shards.rendezvous(F.col("doc_id"), 40).alias("a"), shards.rendezvous(F.col("doc_id"), 41).alias("b")).collect()
     assert all(x["a"] == x["b"] or x["b"] == 40 for x in r)
