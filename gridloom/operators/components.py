@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from gridloom.functions.columns import with_stats
-from gridloom.functions.ordering import first_by, running_sums
+from gridloom.functions.ordering import running_sums
 from gridloom.functions.rounds import materialize
 from gridloom.operators import filters as N, raster as R
 from gridloom.operators.tiles import SHIFTS4, SHIFTS8, key_schema, per_tile
@@ -199,78 +199,76 @@ def topology(cells: DataFrame, edges: DataFrame) -> DataFrame:
     return t.withColumn("topology", kind)
 
 
-def _sweep(adj: DataFrame, start: DataFrame, out: str) -> DataFrame:
-    """Distances from one start node per cell inside trees, frontier by frontier."""
-    seen, obs = materialize(start.select("graph_id", "cell", "node", F.lit(0).alias(out), F.lit(None).cast("long").alias("via")), n=F.count(F.lit(1)))
-    parts, front = [seen], seen
+def euler_ranks(edges: DataFrame) -> DataFrame:
+    """(graph_id, cell, u, v, pos, total): the arcs of every tree (graph_id, cell, src, dst) in the order of
+    its Euler tour, which begins at the smallest node and visits neighbours by number.
+
+    An arc into v goes on to v's next neighbour; the tour is a linked list, ranked by pointer doubling:
+    each round every arc jumps twice as far, so the longest list of n arcs takes log2(n) rounds.
+    """
+    keys = ["graph_id", "cell"]
+    arcs = edges.select(*keys, F.col("src").alias("u"), F.col("dst").alias("v")).unionByName(edges.select(*keys, F.col("dst").alias("u"), F.col("src").alias("v")))
+    size = arcs.groupBy(*keys).agg(F.min("u").alias("_root"), F.count(F.lit(1)).alias("total"))
+    around = W.partitionBy(*keys, "u").orderBy("v")
+    first = arcs.groupBy(*keys, "u").agg(F.min("v").alias("_first"))
+    step = arcs.withColumn("_next", F.lead("v").over(around)).join(first, [*keys, "u"]).join(size, keys)
+    ends = F.col("_next").isNull() & (F.col("u") == F.col("_root"))  # back at the root after its last neighbour
+    arc = F.when(~ends, F.struct("u", F.coalesce("_next", "_first").alias("v")))
+    todo = step.select(*keys, F.struct(F.col("v").alias("u"), F.col("u").alias("v")).alias("arc"), arc.alias("to"), F.when(ends, 0).otherwise(1).cast("long").alias("k"), "total")
+    todo, obs = materialize(todo, n=F.count("to"))
     while obs["n"]:
-        nxt = front.join(adj, ["graph_id", "node"]).filter(F.col("via").isNull() | (F.col("other") != F.col("via")))
-        front, obs = materialize(nxt.select("graph_id", "cell", F.col("other").alias("node"), (F.col(out) + 1).alias(out), F.col("node").alias("via")), n=F.count(F.lit(1)))
-        parts.append(front)
-    res = parts[0]
-    for p in parts[1:]:
-        res = res.unionByName(p)
-    return res.drop("via")
-
-
-def _tree_order(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Chain of one small tree given by its edges: end to end for a path, else a longest path."""
-    near: dict[int, list[int]] = {}
-    for a, b in zip(pdf["src"], pdf["dst"]):
-        near.setdefault(a, []).append(b)
-        near.setdefault(b, []).append(a)
-
-    def walk(root):
-        dist, back, todo = {root: 0}, {root: None}, [root]
-        for u in todo:
-            for v in near[u]:
-                if v not in dist:
-                    dist[v], back[v] = dist[u] + 1, u
-                    todo.append(v)
-        far = min(dist, key=lambda n: (-dist[n], n))
-        return far, back
-
-    if max(map(len, near.values())) <= 2:
-        start = min(n for n, o in near.items() if len(o) == 1)
-    else:
-        start, _ = walk(min(near))
-    end, back = walk(start)
-    path = []
-    while end is not None:
-        path.append(end)
-        end = back[end]
-    path.reverse()
-    return pd.DataFrame({"graph_id": pdf["graph_id"].iloc[0], "cell": pdf["cell"].iloc[0], "pos": range(len(path)), "node": path})
-
-
-def chain_order(cells: DataFrame, edges: DataFrame, local_limit: int = 100_000) -> DataFrame:
+        there = todo.select(*keys, F.col("arc").alias("to"), F.col("to").alias("_to"), F.col("k").alias("_k"))
+        j = todo.join(there, [*keys, "to"], "left")
+        todo, obs = materialize(j.select(*keys, "arc", F.col("_to").alias("to"), (F.col("k") + F.coalesce("_k", F.lit(0))).alias("k"), "total"), n=F.count("to"))
+    return todo.select(*keys, "arc.u", "arc.v", (F.col("total") - 1 - F.col("k")).alias("pos"), "total")
+
+
+def tree_depths(ranks: DataFrame, roots: DataFrame, out: str) -> DataFrame:
+    """(graph_id, cell, node, <out>): distances inside trees from one root (graph_id, cell, node) each.
+
+    Turning the tour so that it begins at the root needs no new ranking; the arc of an edge that comes
+    first leads down, and a node's depth is the running sum of down and up at that arc.
+    """
+    keys = ["graph_id", "cell"]
+    start = ranks.join(roots.withColumnRenamed("node", "u"), [*keys, "u"]).groupBy(*keys).agg(F.min("pos").alias("_p0"))
+    turned = ranks.join(start, keys).withColumn("q", (F.col("pos") - F.col("_p0") + F.col("total")) % F.col("total"))
+    both = turned.groupBy(*keys, F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).agg(F.min(F.struct("q", F.col("v").alias("node"))).alias("down"), F.max("q").alias("up"))
+    steps = both.select(*keys, F.explode(F.array(
+        F.struct(F.col("down.q").alias("q"), F.lit(1).alias("d"), F.col("down.node").alias("node")),
+        F.struct(F.col("up").alias("q"), F.lit(-1).alias("d"), F.lit(None).cast("long").alias("node")),
+    )).alias("s")).select(*keys, "s.*")
+    depth = running_sums(steps, keys, "q", {out: "d"}, bucket=F.expr("q div 4096")).filter("node is not null")
+    return depth.select(*keys, "node", F.col(out).cast("int").alias(out)).unionByName(roots.select(*keys, "node", F.lit(0).alias(out)))
+
+
+def chain_order(cells: DataFrame, edges: DataFrame) -> DataFrame:
     """Node order along every cell (graph_id, cell, pos, node): a path from its smaller end, a
     longest path of a branched tree, nothing for cyclic cells.
 
-    Trees of at most `local_limit` nodes are ordered one per group; larger ones by two frontier
-    sweeps over the cluster, so no group is ever larger than the limit.
+    All trees are ranked together by one Euler tour each (see `euler_ranks`), whatever their size.
+    A longest path runs from the node farthest from the smallest one to the node farthest from
+    that; its nodes are those whose distances to both ends add up to its length.
     """
-    top, _ = materialize(topology(cells, edges).select("graph_id", "cell", "n_nodes", "topology"))
+    keys = ["graph_id", "cell"]
+    top, _ = materialize(topology(cells, edges).select(*keys, "n_nodes", "topology"))
     und = edges.filter("src <> dst").select("graph_id", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
     trees = top.filter("topology IN ('path', 'branched')")
-    e = und.join(cells.withColumnRenamed("node", "src"), ["graph_id", "src"]).join(trees, ["graph_id", "cell"])
-    single = cells.join(top.filter("topology = 'singleton'"), ["graph_id", "cell"]).select("graph_id", "cell", F.lit(0).alias("pos"), "node")
-    small = e.filter(F.col("n_nodes") <= local_limit).select("graph_id", "cell", "src", "dst")
-    out = small.groupBy("graph_id", "cell").applyInPandas(_tree_order, "graph_id long, cell long, pos int, node long").unionByName(single)
-    big, obs = materialize(e.filter(F.col("n_nodes") > local_limit), n=F.count(F.lit(1)))
-    if obs["n"]:
-        adj = big.select("graph_id", F.col("src").alias("node"), F.col("dst").alias("other")).unionByName(big.select("graph_id", F.col("dst").alias("node"), F.col("src").alias("other")))
-        deg = adj.groupBy("graph_id", "node").agg(F.count("*").alias("degree")).join(cells, ["graph_id", "node"]).join(trees, ["graph_id", "cell"])
-        lowest = first_by(deg, ["graph_id", "cell"], [F.when((F.col("topology") == "path") & (F.col("degree") > 1), 1).otherwise(0), F.col("node")])
-        paths = lowest.filter("topology = 'path'").select("graph_id", "cell", "node")
-        one = _sweep(adj, lowest.filter("topology = 'branched'"), "d0")
-        far = first_by(one, ["graph_id", "cell"], [F.col("d0").desc(), F.col("node")]).select("graph_id", "cell", "node")
-        da = _sweep(adj, paths.unionByName(far), "da")
-        end = first_by(da, ["graph_id", "cell"], [F.col("da").desc(), F.col("node")])
-        db = _sweep(adj, end.select("graph_id", "cell", "node"), "db")
-        on = da.join(db, ["graph_id", "cell", "node"]).join(end.select("graph_id", "cell", F.col("da").alias("length")), ["graph_id", "cell"])
-        out = out.unionByName(on.filter("da + db = length").select("graph_id", "cell", F.col("da").alias("pos"), "node"))
-    return out
+    e = und.join(cells.withColumnRenamed("node", "src"), ["graph_id", "src"]).join(trees.select(*keys), keys)
+    single = cells.join(top.filter("topology = 'singleton'"), keys).select(*keys, F.lit(0).alias("pos"), "node")
+    ranks = euler_ranks(e)
+    degree = ranks.groupBy(*keys, F.col("u").alias("node")).agg(F.count(F.lit(1)).alias("degree")).join(trees, keys)
+    first = degree.groupBy(*keys, "topology").agg(F.min(F.when((F.col("topology") == "branched") | (F.col("degree") == 1), F.col("node"))).alias("node"))
+
+    def farthest(d: DataFrame, c: str) -> DataFrame:
+        return d.groupBy(*keys).agg(F.max(F.struct(F.col(c), (-F.col("node")).alias("n"))).alias("m")).select(*keys, (-F.col("m.n")).alias("node"), F.col(f"m.{c}").alias("length"))
+
+    far = farthest(tree_depths(ranks, first.filter("topology = 'branched'").select(*keys, "node"), "d0"), "d0")
+    start, _ = materialize(first.filter("topology = 'path'").select(*keys, "node").unionByName(far.select(*keys, "node")))
+    da, _ = materialize(tree_depths(ranks, start, "da"))
+    end = farthest(da, "da")
+    db = tree_depths(ranks, end.select(*keys, "node"), "db")
+    on = da.join(db, [*keys, "node"]).join(end.select(*keys, "length"), keys).filter("da + db = length")
+    return on.select(*keys, F.col("da").alias("pos"), "node").unionByName(single)
 
 
 def relabel(labels: DataFrame, cells: DataFrame) -> DataFrame:
@@ -311,14 +309,28 @@ def _kruskal(pdf: pd.DataFrame) -> pd.DataFrame:
     return ordered.iloc[keep]
 
 
-def minimum_forest(edges: DataFrame, keys: list[str], local_limit: int = 1_000_000) -> DataFrame:
+def minimum_forest(edges: DataFrame, keys: list[str], local_limit: int = 50_000) -> DataFrame:
     """Minimum spanning forest of (keys, i, j, dist) per group, ties by (i, j).
 
-    Groups of at most `local_limit` edges are solved one per task; larger ones contract their
-    cheapest edges round by round over the cluster.
+    Forests are mergeable: an edge that closes a cycle of cheaper ones in any slice of a group's edges
+    is in no forest of the group.  So groups of more than `local_limit` edges are dealt into slices of
+    that many, every slice keeps its own forest, and the forests are dealt again, as long as that sheds
+    edges.  A task never sees more than a slice.  Groups with forests of more than a slice contract
+    their cheapest edges round by round over the cluster.
     """
     edges, _ = materialize(edges.select(*keys, "i", "j", "dist"))
     sized = with_stats(edges, keys, _n=F.count("*"))
+    cut, obs = materialize(sized.filter(F.col("_n") > local_limit), n=F.count(F.lit(1)))
+    before = None
+    while obs["n"] and (before is None or obs["n"] <= 0.8 * before):
+        before = obs["n"]
+        slices = F.ceil(F.col("_n") / local_limit)
+        dealt = cut.withColumn("_slice", F.pmod(F.xxhash64("i", "j"), slices)).drop("_n")
+        kept = dealt.groupBy(*keys, "_slice").applyInPandas(_kruskal, dealt.schema).drop("_slice")
+        cut, obs = materialize(with_stats(kept, keys, _n=F.count("*")), n=F.count_if(F.col("_n") > local_limit))
+        sized = sized.filter(F.col("_n") <= local_limit).unionByName(cut.filter(F.col("_n") <= local_limit))
+        cut = cut.filter(F.col("_n") > local_limit)
+    sized = sized.filter(F.col("_n") <= local_limit).unionByName(cut)
     out = sized.filter(F.col("_n") <= local_limit).drop("_n").groupBy(*keys).applyInPandas(_kruskal, edges.schema)
     big, obs = materialize(sized.filter(F.col("_n") > local_limit).drop("_n"), n=F.count(F.lit(1)))
     cur = big.withColumn("a", F.col("i")).withColumn("b", F.col("j"))

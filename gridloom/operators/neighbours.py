@@ -17,14 +17,14 @@ from gridloom.functions.columns import with_stats
 from gridloom.functions.ordering import first_by
 from gridloom.functions.rounds import materialize
 
-LEAF, DEPTH = 8, 24
-#: levels looked at in one round of building, levels walked between two written rounds
-STEP, WALK = 4, 3
+LEAF, DEPTH = 8, 50
+#: levels looked at in one round of building, turns of the walk between two written rounds
+STEP, WALK = 5, 3
 _KEY = ["lv", "ky", "kx"]
 
 
-def quadtree(points: DataFrame, leaf: int = LEAF) -> tuple[DataFrame, int]:
-    """(image_id, label, cy, cx, lv, ky, kx): every point with its leaf cell, and the deepest level."""
+def quadtree(points: DataFrame, leaf: int = LEAF) -> DataFrame:
+    """(image_id, label, cy, cx, lv, ky, kx): every point with its leaf cell."""
     p = with_stats(points.select("image_id", "label", "cy", "cx"), ["image_id"], _y=F.min("cy"), _x=F.min("cx"), _side=F.greatest(F.max("cy") - F.min("cy"), F.max("cx") - F.min("cx")))
     top = 1 << DEPTH
 
@@ -32,7 +32,7 @@ def quadtree(points: DataFrame, leaf: int = LEAF) -> tuple[DataFrame, int]:
         return F.least(F.floor((F.col(c) - F.col(low)) / F.greatest(F.col("_side"), F.lit(1e-9)) * top), F.lit(top - 1)).cast("long")
 
     p = p.select("image_id", "label", "cy", "cx", place("cy", "_y").alias("fy"), place("cx", "_x").alias("fx"))
-    done, first, deepest = [], 0, 0
+    done, first = [], 0
     todo, obs = materialize(p, n=F.count(F.lit(1)))
     while obs["n"] or not done:
         last = min(first + STEP, DEPTH)
@@ -42,29 +42,40 @@ def quadtree(points: DataFrame, leaf: int = LEAF) -> tuple[DataFrame, int]:
         small = each.join(n, ["image_id", *_KEY]).filter((F.col("n") <= leaf) | (F.col("lv") == DEPTH))
         small = small.groupBy("image_id", "label", "cy", "cx", "fy", "fx").agg(F.min("lv").alias("lv"))
         state = todo.join(small.select("image_id", "label", "lv"), ["image_id", "label"], "left")
-        state, obs = materialize(state, n=F.count_if(F.col("lv").isNull()), lv=F.max("lv"))
-        deepest = max(deepest, obs["lv"])
+        state, obs = materialize(state, n=F.count_if(F.col("lv").isNull()))
         found = state.filter("lv is not null")
         done.append(found.select("image_id", "label", "cy", "cx", "lv", F.expr(f"shiftright(fy, {DEPTH} - lv)").alias("ky"), F.expr(f"shiftright(fx, {DEPTH} - lv)").alias("kx")))
         todo, first = state.filter("lv is null").drop("lv"), last + 1
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out, deepest
+    return out
 
 
-def _cells(leaves: DataFrame) -> DataFrame:
-    """(image_id, lv, ky, kx, cell, kids): every cell with the box and count of its points, and its children
-    (a leaf is its own only child)."""
-    up = leaves.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("lv"))))
-    c = up.groupBy(
-        "image_id", F.col("at").alias("lv"), F.expr("shiftright(ky, lv - at)").alias("ky"), F.expr("shiftright(kx, lv - at)").alias("kx"), (F.col("at") == F.col("lv")).alias("leaf"),
-    ).agg(F.count(F.lit(1)).alias("n"), F.min("cy").alias("y0"), F.max("cy").alias("y1"), F.min("cx").alias("x0"), F.max("cx").alias("x1"))
-    c = c.select("image_id", *_KEY, "leaf", F.struct(*_KEY, "n", "y0", "y1", "x0", "x1").alias("cell"))
-    below = c.filter("lv > 0").select("image_id", (F.col("lv") - 1).alias("lv"), F.expr("shiftright(ky, 1)").alias("ky"), F.expr("shiftright(kx, 1)").alias("kx"), "cell")
-    own = c.filter("leaf").select("image_id", *_KEY, "cell")
-    kids = below.unionByName(own).groupBy("image_id", *_KEY).agg(F.collect_list("cell").alias("kids"))
-    return c.drop("leaf").join(kids, ["image_id", *_KEY])
+def _cells(leaves: DataFrame) -> tuple[DataFrame, int]:
+    """(image_id, lv, ky, kx, cell, kids): leaves and the cells that branch, with the box and count of their
+    points and the next such cells below (a leaf is its own only child); and how many follow each other at most."""
+    leaf = leaves.groupBy("image_id", *_KEY).agg(F.count(F.lit(1)).alias("n"), F.min("cy").alias("y0"), F.max("cy").alias("y1"), F.min("cx").alias("x0"), F.max("cx").alias("x1"))
+    up = leaf.withColumn("leaf", F.struct(*_KEY)).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("lv"))))
+
+    def above(k: str, at: str) -> Column:
+        return F.expr(f"shiftright({k}, lv - {at})")
+
+    child = F.when(F.col("at") < F.col("lv"), F.struct(above("ky", "(at + 1)").alias("y"), above("kx", "(at + 1)").alias("x")))
+    up = up.select("image_id", "leaf", F.col("at").alias("lv"), above("ky", "at").alias("ky"), above("kx", "at").alias("kx"), child.alias("child"), "n", "y0", "y1", "x0", "x1")
+    up, _ = materialize(up)
+    key = ["image_id", *_KEY]
+    box = [F.sum("n").alias("n"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.min("x0").alias("x0"), F.max("x1").alias("x1")]
+    kept = up.groupBy(*key).agg(*box, F.min("child").alias("a"), F.max("child").alias("b")).filter("a is null or a <> b or lv = 0")
+    kept = kept.select(*key, F.col("a").isNull().alias("is_leaf"), F.struct(*_KEY, "n", "y0", "y1", "x0", "x1").alias("cell"))
+    path = up.select("leaf", *key).join(kept, key)
+    way = W.partitionBy("image_id", "leaf").orderBy("lv")  # one row a level
+    path = path.withColumn("above", F.lag(F.struct(*_KEY)).over(way)).withColumn("turn", F.row_number().over(way))
+    path, obs = materialize(path, turns=F.max("turn"))
+    below = path.filter("above is not null").select("image_id", "above.*", "cell").distinct()
+    own = path.filter("is_leaf").select(*key, "cell")
+    kids = below.unionByName(own).groupBy(*key).agg(F.collect_list("cell").alias("kids"))
+    return kept.drop("is_leaf").join(kids, key), obs["turns"] - 1
 
 
 def _square_gap(near: bool) -> Column:
@@ -92,14 +103,13 @@ def _open(pairs: DataFrame, cells: DataFrame, m: int) -> DataFrame:
 
 def leaf_pairs(points: DataFrame, m: int, leaf: int = LEAF) -> tuple[DataFrame, DataFrame]:
     """(image_id, q, c): the pairs of leaf cells whose points must be compared, and the points with their cells."""
-    leaves, deepest = quadtree(points, leaf)
-    leaves, _ = materialize(leaves)
-    cells, _ = materialize(_cells(leaves))
-    root = cells.filter("lv = 0").select("image_id", F.col("cell").alias("q"), F.col("cell").alias("c"))
-    pairs = root
-    for level in range(1, deepest + 1):
+    leaves, _ = materialize(quadtree(points, leaf))
+    cells, turns = _cells(leaves)
+    cells, _ = materialize(cells)
+    pairs = cells.filter("lv = 0").select("image_id", F.col("cell").alias("q"), F.col("cell").alias("c"))
+    for turn in range(1, turns + 1):
         pairs = _open(pairs, cells, m)
-        if level % WALK == 0 and level < deepest:
+        if turn % WALK == 0 and turn < turns:
             pairs, _ = materialize(pairs)
     return pairs, leaves
 

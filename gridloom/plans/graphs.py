@@ -12,7 +12,7 @@ from gridloom.plans import sqlkit as K
 from gridloom.plans.evaluation import DIRECTED
 from gridloom.plans.filters import sobel_sql
 from gridloom.plans.rasters import otsu_sql
-from gridloom.plans.regions import LAB, sizes, slice_labels
+from gridloom.plans.regions import INNER, LAB, OV, sizes, slice_labels
 from gridloom.plans.registry import query
 from gridloom.sources import views as V
 
@@ -202,7 +202,7 @@ def _(s, d):
 
 @query("g3_chain_order_swept", "pairs", CHAIN)
 def _(s, d):
-    return C.chain_order(*cells(s, d), local_limit=5)
+    return C.chain_order(*cells(s, d))
 
 
 @query("g4_relabel", "frags", "SELECT image_id, y, x, (label-1)//3+1 AS label FROM frags")
@@ -243,7 +243,15 @@ def _(s, d):
     return C.greedy_chains(e, pts, 0.5, 90.0)
 
 
-@query("e8_merge_edges")
+# an edge is in the minimum forest if cheaper edges (ties by number) don't connect its ends
+MERGE = """as0 AS (SELECT DISTINCT image_id, gt, frag AS label FROM bo WHERE gt IS NOT NULL AND n>=0.1*area), ie AS (SELECT a.image_id, a.gt, a.label AS i, b.label AS j FROM as0 a JOIN as0 b ON a.image_id=b.image_id AND a.gt=b.gt AND a.label<b.label),
+md AS (SELECT ie.image_id, gt, i, j, min((a.y-b.y)*(a.y-b.y)+(a.x-b.x)*(a.x-b.x)) AS d2 FROM ie JOIN ib a ON a.image_id=ie.image_id AND a.label=i JOIN ib b ON b.image_id=ie.image_id AND b.label=j GROUP BY 1,2,3,4),
+mr AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY image_id, gt ORDER BY d2, i, j) AS r FROM md), mb AS MATERIALIZED (SELECT image_id, gt, r, i AS a, j AS b FROM mr UNION ALL SELECT image_id, gt, r, j, i FROM mr),
+mw(image_id, gt, r, node) AS (SELECT image_id, gt, r, i FROM mr UNION SELECT mw.image_id, mw.gt, mw.r, e.b FROM mw JOIN mb e ON e.image_id=mw.image_id AND e.gt=mw.gt AND e.r<mw.r AND e.a=mw.node)
+SELECT image_id, gt, i, j, round(sqrt(d2), 6)+0.0 AS dist FROM mr ANTI JOIN mw ON mw.image_id=mr.image_id AND mw.gt=mr.gt AND mw.r=mr.r AND mw.node=mr.j"""
+
+
+@query("e8_merge_edges", "frags region", OV + ", " + INNER + ", " + MERGE)
 def _(s, d):
     f = V.frags(s, d)
     return C.merge_edges(f, G.inner_boundary(f, sizes(s, d)), M.assign_to_gt(V.region(s, d), 0.1)).select("image_id", "gt", "i", "j", rnd("dist").alias("dist"))

@@ -22,14 +22,13 @@ CASES = {
 
 
 @pytest.mark.parametrize("kind", CASES)
-@pytest.mark.parametrize("limit", [100, 0])
-def test_topology_and_chain_order(spark, kind, limit):
+def test_topology_and_chain_order(spark, kind):
     nodes, edges, order = CASES[kind]
     n, e = graph(spark, nodes, edges)
     cells = C.graph_components(n, e)
     t = C.topology(cells, e).collect()
     assert [r.topology for r in t] == [kind]
-    chain = [r.node for r in C.chain_order(cells, e, limit).orderBy("pos").collect()]
+    chain = [r.node for r in C.chain_order(cells, e).orderBy("pos").collect()]
     if order is not None:
         assert chain == order
     else:
@@ -106,13 +105,76 @@ def kruskal(edges):
     return out
 
 
-@pytest.mark.parametrize("limit", [10_000, 0])
+def brute_chain(near):
+    """End to end for a path, else from the node farthest from the smallest one, to the one farthest from that."""
+
+    def walk(root):
+        back, dist, todo = {root: None}, {root: 0}, [root]
+        for u in todo:
+            for v in near[u]:
+                if v not in dist:
+                    back[v], dist[v] = u, dist[u] + 1
+                    todo.append(v)
+        return back, min(dist, key=lambda n: (-dist[n], n))
+
+    path = max(map(len, near.values())) <= 2
+    start = min(n for n in near if len(near[n]) == 1) if path else walk(min(near))[1]
+    back, end = walk(start)
+    out = []
+    while end is not None:
+        out.append(end)
+        end = back[end]
+    return out[::-1]
+
+
+def test_chain_order_of_random_trees(spark):
+    """Many trees at once, stars and combs among them."""
+    rng = random.Random(6)
+    nodes, edges, cell_of = [], [], {}
+    for c in range(30):
+        ids = rng.sample(range(c * 100, c * 100 + 100), rng.randint(2, 40))
+        shape = c % 3
+        for k in range(1, len(ids)):
+            other = ids[0] if shape == 0 else ids[k - 1] if shape == 1 and rng.random() < 0.8 else ids[rng.randrange(k)]
+            edges.append((ids[k], other) if rng.random() < 0.5 else (other, ids[k]))
+        nodes += ids
+        cell_of |= dict.fromkeys(ids, c)
+    n, e = graph(spark, nodes, edges + edges[:20] + [(nodes[0], nodes[0])])
+    cells = spark.createDataFrame([(0, c, i) for i, c in cell_of.items()], "graph_id long, cell long, node long")
+    got = {}
+    for r in C.chain_order(cells, e).orderBy("cell", "pos").collect():
+        got.setdefault(r.cell, []).append(r.node)
+    for c in range(30):
+        near = {i: set() for i in nodes if cell_of[i] == c}
+        for a, b in edges:
+            if cell_of[a] == c:
+                near[a].add(b)
+                near[b].add(a)
+        assert got[c] == brute_chain(near), c
+
+
+def test_a_long_path_takes_few_rounds(spark, monkeypatch):
+    n = 200_000
+    ids = (F.col("id") * 7919) % n  # numbers that jump along the path
+    e = spark.range(n - 1).select(F.lit(0).cast("long").alias("graph_id"), F.lit(1).cast("long").alias("cell"), ids.alias("src"), (((F.col("id") + 1) * 7919) % n).alias("dst"))
+    rounds, real = [], C.materialize
+    monkeypatch.setattr(C, "materialize", lambda df, **k: rounds.append(1) or real(df, **k))
+    ranks = C.euler_ranks(e)
+    assert len(rounds) < 25
+    d = C.tree_depths(ranks, spark.createDataFrame([(0, 1, 0)], "graph_id long, cell long, node long"), "d")
+    at = d.join(spark.range(n).select(ids.alias("node"), F.col("id").alias("want")), "node")
+    assert at.count() == n and at.filter("d <> want").count() == 0
+
+
+@pytest.mark.parametrize("limit", [10_000, 30, 7, 0])
 def test_minimum_forest(spark, limit):
     rng = random.Random(5)
     edges = [(i, j, float(rng.randint(1, 30))) for i in range(20) for j in range(i + 1, 20) if rng.random() < 0.4]
     df = spark.createDataFrame([(0, *e) for e in edges], "image_id long, i long, j long, dist double")
-    got = {(r.i, r.j) for r in C.minimum_forest(df, ["image_id"], limit).collect()}
-    assert got == kruskal(edges)
+    other = df.withColumn("image_id", F.lit(9).cast("long")).filter("i < 3")
+    rows = C.minimum_forest(df.unionByName(other), ["image_id"], max(limit, 1)).collect()
+    assert {(r.i, r.j) for r in rows if r.image_id == 0} == kruskal(edges)
+    assert {(r.i, r.j) for r in rows if r.image_id == 9} == kruskal([x for x in edges if x[0] < 3])
 
 
 def greedy(edges, pts, angle):
