@@ -283,6 +283,36 @@ def stitch_tiles(tiles: DataFrame, grid_w: int, tile: int, halo: int, cells: int
     )
 
 
+def stitch_feature_map(tiles: DataFrame, shapes: DataFrame, tile: int, halo: int, cells: int) -> DataFrame:
+    """Feature map of whole images (image_id, h, w) from tiles of any size, as they come at the borders.
+
+    Every tile carries cells x cells features of its outer block: the inner block and a halo, both cut
+    at the border.  The features of the inner block go to its slot of the map; where their numbers
+    differ they are resized bilinearly, each target cell asking its (up to) four neighbours.
+    """
+    ppf = (tile + 2 * halo) / cells
+    t = tiles.groupBy("image_id", "tile_id").agg(F.count(F.lit(1)).alias("_n")).join(shapes.select("image_id", "h", "w"), "image_id")
+    bad = F.raise_error(F.lit("tile without a full feature grid")).cast("bigint")
+    t = t.withColumn("tile_id", F.when(F.col("_n") == cells * cells, F.col("tile_id")).otherwise(bad)).withColumn("_gw", F.ceil(F.col("w") / tile))
+    for a, side, at in (("y", "h", F.expr("tile_id div _gw")), ("x", "w", F.expr("tile_id % _gw"))):
+        begin, full = at * tile, F.col(side)
+        end = F.least(begin + tile, full)
+        first = F.greatest(begin - halo, F.lit(0))
+        outer = F.least(end + halo, full) - first
+        t = t.withColumn(f"{a}f", F.bround((begin - first) * cells / outer)).withColumn(f"{a}n", F.bround((end - first) * cells / outer) - F.col(f"{a}f"))
+        t = t.withColumn(f"{a}t", F.bround(begin / ppf)).withColumn(f"{a}m", F.least(F.bround(end / ppf), F.ceil(full / ppf)) - F.col(f"{a}t"))
+        t = t.filter(F.col(f"{a}m") > 0).withColumn(f"{a}k", F.explode(F.sequence(F.lit(0), F.col(f"{a}m").cast("int") - 1)))
+        src = F.greatest((F.col(f"{a}k") + 0.5) * F.col(f"{a}n") / F.col(f"{a}m") - 0.5, F.lit(0.0))
+        t = t.withColumn(f"{a}s", src).withColumn(f"{a}w", F.col(f"{a}s") - F.floor(f"{a}s"))
+        two = [(F.floor(f"{a}s"), 1 - F.col(f"{a}w")), (F.least(F.floor(f"{a}s") + 1, F.col(f"{a}n") - 1), F.col(f"{a}w"))]
+        two = F.array(*[F.struct((F.col(f"{a}f") + p).cast("long").alias("p"), q.alias("q")) for p, q in two])
+        t = t.withColumn(f"{a}c", F.explode(F.filter(two, lambda c: c["q"] > 0)))
+    t = t.select("image_id", "tile_id", F.col("yc.p").alias("fy"), F.col("xc.p").alias("fx"), (F.col("yt") + F.col("yk")).cast("long").alias("ty"), (F.col("xt") + F.col("xk")).cast("long").alias("tx"), (F.col("yc.q") * F.col("xc.q")).alias("q"))
+    j = t.join(tiles.select("image_id", "tile_id", "fy", "fx", "f"), ["image_id", "tile_id", "fy", "fx"])
+    g = j.groupBy("image_id", F.col("ty").alias("fy"), F.col("tx").alias("fx")).agg(F.sum(F.col("f") * F.col("q")).alias("f"))
+    return g.withColumn("pixels_per_feature", F.lit(float(ppf)))
+
+
 def roi_pool(features: DataFrame, boxes: DataFrame, n: int) -> DataFrame:
     """n x n averages of the feature cells inside each box (image_id, box, y1, x1, y2, x2 in
     cells).  A box expands to the cells it covers, then meets them in an equi-join."""

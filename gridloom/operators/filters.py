@@ -183,19 +183,24 @@ def enlarge(small: DataFrame, f: int, sizes: DataFrame, keys: list[str] = IMG) -
 SHRINK = [(10, 1), (30, 2), (100, 4)]
 
 
-def subtract_background(df: DataFrame, radius: float, paraboloid: bool, keys: list[str] = IMG) -> DataFrame:
-    """Rolling-ball or sliding-paraboloid background removal of values in [0, 1]."""
+def subtract_background(df: DataFrame, radius: float, paraboloid: bool, keys: list[str] = IMG, light: bool = False) -> DataFrame:
+    """Rolling-ball or sliding-paraboloid background removal of values in [0, 1].
+
+    With a `light` background the objects are dark: the image is turned over before and after.
+    """
     from gridloom.operators.tiles import ball_background
 
     f = next((k for top, k in SHRINK if radius <= top), 8)
-    base = df.select(*keys, "y", "x", F.col("v").cast("double").alias("v"))
+    value = F.col("v").cast("double")
+    base = df.select(*keys, "y", "x", (1.0 - value if light else value).alias("v"))
     small = base if f == 1 else shrink_mean(base, f, keys)
     bg = (paraboloid_background if paraboloid else ball_background)(small, radius / f, keys)
     if f > 1:
         sizes = base.groupBy(*keys).agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
         bg = enlarge(bg, f, sizes, keys)
     out = base.join(bg.select(*keys, "y", "x", "background"), [*keys, "y", "x"])
-    return out.withColumn("v", F.least(F.greatest(F.col("v") - F.col("background"), F.lit(0.0)), F.lit(1.0)))
+    rest = F.least(F.greatest(F.col("v") - F.col("background"), F.lit(0.0)), F.lit(1.0))
+    return out.withColumn("v", 1.0 - rest if light else rest)
 
 
 def grey_extreme(df: DataFrame, r: int, how: str, keys: list[str] = IMG) -> DataFrame:

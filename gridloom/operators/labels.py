@@ -28,6 +28,18 @@ def edge_labels(cands: DataFrame, truth: DataFrame) -> DataFrame:
     return c.join(t, ["_a", "_b"], "left").withColumn("edge_label", F.coalesce("_t", F.lit(0))).drop("_a", "_b", "_t")
 
 
+def edge_labels_listed(cands: DataFrame, flags: DataFrame) -> DataFrame:
+    """Labels from a 0/1 list: `cands` has (graph_id, pos), `flags` one `labels` array per graph, whose place
+    pos (from 0) is the label of that candidate.  A list of another length than its graph's candidates
+    stops the query."""
+    f = flags.select("graph_id", F.col("labels").alias("_l"))
+    n = cands.groupBy("graph_id").agg(F.count(F.lit(1)).alias("_n")).join(f, "graph_id", "full")
+    bad = F.raise_error(F.lit("a label list must have one 0 or 1 for every candidate of its graph")).cast("array<int>")
+    fits = (F.size("_l") == F.col("_n")) & F.forall("_l", lambda x: x.isin(0, 1))
+    n = n.select("graph_id", F.when(F.coalesce(fits, F.lit(False)), F.col("_l").cast("array<int>")).otherwise(bad).alias("_l"))
+    return cands.join(n, "graph_id").withColumn("edge_label", F.get("_l", F.col("pos").cast("int"))).drop("_l")
+
+
 def trim_long_negatives(edges: DataFrame, length: str, limit: float, label: str = "true_label") -> DataFrame:
     return edges.filter((F.col(label) != 0) | (F.col(length) <= limit))
 

@@ -148,22 +148,21 @@ def epoch_bucket():
 
 
 def early_stop(runs: DataFrame, patience: int, min_epoch: int, metric: str = "auc") -> DataFrame:
-    """Best and stop epoch per run: strict improvements from min_epoch on, stop at the first
-    epoch that lies `patience` epochs after the last improvement (NULL if never)."""
+    """Best and stop epoch per run with the best value: strict improvements from min_epoch on, stop at the
+    first epoch that lies `patience` epochs after the last improvement (NULL if never).
+
+    One running maximum of (value, earliest epoch) carries everything.
+    """
     keys = ["repeat", "fold"]
     r = runs.filter(F.col("epoch") >= min_epoch).select(*keys, "epoch", F.col(metric).alias("m"))
-    r = running_max(r, keys, "epoch", "m", "_best", epoch_bucket())
-    r = r.withColumn("_up", F.when(F.col("m") > F.coalesce("_best", F.lit(-1.0)), F.col("epoch")))
-    r = running_max(r, keys, "epoch", "_up", "_last", epoch_bucket())
-    last = F.coalesce(F.greatest("_up", "_last"), F.lit(0))
-    r = r.withColumn("_last", last).withColumn("_stop", F.when(F.col("epoch") - F.greatest(F.col("_last"), F.lit(min_epoch - 1)) >= patience, F.col("epoch")))
-    g = r.groupBy(*keys).agg(
-        F.min("_stop").alias("stop_epoch"), F.min_by("_last", "_stop").alias("_at_stop"), F.max("_last").alias("_all"),
-    )
-    best = F.when(F.col("stop_epoch").isNotNull(), F.col("_at_stop")).otherwise(F.col("_all"))
-    g = g.withColumn("best_epoch", best).drop("_at_stop", "_all")
-    score = runs.select(*keys, F.col("epoch").alias("best_epoch"), F.col(metric).alias("best_value"))
-    return g.join(score, [*keys, "best_epoch"], "left")
+    r = r.withColumn("_own", F.when(F.col("m") > -1.0, F.struct("m", (-F.col("epoch")).alias("e"))))
+    r = running_max(r, keys, "epoch", "_own", "_before", epoch_bucket())
+    r = r.withColumn("_best", F.greatest("_own", "_before"))
+    since = F.coalesce(-F.col("_best.e"), F.lit(0))
+    r = r.withColumn("_stop", F.when(F.col("epoch") - F.greatest(since, F.lit(min_epoch - 1)) >= patience, F.col("epoch")))
+    g = r.groupBy(*keys).agg(F.min("_stop").alias("stop_epoch"), F.min_by("_best", "_stop").alias("_at_stop"), F.max("_best").alias("_all"))
+    g = g.withColumn("_b", F.when(F.col("stop_epoch").isNotNull(), F.col("_at_stop")).otherwise(F.col("_all")))
+    return g.select(*keys, "stop_epoch", F.coalesce(-F.col("_b.e"), F.lit(0)).alias("best_epoch"), F.col("_b.m").alias("best_value"))
 
 
 def fold_summary(metrics: DataFrame, best: DataFrame, tags: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from gridloom.functions.columns import with_stats
 from gridloom.functions.ordering import exact_percentile, running_sums
@@ -93,18 +93,42 @@ def searchsorted_join(df: DataFrame, value: str, edges: DataFrame, edge: str, ou
     return df.join(pos, value, "left")
 
 
+def _profile_cells(df: DataFrame, bin_size: float) -> DataFrame:
+    """(label, bin, intensity, n_bins): the farthest value of every bin that an object has; bin is NULL
+    for objects whose values all lie past the last centre."""
+    s = with_stats(df, [], _max=F.max("distance"))
+    s = searchsorted_uniform(s.withColumn("n_bins", F.ceil(F.col("_max") / bin_size)), "distance", bin_size)
+    s = s.withColumn("bin", F.when(F.col("bin") < F.col("n_bins"), F.col("bin")))
+    return s.groupBy("label", "bin").agg(F.max_by("intensity", "distance").alias("intensity"), F.first("n_bins").alias("n_bins"))
+
+
+def profile_runs(df: DataFrame, bin_size: float) -> DataFrame:
+    """Object x bin matrix as runs (label, length, first_bin, last_bin, intensity): one row for every value,
+    and one for each stretch of bins without a value, where intensity is NULL.
+
+    An object has at most two rows for each of its values and one more, however far the farthest
+    distance of all lies.
+    """
+    cells = _profile_cells(df, bin_size)
+    whole = cells.groupBy("label").agg(F.count("bin").alias("length"), F.first("n_bins").alias("n_bins"), F.min("bin").alias("_lowest"))
+    bins = W.partitionBy("label").orderBy("bin")
+    v = cells.filter("bin is not null").select("label", "bin", "intensity", F.lead("bin").over(bins).alias("_next")).join(whole, "label")
+    none = F.lit(None).cast("double")
+    after = F.when(F.coalesce("_next", "n_bins") > F.col("bin") + 1, F.struct((F.col("bin") + 1).alias("a"), (F.coalesce("_next", "n_bins") - 1).alias("b"), none.alias("v")))
+    rows = F.array_compact(F.array(F.struct(F.col("bin").alias("a"), F.col("bin").alias("b"), F.col("intensity").cast("double").alias("v")), after))
+    first = whole.filter("n_bins > 0").withColumn("_upto", F.coalesce("_lowest", "n_bins") - 1).filter("_upto >= 0")
+    every = v.select("label", "length", F.explode(rows).alias("r")).select("label", "length", F.col("r.a").alias("first_bin"), F.col("r.b").alias("last_bin"), F.col("r.v").alias("intensity"))
+    return every.unionByName(first.select("label", "length", F.lit(0).cast("long").alias("first_bin"), F.col("_upto").alias("last_bin"), none.alias("intensity")))
+
+
 def profile_matrix(df: DataFrame, bin_size: float) -> DataFrame:
     """Object x bin matrix in long form, NULL where an object has no value, with the row
     length.  Position is the left-side search among bin centres; the farthest value wins a
-    cell; positions past the last centre are left out."""
-    s = with_stats(df, [], _max=F.max("distance"))
-    s = searchsorted_uniform(s.withColumn("n_bins", F.ceil(F.col("_max") / bin_size)), "distance", bin_size)
-    cells = s.filter(F.col("bin") < F.col("n_bins")).groupBy("label", "bin").agg(F.max_by("intensity", "distance").alias("intensity"))
-    length = s.groupBy("label").agg(
-        F.count_distinct(F.when(F.col("bin") < F.col("n_bins"), F.col("bin"))).alias("length"), F.first("n_bins").alias("n_bins")
-    )
-    grid = length.select("label", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_bins") - 1)).alias("bin"))
-    return grid.join(cells, ["label", "bin"], "left").select("label", "length", "bin", "intensity").orderBy("length", "label", "bin")
+    cell; positions past the last centre are left out.  `profile_runs` has the same without the
+    rows of empty bins."""
+    runs = profile_runs(df, bin_size)
+    long = runs.select("label", "length", F.explode(F.sequence("first_bin", "last_bin")).alias("bin"), "intensity")
+    return long.orderBy("length", "label", "bin")
 
 
 def column_percentiles(df: DataFrame, value: str, probs: dict[str, float]) -> DataFrame:
@@ -114,7 +138,7 @@ def column_percentiles(df: DataFrame, value: str, probs: dict[str, float]) -> Da
 def profile_stats(df: DataFrame, bin_size: float) -> DataFrame:
     """Medians of the object metrics, maximum and 95th percentile of the matrix values."""
     sc = spread_and_centroid(df)
-    m = profile_matrix(df, bin_size).filter("intensity IS NOT NULL")
+    m = _profile_cells(df, bin_size).filter("bin IS NOT NULL AND intensity IS NOT NULL")
     parts = [
         column_percentiles(sc, "spread", {"median_spread": 0.5}),
         column_percentiles(sc, "centroid", {"median_centroid": 0.5}),

@@ -219,7 +219,10 @@ def crop_objects(labels: DataFrame, pixels: DataFrame) -> DataFrame:
 
 
 def prompts(regions: DataFrame, mode: str, k: float = 2.0) -> DataFrame:
-    """Point (truncated centre), box (bounding box) or square (centre +- k median radii)."""
+    """Point (truncated centre), box (bounding box) or square (centre +- k median radii) from region
+    rows, or the masks themselves as runs from label pixels (see `mask_runs`)."""
+    if mode == "mask":
+        return mask_runs(regions)
     if mode == "point":
         return regions.select(*KEYS, F.col("cx").cast("long").alias("x"), F.col("cy").cast("long").alias("y"))
     if mode == "box":
@@ -233,6 +236,38 @@ def prompts(regions: DataFrame, mode: str, k: float = 2.0) -> DataFrame:
     raise ValueError(f"unknown prompt mode {mode}")
 
 
+def mask_runs(labels: DataFrame) -> DataFrame:
+    """Mask prompts as runs of pixels: (image_id, label, y, first_x, last_x).
+
+    A run is what has the same difference between column and place in its row; a window holds one
+    row of one object.
+    """
+    px = labels.select(*KEYS, "y", "x").distinct()
+    run = F.col("x") - F.row_number().over(W.partitionBy(*KEYS, "y").orderBy("x"))
+    return px.withColumn("_run", run).groupBy(*KEYS, "y", "_run").agg(F.min("x").alias("first_x"), F.max("x").alias("last_x")).drop("_run")
+
+
+def mask_pixels(runs: DataFrame) -> DataFrame:
+    """The pixels of runs, each once."""
+    return runs.select(*KEYS, "y", F.explode(F.sequence("first_x", "last_x")).alias("x")).distinct()
+
+
+def union_runs(runs: DataFrame) -> DataFrame:
+    """Runs of the union of masks given under one label: overlapping and touching runs become one."""
+    row = W.partitionBy(*KEYS, "y").orderBy("first_x", "last_x")
+    before = F.max("last_x").over(row.rowsBetween(W.unboundedPreceding, -1))
+    r = runs.withColumn("_new", F.when(F.col("first_x") > before + 1, 1).when(before.isNull(), 1).otherwise(0))
+    r = r.withColumn("_run", F.sum("_new").over(row.rowsBetween(W.unboundedPreceding, 0)))
+    return r.groupBy(*KEYS, "y", "_run").agg(F.min("first_x").alias("first_x"), F.max("last_x").alias("last_x")).drop("_run")
+
+
+def mask_boxes(runs: DataFrame) -> DataFrame:
+    """Box (half-open) and area of every mask, from runs that don't overlap."""
+    return runs.groupBy(*KEYS).agg(
+        F.min("first_x").alias("x1"), F.min("y").alias("y1"), (F.max("last_x") + 1).alias("x2"), (F.max("y") + 1).alias("y2"), F.sum(F.col("last_x") - F.col("first_x") + 1).alias("area"),
+    )
+
+
 def compose_masks(masks: DataFrame) -> DataFrame:
     """One label map from overlapping object masks; the later id wins."""
     return masks.groupBy("image_id", "y", "x").agg(F.max("label").alias("label"))

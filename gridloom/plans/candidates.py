@@ -128,6 +128,22 @@ def _(s, d):
     return C.stitch_tiles(V.tiles(s, d), 2, 48, 8, 8).withColumn("f", rnd("f"))
 
 
+def _odd(a: str, side: int) -> str:
+    """Slot and source places of tiles of 12 pixels with a halo of 2 along one axis, 8 features each."""
+    return f"""{a}0 AS (SELECT k, k*12 AS b, least(k*12+12, {side}) AS e, greatest(k*12-2, 0) AS o, least(least(k*12+12, {side})+2, {side})-greatest(k*12-2, 0) AS n FROM (VALUES (0),(1)) t(k)),
+{a}1 AS (SELECT k, round_even((b-o)*8.0::DOUBLE/n, 0) AS f, round_even((e-o)*8.0::DOUBLE/n, 0)-round_even((b-o)*8.0::DOUBLE/n, 0) AS c, round_even(b/2.0::DOUBLE, 0) AS t, least(round_even(e/2.0::DOUBLE, 0), ceil({side}/2.0::DOUBLE))-round_even(b/2.0::DOUBLE, 0) AS m FROM {a}0),
+{a}2 AS (SELECT *, greatest((i+0.5::DOUBLE)*c/m-0.5, 0) AS s FROM (SELECT *, unnest(range(CAST(m AS BIGINT))) AS i FROM {a}1)),
+{a}3 AS (SELECT k, CAST(t+i AS BIGINT) AS t, CAST(f+least(floor(s)+z, c-1) AS BIGINT) AS p, CASE z WHEN 0 THEN 1-(s-floor(s)) ELSE s-floor(s) END AS q FROM {a}2, (VALUES (0),(1)) u(z))"""
+
+
+@query("f10_stitch_odd_tiles", "tiles", _odd("ya", 20) + ", " + _odd("xa", 23) + """
+SELECT image_id, ya3.t AS fy, xa3.t AS fx, round(sum(f*ya3.q*xa3.q), 6)+0.0 AS f, 2.0::DOUBLE AS pixels_per_feature FROM tiles JOIN ya3 ON ya3.k=tile_id//2 AND ya3.p=fy JOIN xa3 ON xa3.k=tile_id%2 AND xa3.p=fx GROUP BY 1,2,3""")
+def _(s, d):
+    t = V.tiles(s, d)
+    shapes = t.select("image_id").distinct().select("image_id", F.lit(20).cast("long").alias("h"), F.lit(23).cast("long").alias("w"))
+    return C.stitch_feature_map(t, shapes, 12, 2, 8).withColumn("f", rnd("f"))
+
+
 @query("f11_roi_pool", "tiles", """ft AS (SELECT image_id, tile_id//2*6+fy-1 AS fy, tile_id%2*6+fx-1 AS fx, f FROM tiles WHERE fy BETWEEN 1 AND 6 AND fx BETWEEN 1 AND 6),
 bx AS (SELECT image_id, k AS box, k*1.5::DOUBLE AS y1, (image_id%4)*1.0::DOUBLE AS x1, k*1.5::DOUBLE+6.5 AS y2, (image_id%4)+7.25::DOUBLE AS x2 FROM (SELECT DISTINCT image_id FROM tiles), (VALUES (0),(1),(2)) t(k)),
 jn AS (SELECT bx.image_id, box, least(greatest(CAST(floor((fy+0.5-y1)/(y2-y1)*3) AS INT), 0), 2) AS by_, least(greatest(CAST(floor((fx+0.5-x1)/(x2-x1)*3) AS INT), 0), 2) AS bx_, f FROM bx JOIN ft ON ft.image_id=bx.image_id AND fy>=floor(y1) AND fy<=greatest(ceil(y2)-1, floor(y1)) AND fx>=floor(x1) AND fx<=greatest(ceil(x2)-1, floor(x1)))

@@ -87,7 +87,7 @@ def _(s, d):
     return p.select("image_id", "label", "channel", "distance", rnd("intensity").alias("intensity"))
 
 
-@query("l1_early_stop_stream", "runs", STOP + " SELECT best.repeat, best.fold, best_epoch, stop_epoch, round(auc, 8) AS best_value FROM best LEFT JOIN rm ON rm.repeat=best.repeat AND rm.fold=best.fold AND rm.epoch=best_epoch")
+@query("l1_early_stop_stream", "runs", STOP + " SELECT repeat, fold, best_epoch, stop_epoch, round(best_value, 8) AS best_value FROM best")
 def _(s, d):
     src = scratch(s)
     V.runs(s, d).select("repeat", "fold", "epoch", "auc").repartitionByRange(6, "epoch").write.parquet(src)

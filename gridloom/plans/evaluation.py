@@ -250,13 +250,13 @@ def _(s, d):
     return m.select("graph_id", *[rnd(c, 8).alias(c) for c in ("baseline", "accuracy", "gain")])
 
 
-STOP = """rm AS MATERIALIZED (SELECT repeat, fold, epoch, auc FROM runs),
-r0 AS MATERIALIZED (SELECT repeat, fold, epoch, auc, max(auc) OVER (PARTITION BY repeat, fold ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM rm WHERE epoch>=10),
-r1 AS MATERIALIZED (SELECT *, coalesce(max(CASE WHEN auc > coalesce(pm, -1) THEN epoch END) OVER (PARTITION BY repeat, fold ORDER BY epoch), 0) AS le FROM r0),
-best AS MATERIALIZED (SELECT repeat, fold, min(epoch) FILTER (epoch-greatest(le, 9)>=60) AS stop_epoch, coalesce(arg_min(le, epoch) FILTER (epoch-greatest(le, 9)>=60), max(le)) AS best_epoch FROM r1 GROUP BY 1,2)"""
+STOP = """r0 AS (SELECT repeat, fold, epoch, auc, max(auc) OVER (PARTITION BY repeat, fold ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM runs WHERE epoch>=10),
+r1 AS (SELECT repeat, fold, epoch, max(CASE WHEN auc>-1 THEN auc END) OVER w AS bm, coalesce(max(CASE WHEN auc > coalesce(pm, -1) THEN epoch END) OVER w, 0) AS le FROM r0 WINDOW w AS (PARTITION BY repeat, fold ORDER BY epoch)),
+r2 AS (SELECT *, CASE WHEN epoch-greatest(le, 9)>=60 THEN epoch END AS st FROM r1),
+best AS (SELECT repeat, fold, min(st) AS stop_epoch, coalesce(arg_min(le, epoch) FILTER (st IS NOT NULL), max(le)) AS best_epoch, CASE WHEN min(st) IS NULL THEN max(bm) ELSE arg_min(bm, epoch) FILTER (st IS NOT NULL) END AS best_value FROM r2 GROUP BY 1,2)"""
 
 
-@query("i15_early_stop", "runs", STOP + " SELECT best.repeat, best.fold, best_epoch, stop_epoch, round(auc, 8) AS best_value FROM best LEFT JOIN rm ON rm.repeat=best.repeat AND rm.fold=best.fold AND rm.epoch=best_epoch")
+@query("i15_early_stop", "runs", STOP + " SELECT repeat, fold, best_epoch, stop_epoch, round(best_value, 8) AS best_value FROM best")
 def _(s, d):
     return M.early_stop(V.runs(s, d), 60, 10).withColumn("best_value", rnd("best_value", 8))
 

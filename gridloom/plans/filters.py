@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import stencil as st
 from gridloom.functions.columns import rnd
-from gridloom.operators import filters as N
+from gridloom.operators import filters as N, wavelets as WV
 from gridloom.plans import sqlkit as K
 from gridloom.plans.registry import query
 from gridloom.sources import views as V
@@ -167,6 +167,11 @@ def _(s, d):
     return out(N.subtract_background(unit(s, d), 4, True), "v", places=8)
 
 
+@query("c15_light_background", "mosaics", UNIT + ", ul AS (SELECT image_id, y, x, 1-v AS v FROM un), " + para_sql("ul", 4) + " SELECT u.image_id, u.y, u.x, round(1-least(greatest(u.v-p.v, 0), 1), 8)+0.0 AS v FROM ul u JOIN pb3 p ON p.image_id=u.image_id AND p.y=u.y AND p.x=u.x")
+def _(s, d):
+    return out(N.subtract_background(unit(s, d), 4, True, light=True), "v", places=8)
+
+
 def ball_sql(src: str, radius: float) -> str:
     r = math.ceil(radius)
     offs = ",".join(f"({j},{i},{math.sqrt(radius**2 - i * i - j * j) / 255!r}::DOUBLE)" for j in range(-r, r + 1) for i in range(-r, r + 1) if i * i + j * j <= radius**2)
@@ -263,6 +268,43 @@ def _(s, d):
     return out(N.haar_denoise(V.pix(s, d), 3), "v", places=3)
 
 
+def _dwt(name: str, src: str, axis: str, bands: dict[str, tuple[str, str]]) -> str:
+    """One analysis level along an axis, straight from its definition: place 2k+1-j under symmetric extension."""
+    o = "x" if axis == "y" else "y"
+    low = WV.BANKS["sym8"]
+    vals = ",".join(f"({j},{a!r}::DOUBLE,{b!r}::DOUBLE)" for j, (a, b) in enumerate(zip(low, WV.high_pass(low))))
+    sums = ", ".join(f"sum(lo*s.{v}) AS {a}, sum(hi*s.{v}) AS {b}" for v, (a, b) in bands.items())
+    return f"""{name}_k AS (SELECT image_id, n, unnest(range((n+15)//2)) AS k FROM (SELECT image_id, max({axis})+1 AS n FROM {src} GROUP BY 1)),
+{name}_i AS MATERIALIZED (SELECT image_id, k, lo, hi, CASE WHEN 2*k+1-j<0 THEN j-2*k-2 WHEN 2*k+1-j>=n THEN 2*n-2-2*k+j ELSE 2*k+1-j END AS p FROM {name}_k, (VALUES {vals}) t(j, lo, hi)),
+{name} AS MATERIALIZED (SELECT s.image_id, k AS {axis}, s.{o}, {sums} FROM {name}_i i JOIN {src} s ON s.image_id=i.image_id AND s.{axis}=p GROUP BY 1,2,3)"""
+
+
+def _idwt(name: str, src: str, axis: str, bands: dict[str, tuple[str, str]], like: str) -> str:
+    """The inverse: value i gathers coefficients k with the filter's place 2k+1-i, cut to the size of `like`."""
+    o = "x" if axis == "y" else "y"
+    low = WV.BANKS["sym8"]
+    vals = ",".join(f"({j},{a!r}::DOUBLE,{b!r}::DOUBLE)" for j, (a, b) in enumerate(zip(low, WV.high_pass(low))))
+    sums = ", ".join(f"sum(lo*s.{a}+hi*s.{b}) AS {v}" for v, (a, b) in bands.items())
+    return f"""{name}_k AS (SELECT image_id, unnest(range(n)) AS i FROM (SELECT image_id, max({axis})+1 AS n FROM {like} GROUP BY 1)),
+{name}_i AS MATERIALIZED (SELECT image_id, i, lo, hi, (i+j-1)//2 AS k FROM {name}_k, (VALUES {vals}) t(j, lo, hi) WHERE (i+j)%2=1),
+{name} AS MATERIALIZED (SELECT s.image_id, i AS {axis}, s.{o}, {sums} FROM {name}_i i JOIN {src} s ON s.image_id=i.image_id AND s.{axis}=k GROUP BY 1,2,3)"""
+
+
+_ROWS, _BANDS = {"v": ("l", "h")}, {"l": ("ll", "lh"), "h": ("hl", "hh")}
+SYM8 = ", ".join([
+    "w0 AS (SELECT image_id, y, x, CAST(v AS DOUBLE) AS v FROM mosaics)", _dwt("wa", "w0", "y", _ROWS), _dwt("w1", "wa", "x", _BANDS), "w1v AS (SELECT image_id, y, x, ll AS v FROM w1)",
+    _dwt("wb", "w1v", "y", _ROWS), _dwt("w2", "wb", "x", _BANDS),
+    "th AS (SELECT image_id, median(abs(hh))/0.6745*sqrt(2*ln(n)) AS t FROM w1 JOIN (SELECT image_id, count(*)::DOUBLE AS n FROM w0 GROUP BY 1) USING (image_id) GROUP BY image_id, n)",
+    "s2 AS (SELECT image_id, y, x, ll, sign(lh)*greatest(abs(lh)-t, 0) AS lh, sign(hl)*greatest(abs(hl)-t, 0) AS hl, sign(hh)*greatest(abs(hh)-t, 0) AS hh FROM w2 JOIN th USING (image_id))",
+]) + ", " + _idwt("ra", "s2", "x", {"l": ("ll", "lh"), "h": ("hl", "hh")}, "w1v") + ", " + _idwt("r1", "ra", "y", _ROWS, "w1v") + """,
+s1 AS (SELECT image_id, y, x, r1.v AS ll, sign(lh)*greatest(abs(lh)-t, 0) AS lh, sign(hl)*greatest(abs(hl)-t, 0) AS hl, sign(hh)*greatest(abs(hh)-t, 0) AS hh FROM w1 JOIN th USING (image_id) JOIN r1 USING (image_id, y, x)), """ + _idwt("rb", "s1", "x", {"l": ("ll", "lh"), "h": ("hl", "hh")}, "w0") + ", " + _idwt("r0", "rb", "y", _ROWS, "w0")
+
+
+@query("c29_wavelet_sym8", "mosaics", SYM8 + f" SELECT image_id, y, x, {r4('v', places=3)} FROM r0")
+def _(s, d):
+    return out(WV.denoise(V.mosaics(s, d).select("image_id", "y", "x", "v"), "sym8", 2), "v", places=3)
+
+
 SEG = "sg AS (SELECT image_id, image_id*4+k AS seg, CAST(k AS DOUBLE) AS y0, (image_id%5)*1.0::DOUBLE AS x0, 7-k*1.5::DOUBLE AS y1, 3.0::DOUBLE+k AS x1 FROM (SELECT DISTINCT image_id FROM pix), (VALUES (0),(1),(2),(3)) t(k))"
 
 

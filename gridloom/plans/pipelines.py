@@ -19,16 +19,31 @@ def find_tip(endpoints: DataFrame, centroids: DataFrame) -> DataFrame:
     return best.filter("n >= 2").select(*OBJ, "m.y", "m.x", "m.dist")
 
 
-def build_graph(labels: DataFrame, pixels: DataFrame, gt: DataFrame | None, rules: DataFrame | None, k: int = 6, min_frac: float = 0.1) -> tuple[DataFrame, DataFrame]:
+def _one_channel(pixels: DataFrame) -> DataFrame:
+    """Image sizes; an image with more values than places stops the query."""
+    g = pixels.groupBy("image_id").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"), F.count(F.lit(1)).alias("_n"))
+    bad = F.raise_error(F.lit("pixels must be a single channel: some pixel has more than one value")).cast("bigint")
+    return g.select("image_id", F.when(F.col("_n") <= F.col("h") * F.col("w"), F.col("h")).otherwise(bad).alias("h"), "w")
+
+
+def build_graph(labels: DataFrame, pixels: DataFrame, gt: DataFrame | None, rules: DataFrame | None, k: int = 6, min_frac: float = 0.1, cap_factor: float | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes and directed labelled edges of every image in one plan.
 
-    `gt` has (image_id, y, x, frag, gt); without it all edges are negative and nodes untyped.
+    `gt` has (image_id, y, x, frag, gt); without it all edges are negative and nodes untyped.  With a
+    `cap_factor`, edges end at that multiple of their image's mean major axis.  `pixels` must be one
+    channel: a channel column, or a pixel with two values, stops the query, since intensity features of
+    mixed channels would be wrong without a sign of it.
     """
-    sizes = N.image_sizes(pixels)
+    if not {"image_id", "y", "x", "v"} <= set(pixels.columns) or {"c", "channel"} & set(pixels.columns):
+        raise ValueError("pixels must be a single channel (image_id, y, x, v): reduce channels first")
+    sizes = _one_channel(pixels)
     boundary, _ = materialize(G.inner_boundary(labels, sizes))
     nodes = G.node_features(labels, pixels)
     shapes, _ = materialize(G.region_basic(labels).join(G.region_moments(labels), OBJ))
     edges = C.knn_edges(shapes, boundary, k)
+    if cap_factor is not None:
+        scale = shapes.groupBy("image_id").agg(F.avg(F.when(F.col("major") > 0, F.col("major"))).alias("_major"))
+        edges = edges.join(scale, "image_id").filter(F.col("dist") <= cap_factor * F.col("_major")).drop("_major")
     feats = C.edge_features(edges, shapes, boundary, pixels, sizes)
     feats = feats.withColumnsRenamed({"i": "src", "j": "dst"})
     if gt is None:

@@ -83,6 +83,12 @@ ln AS (SELECT label, count(DISTINCT bin) FILTER (bin<nb) AS length, any_value(nb
 mat AS (SELECT g.label, g.length, g.bin, intensity FROM (SELECT label, length, unnest(range(nb)) AS bin FROM ln) g LEFT JOIN cell ON cell.label=g.label AND cell.bin=g.bin)"""
 
 
+@query("j9_profile_runs", "profile", MAT + """, nr AS (SELECT label, length, bin, bin-row_number() OVER (PARTITION BY label ORDER BY bin) AS g FROM mat WHERE intensity IS NULL)
+SELECT label, length, bin AS first_bin, bin AS last_bin, intensity FROM mat WHERE intensity IS NOT NULL UNION ALL SELECT label, length, min(bin), max(bin), NULL FROM nr GROUP BY label, length, g""")
+def _(s, d):
+    return P.profile_runs(V.profile(s, d), 24.0)
+
+
 @query("j9_profile_matrix", "profile", MAT + " SELECT label, length, bin, intensity FROM mat")
 def _(s, d):
     return P.profile_matrix(V.profile(s, d), 24.0)

@@ -159,6 +159,20 @@ def _(s, d):
     return G.crop_objects(V.frags(s, d), px(s, d))
 
 
+RUNS = "mr AS (SELECT image_id, label, y, x, x-row_number() OVER (PARTITION BY image_id, label, y ORDER BY x) AS g FROM frags), ru AS (SELECT image_id, label, y, min(x) AS first_x, max(x) AS last_x FROM mr GROUP BY image_id, label, y, g)"
+
+
+@query("d13_mask_prompts", "frags", RUNS + " SELECT image_id, label, y, first_x, last_x FROM ru")
+def _(s, d):
+    return G.prompts(V.frags(s, d), "mask")
+
+
+@query("d13_mask_boxes", "frags", """cl AS (SELECT image_id, (label-1)//10+1 AS label, y, x FROM frags) SELECT image_id, label, min(x) AS x1, min(y) AS y1, max(x)+1 AS x2, max(y)+1 AS y2, count(*) AS area FROM cl GROUP BY 1,2""")
+def _(s, d):
+    runs = G.prompts(V.frags(s, d), "mask").withColumn("label", F.expr("(label-1) div 10 + 1"))  # masks of a row of fragments as one
+    return G.mask_boxes(G.union_runs(runs))
+
+
 @query("d13_point_prompts", "frags", BASIC + " SELECT image_id, label, CAST(floor(cx) AS BIGINT) AS x, CAST(floor(cy) AS BIGINT) AS y FROM bs")
 def _(s, d):
     return G.prompts(G.region_basic(V.frags(s, d)), "point")
@@ -280,6 +294,14 @@ def _(s, d):
     return LB.edge_labels(V.pairs(s, d), truth_pairs(s, d)).select("graph_id", "src", "dst", "edge_label")
 
 
+@query("e9_edge_labels_listed", "pairs", "SELECT graph_id, src, dst, true_label AS edge_label FROM pairs")
+def _(s, d):
+    p = V.pairs(s, d)
+    flags = p.groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct("src", "dst", "true_label"))).alias("c"))  # a view's graph has 100 nodes at most
+    cands = flags.select("graph_id", F.posexplode("c").alias("pos", "c")).select("graph_id", "c.src", "c.dst", "pos")
+    return LB.edge_labels_listed(cands, flags.select("graph_id", F.col("c.true_label").alias("labels"))).select("graph_id", "src", "dst", "edge_label")
+
+
 @query("e10_trim_long_negatives", "pairs", "SELECT graph_id, src, dst, true_label, prob FROM pairs WHERE true_label<>0 OR prob<=0.65")
 def _(s, d):
     return LB.trim_long_negatives(V.pairs(s, d), "prob", 0.65).select("graph_id", "src", "dst", "true_label", "prob")

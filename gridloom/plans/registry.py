@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.sources.views import SQL_VIEWS
 
+#: tables that refer to themselves name their columns
+RECURS = re.compile(r"\w\([\w, ]+\)( USING KEY \([\w, ]+\))? AS ")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -26,10 +30,11 @@ def sql(views: str, body: str) -> str:
         need(v)
     body = body.strip()
     head = ", ".join(f"{n} AS ({SQL_VIEWS[n][1]})" for n in names)
+    start = "WITH RECURSIVE" if RECURS.search(body) else "WITH"
     if not head:
-        return body if body.upper().startswith("SELECT") else "WITH RECURSIVE " + body
+        return body if body.upper().startswith("SELECT") else f"{start} {body}"
     sep = " " if body.upper().startswith("SELECT") else ", "
-    return f"WITH RECURSIVE {head}{sep}{body}"
+    return f"{start} {head}{sep}{body}"
 
 
 def query(name: str, views: str = "", oracle: str | None = None):

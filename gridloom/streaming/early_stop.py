@@ -5,90 +5,124 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 SCHEMA = "repeat string, fold int, epoch int, auc double"
-NEVER = 2**31 - 1  # without a lateness a missing epoch is waited for
+NEVER = 2**31 - 1  # without a lateness a missing epoch is waited for until the run ends
 OUT = "repeat string, fold int, best_epoch int, best_value double, stop_epoch int"
 
 
 class StopWatcher(StatefulProcessor):
     """State per run, one record: best value, its epoch, next expected epoch, stop epoch, and the
-    epochs that arrived early.  A run's row is emitted whenever its answer changes; the last row of
-    a run equals the batch result over the epochs seen.
-
-    A missing epoch is waited for until one that lies more than `lateness` epochs later has come;
-    then it counts as lost, and counts for nothing should it come after all.  Nothing is kept after
-    the stop.
+    epochs that arrived early.  A run's row is emitted when it is first seen and whenever its answer
+    changes; the last row of a run equals the batch result over the epochs seen.
+
+    A missing epoch is waited for until one that lies more than `lateness` epochs later has come, until
+    the run's end is announced (a row without an epoch), or, with `idle` milliseconds given, until a
+    timer finds that nothing has come for so long.  Then it counts as lost, and counts for nothing
+    should it come after all.  Nothing is kept after the stop; with `idle`, a record whose stop is
+    settled goes with its timer, and state doesn't outlive its run.
     """
 
-    def __init__(self, patience: int, min_epoch: int, lateness: int):
-        self.patience, self.min_epoch, self.lateness = patience, min_epoch, lateness
+    def __init__(self, patience: int, min_epoch: int, lateness: int, idle: int | None = None):
+        self.patience, self.min_epoch, self.lateness, self.idle = patience, min_epoch, lateness, idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("run", "best double, best_epoch int, next int, stop int, epochs array<int>, scores array<double>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        best, best_epoch, nxt, stop, epochs, scores = self.state.get() if self.state.exists() else (-1.0, 0, self.min_epoch, 0, [], [])
-        start = (best_epoch, stop)
-        early = pd.concat([pd.DataFrame({"epoch": list(epochs), "auc": list(scores)}), *[r[["epoch", "auc"]] for r in rows]])
+        new = pd.concat([r[["epoch", "auc"]] for r in rows])
+        ended = bool(new["epoch"].isna().any())
+        new = new[new["epoch"] >= self.min_epoch]
+        if len(new) or self.state.exists():
+            yield from self._settle(key, new, ended)
+            if self.idle is not None:
+                for t in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(t)
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.state.exists():
+            yield from self._settle(key, pd.DataFrame({"epoch": [], "auc": []}), True)
+            if self.state.get()[3]:
+                self.state.clear()
+
+    def _settle(self, key, new: pd.DataFrame, ended: bool) -> Iterator[pd.DataFrame]:
+        seen = self.state.exists()
+        best, best_epoch, nxt, stop, epochs, scores = self.state.get() if seen else (-1.0, 0, self.min_epoch, 0, [], [])
         if stop:
             return
+        start = (best_epoch, stop)
+        early = pd.concat([pd.DataFrame({"epoch": list(epochs), "auc": list(scores)}), new])
         early = early[early["epoch"] >= nxt].drop_duplicates("epoch").sort_values("epoch")
         epoch, score = early["epoch"].astype(int).tolist(), early["auc"].tolist()
         done = 0
         for e, value in zip(epoch, score, strict=True):
-            if e > nxt and epoch[-1] - nxt <= self.lateness:
+            if e > nxt and not ended and epoch[-1] - nxt <= self.lateness:
                 break
             done, nxt = done + 1, e + 1
-            if e >= self.min_epoch:
-                if value > best:
-                    best, best_epoch = value, e
-                elif e - max(best_epoch, self.min_epoch - 1) >= self.patience:
-                    stop, done = e, len(epoch)
-                    break
+            if value > best:
+                best, best_epoch = value, e
+            elif e - max(best_epoch, self.min_epoch - 1) >= self.patience:
+                stop, done = e, len(epoch)
+                break
         self.state.update((best, best_epoch, nxt, stop, epoch[done:], score[done:]))
-        if (best_epoch, stop) != start:
-            yield pd.DataFrame({"repeat": [key[0]], "fold": [key[1]], "best_epoch": [best_epoch], "best_value": [best], "stop_epoch": [stop]})
+        if not seen or (best_epoch, stop) != start:
+            yield pd.DataFrame({"repeat": [key[0]], "fold": [key[1]], "best_epoch": [best_epoch], "best_value": [best if best_epoch else None], "stop_epoch": [stop]}).astype({"best_value": "float64"})
 
     def close(self) -> None:
         pass
 
 
-def early_stop_stream(stream: DataFrame, patience: int, min_epoch: int, lateness: int = NEVER) -> DataFrame:
-    """Streaming rows (repeat, fold, epoch, auc) to changes of each run's answer.
+def early_stop_stream(stream: DataFrame, patience: int, min_epoch: int, lateness: int = NEVER, idle: int | None = None) -> DataFrame:
+    """Streaming rows (repeat, fold, epoch, auc) to changes of each run's answer; a row without an epoch
+    says that its run has ended.
 
     State per run is one record plus the epochs that overtook others; nothing is ever replayed.
     """
     return stream.groupBy("repeat", "fold").transformWithStateInPandas(
-        statefulProcessor=StopWatcher(patience, min_epoch, lateness), outputStructType=OUT, outputMode="Update", timeMode="None",
+        statefulProcessor=StopWatcher(patience, min_epoch, lateness, idle), outputStructType=OUT, outputMode="Update",
+        timeMode="None" if idle is None else "ProcessingTime",
     )
 
 
 def run_available(spark: SparkSession, source: str, work: str, patience: int, min_epoch: int, per_batch: int = 2, lateness: int = NEVER) -> DataFrame:
-    """Process all files in `source` and return the latest answer of every run."""
-    from pyspark.sql import functions as F
+    """Process all files in `source` and return the latest answer of every run.
 
+    The stream also reads a folder of its own for the ends of runs.  It goes on twice from one
+    checkpoint: over the input, and, when that has ended, over one end for each run seen, which settles
+    what still waits for lost epochs.
+    """
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key, None)
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    ends = f"{work}/ends"
     try:
-        stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", per_batch).parquet(source)
+        spark.createDataFrame([], SCHEMA).write.parquet(ends)
+        both = [spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", per_batch).parquet(p) for p in (source, ends)]
 
         def save(df: DataFrame, batch: int) -> None:
-            df.withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{work}/out")
-
-        q = (
-            early_stop_stream(stream, patience, min_epoch, lateness).writeStream.outputMode("update")
-            .option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).foreachBatch(save).start()
-        )
-        q.awaitTermination()
+            df.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{work}/out/part={batch}")
+
+        def go() -> None:
+            q = (
+                early_stop_stream(both[0].unionByName(both[1]), patience, min_epoch, lateness).writeStream.outputMode("update")
+                .option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).foreachBatch(save).start()
+            )
+            q.awaitTermination()
+
+        go()
+        out = spark.read.schema(f"{OUT}, batch int").parquet(f"{work}/out/*")
+        runs = out.select("repeat", "fold").distinct()
+        runs.select("repeat", "fold", F.lit(None).cast("int").alias("epoch"), F.lit(None).cast("double").alias("auc")).write.mode("append").parquet(ends)
+        go()
     finally:
         if before is None:
             spark.conf.unset(key)
         else:
             spark.conf.set(key, before)
-    out = spark.read.parquet(f"{work}/out")
+    out = spark.read.schema(f"{OUT}, batch int").parquet(f"{work}/out/*")
     last = out.groupBy("repeat", "fold").agg(F.max_by(F.struct("best_epoch", "best_value", "stop_epoch"), F.struct("batch", "best_epoch", "stop_epoch")).alias("r"))
     return last.select("repeat", "fold", "r.best_epoch", "r.best_value", F.when(F.col("r.stop_epoch") > 0, F.col("r.stop_epoch")).alias("stop_epoch"))
