@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from gridloom.functions.columns import rnd
 from gridloom.operators import components as C, learning as ML
 from gridloom.plans.evaluation import STOP
-from gridloom.plans.pipelines import build_graph, extract_profiles
+from gridloom.plans.graphs import CHAIN
+from gridloom.plans.pipelines import build_graph, extract_profiles, merge_fragments
 from gridloom.plans.rasters import scratch
 from gridloom.plans.registry import query
 from gridloom.plans.regions import px, rules
@@ -74,6 +75,35 @@ def _(s, d):
     return edges.join(t.withColumnsRenamed({"label": "src", "node_type": "src_type"}), ["image_id", "src"])
 
 
+#: mean score from which an edge is followed
+SCORED = 0.85
+MERGED = CHAIN[: CHAIN.rindex("SELECT cell//1000 AS graph_id")].replace("FROM pairs WHERE true_label=1", f"FROM pairs WHERE (prob*0.8+prob*1.9)/2>={SCORED!r}") + """, od AS (SELECT cell//1000 AS graph_id, cell%1000 AS cell, pos, node FROM ord UNION ALL SELECT graph_id, cell, 0, node FROM ce JOIN tp USING (graph_id, cell) WHERE topology='singleton'
+UNION ALL SELECT graph_id, cell, row_number() OVER (PARTITION BY graph_id, cell ORDER BY node)-1, node FROM ce JOIN tp USING (graph_id, cell) WHERE topology='cyclic'),
+mg AS (SELECT ce.graph_id, ce.cell, topology, n_nodes, CAST(pos AS INT) AS pos, node, node%100+1 AS label FROM ce JOIN tp USING (graph_id, cell) LEFT JOIN od USING (graph_id, cell, node))"""
+
+
+def merged(s, d):
+    p = V.pairs(s, d)
+    both = p.select("graph_id", "src", "dst", (F.col("prob") * 0.8).alias("prob")).unionByName(p.select("graph_id", F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("prob") * 1.9).alias("prob")))
+    nodes = V.nodes(s, d).select("graph_id", "node", (F.col("node") % 100 + 1).alias("label"))
+    return merge_fragments(nodes, both, V.frags(s, d), SCORED)
+
+
+@query("g3_merge_record", "pairs", MERGED + " SELECT * FROM mg")
+def _(s, d):
+    return merged(s, d)[0]
+
+
+@query("g4_merge_labels", "frags pairs", MERGED + " SELECT image_id, y, x, cell AS label FROM frags JOIN mg ON mg.graph_id=image_id AND mg.label=frags.label")
+def _(s, d):
+    return merged(s, d)[1]
+
+
+@query("g6_merge_edges", "pairs", MERGED + ", me AS (SELECT graph_id, src, dst, (prob*0.8+prob*1.9)/2 AS prob FROM pairs) SELECT me.graph_id, a AS src, b AS dst, round(prob, 8) AS prob, cell FROM (SELECT graph_id, src AS a, dst AS b, prob FROM me UNION ALL SELECT graph_id, dst, src, prob FROM me) me JOIN ce ON node=a WHERE prob>=" + repr(SCORED))
+def _(s, d):
+    return merged(s, d)[2].select("graph_id", "src", "dst", rnd("prob", 8).alias("prob"), "cell")
+
+
 @query("j4_extract_profiles")
 def _(s, d):
     m = V.mosaic(s, d)

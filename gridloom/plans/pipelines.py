@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from gridloom.functions.ordering import running_sums
 from gridloom.functions.rounds import materialize
 from gridloom.operators import candidates as C, components as CC, filters as N, matching as M, profiles as P, regions as G, tiles as T
 from gridloom.operators.labels import to_undirected
+from gridloom.operators.messages import symmetrize
 
 OBJ = ["image_id", "label"]
 
@@ -60,6 +62,36 @@ def build_graph(labels: DataFrame, pixels: DataFrame, gt: DataFrame | None, rule
     return nodes, to_undirected(feats)
 
 
+def merge_fragments(nodes: DataFrame, scores: DataFrame, labels: DataFrame, threshold: float = 0.5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Scored candidate edges to whole cells.
+
+    `nodes` (graph_id, node, label), `scores` (graph_id, src, dst, prob, any more columns) in one or both
+    directions, `labels` (image_id, label, y, x), where an image is a graph.  Returns
+
+    * the record (graph_id, cell, topology, n_nodes, pos, node, label): every node with its cell and its place
+      along it.  Nodes off the longest path of a branched cell have no place; cyclic cells, which
+      have no order, keep their nodes by number;
+    * the merged label map (image_id, y, x, label);
+    * the edges that were followed, with their cell and all their columns.
+
+    Both directions of an edge take the mean score; edges from a node to itself don't count.
+    """
+    keys = ["graph_id", "cell"]
+    true = symmetrize(scores, "prob").filter((F.col("prob") >= threshold) & (F.col("src") != F.col("dst")))
+    true, _ = materialize(true)
+    und = true.select("graph_id", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    cells, _ = materialize(CC.graph_components(nodes, und))
+    top, _ = materialize(CC.topology(cells, und).select(*keys, "n_nodes", "topology"))
+    member = cells.join(top, keys)
+    looped = member.filter("topology = 'cyclic'").select(*keys, "node").withColumn("_one", F.lit(1))
+    by_number = running_sums(looped, keys, "node", {"pos": "_one"}).select(*keys, (F.col("pos") - 1).cast("int").alias("pos"), "node")
+    order = CC.chain_order(cells, und).select(*keys, "pos", "node").unionByName(by_number)
+    record = member.join(order, [*keys, "node"], "left").join(nodes.select("graph_id", "node", "label"), ["graph_id", "node"])
+    record, _ = materialize(record.select(*keys, "topology", "n_nodes", "pos", "node", "label"))
+    merged = CC.relabel(labels, record.select(F.col("graph_id").alias("image_id"), "label", "cell"))
+    return record, merged, true.join(cells.withColumnRenamed("node", "src"), ["graph_id", "src"])
+
+
 def extract_profiles(labels: DataFrame, signal: DataFrame, nuclei: DataFrame, pixel_size: float, bin_size: float, steps: int = 20) -> DataFrame:
     """Signal and nuclei intensity against the distance from each object's tip.
 
