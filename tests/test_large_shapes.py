@@ -26,8 +26,8 @@ def as_array(df, value, shape):
     return out
 
 
-@pytest.mark.parametrize("size", [1, 4, 16, 1000])
-@pytest.mark.parametrize("r", [1, 3, 7, 40, 70])
+@pytest.mark.parametrize("size", [4, 1000])
+@pytest.mark.parametrize("r", [1, 7, 70])
 @pytest.mark.parametrize("how", ["max", "min"])
 def test_line_extremes_in_any_segments(grid, size, r, how):
     v, df = grid
@@ -60,7 +60,7 @@ def brute_distance(fg, sy, sx):
     return np.array([[min((math.hypot((y - a) * sy, (x - b) * sx) for a, b in zip(ys, xs)), default=-1.0) for x in range(fg.shape[1])] for y in range(fg.shape[0])])
 
 
-@pytest.mark.parametrize("share,size", [(0.5, 4096), (0.97, 4), (0.97, 10), (0.999, 7), (1.0, 16)])
+@pytest.mark.parametrize("share,size", [(0.5, 4096), (0.97, 4), (0.999, 7), (1.0, 16)])
 def test_distance_transform(spark, share, size):
     rng = np.random.default_rng(int(share * 1000))
     fg = rng.random((17, 43)) < share
