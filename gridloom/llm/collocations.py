@@ -40,8 +40,8 @@ from gridloom.llm.tables import bit_field, count, marks, written
 from gridloom.llm.words import U, chunks, mix, words
 
 SCALE = 2_000_000
-#: bytes of text counted together
-BLOCK = 1 << 21
+#: bytes of text counted together, texts that go to a Python worker at once, rows it sends back at once
+BLOCK, TEXTS, SENT = 1 << 20, 400, 20_000
 #: what ends a piece, and what ends a word
 _ENDS = np.zeros(256, bool)
 _ENDS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -130,7 +130,8 @@ def counted(texts: DataFrame, sizes: range, fields: dict, least: int = 1) -> Dat
                 at = at[first]
                 parts = [names.take(pa.array(word[at + j])) for j in range(k)]
                 phrase = pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())) if k > 1 else parts[0]
-                yield pa.record_batch({"lang": langs.dictionary.take(pa.array(code[at])).cast(pa.string()), "phrase": phrase.cast(pa.string()), "k": pa.array(np.full(len(n), k, np.int32)), "a": pa.array(n)})
+                out = pa.record_batch({"lang": langs.dictionary.take(pa.array(code[at])).cast(pa.string()), "phrase": phrase.cast(pa.string()), "k": pa.array(np.full(len(n), k, np.int32)), "a": pa.array(n)})
+                yield from (out.slice(i, SENT) for i in range(0, len(n), SENT))
 
     def run(batches):
         for b in batches:
@@ -179,10 +180,10 @@ def collocations(docs: DataFrame, top: int = 2000, least: int = 30, most: int =
     number of nodes a language expands in the first wave, four times `top` unless given.
     """
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    every = written(counted(texts, range(1, 2), {}))
+    every = written(counted(texts, range(1, 2), {}), batch=TEXTS)
     total = every.groupBy("lang").agg(F.sum("a").alias("n"))
     single = every.filter(F.col("a") >= least)
-    pairs = written(counted(texts, range(2, 3), _fields({"word": single}), least))
+    pairs = written(counted(texts, range(2, 3), _fields({"word": single}), least), batch=TEXTS)
     pair = _fields({"pair": pairs})
     found = [pairs]  # counted phrases of two words or more, by wave
     nodes = [written(nodes_of(pairs, single))]
@@ -197,7 +198,7 @@ def collocations(docs: DataFrame, top: int = 2000, least: int = 30, most: int =
         if not count(grow) and not count(need):
             break
         new = counted(texts, range(3, most + 1), pair | _fields({"grow": grow, "need": need}), least)
-        new = written(new.join(union(found).select("lang", "phrase"), ["lang", "phrase"], "left_anti"))
+        new = written(new.join(union(found).select("lang", "phrase"), ["lang", "phrase"], "left_anti"), batch=TEXTS)
         found.append(new)
         done = written(done.union(grow))
         nodes.append(written(nodes_of(new, single)))
