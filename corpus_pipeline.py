@@ -1,6 +1,6 @@
 """The corpus pipeline: documents in, tokens of the kept and mixed documents out.
 
-toxicity (toxic documents go), line dedup (later repeats of runs of lines are cut), n-gram Jaccard join
+toxicity (toxic documents go), line dedup (later repeats of runs of lines and of longer lines are cut), n-gram Jaccard join
 (one document of each group of near copies stays), mixing (documents are taken as often as the sources'
 targets ask for), byte-level BPE.  All stages but the last keep the columns of documents.
 
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridloom.functions.shipping import ship
 from gridloom.llm import bpe, jaccard, lines, mixing, queries, toxicity
-from gridloom.llm.tables import documents, written
+from gridloom.llm.tables import documents, is_written, written
 
 
 def _as_documents(df: DataFrame, docs: DataFrame, text: str) -> DataFrame:
@@ -31,8 +31,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of runs of lines are cut; a document that loses its last line with a word goes."""
-    cut = lines.drop_repeated_lines(docs)
+    """Later repeats of runs of lines, and of lines of five words, are cut; a document that loses its last line with a word goes."""
+    cut = lines.drop_repeated_lines(docs, alone=queries.LINE_WORDS)
     return _as_documents(cut.filter("n_removed = 0 or n_removed < n_lines"), docs, "text")
 
 
@@ -63,5 +63,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, each result written and read again."""
     docs = documents(spark, sf_dir)
     for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir))
+        docs = stage(spark, docs, sf_dir)
+        docs = docs if is_written(docs) else written(docs)
     return docs
