@@ -11,6 +11,7 @@ from gridloom.functions.ordering import first_by
 from gridloom.functions.rounds import materialize
 from gridloom.operators.filters import line_profile
 from gridloom.operators.neighbours import nearest
+from gridloom.operators.vectors import nearest_vectors
 
 P = ["image_id", "i", "j"]
 
@@ -223,37 +224,8 @@ def connectivity_score(paths: DataFrame, width: int = 3) -> DataFrame:
 
 
 def vector_knn(vectors: DataFrame, k: int) -> DataFrame:
-    """Exact k nearest vectors inside each graph, without comparing all pairs of a graph.
-
-    Every graph takes the square root of its size in pivots from its own vectors.  A vector belongs to its nearest pivot's
-    cell; its k-th best distance inside that cell bounds the search, and only cells the triangle
-    inequality cannot exclude are searched: |q - pivot| - cell radius must not exceed the bound.
-    """
-    from gridloom.functions.ordering import hash_rank
-
-    def dist(a, b):
-        return F.sqrt(F.greatest(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v), F.lit(0.0)))
-
-    v = vectors.select("graph_id", "node", "vec")
-    pv = with_stats(hash_rank(v, ["graph_id"], "node", 1), ["graph_id"], _n=F.count("*")).filter("rank <= ceil(sqrt(_n))")
-    pv = pv.select("graph_id", F.col("node").alias("cell"), F.col("vec").alias("pvec"))
-    reach = v.join(pv, "graph_id").withColumn("pd", dist("vec", "pvec")).drop("pvec")
-    own = reach.groupBy("graph_id", "node").agg(F.min(F.struct("pd", "cell")).alias("m"))
-    cells = v.join(own.select("graph_id", "node", F.col("m.cell").alias("cell"), F.col("m.pd").alias("od")), ["graph_id", "node"])
-    cells, _ = materialize(cells)
-    radius = cells.groupBy("graph_id", "cell").agg(F.max("od").alias("radius"))
-    member = cells.select("graph_id", "cell", F.col("node").alias("j"), F.col("vec").alias("jv"))
-
-    def search(q: DataFrame) -> DataFrame:
-        c = q.join(member, ["graph_id", "cell"]).filter("i <> j")
-        return c.withColumn("d", F.round(dist("iv", "jv"), 9)).drop("iv", "jv")
-
-    inside = first_by(search(cells.select("graph_id", "cell", F.col("node").alias("i"), F.col("vec").alias("iv"))), ["graph_id", "i"], [F.col("d"), F.col("j")], k)
-    bound = inside.groupBy("graph_id", "i").agg(F.count("*").alias("c"), F.max("d").alias("b"))
-    q = reach.select("graph_id", F.col("node").alias("i"), F.col("vec").alias("iv"), "cell", "pd").join(radius, ["graph_id", "cell"]).join(bound, ["graph_id", "i"], "left")
-    limit = F.when(F.coalesce("c", F.lit(0)) >= k, F.col("b"))
-    q = q.filter(limit.isNull() | (F.col("pd") - F.col("radius") <= limit + 1e-9)).select("graph_id", "cell", "i", "iv")
-    return first_by(search(q), ["graph_id", "i"], [F.col("d"), F.col("j")], k).select("graph_id", "i", "j", "d")
+    """Exact k nearest vectors inside each graph: (graph_id, i, j, d), d rounded to 9 places."""
+    return nearest_vectors(vectors, k)
 
 
 def dedupe_pairs(directed: DataFrame, value: str) -> DataFrame:

@@ -8,7 +8,7 @@ from conftest import image
 from pyspark.sql import functions as F
 
 from gridloom.functions import stencil as st
-from gridloom.operators import candidates as C, filters as N, neighbours as NB
+from gridloom.operators import candidates as C, filters as N, neighbours as NB, vectors as VK
 
 
 @pytest.fixture(scope="module")
@@ -133,3 +133,34 @@ def test_large_outlines_compare_few_cells(spark):
     assert C.outline_cell_pairs(pairs, boxes, top).count() < 1_000_000
     r = C.boundary_distance(pairs, both).collect()
     assert len(r) == 1 and r[0]["jx"] == 31_000 and r[0]["dist"] <= 5.0
+
+
+def vectors(spark, m, graph=0):
+    return spark.createDataFrame([(graph, i, r.tolist()) for i, r in enumerate(m)], "graph_id long, node long, vec array<double>")
+
+
+@pytest.mark.parametrize("size", [7, 64, 1000])
+def test_nearest_vectors(spark, size):
+    rng = np.random.default_rng(6)
+    m = np.concatenate([rng.normal(size=(60, 6)), np.zeros((5, 6)), rng.normal(size=(70, 6)) * 0.01 + 5])
+    small = rng.normal(size=(4, 6))
+    both = vectors(spark, m).unionByName(vectors(spark, small, 3))
+    got = {}
+    for r in VK.nearest_vectors(both, 5, size=size).collect():
+        got.setdefault((r.graph_id, r.i), []).append((r.d, r.j))
+    for g, x in ((0, m), (3, small)):
+        for i in range(len(x)):
+            d = np.round(np.sqrt(((x - x[i]) ** 2).sum(axis=1)), 9)
+            assert sorted(got[g, i]) == sorted((float(d[j]), j) for j in range(len(x)) if j != i)[:5]
+
+
+def test_clustered_vectors_meet_few_blocks(spark):
+    rng = np.random.default_rng(7)
+    n, centres = 20_000, rng.normal(size=(60, 16)) * 20
+    m = centres[rng.integers(0, 60, n)] + rng.normal(size=(n, 16)) * 0.05
+    v = vectors(spark, m)
+    b = VK.blocks(v)
+    every, near = (VK.block_pairs(b).filter(c).count() for c in ("true", "low <= 1"))
+    assert near < every / 4
+    r = VK.nearest_vectors(v, 3)
+    assert r.count() == 3 * n and r.filter("d > 1").count() == 0
