@@ -21,26 +21,42 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gridloom.llm.tables import WORD
+from gridloom.llm.tables import written
 
-NONBLANK = r"[^\x20\x09-\x0D]"
+NONBLANK, BLANK = r"[^\x20\x09-\x0D]", r"[\x20\x09-\x0D]"
 
 
 def repeated_lines(docs: DataFrame, run: int = 2, alone: int | None = None) -> DataFrame:
     """(doc_id, text_hash, cut): the lines to cut from each document that has any, numbered from 0."""
 
     def line(s: Column, i: Column) -> Column:
-        words = [] if alone is None else [F.regexp_count(s, F.lit(WORD)).alias("words")]
+        words = [] if alone is None else [s.rlike(f"(?:{NONBLANK}++{BLANK}++){{{alone - 1}}}{NONBLANK}").alias("long")]
         return F.struct(i.alias("i"), F.xxhash64(s).alias("h"), F.xxhash64(s, F.lit(1)).alias("g"), s.rlike(NONBLANK).alias("full"), *words)
 
     lines = F.filter(F.transform(F.split("text", "\n", -1), line), lambda x: x["full"])
-    d = docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), lines.alias("seq"))
+    lines = F.transform(lines, lambda x: x.dropFields("full"))
+    # hashes of lines, written once: texts aren't cut up again for every step
+    d = written(docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), lines.alias("seq")))
     later = _later_runs(d, run)
     if alone is not None:
-        later = later.unionByName(_later_runs(d.withColumn("seq", F.filter("seq", lambda x: x["words"] >= alone)), 1))
+        later = later.unionByName(_later_lines(d.select("doc_id", "text_hash", F.filter("seq", lambda x: x["long"]).alias("seq"))))
     return later.groupBy("doc_id", "text_hash").agg(F.array_distinct(F.flatten(F.collect_set("cut"))).alias("cut"))
 
 
+def _later_lines(d: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, cut): every line of `seq` that an earlier one equals.  In windows of one line every
+    line is selected and has one way to be extended, so lines are met as they are."""
+    found = d.select("doc_id", "text_hash", F.explode("seq").alias("x")).select("doc_id", "text_hash", F.col("x.i").alias("i"), F.col("x.h").alias("h"), F.col("x.g").alias("g"))
+    return _later(found, ["h", "g"], "i").select("doc_id", "text_hash", F.array("i").alias("cut"))
+
+
+def _later(found: DataFrame, key: list[str], start: str) -> DataFrame:
+    """The rows whose key an earlier place has: keys met once are left out before the join back."""
+    place = F.struct("doc_id", "text_hash", start)
+    first = found.groupBy(*key).agg(F.min(place).alias("first"), F.max(place).alias("final")).filter("first < final").drop("final")
+    return found.join(first, key).filter(place > F.col("first"))
+
+
 def _later_runs(d: DataFrame, run: int) -> DataFrame:
     """(doc_id, text_hash, cut): the lines of every later repeat that a selected line shows, from the lines `seq`."""
     d = d.filter(F.size("seq") >= run)
@@ -58,11 +74,7 @@ def _later_runs(d: DataFrame, run: int) -> DataFrame:
 
     ways = F.transform(offsets, lambda x: F.struct(x["o"].alias("o"), x["start"].alias("start"), context(x["start"], "h").alias("k1"), context(x["start"], "g").alias("k2"), F.transform(F.slice("seq", x["start"] + 1, run), lambda y: y["i"]).alias("cut")))
     found = d.select("doc_id", "text_hash", F.get("seq", F.col("at"))["h"].alias("line"), F.explode(ways).alias("w")).select("doc_id", "text_hash", "line", "w.*")
-    place = F.struct("doc_id", "text_hash", "start")
-    key = ["line", "o", "k1", "k2"]
-    # every way is met at least once, so ways met once are left out before the join back
-    first = found.groupBy(*key).agg(F.min(place).alias("first"), F.max(place).alias("final")).filter("first < final").drop("final")
-    return found.join(first, key).filter(place > F.col("first")).select("doc_id", "text_hash", "cut")
+    return _later(found, ["line", "o", "k1", "k2"], "start").select("doc_id", "text_hash", "cut")
 
 
 def drop_repeated_lines(docs: DataFrame, run: int = 2, alone: int | None = None) -> DataFrame:
