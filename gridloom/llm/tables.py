@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+import weakref
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +22,32 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def written(df: DataFrame, batch: int | None = None) -> DataFrame:
+_scopes: list[list[str]] = []
+_known: weakref.WeakSet = weakref.WeakSet()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are deleted at the end, but for those written with `outlives`."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+        for path in _scopes.pop():
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+
+
+def written(df: DataFrame, batch: int | None = None, outlives: bool = False) -> DataFrame:
     """The rows, written to the shared folder and read again: what follows never repeats this step.
 
     `batch` rows at most go to a Python worker at once while this step runs; wide rows need few.
+    A table that `outlives` its scratch scope belongs to the scope around it, if there is one.
     """
     path = f"{shared_dir(df.sparkSession)}/llm-{uuid.uuid4().hex}"
+    for scope in _scopes[: -1 if outlives else None][-1:]:
+        scope.append(path)
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = conf.get(key)
     try:
@@ -34,7 +56,14 @@ def written(df: DataFrame, batch: int | None = None) -> DataFrame:
         df.write.parquet(path)
     finally:
         conf.set(key, before)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _known.add(out)
+    return out
+
+
+def is_written(df: DataFrame) -> bool:
+    """Whether this very DataFrame came from `written`."""
+    return df in _known
 
 
 def crc_mod(key: Column, n: int) -> Column:
