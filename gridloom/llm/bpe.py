@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession, functions as F
 
+from gridloom.llm.words import give_back
+
 #: bytes of pieces in one recursive query, pieces in a generation of those a worker keeps, texts looked at together
 BLOCK, KEPT, ROWS = 1 << 18, 80_000, 1500
 
@@ -176,7 +178,7 @@ def coded(spark: SparkSession, text: Column, vocabulary: str, pattern: str, ids:
         if not keep:
             del coder
             Coder._own.clear()
-            pa.default_memory_pool().release_unused()
+        give_back()
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(listed, pa.list_(pa.int32())), pa.array(id_hash, pa.string()), pa.array(text_hash, pa.string())], ["n_tokens", "ids", "ids_sha256", "decoded_sha256"])
 
     text = F.coalesce(text, F.lit(""))

@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, BooleanType
 
-from gridloom.llm.tables import components, count, sieve, written
-from gridloom.llm.words import U, chunks, mix, words
+from gridloom.llm.tables import bit_field, components, count, marks, scratch, written
+from gridloom.llm.words import U, chunks, give_back, mix, words
 
 WIDTH = 5
 CELLS, BLOCKS = 1 << 20, 64  # of the count sketch: its size never grows
@@ -67,6 +67,7 @@ def frequency_classes(docs: DataFrame) -> np.ndarray:
             for _, part in chunks(b.column(0)):
                 g, _ = words(part, lower=True).grams(WIDTH)
                 total += np.bincount((g >> U(44)).astype(np.int64), minlength=CELLS)
+        give_back()
         if total.any():
             yield blocks(total)
 
@@ -103,7 +104,12 @@ def similar_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 def _grouped(docs: DataFrame, percent: int) -> DataFrame:
     """Groups with their `root`, one class of the component: it tells components apart that have the same smallest
-    doc_id, or none.  Null for empty sets."""
+    doc_id, or none.  Null for empty sets.  Only this result stays; the tables on the way are deleted."""
+    with scratch(docs.sparkSession):
+        return written(_linked(docs, percent), outlives=True)
+
+
+def _linked(docs: DataFrame, percent: int) -> DataFrame:
     spark = docs.sparkSession
     classes = spark.sparkContext.broadcast(frequency_classes(docs))
 
@@ -116,6 +122,7 @@ def _grouped(docs: DataFrame, percent: int) -> DataFrame:
             cls.append(c)
             post.append(prefix(s, classes.value, ORDERS[0], percent).view(np.int64) if len(s) and c not in seen else None)
             seen.add(c)
+        give_back()
         return pa.StructArray.from_arrays([pa.array(n, pa.int32()), pa.array(cls, pa.int64()), pa.array(post, pa.list_(pa.int64()))], ["n", "cls", "post"])
 
     d = docs.select("doc_id", F.xxhash64("text").alias("th"), described.asNondeterministic()("text").alias("x"))
@@ -135,15 +142,23 @@ def _grouped(docs: DataFrame, percent: int) -> DataFrame:
     again = d.filter("n > 0").groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
     repeats = count(again.limit(1)) > 0
 
-    @F.arrow_udf(BinaryType())
-    def packed(t: pa.Array) -> pa.Array:
-        return pa.array([s.tobytes() for s in shingles(t)], pa.binary())
-
     def sets_of(classes: DataFrame) -> DataFrame:
         wanted = written(one.join(classes, "cls", "left_semi"))
-        texts = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
-        texts = texts.filter(sieve(wanted.select("one_th"))(F.col("th")))
-        sets = wanted.join(texts, F.col("one_id").eqNullSafe(F.col("doc_id")) & (F.col("one_th") == F.col("th"))).select("cls", packed("text").alias("tokens"))
+        field = spark.sparkContext.broadcast(bit_field(wanted.select("one_th")))
+
+        # one function sorts texts out and packs the rest: two in a stage would be two workers a task
+        @F.arrow_udf(BinaryType())
+        def packed(th: pa.Array, t: pa.Array) -> pa.Array:
+            use = marks(field.value, th.to_numpy(zero_copy_only=False).astype(np.int64).view(U)) & t.is_valid().to_numpy(zero_copy_only=False)
+            at = np.flatnonzero(use)
+            out: list[bytes | None] = [None] * len(t)
+            for i, s in zip(at, shingles(t.take(pa.array(at))), strict=True):
+                out[i] = s.tobytes()
+            return pa.array(out, pa.binary())
+
+        texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+        texts = texts.select("doc_id", "th", packed.asNondeterministic()("th", "text").alias("tokens")).filter("tokens is not null")
+        sets = wanted.join(texts, F.col("one_id").eqNullSafe(F.col("doc_id")) & (F.col("one_th") == F.col("th"))).select("cls", "tokens")
         return written(sets.dropDuplicates(["cls"]) if repeats else sets, batch=500)
 
     @F.arrow_udf(BooleanType())
@@ -159,6 +174,7 @@ def _grouped(docs: DataFrame, percent: int) -> DataFrame:
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 ok = 100 * common >= percent * (len(x) + len(y) - common)
             out.append(ok)
+        give_back()
         return pa.array(out, pa.bool_())
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -217,7 +233,7 @@ def drop_similar(docs: DataFrame, percent: int = 80) -> DataFrame:
     empty sets all stay.  Rows that are equal in doc_id and text count as copies too; of different texts
     of a group under its smallest doc_id the one with the smallest hash stays.  A group without a
     doc_id keeps one as well; groups that share a doc_id, or have none, are groups of their own."""
-    g = written(_grouped(docs, percent))
+    g = _grouped(docs, percent)
     keep = F.col("component_id").eqNullSafe(F.col("doc_id"))
     first = g.filter(keep & (F.col("n_shingles") > 0))
     twice = first.groupBy("root").agg(F.count(F.lit(1)).alias("k"), F.min("text_hash").alias("one")).filter("k > 1")
@@ -226,7 +242,7 @@ def drop_similar(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     def matches(pairs: DataFrame, how: str, out: DataFrame) -> DataFrame:
         p = pairs.toDF("that_id", "that_hash").distinct()
-        return out.join(p, F.col("doc_id").eqNullSafe(F.col("that_id")) & (F.xxhash64("text") == F.col("that_hash")), how)
+        return out.join(p, out["doc_id"].eqNullSafe(p["that_id"]) & (F.xxhash64(out["text"]) == p["that_hash"]), how)
 
     out = matches(gone, "left_anti", docs)
     if not count(twice):

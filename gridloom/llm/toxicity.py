@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType
 
 from gridloom.llm.tables import written
-from gridloom.llm.words import MARKS, chunks, words
+from gridloom.llm.words import MARKS, chunks, give_back, words
 
 HEADS = (4, 5, 6)  # bytes of a word's beginnings that count as tokens too
 PASSAGES = "array<struct<first: int, last: int, score: double, expected: double>>"
@@ -269,6 +269,7 @@ def scored(text: Column | str, m: Model) -> Column:
             size.append(n)
             e = [(a, b, s, float(np.exp(min(np.log(n) + m.place - m.rate * s, 50)))) for a, b, s in seg]
             spans.append([dict(zip(("first", "last", "score", "expected"), x, strict=True)) for x in e if x[3] <= m.expect])
+        give_back()
         kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64()), ("expected", pa.float64())]))
         return pa.StructArray.from_arrays([pa.array(score, pa.float64()), pa.array(size, pa.int32()), pa.array(spans, kind)], ["score", "tokens", "passages"])
 

@@ -7,6 +7,8 @@ polynomial modulo 2^64 would not do: for every base there are short periodic wor
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -121,6 +123,16 @@ def words(texts: pa.Array, separators: np.ndarray = SPACES, lower: bool = False)
     return Words(b, start, end, h, np.searchsorted(start, o), total, first)
 
 
+_LIBC = ctypes.CDLL(None) if sys.platform == "linux" else None
+
+
+def give_back() -> None:
+    """Return free memory of this process to the system: Python workers live on after their task."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None and hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def chunks(texts: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, pa.Array]]:
     """Slices of a text column with about `most` bytes each: (first row, slice)."""
     if isinstance(texts, pa.ChunkedArray):
