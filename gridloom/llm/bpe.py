@@ -9,7 +9,7 @@ by bytes, so the working set of a query is bounded, and finished pieces are kept
 batches up to a bound.  DuckDB runs in the task's own process, with one thread and no files.
 
 Special tokens don't exist here: their strings are ordinary text.  Null reads as an empty text, which
-has no tokens.
+has no tokens; an empty column gives an empty one.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ blocks the same rule holds for nodes.  The k best of each query and block are me
 Scores are integers: components become floor(scale x).  They are exact in double precision below 2^53;
 beyond, Python integers take over.  Ties go to the smaller vec_id.  Vectors that are null, empty or hold
 null or non-finite components take no part; vectors of different lengths don't meet; rows with the
-query's own vec_id are not its candidates; fewer than k candidates give fewer rows.
+query's own vec_id are not its candidates, so rows that share a vec_id are not told apart; fewer than k
+candidates give fewer rows, an empty table none.  Only vec_id, embedding and the query column are read.
 """
 
 from __future__ import annotations

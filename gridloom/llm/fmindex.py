@@ -18,7 +18,8 @@ start anywhere else, in the same text too, goes.
 
 Defined cases: null reads as no words; texts shorter than a window keep all words; equal rows repeat
 each other and lose what is long enough; windows are judged on the input, not on what is left.
-Grams, segments and words are compared by 64-bit hashes (segments of one gram by both).
+Grams, segments and words are compared by 64-bit hashes (segments of one gram by both).  An empty table
+gives an empty result; only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations

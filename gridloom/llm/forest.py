@@ -14,7 +14,8 @@ meets.  A leaf is compared in blocks of `block` points, each pair of blocks a ta
 so a leaf of any size, such as a group of near copies, is only ever held in pieces.
 
 Defined cases: a null label, null, zero or empty vectors, null or non-finite components: no link, the
-vector is its own component.  Vectors of different lengths never link.
+vector is its own component.  Vectors of different lengths never link.  An empty table gives an empty
+result; only vec_id, label and embedding are read, so other columns may have any name.
 """
 
 from __future__ import annotations

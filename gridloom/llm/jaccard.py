@@ -19,7 +19,8 @@ ties by its own seeded hash.
 
 Defined cases: null texts and texts without a word have empty sets, n_shingles 0, and are their own
 component; fewer than five words make one shingle of the whole; rows with the same doc_id are rows of
-their own.  Two different sets share a 64-bit class with a probability of N^2 / 2^65 for N texts.
+their own.  An empty table gives an empty result; columns of any name pass through `drop_similar`.
+Two different sets share a 64-bit class with a probability of N^2 / 2^65 for N texts.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ learn from splice pieces of several languages, so the transitions have seen swit
 whole texts.
 
 Defined cases: `und` with score 0 for null texts, texts without a letter, and when no language could be
-learned; equal means go to the language first in code point order.
+learned; equal means go to the language first in code point order.  An empty table gives an empty result;
+only doc_id, text and lang are read, so other columns may have any name.
 """
 
 from __future__ import annotations

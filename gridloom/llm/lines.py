@@ -9,7 +9,8 @@ partial minimum.  A selected line elsewhere that extends in the same way is a la
 runs are covered by the selected lines inside them.
 
 Order is (doc_id, text hash, line), a null doc_id first.  Rows equal in doc_id and text count as one
-document: all get the same result.  A null text stays null; a text that loses every line becomes
+document: all get the same result.  An empty table gives an empty result; columns of any name stay
+inside `row`.  A null text stays null; a text that loses every line becomes
 empty (or its blank lines).
 
 When `run` is 2 or more a single repeated line stays, unless `alone` is given: then lines of at least

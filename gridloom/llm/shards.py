@@ -8,7 +8,8 @@ scattering, permuted by Fisher-Yates (`shuffle` with a seed) and written.  A rec
 through the buckets of its shard.
 
 Defined cases: a null doc_id is a key like any other; a null text has no bytes; equal records are told
-apart by nothing and fill slots of their own.  Records that repeat more than `hot` times in doc_id and
+apart by nothing and fill slots of their own.  An empty table gives an empty result; columns of any
+name stay inside `record`.  Records that repeat more than `hot` times in doc_id and
 text are scattered by row number as well, so no bucket holds more than its share of them.
 """
 

@@ -20,7 +20,8 @@ of chance occurrences in a text of that length is at most `expect`.
 
 Defined cases: a null or empty text has no passage and the score of a text without evidence, labels
 that are null count as absent, repeated labels of one document count as toxic if any is.  Without a
-toxic or a clean learning row every score is 0.
+toxic or a clean learning row every score is 0.  An empty table gives an empty result.  Columns of any name
+pass through `drop_toxic`.
 """
 
 from __future__ import annotations
