@@ -112,7 +112,7 @@ def knn_edges(regions: DataFrame, boundary: DataFrame, k: int = 6, mult: int = 3
     """Unordered pairs where one is among the other's k nearest by outline distance; candidates
     are the mult*k nearest by centroid; ties go to the nearer centroid.  Each pair's outline
     distance is computed once for both directions."""
-    cand = centroid_knn(regions, mult * k)
+    cand, _ = materialize(centroid_knn(regions, mult * k))  # read for the pairs and for their ranks
     und = cand.select("image_id", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
     dist = boundary_distance(und, boundary)
     d = cand.select("image_id", F.col("i").alias("from"), "rank", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).join(dist, P)

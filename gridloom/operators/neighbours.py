@@ -63,7 +63,6 @@ def _cells(leaves: DataFrame) -> tuple[DataFrame, int]:
 
     child = F.when(F.col("at") < F.col("lv"), F.struct(above("ky", "(at + 1)").alias("y"), above("kx", "(at + 1)").alias("x")))
     up = up.select("image_id", "leaf", F.col("at").alias("lv"), above("ky", "at").alias("ky"), above("kx", "at").alias("kx"), child.alias("child"), "n", "y0", "y1", "x0", "x1")
-    up, _ = materialize(up)
     key = ["image_id", *_KEY]
     box = [F.sum("n").alias("n"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.min("x0").alias("x0"), F.max("x1").alias("x1")]
     kept = up.groupBy(*key).agg(*box, F.min("child").alias("a"), F.max("child").alias("b")).filter("a is null or a <> b or lv = 0")
@@ -103,7 +102,7 @@ def _open(pairs: DataFrame, cells: DataFrame, m: int) -> DataFrame:
 
 def leaf_pairs(points: DataFrame, m: int, leaf: int = LEAF) -> tuple[DataFrame, DataFrame]:
     """(image_id, q, c): the pairs of leaf cells whose points must be compared, and the points with their cells."""
-    leaves, _ = materialize(quadtree(points, leaf))
+    leaves = quadtree(points, leaf)  # written tables already
     cells, turns = _cells(leaves)
     cells, _ = materialize(cells)
     pairs = cells.filter("lv = 0").select("image_id", F.col("cell").alias("q"), F.col("cell").alias("c"))
