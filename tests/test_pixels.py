@@ -50,6 +50,11 @@ def test_manual_slice_out_of_bounds(spark):
         R.project_sharpest(st, 9).collect()
 
 
+def test_manual_slice_leaves_shallow_stacks_out(spark):
+    st = spark.createDataFrame([(i, 0, z, 0, 0, 5) for i, n in ((0, 7), (1, 3)) for z in range(n)], "image_id long, c long, z long, y long, x long, v int")
+    assert [(r.image_id, r.z) for r in R.project_sharpest(st, 5, check=False).collect()] == [(0, 5)]
+
+
 def test_pad_nearest_and_rotation_are_consistent(spark):
     a = np.arange(20).reshape(4, 5)
     im = image(spark, a.shape, lambda y, x: a[y, x])
