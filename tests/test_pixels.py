@@ -157,3 +157,10 @@ def test_pixel_features_hold_mean_and_vesselness(spark):
     for (y, x), r in f.items():
         assert r["v"] == v[y, x] and abs(r["f_mean"] - wide[y : y + 3, x : x + 3].mean()) < 1e-6 and abs(r["f_vesselness"] - ves[y, x]) < 1e-9
     assert len(f) == v.size and {"f_mean", "f_vesselness"} <= set(learning.FEATURES) and any(ves.values())
+
+
+def test_bandpass_spans_zero_to_one(spark):
+    v = np.random.default_rng(3).integers(0, 60000, (9, 12))
+    got = [r.v for r in N.bandpass(image(spark, v.shape, lambda y, x: v[y, x]), 4, 1.5).collect()]
+    assert len(got) == v.size and min(got) == 0.0 and max(got) == 1.0
+    assert all(r.v == 0.0 for r in N.bandpass(image(spark, (5, 6), lambda y, x: 7), 4, 1.5).collect())
