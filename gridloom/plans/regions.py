@@ -15,6 +15,8 @@ NB4 = "o4(dy, dx) AS (VALUES (0,0),(1,0),(-1,0),(0,1),(0,-1))"
 OUTLINE = NB4 + """, nc AS (SELECT a.image_id, a.label, a.y, a.x, count(b.y) AS n FROM frags a CROSS JOIN o4 LEFT JOIN frags b ON b.image_id=a.image_id AND b.label=a.label AND b.y=a.y+dy AND b.x=a.x+dx GROUP BY ALL),
 ol AS (SELECT image_id, label, y, x FROM nc WHERE n<5)"""
 INNER = OUTLINE + """, ib AS (SELECT image_id, label, y, x FROM nc WHERE n < 5-(y=0)::INT-(x=0)::INT-(y=79)::INT-(x=79)::INT)"""
+SIZES = "sz AS (SELECT image_id, max(y)+1 AS h, max(x)+1 AS w FROM region GROUP BY 1)"
+INNER_SIZED = OUTLINE + ", " + SIZES + """, ib AS (SELECT image_id, label, y, x FROM nc JOIN sz USING (image_id) WHERE n < 5-(y=0)::INT-(x=0)::INT-(y=h-1)::INT-(x=w-1)::INT)"""
 BASIC = "bs AS (SELECT image_id, label, count(*) AS area, avg(y) AS cy, avg(x) AS cx, min(y) AS r0, min(x) AS c0, max(y)+1 AS r1, max(x)+1 AS c1 FROM frags GROUP BY 1,2)"
 MOM = """mm AS (SELECT image_id, label, var_pop(y)+1/12::DOUBLE AS vy, var_pop(x)+1/12::DOUBLE AS vx, covar_pop(y, x) AS vxy FROM frags GROUP BY 1,2),
 ml AS (SELECT *, (vy+vx)/2+sqrt(pow((vy-vx)/2, 2)+vxy*vxy) AS l1, greatest((vy+vx)/2-sqrt(pow((vy-vx)/2, 2)+vxy*vxy), 0) AS l2 FROM mm),
@@ -45,7 +47,7 @@ def rq(*cols, places=6):
     return ", ".join(f"round({c}, {places})+0.0 AS {c}" for c in cols)
 
 
-@query("c22_inner_boundary", "frags", INNER + " SELECT image_id, label, y, x FROM ib")
+@query("c22_inner_boundary", "frags", INNER_SIZED + " SELECT image_id, label, y, x FROM ib")
 def _(s, d):
     return G.inner_boundary(V.frags(s, d), sizes(s, d))
 
@@ -119,7 +121,7 @@ def _(s, d):
     return G.filter_report(filtered(s, d)).withColumn("mean_major", rnd("mean_major"))
 
 
-BOX = """bx AS (SELECT image_id, label, greatest(c0-0.1::DOUBLE*(c1-c0), 0) AS x1, greatest(r0-0.1::DOUBLE*(r1-r0), 0) AS y1, least(c1+0.1::DOUBLE*(c1-c0), 80) AS x2, least(r1+0.1::DOUBLE*(r1-r0), 80) AS y2 FROM bs)"""
+BOX = SIZES + """, bx AS (SELECT image_id, label, greatest(c0-0.1::DOUBLE*(c1-c0), 0) AS x1, greatest(r0-0.1::DOUBLE*(r1-r0), 0) AS y1, least(c1+0.1::DOUBLE*(c1-c0), w) AS x2, least(r1+0.1::DOUBLE*(r1-r0), h) AS y2 FROM bs JOIN sz USING (image_id))"""
 
 
 @query("d10_node_box", "frags", BASIC + ", " + BOX + f" SELECT image_id, label, {rq('x1', 'y1', 'x2', 'y2')} FROM bx")
@@ -189,8 +191,8 @@ def _(s, d):
     return G.prompts(G.region_basic(V.frags(s, d)), "square", 2.0)
 
 
-@query("d14_compose_masks", "frags", """o AS (SELECT a.i AS dy, b.i AS dx FROM (SELECT unnest(range(-2,3)) AS i) a, (SELECT unnest(range(-2,3)) AS i) b WHERE abs(a.i)+abs(b.i)<=2)
-SELECT image_id, y+dy AS y, x+dx AS x, max(label) AS label FROM frags, o WHERE y+dy BETWEEN 0 AND 79 AND x+dx BETWEEN 0 AND 79 GROUP BY 1,2,3""")
+@query("d14_compose_masks", "frags", SIZES + """, o AS (SELECT a.i AS dy, b.i AS dx FROM (SELECT unnest(range(-2,3)) AS i) a, (SELECT unnest(range(-2,3)) AS i) b WHERE abs(a.i)+abs(b.i)<=2)
+SELECT image_id, y+dy AS y, x+dx AS x, max(label) AS label FROM frags JOIN sz USING (image_id), o WHERE y+dy BETWEEN 0 AND h-1 AND x+dx BETWEEN 0 AND w-1 GROUP BY 1,2,3""")
 def _(s, d):
     return G.compose_masks(N.dilate(V.frags(s, d), N.diamond(2), sizes(s, d)))
 
