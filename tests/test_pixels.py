@@ -164,3 +164,17 @@ def test_bandpass_spans_zero_to_one(spark):
     got = [r.v for r in N.bandpass(image(spark, v.shape, lambda y, x: v[y, x]), 4, 1.5).collect()]
     assert len(got) == v.size and min(got) == 0.0 and max(got) == 1.0
     assert all(r.v == 0.0 for r in N.bandpass(image(spark, (5, 6), lambda y, x: 7), 4, 1.5).collect())
+
+
+def test_stretch_truncates_whole_numbers(spark):
+    """Values that the stretch maps to a whole number keep it, whatever the last bit of a percentile."""
+    from fractions import Fraction
+
+    v = np.random.default_rng(0).integers(2000, 60000, (400, 64))
+    df = spark.createDataFrame([(i, 0, x, int(v[i, x])) for i in range(400) for x in range(64)], "image_id long, y long, x long, v int")
+    got = {(r.image_id, r.x): r.v for r in R.contrast_stretch(df, 2.0).collect()}
+    for i in range(400):
+        u = sorted(int(a) for a in v[i])
+        lo, hi = (u[int(p)] + (u[min(int(p) + 1, 63)] - u[int(p)]) * (p - int(p)) for p in (Fraction(63, 50), Fraction(63 * 49, 50)))
+        for x in range(64):
+            assert got[i, x] == (min(max(int(v[i, x]), lo), hi) - lo) * 65535 // (hi - lo)
