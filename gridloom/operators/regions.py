@@ -54,10 +54,21 @@ def region_basic(labels: DataFrame) -> DataFrame:
 
 
 def region_moments(labels: DataFrame) -> DataFrame:
-    """Axis lengths, eccentricity and orientation of the ellipse with the same second moments."""
-    m = labels.groupBy(*KEYS).agg(
-        (F.var_pop("y") + 1 / 12).alias("vy"), (F.var_pop("x") + 1 / 12).alias("vx"), F.covar_pop("y", "x").alias("vxy")
+    """Axis lengths, eccentricity and orientation of the ellipse with the same second moments.
+
+    Moments come from whole numbers, so a covariance of zero is zero and an upright ellipse stands at pi/2.
+    """
+    def total(e: str) -> Column:
+        return F.sum(F.expr(f"CAST({e} AS DECIMAL(18, 0))"))
+
+    sums = labels.groupBy(*KEYS).agg(
+        F.count("*").cast("decimal(14, 0)").alias("n"), *[total(e).alias(a) for a, e in (("sy", "y"), ("sx", "x"), ("syy", "y * y"), ("sxx", "x * x"), ("sxy", "x * y"))]
     )
+
+    def moment(a: str, b: str) -> Column:
+        return F.expr(f"CAST(n * s{a}{b} - s{a} * s{b} AS DOUBLE) / CAST(n * n AS DOUBLE)")
+
+    m = sums.select(*KEYS, (moment("y", "y") + 1 / 12).alias("vy"), (moment("x", "x") + 1 / 12).alias("vx"), moment("x", "y").alias("vxy"))
     mid, half = (F.col("vy") + F.col("vx")) / 2, (F.col("vy") - F.col("vx")) / 2
     root = F.sqrt(half * half + F.col("vxy") * F.col("vxy"))
     m = m.withColumn("l1", mid + root).withColumn("l2", F.greatest(mid - root, F.lit(0.0)))

@@ -21,6 +21,9 @@ BASIC = "bs AS (SELECT image_id, label, count(*) AS area, avg(y) AS cy, avg(x) A
 MOM = """mm AS (SELECT image_id, label, var_pop(y)+1/12::DOUBLE AS vy, var_pop(x)+1/12::DOUBLE AS vx, covar_pop(y, x) AS vxy FROM frags GROUP BY 1,2),
 ml AS (SELECT *, (vy+vx)/2+sqrt(pow((vy-vx)/2, 2)+vxy*vxy) AS l1, greatest((vy+vx)/2-sqrt(pow((vy-vx)/2, 2)+vxy*vxy), 0) AS l2 FROM mm),
 mo AS (SELECT image_id, label, 4*sqrt(l1) AS major, 4*sqrt(l2) AS minor, sqrt(1-l2/l1) AS eccentricity, CASE WHEN abs(vy-vx)<1e-9 THEN CASE WHEN vxy>1e-9 THEN pi()/4 ELSE -pi()/4 END ELSE 0.5*atan2(2*vxy, vy-vx) END AS orientation FROM ml)"""
+# the same with moments from whole numbers
+MOM_EXACT = """mm AS (SELECT image_id, label, CAST(n*syy-sy*sy AS DOUBLE)/CAST(n*n AS DOUBLE)+1/12::DOUBLE AS vy, CAST(n*sxx-sx*sx AS DOUBLE)/CAST(n*n AS DOUBLE)+1/12::DOUBLE AS vx, CAST(n*sxy-sx*sy AS DOUBLE)/CAST(n*n AS DOUBLE) AS vxy FROM (SELECT image_id, label, count(*) AS n, sum(y) AS sy, sum(x) AS sx, sum(y*y) AS syy, sum(x*x) AS sxx, sum(x*y) AS sxy FROM frags GROUP BY 1,2)),
+ml AS""" + MOM.split("ml AS", 1)[1]
 PERIM = OUTLINE + """, o8 AS (SELECT a.i AS dy, b.i AS dx FROM (SELECT unnest([-1,0,1]) AS i) a, (SELECT unnest([-1,0,1]) AS i) b),
 pc AS (SELECT a.image_id, a.label, a.y, a.x, sum(CASE abs(dy)+abs(dx) WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 10 END) AS code FROM ol a CROSS JOIN o8 JOIN ol b ON b.image_id=a.image_id AND b.label=a.label AND b.y=a.y+dy AND b.x=a.x+dx GROUP BY 1,2,3,4),
 pr AS (SELECT image_id, label, sum(CASE WHEN code IN (5,7,15,17,25,27) THEN 1 WHEN code IN (21,33) THEN sqrt(2) WHEN code IN (13,23) THEN (1+sqrt(2))/2 ELSE 0 END) AS perimeter FROM pc GROUP BY 1,2)"""
@@ -58,7 +61,7 @@ def _(s, d):
     return b.withColumn("cy", rnd("cy")).withColumn("cx", rnd("cx")).withColumn("extent", rnd("extent"))
 
 
-@query("d2_region_moments", "frags", MOM + f" SELECT image_id, label, {rq('major', 'minor', 'eccentricity', 'orientation')} FROM mo")
+@query("d2_region_moments", "frags", MOM_EXACT + f" SELECT image_id, label, {rq('major', 'minor', 'eccentricity', 'orientation')} FROM mo")
 def _(s, d):
     return r(G.region_moments(V.frags(s, d)), "major", "minor", "eccentricity", "orientation")
 

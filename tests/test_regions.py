@@ -136,3 +136,10 @@ def test_centroid_knn_matches_brute_force_on_clustered_points(spark):
     for _, i, y, x in pts:
         best = sorted(((y - b) ** 2 + (x - a) ** 2, j) for _, j, b, a in pts if j != i)[:5]
         assert [got[i, n + 1] for n in range(5)] == [j for _, j in best]
+
+
+def test_an_upright_region_stands_at_a_right_angle(spark):
+    """Its covariance is zero in whole numbers, so no rounding decides the sign of the angle."""
+    px = [(i, 1, y + 3 * i, x + 7 * i) for i in range(40) for y, x in ((0, 0), (0, 3), (1, 1), (1, 2), (2, 0), (2, 3), (0, 1), (0, 2), (2, 1), (2, 2))]
+    m = G.region_moments(spark.createDataFrame(px, "image_id long, label long, y long, x long")).collect()
+    assert {r.orientation for r in m} == {math.pi / 2} and len({(r.major, r.minor) for r in m}) == 1
