@@ -8,7 +8,7 @@ from compare import compare
 
 import __spark_entry__ as entry
 
-NAMES = ["b5_project_manual_slice", "c22_inner_boundary", "d10_node_box", "d11_edge_box", "d14_compose_masks", "f5_edge_features"]
+NAMES = ["b5_project_manual_slice", "c22_inner_boundary", "d10_node_box", "d11_edge_box", "d14_compose_masks", "f5_edge_features", "c19_distance_transform", "c29_wavelet_sym8"]
 
 
 @pytest.fixture(scope="module")
