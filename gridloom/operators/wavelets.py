@@ -116,8 +116,11 @@ def compose(approximation: DataFrame, details: list[DataFrame], bank: str, keys:
 
 def denoise(df: DataFrame, bank: str = "sym8", levels: int = 3, keys: list[str] = IMG, size: int | None = None) -> DataFrame:
     """Soft thresholding of all details at sigma * sqrt(2 ln pixels), sigma from the median of the finest
-    diagonal details."""
-    approximation, details = decompose(df, bank, levels, keys, size)
+    diagonal details.  Places of the image's rectangle without a pixel count as 0 and aren't returned."""
+    gaps = st.missing(df, keys)
+    full = df.select(*keys, "y", "x", F.col("v").cast("double").alias("v"))
+    full = full if gaps is None else full.unionByName(gaps.withColumn("v", F.lit(0.0)))
+    approximation, details = decompose(full, bank, levels, keys, size)
     noise = exact_percentile(details[0].withColumn("_d", F.abs("hh")), keys, "_d", {"_m": 0.5})
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     limit = noise.join(sizes, keys).select(*keys, (F.col("_m") / 0.6745 * F.sqrt(2 * F.log(F.col("_n").cast("double")))).alias("_t"))
@@ -126,4 +129,5 @@ def denoise(df: DataFrame, bank: str = "sym8", levels: int = 3, keys: list[str]
         return (F.signum(c) * F.greatest(F.abs(c) - F.col("_t"), F.lit(0.0))).alias(c)
 
     shrunk = [d.join(limit, keys).select(*[soft(c) if c in ("lh", "hl", "hh") else c for c in d.columns]) for d in details]
-    return compose(approximation, shrunk, bank, keys, size)
+    out = compose(approximation, shrunk, bank, keys, size)
+    return out if gaps is None else out.join(gaps, [*keys, "y", "x"], "left_anti")
