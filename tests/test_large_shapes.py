@@ -164,3 +164,15 @@ def test_clustered_vectors_meet_few_blocks(spark):
     assert near < every / 4
     r = VK.nearest_vectors(v, 3)
     assert r.count() == 3 * n and r.filter("d > 1").count() == 0
+
+
+@pytest.mark.parametrize("border", [st.ZERO, st.MIRROR])
+def test_steps_along_an_axis_travel_once(grid, border):
+    """Two passes in one go, in short segments, equal two passes one after the other."""
+    _, df = grid
+    a, b = st.gaussian_weights(0.8), [0.5, 0.0, -0.25]
+    once = st.correlate_steps(df, ["image_id"], "x", [{"p": ("v", a)}, {"q": ("p", b)}], border, 5)
+    twice = st.correlate_axis(st.correlate_axis(df, ["image_id"], "x", {"p": ("v", a)}, border), ["image_id"], "x", {"q": ("p", b)}, border)
+    got, want = ({(r.y, r.x): r.q for r in d.collect()} for d in (once, twice))
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in got) < 1e-9
+    assert once._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
