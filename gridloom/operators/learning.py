@@ -15,14 +15,16 @@ from gridloom.operators import filters as N, metrics as M, raster as R, sampling
 
 
 def pixel_features(df: DataFrame, sigma: float = 1.0, side: int = 3, scales: tuple[float, ...] = (1.2, 1.6)) -> DataFrame:
-    """Filter responses per pixel: value, blur, gradient, Laplacian, local mean, vesselness (of 16-bit values as shares)."""
+    """Filter responses per pixel: value, blur, gradient, Laplacian, local mean, vesselness (of 16-bit values as shares).
+
+    They are written once: a fit passes over them many times and would shuffle for every filter each time."""
     f = N.sobel(df).withColumnRenamed("magnitude", "f_sobel").drop("gx", "gy")
     f = N.gaussian_blur(f, sigma, out="f_blur")
     f = N.laplacian(f).withColumnRenamed("lap", "f_laplacian")
     f = N.gaussian_gradient(f, sigma).withColumnRenamed("magnitude", "f_gradient").drop("gx", "gy")
     f = st.separable(f, N.IMG, "v", {"f_mean": ([1 / side] * side,) * 2}, st.REFLECT)
     f = N.frangi(f.withColumn("_raw", F.col("v")).withColumn("v", F.col("v") / float(R.U16)), list(scales)).withColumnRenamed("vesselness", "f_vesselness")
-    return f.drop("v", "scale").withColumnRenamed("_raw", "v").withColumn("f_value", F.col("v").cast("double"))
+    return materialize(f.drop("v", "scale").withColumnRenamed("_raw", "v").withColumn("f_value", F.col("v").cast("double")))[0]
 
 
 FEATURES = ["f_value", "f_blur", "f_sobel", "f_laplacian", "f_gradient", "f_mean", "f_vesselness"]

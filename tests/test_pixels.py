@@ -178,3 +178,10 @@ def test_stretch_truncates_whole_numbers(spark):
         lo, hi = (u[int(p)] + (u[min(int(p) + 1, 63)] - u[int(p)]) * (p - int(p)) for p in (Fraction(63, 50), Fraction(63 * 49, 50)))
         for x in range(64):
             assert got[i, x] == (min(max(int(v[i, x]), lo), hi) - lo) * 65535 // (hi - lo)
+
+
+def test_pixel_features_are_written_before_a_fit(spark):
+    from gridloom.operators.learning import pixel_features
+
+    f = pixel_features(image(spark, (6, 7), lambda y, x: 100 * y + x))
+    assert f.count() == 42 and "Window" not in f._jdf.queryExecution().optimizedPlan().toString()
