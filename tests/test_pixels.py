@@ -185,3 +185,11 @@ def test_pixel_features_are_written_before_a_fit(spark):
 
     f = pixel_features(image(spark, (6, 7), lambda y, x: 100 * y + x))
     assert f.count() == 42 and "Window" not in f._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_best_shift_moves_no_pixel_once_a_shift(spark):
+    v = np.random.default_rng(5).integers(0, 9000, (12, 15))
+    a, b = image(spark, (9, 11), lambda y, x: v[y + 2, x + 1]), image(spark, (10, 12), lambda y, x: v[y + 1, x + 2])
+    s = R.best_shift(a, b, 2)
+    assert [(r.dy, r.dx) for r in s.collect()] == [(-1, 1)]
+    assert "dy" not in s._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[1]
