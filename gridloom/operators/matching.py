@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridloom.functions.ordering import first_by
-from gridloom.operators.raster import two_means_1d
+from gridloom.operators.raster import two_means_whole, whole_units
 
 
 def overlaps(px: DataFrame) -> DataFrame:
@@ -77,11 +77,13 @@ def classify_cells(metrics: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def compare_metrics(metrics: DataFrame, names: list[str]) -> DataFrame:
-    """Class of every cell under each metric with that metric's own two-cluster cut per image."""
-    long = metrics.unpivot(["image_id", "label"], names, "metric", "value")
-    cut = two_means_1d(long, ["image_id", "metric"], "value").select("image_id", "metric", "low_max")
+    """Class of every cell under each metric with that metric's own two-cluster cut per image.
+
+    Values count in millionths; a metric with one value in an image has no cut there, and its cells no class."""
+    long = metrics.unpivot(["image_id", "label"], names, "metric", "value").withColumn("_u", whole_units("value"))
+    cut = two_means_whole(long, ["image_id", "metric"], "_u")
     j = long.join(cut, ["image_id", "metric"], "left")
-    above = F.col("value") > F.col("low_max")
+    above = F.col("_u") > F.col("low_max")
     high = F.col("metric").isin([n for n, h in HIGH_SIDE.items() if h])
     kind = F.when(F.when(high, above).otherwise(~above), "hyphal").otherwise("epithelial")
     return j.select("image_id", "label", "metric", F.when(F.col("low_max").isNotNull(), kind).alias("cell_type"))

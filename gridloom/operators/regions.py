@@ -86,9 +86,10 @@ def region_perimeter(labels: DataFrame) -> DataFrame:
     b = _announce(outline(labels), square(1)).groupBy(*KEYS, "y", "x").agg(
         F.max(F.col("_own").cast("int")).alias("_own"), F.sum(F.when(F.col("_own"), 1).when(F.col("_near"), 2).otherwise(10)).alias("code")
     ).filter("_own = 1")
-    # Length contributed by each configuration code.
-    w = F.when(F.col("code").isin(5, 7, 15, 17, 25, 27), 1.0).when(F.col("code").isin(21, 33), math.sqrt(2)).when(F.col("code").isin(13, 23), (1 + math.sqrt(2)) / 2).otherwise(0.0)
-    p = b.groupBy(*KEYS).agg(F.sum(w).alias("perimeter"))
+    # Length contributed by each configuration code; pixels are counted first, so the sum has one order.
+    kinds = {"_a": (1.0, (5, 7, 15, 17, 25, 27)), "_b": (math.sqrt(2), (21, 33)), "_c": ((1 + math.sqrt(2)) / 2, (13, 23))}
+    p = b.groupBy(*KEYS).agg(*[F.count_if(F.col("code").isin(*codes)).alias(k) for k, (_, codes) in kinds.items()])
+    p = p.select(*KEYS, sum(F.col(k) * w for k, (w, _) in kinds.items()).alias("perimeter"))
     p = p.join(labels.groupBy(*KEYS).agg(F.count("*").alias("area")), KEYS)
     circ = F.when(F.col("perimeter") > 0, 4 * math.pi * F.col("area") / (F.col("perimeter") * F.col("perimeter"))).otherwise(0.0)
     return p.withColumn("circularity", circ).drop("area")

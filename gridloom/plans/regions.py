@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.columns import rnd
 from gridloom.operators import filters as N, labels as LB, matching as M, regions as G
-from gridloom.plans.rasters import two_means_sql
 from gridloom.plans.registry import query
 from gridloom.sources import views as V
 
@@ -272,8 +271,19 @@ def _(s, d):
 NAMES = ["mean_width", "minor_axis", "extent", "axis_ratio", "circularity", "eccentricity"]
 
 
-@query("e6_compare_metrics", "region", CELLM + f", ln AS (SELECT image_id, label, metric, value FROM (UNPIVOT me ON {', '.join(NAMES)} INTO NAME metric VALUE value)), " + two_means_sql("ln", "image_id, metric", "value") + """
-SELECT image_id, label, metric, CASE WHEN (value > low_max+1e-12) = (metric IN ('axis_ratio', 'eccentricity')) THEN 'hyphal' ELSE 'epithelial' END AS cell_type FROM ln JOIN tm USING (image_id, metric)""")
+# the same with moments and perimeters from whole numbers
+PERIM_EXACT = PERIM[: PERIM.index("pr AS (")] + """pr AS (SELECT image_id, label, count(*) FILTER (code IN (5,7,15,17,25,27))*1.0::DOUBLE + count(*) FILTER (code IN (21,33))*sqrt(2) + count(*) FILTER (code IN (13,23))*((1+sqrt(2))/2) AS perimeter FROM pc GROUP BY 1,2)"""
+CELLM_EXACT = CELLM.replace(MOM.replace("frags", "gc"), MOM_EXACT.replace("frags", "gc")).replace(PERIM.replace("frags", "gc"), PERIM_EXACT.replace("frags", "gc"))
+# the cut with the least squared error, of whole millionths; equal errors go to the smaller value
+CUTS = f"""ln AS (SELECT image_id, label, metric, CAST(least(greatest(floor(value*1000000.0::DOUBLE+0.5::DOUBLE), -9e18::DOUBLE), 9e18::DOUBLE) AS BIGINT) AS u FROM (UNPIVOT me ON {', '.join(NAMES)} INTO NAME metric VALUE value)),
+tb AS (SELECT image_id, metric, u, count(*) AS n, CAST(u AS HUGEINT)*count(*) AS s FROM ln GROUP BY 1,2,3),
+tc AS (SELECT *, sum(n) OVER w AS n1, sum(s) OVER w AS s1, sum(n) OVER t AS nt, sum(s) OVER t AS st FROM tb WINDOW w AS (PARTITION BY image_id, metric ORDER BY u), t AS (PARTITION BY image_id, metric)),
+td AS (SELECT *, CAST(s1*nt-st*n1 AS DOUBLE) AS off FROM tc WHERE n1 < nt),
+tm AS (SELECT image_id, metric, u AS low_max FROM (SELECT *, row_number() OVER (PARTITION BY image_id, metric ORDER BY off*off/(CAST(n1 AS DOUBLE)*CAST(nt-n1 AS DOUBLE)) DESC, u) AS rn FROM td) WHERE rn=1)"""
+
+
+@query("e6_compare_metrics", "region", CELLM_EXACT + ", " + CUTS + """
+SELECT image_id, label, metric, CASE WHEN low_max IS NULL THEN NULL WHEN (u > low_max) = (metric IN ('axis_ratio', 'eccentricity')) THEN 'hyphal' ELSE 'epithelial' END AS cell_type FROM ln LEFT JOIN tm USING (image_id, metric)""")
 def _(s, d):
     return M.compare_metrics(shape_metrics(s, d), NAMES)
 
