@@ -84,32 +84,51 @@ def negative_links(edges: DataFrame, ratio: float, seed: int) -> DataFrame:
     are edges or repeats fall out, and rounds with new seeds go on until there are enough.  If the
     pairs that are no edges are few against what is asked for, all pairs are at most a small multiple
     of it, and every user proposes every item.  The hash rank trims to the exact count.
+
+    The first round proposes more than is asked for, and the rank keeps the smallest hashes; so it is
+    first gone through with small hashes only.  If those are enough, no other could be among the first.
     """
-    items = index_ids(edges, "item_id")
-    size = edges.agg(F.count("*").alias("n"), F.count_distinct("item_id").alias("m"), F.count_distinct("user_id").alias("u"), F.count_distinct("user_id", "item_id").alias("e")).first()
+    pairs, size = materialize(edges.select("user_id", "item_id").groupBy("user_id", "item_id").agg(F.count(F.lit(1)).alias("_n")), n=F.sum("_n"), e=F.count(F.lit(1)))
+    pairs = pairs.select("user_id", "item_id")
+    items, some = materialize(index_ids(pairs, "item_id"), m=F.count(F.lit(1)))
+    size |= some | pairs.agg(F.count_distinct("user_id").alias("u")).first().asDict()
     left = size["u"] * size["m"] - size["e"]
     want = min(int(size["n"] * ratio), left)
     tries = int(ratio * 2) + 2
+    key = F.concat_ws("-", "user_id", "item_id")
 
-    def fresh(proposed: DataFrame) -> DataFrame:
-        p = proposed.join(items, "idx").select("user_id", "item_id").distinct()
-        return p.join(edges, ["user_id", "item_id"], "left_anti")
+    def fresh(proposed: DataFrame, below: str | None = None) -> DataFrame:
+        p = proposed.join(items, "idx").select("user_id", "item_id")
+        p = p if below is None else p.filter(hash_order(key, seed) < below)
+        return p.distinct().join(pairs, ["user_id", "item_id"], "left_anti")
 
     if left <= 2 * want:
         every = F.sequence(F.lit(0).cast("long"), F.lit(size["m"] - 1).cast("long")) if size["m"] else F.array().cast("array<bigint>")
-        found = fresh(edges.select("user_id").distinct().withColumn("idx", F.explode(every)))
+        found = fresh(pairs.select("user_id").distinct().withColumn("idx", F.explode(every)))
     else:
-        found, turn = None, 0
-        while True:
+        def proposals(turn: int) -> DataFrame:
             t = F.explode(F.array(*[F.lit(turn * tries + i) for i in range(tries)]))
-            p = edges.withColumn("t", t).select("user_id", F.pmod(F.xxhash64("user_id", "item_id", "t", F.lit(seed)), F.lit(size["m"])).alias("idx"))
-            found = fresh(p) if found is None else found.union(fresh(p)).distinct()
-            found, obs = materialize(found, n=F.count(F.lit(1)))
+            return pairs.withColumn("t", t).select("user_id", F.pmod(F.xxhash64("user_id", "item_id", "t", F.lit(seed)), F.lit(size["m"])).alias("idx"))
+
+        part = min(1.25 * want / max(tries * size["e"], 1) + 1e-3, 1.0)
+        found, obs = materialize(fresh(proposals(0), f"{min(int(part * 16**8), 16**8 - 1):08x}"), n=F.count(F.lit(1)))
+        turn = 0
+        while obs["n"] < want:
+            new = fresh(proposals(turn))
+            found, obs = materialize(new if turn == 0 else found.union(new).distinct(), n=F.count(F.lit(1)))
             turn += 1
-            if obs["n"] >= want:
-                break
-    r = hash_rank(found, [], F.concat_ws("-", "user_id", "item_id"), seed)
-    return r.filter(F.col("rank") <= want).select("user_id", "item_id")
+    r = found.withColumn("_h", hash_order(key, seed)).withColumn("_b", F.substring("_h", 1, 3))
+    counts = [(x["_b"], x["n"]) for x in r.groupBy("_b").agg(F.count(F.lit(1)).alias("n")).orderBy("_b").collect()]  # 4,096 rows at most
+    taken, last = 0, None
+    for b, n in counts:  # whole buckets, then a part of one
+        if taken + n > want:
+            last = b
+            break
+        taken += n
+    if last is None:
+        return r.select("user_id", "item_id")
+    rest = r.filter(F.col("_b") == last).orderBy("_h", "user_id", "item_id").limit(want - taken)
+    return r.filter(F.col("_b") < last).select("user_id", "item_id").unionByName(rest.select("user_id", "item_id"))
 
 
 def sample_neighbours(edges: DataFrame, seeds: DataFrame, fanout: tuple[int, int], seed: int) -> DataFrame:
