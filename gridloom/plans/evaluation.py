@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom.functions.columns import rnd
+from gridloom.functions.rounds import materialize
 from gridloom.operators import metrics as M, sampling as S
 from gridloom.plans.registry import query
 from gridloom.sources import views as V
@@ -265,8 +266,9 @@ FS = STOP + """, fs AS (SELECT b.repeat, b.fold, best_epoch, round(max(value) FI
 
 
 def summary(s, d):
-    best = M.early_stop(V.runs(s, d), 60, 10)
-    fs = M.fold_summary(V.metrics(s, d), best, ["auc", "f1", "pr_auc"])
+    runs, _ = materialize(V.runs(s, d))  # epochs are numbered once
+    best, _ = materialize(M.early_stop(runs, 60, 10))  # one row a run
+    fs = M.fold_summary(V.long_metrics(runs), best, ["auc", "f1", "pr_auc"])
     return fs.select("repeat", "fold", "best_epoch", *[rnd(c, 8).alias(c) for c in ("auc", "f1", "pr_auc")])
 
 
