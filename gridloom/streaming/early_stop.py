@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -11,6 +12,50 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 SCHEMA = "repeat string, fold int, epoch int, auc double"
 NEVER = 2**31 - 1  # without a lateness a missing epoch is waited for until the run ends
 OUT = "repeat string, fold int, best_epoch int, best_value double, stop_epoch int"
+#: epochs of one batch that come together before they are merged
+CHUNK = 1 << 18
+
+
+class Early:
+    """Epochs that came before their turn, as stretches (first, last, score of the first): all epochs of a
+    stretch have come, and none of them scores more than its first.
+
+    A stretch of more than `patience` epochs is a sure stop: whatever the best may be where it begins, the
+    run stops in it, `patience` epochs after its first at the latest.  So nothing later is kept; `top` still
+    is the latest epoch seen.
+    """
+
+    def __init__(self, patience: int, first=(), last=(), score=(), top: int = 0, cut: int = NEVER):
+        self.patience, self.top, self.cut = patience, top, cut
+        self.first, self.last, self.score = np.array(first, np.int64), np.array(last, np.int64), np.array(score, np.float64)
+
+    def add(self, epoch: np.ndarray, score: np.ndarray, nxt: int) -> None:
+        """Epochs from `nxt` on; of an epoch that comes twice the first one counts."""
+        if not len(epoch):
+            return
+        epoch, at = np.unique(epoch, return_index=True)
+        score = score[at]
+        self.top = max(self.top, int(epoch[-1]))
+        new = (epoch >= nxt) & (epoch <= self.cut)
+        if len(self.first):
+            own = np.searchsorted(self.first, epoch, "right") - 1
+            new &= (own < 0) | (epoch > self.last[own])
+        epoch, score = epoch[new], score[new]
+        first, last = np.concatenate([self.first, epoch]), np.concatenate([self.last, epoch])
+        score = np.concatenate([self.score, np.where(np.isnan(score), -np.inf, score)])
+        order = np.argsort(first, kind="stable")
+        first, last, score = first[order], last[order], score[order]
+        if not len(first):
+            return
+        begins = np.append(True, first[1:] != last[:-1] + 1)
+        highest = pd.Series(score).groupby(np.cumsum(begins)).cummax().to_numpy()
+        kept = np.flatnonzero(begins | (score > np.append(-np.inf, highest[:-1])))
+        first, last, score = first[kept], last[np.append(kept[1:], len(last)) - 1], score[kept]
+        sure = np.flatnonzero(last - first >= self.patience)
+        if len(sure):
+            self.cut = min(self.cut, int(first[sure[0]]) + self.patience)
+        n = np.searchsorted(first, self.cut, "right")
+        self.first, self.last, self.score = first[:n], np.minimum(last[:n], self.cut), score[:n]
 
 
 class StopWatcher(StatefulProcessor):
@@ -22,7 +67,7 @@ class StopWatcher(StatefulProcessor):
     the run's end is announced (a row without an epoch), or, with `idle` milliseconds given, until a
     timer finds that nothing has come for so long.  Then it counts as lost, and counts for nothing
     should it come after all.  Nothing is kept after the stop; with `idle`, a record whose stop is
-    settled goes with its timer, and state doesn't outlive its run.
+    settled goes with its timer, and state doesn't outlive its run.  Early epochs are kept as in `Early`.
     """
 
     def __init__(self, patience: int, min_epoch: int, lateness: int, idle: int | None = None):
@@ -30,14 +75,28 @@ class StopWatcher(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("run", "best double, best_epoch int, next int, stop int, epochs array<int>, scores array<double>")
+        fields = "best double, best_epoch int, next int, stop int, epochs array<int>, lasts array<int>, scores array<double>, top int, cut int"
+        self.state = handle.getValueState("run", fields)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat([r[["epoch", "auc"]] for r in rows])
-        ended = bool(new["epoch"].isna().any())
-        new = new[new["epoch"] >= self.min_epoch]
-        if len(new) or self.state.exists():
-            yield from self._settle(key, new, ended)
+        seen = self.state.exists()
+        best, best_epoch, nxt, stop, *early = self.state.get() if seen else (-1.0, 0, self.min_epoch, 0, [], [], [], 0, NEVER)
+        early, ended, some = self._early(early), False, False
+        parts, n = [], 0
+        for r in rows:
+            ended = ended or bool(r["epoch"].isna().any())
+            r = r[r["epoch"] >= self.min_epoch]
+            some = some or len(r) > 0
+            if not stop and len(r):
+                parts.append((r["epoch"].to_numpy(np.int64), r["auc"].to_numpy(np.float64)))
+                n += len(r)
+            if n > max(CHUNK, len(early.first)):
+                early.add(*map(np.concatenate, zip(*parts, strict=True)), nxt)
+                parts, n = [], 0
+        if parts:
+            early.add(*map(np.concatenate, zip(*parts, strict=True)), nxt)
+        if some or seen:
+            yield from self._settle(key, seen, (best, best_epoch, nxt, stop), early, ended)
             if self.idle is not None:
                 for t in list(self.handle.listTimers()):
                     self.handle.deleteTimer(t)
@@ -45,30 +104,32 @@ class StopWatcher(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.state.exists():
-            yield from self._settle(key, pd.DataFrame({"epoch": [], "auc": []}), True)
+            *run, epochs, lasts, scores, top, cut = self.state.get()
+            yield from self._settle(key, True, run, self._early((epochs, lasts, scores, top, cut)), True)
             if self.state.get()[3]:
                 self.state.clear()
 
-    def _settle(self, key, new: pd.DataFrame, ended: bool) -> Iterator[pd.DataFrame]:
-        seen = self.state.exists()
-        best, best_epoch, nxt, stop, epochs, scores = self.state.get() if seen else (-1.0, 0, self.min_epoch, 0, [], [])
+    def _early(self, kept) -> Early:
+        return Early(self.patience, *kept)
+
+    def _settle(self, key, seen: bool, run, early: Early, ended: bool) -> Iterator[pd.DataFrame]:
+        best, best_epoch, nxt, stop = run
         if stop:
             return
         start = (best_epoch, stop)
-        early = pd.concat([pd.DataFrame({"epoch": list(epochs), "auc": list(scores)}), new])
-        early = early[early["epoch"] >= nxt].drop_duplicates("epoch").sort_values("epoch")
-        epoch, score = early["epoch"].astype(int).tolist(), early["auc"].tolist()
         done = 0
-        for e, value in zip(epoch, score, strict=True):
-            if e > nxt and not ended and epoch[-1] - nxt <= self.lateness:
+        for e, last, value in zip(early.first.tolist(), early.last.tolist(), early.score.tolist(), strict=True):
+            if e > nxt and not ended and early.top - nxt <= self.lateness:
                 break
-            done, nxt = done + 1, e + 1
+            done, nxt = done + 1, last + 1
             if value > best:
-                best, best_epoch = value, e
-            elif e - max(best_epoch, self.min_epoch - 1) >= self.patience:
-                stop, done = e, len(epoch)
+                best, best_epoch, e = value, e, e + 1
+            at = max(e, max(best_epoch, self.min_epoch - 1) + self.patience)
+            if at <= last:
+                stop, done = at, len(early.first)
                 break
-        self.state.update((best, best_epoch, nxt, stop, epoch[done:], score[done:]))
+        kept = [x[done:].tolist() for x in (early.first, early.last, early.score)]
+        self.state.update((best, best_epoch, nxt, stop, *kept, early.top, early.cut))
         if not seen or (best_epoch, stop) != start:
             yield pd.DataFrame({"repeat": [key[0]], "fold": [key[1]], "best_epoch": [best_epoch], "best_value": [best if best_epoch else None], "stop_epoch": [stop]}).astype({"best_value": "float64"})
 
@@ -80,7 +141,7 @@ def early_stop_stream(stream: DataFrame, patience: int, min_epoch: int, lateness
     """Streaming rows (repeat, fold, epoch, auc) to changes of each run's answer; a row without an epoch
     says that its run has ended.
 
-    State per run is one record plus the epochs that overtook others; nothing is ever replayed.
+    State per run is one record plus the stretches of epochs that overtook others (see `Early`); nothing is ever replayed.
     """
     return stream.groupBy("repeat", "fold").transformWithStateInPandas(
         statefulProcessor=StopWatcher(patience, min_epoch, lateness, idle), outputStructType=OUT, outputMode="Update",
