@@ -152,3 +152,35 @@ def test_stream_keeps_few_early_epochs():
     falling = Early(NEVER)
     falling.add(np.arange(50000), -np.arange(50000.0), 0)
     assert falling.first.tolist() == [0] and falling.last.tolist() == [49999]
+
+
+def test_roi_boxes_meet_blocks_of_cells(spark):
+    """Boxes of any size give the means over the cells they cover, and never become one row for each cell."""
+    from gridloom.operators import candidates as C
+
+    rng = np.random.default_rng(4)
+    cells = [(0, y, x, float(rng.integers(100))) for y in range(-3, 20) for x in range(17) if rng.random() < 0.9]
+    boxes = [(0, k, *(float(v) for v in (y, x, y + h, x + w))) for k, (y, x, h, w) in enumerate(rng.uniform([-4, -2, 0, 0], [18, 15, 12, 12], (30, 4)).round(1))]
+    want = {}
+    for _, k, y1, x1, y2, x2 in boxes:
+        for _, y, x, v in cells:
+            if all(np.floor(a) <= c <= max(np.ceil(b) - 1, np.floor(a)) for a, b, c in ((y1, y2, y), (x1, x2, x))):
+                at = tuple(int(min(max(np.floor((c + 0.5 - a) / max(b - a, 1e-9) * 3), 0), 2)) for a, b, c in ((y1, y2, y), (x1, x2, x)))
+                want.setdefault((k, *at), []).append(v)
+    f = spark.createDataFrame(cells, "image_id long, fy long, fx long, f double")
+    b = spark.createDataFrame(boxes, "image_id long, box int, y1 double, x1 double, y2 double, x2 double")
+    for block in (3, 8):
+        got = {(r.box, r.by, r.bx): r.f for r in C.roi_pool(f, b, 3, block).collect()}
+        assert got == pytest.approx({k: np.mean(v) for k, v in want.items()})
+    wide = spark.createDataFrame([(0, 0, 0.0, 0.0, 1e6, 1e6)], b.schema)
+    assert [(r.by, r.bx) for r in C.roi_pool(f, wide, 3, 1 << 14).collect()] == [(0, 0)]
+
+
+def test_tiles_without_inner_cells_are_rejected(spark):
+    from gridloom.operators import candidates as C
+
+    cells = [(0, t, y, x, 1.0) for t in (0, 1) for y in range(8) for x in range(8) if t == 0 or y == 0]
+    t = spark.createDataFrame(cells, "image_id long, tile_id long, fy long, fx long, f double")
+    with pytest.raises(Exception, match="full feature grid"):
+        C.stitch_tiles(t, 2, 48, 8, 8).collect()
+    assert C.stitch_tiles(t.filter("tile_id = 0"), 2, 48, 8, 8).count() == 36
