@@ -24,7 +24,7 @@ from pyspark.sql import Column, SparkSession, functions as F
 from gridloom.llm.words import give_back
 
 #: bytes of pieces in one recursive query, pieces in a generation of those a worker keeps, texts looked at together
-BLOCK, KEPT, ROWS = 1 << 18, 80_000, 1500
+BLOCK, KEPT, ROWS = 1 << 18, 150_000, 1500
 
 #: token-position rows join the merge table once; from then on a piece carries its tokens and the ranks of
 #: their pairs (NONE: no pair), and each turn joins only the two pairs that a contraction makes

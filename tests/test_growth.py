@@ -184,3 +184,21 @@ def test_tiles_without_inner_cells_are_rejected(spark):
     with pytest.raises(Exception, match="full feature grid"):
         C.stitch_tiles(t, 2, 48, 8, 8).collect()
     assert C.stitch_tiles(t.filter("tile_id = 0"), 2, 48, 8, 8).count() == 36
+
+
+def test_pieces_outlive_a_batch():
+    """Batches of many texts hold some 140,000 distinct pieces; those of the batch before last are still kept."""
+    import base64
+
+    from gridloom.llm import bpe
+
+    coder = bpe.Coder(b"\n".join(base64.b64encode(bytes([b])) + b" %d" % b for b in range(256)))
+    asked = []
+    coder._block = lambda block: asked.extend(block) or {p: (p, 1, b"") for p in block}
+    for k in (0, 1, 0):
+        asked.clear()
+        coder.pieces([f"{k} {n}" for n in range(140_000)])
+    assert not asked
+    for k in range(2, 9):
+        coder.pieces([f"{k} {n}" for n in range(140_000)])
+        assert len(coder.known) + len(coder.older) <= 5 * bpe.KEPT
