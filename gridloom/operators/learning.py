@@ -99,26 +99,32 @@ def plsda(df: DataFrame, y: Column, k: int = 2) -> DataFrame:
     return d.drop("vec", "_y", "_ss")
 
 
-def edge_examples(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Feature vector [x_src, x_dst, edge value] per pair."""
+def edge_ends(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs with the vectors of their ends, `va` and `vb`."""
     a = nodes.select(F.col("node").alias("src"), F.col("vec").alias("va"))
     b = nodes.select(F.col("node").alias("dst"), F.col("vec").alias("vb"))
-    e = pairs.join(a, "src").join(b, "dst")
-    return e.withColumn("features", array_to_vector(F.concat("va", "vb", F.array("prob")))).drop("va", "vb")
+    return pairs.join(a, "src").join(b, "dst")
 
 
 def edge_classifier(pairs: DataFrame, nodes: DataFrame, folds: list[int], ratio: float = 1.5, seed: int = 3) -> DataFrame:
     """Held-out score of every edge: per fold, vectors are standardized on the training graphs,
-    negatives sampled, and a logistic model scores the held-out graphs."""
+    negatives sampled, and a logistic model scores the held-out graphs.
+
+    Negatives are sampled for all folds on rows without vectors; vectors meet their pairs once, and a
+    fold only applies its own statistics, which are single rows."""
+    picked = pairs
+    for k in folds:
+        rest = picked.filter(F.col("fold") == k).withColumn(f"_train{k}", F.lit(False))
+        tr = S.mark_negatives(picked.filter(F.col("fold") != k), ["graph_id"], F.concat_ws("-", "src", "dst"), ratio, seed, f"_train{k}")
+        picked, _ = materialize(tr.unionByName(rest))
+    ends, _ = materialize(edge_ends(picked, nodes))
     out = None
     for k in folds:  # a handful of model fits, each a distributed job
-        train_n, z = nodes.filter(F.col("fold") != k), None
-        z = S.vector_zscore(train_n, nodes)
-        p = S.column_zscore(pairs.filter(F.col("fold") != k), pairs, "prob")
-        ex, _ = materialize(edge_examples(p, z))
-        tr = S.sample_negatives(ex.filter(F.col("fold") != k), ["graph_id"], F.concat_ws("-", "src", "dst"), ratio, seed)
-        model = LogisticRegression(labelCol="true_label", maxIter=10, regParam=0.01).fit(tr)
-        sc = model.transform(ex.filter(F.col("fold") == k)).withColumn("score", vector_to_array("probability")[1])
+        z = S.vector_zscore(nodes.filter(F.col("fold") != k), ends, into=("va", "vb"))
+        z = S.column_zscore(pairs.filter(F.col("fold") != k), z, "prob")
+        z = z.withColumn("features", array_to_vector(F.concat("va", "vb", F.array("prob")))).drop("va", "vb")
+        model = LogisticRegression(labelCol="true_label", maxIter=10, regParam=0.01).fit(z.filter(f"_train{k}"))
+        sc = model.transform(z.filter(F.col("fold") == k)).withColumn("score", vector_to_array("probability")[1])
         sc = sc.select("graph_id", "fold", "src", "dst", "true_label", "score")
         out = sc if out is None else out.unionByName(sc)
     return out

@@ -10,15 +10,16 @@ from gridloom.functions.ordering import first_by, hash_order, hash_rank, running
 from gridloom.functions.rounds import materialize
 
 
-def vector_zscore(train: DataFrame, apply_to: DataFrame, vec: str = "vec") -> DataFrame:
-    """Standardize every vector dimension with the mean and sample deviation of `train`.
+def vector_zscore(train: DataFrame, apply_to: DataFrame, vec: str = "vec", into: tuple[str, ...] = ()) -> DataFrame:
+    """Standardize every vector dimension with the mean and sample deviation of `train`, in the same
+    column or in the columns `into`.
 
     The statistics are one row with one entry per dimension (a fixed, small width).
     """
     d = train.select(F.posexplode(vec).alias("i", "u")).groupBy("i").agg(F.avg("u").alias("m"), F.stddev_samp("u").alias("sd"))
     one = d.agg(F.array_sort(F.collect_list(F.struct("i", "m", "sd"))).alias("_s"))
     out = apply_to.crossJoin(F.broadcast(one))
-    return out.withColumn(vec, F.zip_with(vec, "_s", lambda u, s: (u - s["m"]) / (s["sd"] + 1e-7))).drop("_s")
+    return out.withColumns({v: F.zip_with(v, "_s", lambda u, s: (u - s["m"]) / (s["sd"] + 1e-7)) for v in into or (vec,)}).drop("_s")
 
 
 def column_zscore(train: DataFrame, apply_to: DataFrame, column: str) -> DataFrame:
@@ -30,14 +31,19 @@ def k_fold(ids: DataFrame, id_col: str, k: int, seed: int) -> DataFrame:
     return hash_rank(ids, [], id_col, seed).withColumn("fold", ((F.col("rank") - 1) % k).cast("int")).drop("rank")
 
 
-def sample_negatives(edges: DataFrame, keys: list[str], id_col: str | Column, ratio: float, seed: int) -> DataFrame:
-    """All positives plus ratio times as many negatives per group; every row of a group that
-    lacks positives or negatives."""
+def mark_negatives(edges: DataFrame, keys: list[str], id_col: str | Column, ratio: float, seed: int, out: str) -> DataFrame:
+    """All edges, with a column that tells which of them `sample_negatives` takes."""
     s = hash_rank(edges, [*keys, "true_label"], id_col, seed)
     s = with_stats(s, keys, _p=F.sum("true_label"), _n=F.sum(1 - F.col("true_label")))
     want = F.floor(F.col("_p") * ratio)
     all_rows = (want <= 0) | (F.col("_n") == 0)
-    return s.filter(all_rows | (F.col("true_label") == 1) | (F.col("rank") <= want)).drop("rank", "_p", "_n")
+    return s.withColumn(out, F.coalesce(all_rows | (F.col("true_label") == 1) | (F.col("rank") <= want), F.lit(False))).drop("rank", "_p", "_n")
+
+
+def sample_negatives(edges: DataFrame, keys: list[str], id_col: str | Column, ratio: float, seed: int) -> DataFrame:
+    """All positives plus ratio times as many negatives per group; every row of a group that
+    lacks positives or negatives."""
+    return mark_negatives(edges, keys, id_col, ratio, seed, "_take").filter("_take").drop("_take")
 
 
 def balanced_sample(df: DataFrame, cls: str, id_col: str, ratio: float, seed: int, keys: list[str] = []) -> DataFrame:

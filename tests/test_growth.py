@@ -202,3 +202,20 @@ def test_pieces_outlive_a_batch():
     for k in range(2, 9):
         coder.pieces([f"{k} {n}" for n in range(140_000)])
         assert len(coder.known) + len(coder.older) <= 5 * bpe.KEPT
+
+
+def test_negatives_are_marked_as_sampled(spark):
+    """Marks keep every edge, so folds need no second meeting with the vectors, and agree with the sample."""
+    from gridloom.operators import sampling as S
+
+    rng = np.random.default_rng(6)
+    rows = [(g, n, n + 1, int(g != 2 and rng.random() < 0.3)) for g in range(4) for n in range(40)]
+    e = spark.createDataFrame(rows, "graph_id long, src long, dst long, true_label int")
+    args = (["graph_id"], F.concat_ws("-", "src", "dst"), 0.5, 3)
+    marked = S.mark_negatives(e, *args, "_t").collect()
+    taken = {(r.graph_id, r.src) for r in S.sample_negatives(e, *args).collect()}
+    assert len(marked) == len(rows) and {(r.graph_id, r.src) for r in marked if r._t} == taken
+    for g in range(4):
+        mine = [r for r in marked if r.graph_id == g]
+        positive = sum(r.true_label for r in mine)
+        assert sum(r._t for r in mine) == (positive + positive // 2 if positive > 1 else 40)
