@@ -7,15 +7,19 @@ ties by its own seeded hash.
 
 * Texts with equal sets form one class; a class is known by a 64-bit hash of its set and goes on once
   per batch, so copies are gone before anything is shuffled.
-* The first order's prefix tokens are posted with their places; a token of one class only is dropped,
-  and two classes are only proposed by a token whose places leave room for enough common tokens.  Proposals of a
+* The first order's prefix tokens are posted with their places; two classes are only proposed by a token whose
+  places and sizes leave room for enough common tokens, and a place without any such partner is dropped at
+  once.  Proposals of a
   token are not all its pairs: in each turn every class is proposed to one pivot, a class that has the
   token early.  After a turn, links
   are contracted to components, and a token whose classes all lie in one component is done.  When turns
   stop to pay (few pairs between different components are left, or no progress is made), all pairs
   between different components are proposed.  No pair that could join two components is left out.
+* A class has a signature of about a bit a token: bit h is odd when an odd number of its tokens falls on h.
+  Two signatures differ in no more bits than their sets in tokens, so what differs in too many bits for the
+  threshold goes before any set is fetched.
 * A proposal must also share a prefix token under each further order; what passes all filters is
-  verified exactly on the two sets: 100 * common >= 80 * union.
+  verified exactly on the two sets, which travel once for each pair: 100 * common >= 80 * union.
 
 Defined cases: null texts and texts without a word have empty sets, n_shingles 0, and are their own
 component; fewer than five words make one shingle of the whole; rows with the same doc_id are rows of
@@ -97,6 +101,20 @@ def prefix(tokens: np.ndarray, classes: np.ndarray, order: int, percent: int) ->
     return tokens[first[np.argsort(key[first])]]
 
 
+def signature(hashes: np.ndarray) -> bytes:
+    """The parities of a set's hashes in 2^k ranges, k by its size; a shorter one is a longer one with neighbours added."""
+    log = max(6, (len(hashes) - 1).bit_length())
+    return np.packbits((np.bincount((hashes >> U(64 - log)).astype(np.int64), minlength=1 << log) & 1).astype(np.uint8)).tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """A number of tokens in which two sets differ at least, by their signatures."""
+    x, y = (np.unpackbits(np.frombuffer(s, np.uint8)) for s in (a, b))
+    if len(x) != len(y):
+        x, y = (np.bitwise_xor.reduce(s.reshape(min(len(x), len(y)), -1), axis=1) for s in (x, y))
+    return int(np.count_nonzero(x != y))
+
+
 def similar_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, text_hash, n_shingles, component_id): one row per row of `docs` (doc_id, text); the
     component is the smallest doc_id reachable by links."""
@@ -114,17 +132,20 @@ def _linked(docs: DataFrame, percent: int) -> DataFrame:
     spark = docs.sparkSession
     classes = spark.sparkContext.broadcast(frequency_classes(docs))
 
-    @F.arrow_udf("n int, cls long, post array<long>")
+    @F.arrow_udf("n int, cls long, post array<long>, sig binary")
     def described(texts: pa.Array) -> pa.Array:
-        n, cls, post, seen = [], [], [], set()
+        n, cls, post, sig, seen = [], [], [], [], set()
         for s in shingles(texts):
             n.append(len(s))
-            c = int(mix(mix(s, 1).sum(dtype=U, keepdims=True) ^ mix(np.array([len(s)], U), 2), 3).view(np.int64)[0]) if len(s) else None
+            h = mix(s, 1)
+            c = int(mix(h.sum(dtype=U, keepdims=True) ^ mix(np.array([len(s)], U), 2), 3).view(np.int64)[0]) if len(s) else None
             cls.append(c)
-            post.append(prefix(s, classes.value, ORDERS[0], percent).view(np.int64) if len(s) and c not in seen else None)
+            new = len(s) > 0 and c not in seen
+            post.append(prefix(s, classes.value, ORDERS[0], percent).view(np.int64) if new else None)
+            sig.append(signature(h) if new else None)
             seen.add(c)
         give_back()
-        return pa.StructArray.from_arrays([pa.array(n, pa.int32()), pa.array(cls, pa.int64()), pa.array(post, pa.list_(pa.int64()))], ["n", "cls", "post"])
+        return pa.StructArray.from_arrays([pa.array(n, pa.int32()), pa.array(cls, pa.int64()), pa.array(post, pa.list_(pa.int64())), pa.array(sig, pa.binary())], ["n", "cls", "post", "sig"])
 
     d = docs.select("doc_id", F.xxhash64("text").alias("th"), described.asNondeterministic()("text").alias("x"))
     d = written(d.select("doc_id", "th", "x.*"), batch=1000)
@@ -135,16 +156,25 @@ def _linked(docs: DataFrame, percent: int) -> DataFrame:
     by_token = "over (partition by token)"
     met = posted.select("*", F.expr(f"min(cls) {by_token}").alias("least"), F.expr(f"max(cls) {by_token}").alias("most")).filter("least < most")
     met = met.selectExpr("token", "cls", "int(shiftright(n_at, 32)) n", "int(n_at & 4294967295) at").distinct()
-    met = written(met.withColumn("lower", F.expr(low)))
+    # `room`: a partner of up to this size (times the percentage) has enough tokens left, a larger one hasn't
+    by_size = "over (partition by token order by n, cls"
+    met = met.withColumn("room", F.expr(f"{100 + percent} * bigint(n - at) - {percent} * bigint(n)"))
+    met = met.select("*", F.expr(f"lead(n) {by_size})").alias("larger"), F.expr(f"max(room) {by_size} rows between unbounded preceding and 1 preceding)").alias("smaller"))
+    met = met.filter(f"room >= {percent} * bigint(larger) or smaller >= {percent} * bigint(n)")
+    met = written(met.select("token", "cls", "n", "at", F.expr(low).alias("lower")))
+
+    # a text and the signature of each class, fetched only for classes that are proposed
+    one = d.filter("n > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "th")).alias("one"), F.max("n").alias("n"), F.max("sig").alias("sig"))
+    one = written(one.select(F.col("one.doc_id").alias("one_id"), F.col("one.th").alias("one_th"), "cls", "n", "sig"))
 
-    # a text for each class, fetched only for classes that are proposed
-    one = d.filter("n > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "th")).alias("one"))
-    one = written(one.select(F.col("one.doc_id").alias("one_id"), F.col("one.th").alias("one_th"), "cls"))
-    again = d.filter("n > 0").groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
-    repeats = count(again.limit(1)) > 0
+    @F.arrow_udf(BooleanType())
+    def alike(n: pa.Array, a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([(100 + percent) * differing(x.as_buffer(), y.as_buffer()) <= (100 - percent) * k for k, x, y in zip(n.to_pylist(), a, b, strict=True)], pa.bool_())
 
-    def sets_of(classes: DataFrame) -> DataFrame:
-        wanted = written(one.join(classes, "cls", "left_semi"))
+    def with_sets(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) with both sets x and y: a set is fetched once and goes to each of its pairs."""
+        ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("cls"))
+        wanted = written(ends.join(one.select("one_id", "one_th", "cls"), "cls"))
         field = spark.sparkContext.broadcast(bit_field(wanted.select("one_th")))
 
         # one function sorts texts out and packs the rest: two in a stage would be two workers a task
@@ -159,8 +189,8 @@ def _linked(docs: DataFrame, percent: int) -> DataFrame:
 
         texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
         texts = texts.select("doc_id", "th", packed.asNondeterministic()("th", "text").alias("tokens")).filter("tokens is not null")
-        sets = wanted.join(texts, F.col("one_id").eqNullSafe(F.col("doc_id")) & (F.col("one_th") == F.col("th"))).select("cls", "tokens")
-        return written(sets.dropDuplicates(["cls"]) if repeats else sets, batch=500)
+        sets = wanted.join(texts, F.col("one_id").eqNullSafe(F.col("doc_id")) & (F.col("one_th") == F.col("th")))
+        return sets.groupBy("a", "b").agg(*[F.max(F.when(F.col("cls") == F.col(k), F.col("tokens"))).alias(v) for k, v in (("a", "x"), ("b", "y"))])
 
     @F.arrow_udf(BooleanType())
     def agree(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -180,10 +210,12 @@ def _linked(docs: DataFrame, percent: int) -> DataFrame:
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of classes that pass all filters and the exact test."""
-        p = written(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        sets = sets_of(p.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
-        p = p.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-        return p.withColumn("ok", agree.asNondeterministic()("x", "y")).filter("ok").select("a", "b")
+        p = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        for k in "ab":
+            p = p.join(one.select(F.col("cls").alias(k), F.col("n").alias(f"n_{k}"), F.col("sig").alias(f"sig_{k}")), k)
+        near = alike.asNondeterministic()(F.expr("bigint(n_a) + n_b"), "sig_a", "sig_b")
+        p = written(p.withColumn("ok", near).filter("ok").select("a", "b"), batch=1000)
+        return with_sets(p).withColumn("ok", agree.asNondeterministic()("x", "y")).filter("ok").select("a", "b")
 
     # a first common token at these places leaves room for enough common tokens
     near = f"root <> other and {100 + percent} * least(n - at, m - place) >= {percent} * (n + m)"
@@ -196,7 +228,8 @@ def _linked(docs: DataFrame, percent: int) -> DataFrame:
         left = parts.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("rows"), F.sum("pairs").alias("pairs")).first()
         if not left["rows"]:
             break
-        open_ = written(open_.join(parts.select("token"), "token", "left_semi"))
+        if turn:  # at first every token left has a pair
+            open_ = written(open_.join(parts.select("token"), "token", "left_semi"))
         last = turn > 0 and (left["pairs"] <= 4 * left["rows"] or left["pairs"] > before / 2)
         before = left["pairs"]
         low = open_.filter("lower")
@@ -214,7 +247,7 @@ def _linked(docs: DataFrame, percent: int) -> DataFrame:
         if last:
             break
         turn += 1
-        open_ = met.join(root.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        open_ = open_.drop("root").join(root.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
 
     mine = d.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first"))
     if root is not None:
@@ -225,7 +258,7 @@ def _linked(docs: DataFrame, percent: int) -> DataFrame:
     else:
         mine = mine.select("cls", F.col("first").alias("component_id"), F.col("cls").alias("root"))
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    out = d.drop("post").join(mine, "cls", "left")
+    out = d.drop("post", "sig").join(mine, "cls", "left")
     return out.select("doc_id", F.col("th").alias("text_hash"), F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"), "root")
 
 

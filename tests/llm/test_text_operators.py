@@ -124,6 +124,38 @@ def test_jaccard_hub(spark):
     assert {r["component_id"] for r in got} == {0}
 
 
+def test_jaccard_signatures_never_exceed_the_difference():
+    rng = np.random.default_rng(3)
+    for n, m, common in ((1, 1, 0), (5, 60, 3), (100, 130, 90), (700, 650, 600), (1000, 1100, 20)):
+        h = rng.integers(0, 1 << 63, n + m - common, dtype=np.uint64) << np.uint64(1)
+        a, b = h[:n], h[n - common :]
+        assert jaccard.differing(jaccard.signature(a), jaccard.signature(a)) == 0
+        assert jaccard.differing(jaccard.signature(a), jaccard.signature(b)) <= n + m - 2 * common
+
+
+def test_jaccard_compares_no_sets_that_signatures_tell_apart(spark, monkeypatch):
+    rng, rows = np.random.default_rng(4), []
+    often = [[f"{c}{k}" for k in range(110)] for c in "ab"]
+    for g in range(20):  # even groups overlap in 0.87 of their shingles, odd ones in 0.69: all but what is frequent
+        one = [f"w{x}" for x in rng.integers(0, 1 << 40, 600)]
+        two = one[:200] + [f"v{x}" for x in rng.integers(0, 1 << 40, 36)] + one[236:]
+        if g % 2:
+            one, two = (one[:490] + end for end in often)
+        rows += [(2 * g, " ".join(one)), (2 * g + 1, " ".join(two))]
+    pairs, write = [], jaccard.written
+
+    def counted(df, *a, **k):
+        out = write(df, *a, **k)
+        if out.columns == ["a", "b"]:
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "written", counted)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 if i % 4 < 2 else i for i in range(40)}
+    assert max(pairs) == 10
+
+
 def test_drop_similar(docs):
     kept = jaccard.drop_similar(docs)
     assert kept.columns == docs.columns
