@@ -34,10 +34,34 @@ def tile_with_halo(df: DataFrame, tile: int, halo: int) -> DataFrame:
 
 
 def per_tile(df: DataFrame, tile: int, halo: int, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, keys: list[str] = IMG) -> DataFrame:
+    """Work on tiles is long for its bytes, so they are dealt over all shuffle partitions, not by size."""
     t = tile_with_halo(df, tile, halo) if halo else df.withColumn("ty", F.expr(f"y div {tile}")).withColumn("tx", F.expr(f"x div {tile}")).withColumn("own", F.lit(True))
+    t = t.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "ty", "tx")
     return t.groupBy(*keys, "ty", "tx").applyInPandas(fn, schema)
 
 
+def per_object_tile(df: DataFrame, tile: int, halo: int, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, keys: list[str] = IMG) -> DataFrame:
+    """`per_tile` for keys that may hold an object's `label`: the objects of a tile are worked on together, so
+    there are as many groups as tiles, however many objects.  Where objects overlap, `fn` sees one at a time."""
+    area = [k for k in keys if k != "label"]
+
+    def each(pdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf.duplicated(["y", "x"]).any():
+            return pd.concat([fn(one) for _, one in pdf.groupby("label")])
+        return fn(pdf)
+
+    return per_tile(df, tile, halo, each if "label" in keys else fn, schema, area if area else keys)
+
+
+def _same(pdf: pd.DataFrame, shifts: list[tuple[int, int]], border: int = 0) -> list[np.ndarray | bool]:
+    """For each shift, where the neighbour there belongs to the same object; a tile without labels is one object."""
+    if "label" not in pdf:
+        return [True] * len(shifts)
+    g, _, _ = _grid(pdf.assign(_o=pd.factorize(pdf["label"])[0]), "_o", -1.0)
+    g = np.pad(g, border, constant_values=-1.0)
+    return [moved_view(g, dy, dx, -1.0) == g for dy, dx in shifts]
+
+
 def key_schema(df: DataFrame, keys: list[str]) -> str:
     types = {f.name: f.dataType.simpleString() for f in df.schema}
     return ", ".join(f"{k} {types[k]}" for k in keys)
@@ -93,7 +117,7 @@ def relax(
 
     cur = state
     while True:
-        cur, obs = materialize(per_tile(cur, tile, halo, fn, schema, keys), moved=F.sum("moved"))
+        cur, obs = materialize(per_object_tile(cur, tile, halo, fn, schema, keys), moved=F.sum("moved"))
         cur = cur.drop("moved")
         if not obs["moved"]:
             return cur
@@ -115,7 +139,7 @@ def moved_view(g: np.ndarray, dy: int, dx: int, fill) -> np.ndarray:
 
 def geodesic_distance(mask: DataFrame, source: DataFrame, pixel_size: float = 1.0, keys: list[str] = IMG, tile: int = 256) -> DataFrame:
     """Shortest 8-connected path length (1 and sqrt 2 per step) from the source pixels inside
-    the mask; unreachable pixels are 0.  `keys` may include an object label."""
+    the mask; unreachable pixels are 0.  `keys` may include an object label: paths stay inside their object."""
     src = source.select(*keys, "y", "x").distinct().withColumn("_s", F.lit(0.0))
     state = mask.select(*keys, "y", "x").join(src, [*keys, "y", "x"], "left")
     state = state.select(*keys, "y", "x", F.coalesce("_s", F.lit(float("inf"))).alias("dist"))
@@ -124,10 +148,11 @@ def geodesic_distance(mask: DataFrame, source: DataFrame, pixel_size: float = 1.
         g, y, x = _grid(pdf, "dist", np.nan)
         on = ~np.isnan(g)
         g[~on] = np.inf
+        same = _same(pdf, SHIFTS8)
         while True:
             best = g.copy()
-            for dy, dx in SHIFTS8:
-                np.minimum(best, moved_view(g, dy, dx, np.inf) + math.hypot(dy, dx), out=best)
+            for (dy, dx), own in zip(SHIFTS8, same, strict=True):
+                np.minimum(best, moved_view(g, dy, dx, np.inf) + math.hypot(dy, dx), out=best, where=own)
             best[~on] = np.inf
             if not (best < g - 1e-12).any():
                 break
@@ -183,7 +208,7 @@ def seeded_watershed(df: DataFrame, seeds: DataFrame, keys: list[str] = IMG, til
 
 
 def thin(mask: DataFrame, keys: list[str] = IMG, tile: int = 256, steps: int = 8) -> DataFrame:
-    """Zhang-Suen thinning.  A tile with a halo of 2*steps rows runs `steps` full iterations
+    """Zhang-Suen thinning, of each object by itself if `keys` holds a label.  A tile with a halo of 2*steps rows runs `steps` full iterations
     exactly, so only every steps-th iteration exchanges halos."""
     schema = key_schema(mask, keys) + ", y long, x long"
     ks = list(keys)
@@ -194,10 +219,11 @@ def thin(mask: DataFrame, keys: list[str] = IMG, tile: int = 256, steps: int = 8
         g = np.zeros((y.max() + 2, x.max() + 2), dtype=np.int8)
         g[y, x] = 1
         ring = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
+        same = _same(pdf, ring, 1)
         for _ in range(steps):
             start = g.copy()
             for first in (True, False):
-                n = [moved_view(g, a, b, 0) for a, b in ring]
+                n = [moved_view(g, a, b, 0) * own for (a, b), own in zip(ring, same, strict=True)]
                 total = sum(v.astype(np.int16) for v in n)
                 turns = sum(((n[i] == 0) & (n[(i + 1) % 8] == 1)).astype(np.int16) for i in range(8))
                 p2, p4, p6, p8 = n[0], n[2], n[4], n[6]
@@ -210,7 +236,7 @@ def thin(mask: DataFrame, keys: list[str] = IMG, tile: int = 256, steps: int = 8
 
     cur, before = mask.select(*keys, "y", "x"), None
     while True:  # pixels only ever go, so an equal count is the end
-        cur, obs = materialize(per_tile(cur, tile, 2 * steps, fn, schema, keys), n=F.count(F.lit(1)))
+        cur, obs = materialize(per_object_tile(cur, tile, 2 * steps, fn, schema, keys), n=F.count(F.lit(1)))
         if obs["n"] == before:
             return cur
         before = obs["n"]

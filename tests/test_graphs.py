@@ -263,3 +263,27 @@ def test_dilation_and_erosion(spark):
     lab, sizes = boxes(spark, [(1, 0, 3, 0, 3), (2, 0, 3, 3, 6)], (6, 6))
     assert N.dilate(lab, N.diamond(1), sizes).filter("label = 1").count() == 15
     assert {(r.label, r.y, r.x) for r in N.erode_labels(lab, N.square(1)).collect()} == {(1, 1, 1), (2, 1, 4)}
+
+
+@pytest.mark.parametrize("overlap", [False, True])
+def test_objects_of_a_tile_share_a_group_and_stay_apart(spark, monkeypatch, overlap):
+    """Touching (or overlapping) objects thin and measure as if each had an image of its own, in one group a tile."""
+    rng = random.Random(9)
+    px = {(rng.randint(1, 4), y, x) for y in range(40) for x in range(30)}
+    px |= {(5 + k, y, x) for k in range(2) for y in range(40, 60) for x in range(k * 11, k * 11 + (14 if overlap else 11)) if rng.random() < 0.9}
+    m = spark.createDataFrame([(0, *p) for p in px], "image_id long, label long, y long, x long")
+    alone = m.select(F.col("label").alias("image_id"), "y", "x")
+    src = m.filter("(y * 7 + x) % 13 = 0")
+    alone_src = src.select(F.col("label").alias("image_id"), "y", "x")
+    both = ["image_id", "label"]
+    want = ({tuple(r) for r in T.thin(alone, tile=16, steps=3).collect()}, {(r.image_id, r.y, r.x): round(r.dist, 9) for r in T.geodesic_distance(alone, alone_src, tile=16).collect()})
+    groups, tiled = [], T.per_tile
+
+    def recorded(df, tile, halo, fn, schema, keys):
+        groups.append(keys)
+        return tiled(df, tile, halo, fn, schema, keys)
+
+    monkeypatch.setattr(T, "per_tile", recorded)
+    got = ({(r.label, r.y, r.x) for r in T.thin(m, both, tile=16, steps=3).collect()}, {(r.label, r.y, r.x): round(r.dist, 9) for r in T.geodesic_distance(m, src, 1.0, both, tile=16).collect()})
+    assert got == want
+    assert groups and all(k == ["image_id"] for k in groups)
