@@ -23,6 +23,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Dealt over all shuffle partitions by `keys`, for steps whose work is long for its bytes: partitions
+    joined by size would leave them to one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def materialize(df: DataFrame, **observed: Column) -> tuple[DataFrame, dict]:
     """Write a round to the shared folder and read it back: lineage ends here and a lost
     executor costs a re-read, not a recomputation.  Aggregates in `observed` come from the

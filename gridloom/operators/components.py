@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from gridloom.functions.columns import with_stats
 from gridloom.functions.ordering import running_sums
-from gridloom.functions.rounds import materialize
+from gridloom.functions.rounds import dealt, materialize
 from gridloom.operators import filters as N, raster as R
 from gridloom.operators.tiles import SHIFTS4, SHIFTS8, key_schema, per_tile
 
@@ -290,8 +290,9 @@ def summarize_cells(topo: DataFrame) -> DataFrame:
 # ---- spanning trees and greedy chains -------------------------------------------------------
 
 
-def _kruskal(pdf: pd.DataFrame) -> pd.DataFrame:
-    root: dict[int, int] = {}
+def _kruskal(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+    """The forests of all groups among the edges, in one pass."""
+    root: dict[tuple[int, int], tuple[int, int]] = {}
 
     def find(u):
         while root.setdefault(u, u) != u:
@@ -301,8 +302,9 @@ def _kruskal(pdf: pd.DataFrame) -> pd.DataFrame:
 
     keep = []
     ordered = pdf.sort_values(["dist", "i", "j"])
-    for n, (a, b) in enumerate(zip(ordered["i"], ordered["j"])):
-        a, b = find(a), find(b)
+    group = ordered.groupby(keys, dropna=False).ngroup()
+    for n, (g, a, b) in enumerate(zip(group, ordered["i"], ordered["j"], strict=True)):
+        a, b = find((g, a)), find((g, b))
         if a != b:
             root[max(a, b)] = min(a, b)
             keep.append(n)
@@ -315,23 +317,29 @@ def minimum_forest(edges: DataFrame, keys: list[str], local_limit: int = 50_000)
     Forests are mergeable: an edge that closes a cycle of cheaper ones in any slice of a group's edges
     is in no forest of the group.  So groups of more than `local_limit` edges are dealt into slices of
     that many, every slice keeps its own forest, and the forests are dealt again, as long as that sheds
-    edges.  A task never sees more than a slice.  Groups with forests of more than a slice contract
+    edges.  Smaller groups are finished many at once, in buckets that hold about a slice.  Groups with forests of more than a slice contract
     their cheapest edges round by round over the cluster.
     """
-    edges, _ = materialize(edges.select(*keys, "i", "j", "dist"))
+    edges, obs = materialize(edges.select(*keys, "i", "j", "dist"), n=F.count(F.lit(1)))
+    buckets = max(-(-obs["n"] // local_limit), int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def forest(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _kruskal(pdf, keys)
+
     sized = with_stats(edges, keys, _n=F.count("*"))
     cut, obs = materialize(sized.filter(F.col("_n") > local_limit), n=F.count(F.lit(1)))
     before = None
     while obs["n"] and (before is None or obs["n"] <= 0.8 * before):
         before = obs["n"]
         slices = F.ceil(F.col("_n") / local_limit)
-        dealt = cut.withColumn("_slice", F.pmod(F.xxhash64("i", "j"), slices)).drop("_n")
-        kept = dealt.groupBy(*keys, "_slice").applyInPandas(_kruskal, dealt.schema).drop("_slice")
+        sliced = cut.withColumn("_slice", F.pmod(F.xxhash64("i", "j"), slices)).drop("_n")
+        kept = sliced.groupBy(*keys, "_slice").applyInPandas(forest, sliced.schema).drop("_slice")
         cut, obs = materialize(with_stats(kept, keys, _n=F.count("*")), n=F.count_if(F.col("_n") > local_limit))
         sized = sized.filter(F.col("_n") <= local_limit).unionByName(cut.filter(F.col("_n") <= local_limit))
         cut = cut.filter(F.col("_n") > local_limit)
     sized = sized.filter(F.col("_n") <= local_limit).unionByName(cut)
-    out = sized.filter(F.col("_n") <= local_limit).drop("_n").groupBy(*keys).applyInPandas(_kruskal, edges.schema)
+    small = sized.filter(F.col("_n") <= local_limit).drop("_n").withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
+    out = dealt(small, "_bucket").groupBy("_bucket").applyInPandas(forest, small.schema).drop("_bucket")
     big, obs = materialize(sized.filter(F.col("_n") > local_limit).drop("_n"), n=F.count(F.lit(1)))
     cur = big.withColumn("a", F.col("i")).withColumn("b", F.col("j"))
     while obs["n"]:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gridloom.functions.columns import with_stats
 from gridloom.functions.ordering import first_by
-from gridloom.functions.rounds import materialize
+from gridloom.functions.rounds import dealt, materialize
 
 LEAF, DEPTH = 8, 50
 #: levels looked at in one round of building, turns of the walk between two written rounds
@@ -122,7 +122,7 @@ def nearest(points: DataFrame, m: int, leaf: int = LEAF) -> DataFrame:
         return leaves.select("image_id", F.struct(*_KEY).alias(s), F.col("label").alias(name), F.col("cy").alias(f"{name}y"), F.col("cx").alias(f"{name}x"))
 
     p = pairs.select("image_id", F.struct("q.lv", "q.ky", "q.kx").alias("q"), F.struct("c.lv", "c.ky", "c.kx").alias("c"))
-    j = p.join(side("q", "i"), ["image_id", "q"]).join(side("c", "j"), ["image_id", "c"]).filter("i <> j")
+    j = dealt(p.join(side("q", "i"), ["image_id", "q"]), "image_id", "c").join(side("c", "j"), ["image_id", "c"]).filter("i <> j")
     dy, dx = F.col("iy") - F.col("jy"), F.col("ix") - F.col("jx")
     near = first_by(j.select("image_id", "i", "j", (dy * dy + dx * dx).alias("d2")), ["image_id", "i"], [F.col("d2"), F.col("j")], m)
     order = W.partitionBy("image_id", "i").orderBy("d2", "j")  # at most m rows

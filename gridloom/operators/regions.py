@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gridloom.functions.columns import with_stats
 from gridloom.functions.ordering import exact_percentile
+from gridloom.functions.rounds import dealt
 from gridloom.operators.filters import diamond, square
 
 KEYS = ["image_id", "label"]
@@ -95,9 +96,8 @@ def region_perimeter(labels: DataFrame) -> DataFrame:
     return p.withColumn("circularity", circ).drop("area")
 
 
-def _hull_area(pdf: pd.DataFrame) -> int:
-    """Pixels inside the convex hull of pixel diamonds, from the ends of every row."""
-    y, a, b = (pdf[c].to_numpy(float) for c in ("y", "x0", "x1"))
+def _hull_area(y: np.ndarray, a: np.ndarray, b: np.ndarray) -> int:
+    """Pixels inside the convex hull of pixel diamonds, from the ends a and b of every row y."""
     pts = np.concatenate([np.c_[y, a - 0.5], np.c_[y, b + 0.5]] + [np.c_[y + s, c] for s in (-0.5, 0.5) for c in (a, b)])
     pts = np.unique(pts, axis=0)
 
@@ -124,18 +124,17 @@ def _hull_area(pdf: pd.DataFrame) -> int:
 
 def region_solidity(labels: DataFrame) -> DataFrame:
     """Area over convex-hull area.  Rows shrink to the two ends of each region row first, the
-    only pixels a hull can touch; the hull itself is a small helper per region."""
+    only pixels a hull can touch; the hull itself is a small helper per region, called for many regions at once."""
     ends = labels.groupBy(*KEYS, "y").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.count("*").alias("n"))
-    types = dict(labels.dtypes)
 
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        area = int(pdf["n"].sum())
-        out = pdf[KEYS].head(1).copy()
-        out["hull_area"] = _hull_area(pdf)
-        out["solidity"] = area / out["hull_area"]
-        return out
+    @F.arrow_udf("long")
+    def hull(rows: pa.Array) -> pa.Array:
+        n = np.cumsum(rows.value_lengths().to_numpy())[:-1]
+        ends = [np.split(rows.flatten().field(k).to_numpy().astype(float), n) for k in range(3)]
+        return pa.array([_hull_area(*r) for r in list(zip(*ends, strict=True))[: len(rows)]], pa.int64())
 
-    return ends.groupBy(*KEYS).applyInPandas(fn, f"image_id {types['image_id']}, label {types['label']}, hull_area long, solidity double")
+    r = dealt(ends, *KEYS).groupBy(*KEYS).agg(F.sum("n").alias("area"), F.collect_list(F.struct("y", "x0", "x1")).alias("rows"))
+    return r.select(*KEYS, "area", hull("rows").alias("hull_area")).select(*KEYS, "hull_area", (F.col("area") / F.col("hull_area")).alias("solidity"))
 
 
 def region_intensity(labels: DataFrame, pixels: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gridloom.functions.rounds import materialize
+from gridloom.functions.rounds import dealt, materialize
 
 IMG = ["image_id"]
 
@@ -34,10 +34,8 @@ def tile_with_halo(df: DataFrame, tile: int, halo: int) -> DataFrame:
 
 
 def per_tile(df: DataFrame, tile: int, halo: int, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, keys: list[str] = IMG) -> DataFrame:
-    """Work on tiles is long for its bytes, so they are dealt over all shuffle partitions, not by size."""
     t = tile_with_halo(df, tile, halo) if halo else df.withColumn("ty", F.expr(f"y div {tile}")).withColumn("tx", F.expr(f"x div {tile}")).withColumn("own", F.lit(True))
-    t = t.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "ty", "tx")
-    return t.groupBy(*keys, "ty", "tx").applyInPandas(fn, schema)
+    return dealt(t, *keys, "ty", "tx").groupBy(*keys, "ty", "tx").applyInPandas(fn, schema)
 
 
 def per_object_tile(df: DataFrame, tile: int, halo: int, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, keys: list[str] = IMG) -> DataFrame:

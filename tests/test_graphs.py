@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from conftest import boxes
 
-from gridloom.operators import components as C, filters as N, labels as L, messages as MS, metrics as M, sampling as S, tiles as T
+from gridloom.operators import components as C, filters as N, labels as L, messages as MS, metrics as M, regions as G, sampling as S, tiles as T
 
 
 def graph(spark, nodes, edges):
@@ -287,3 +287,33 @@ def test_objects_of_a_tile_share_a_group_and_stay_apart(spark, monkeypatch, over
     got = ({(r.label, r.y, r.x) for r in T.thin(m, both, tile=16, steps=3).collect()}, {(r.label, r.y, r.x): round(r.dist, 9) for r in T.geodesic_distance(m, src, 1.0, both, tile=16).collect()})
     assert got == want
     assert groups and all(k == ["image_id"] for k in groups)
+
+
+def test_small_groups_share_their_calls(spark):
+    """Forests of small groups and hulls of small regions need no pandas group each; the results stay those of each alone."""
+    rng = random.Random(2)
+    rows = [(g, i, j, float(rng.randint(1, 9))) for g in range(30) for i in range(6) for j in range(i + 1, 6) if rng.random() < 0.7]
+    edges = spark.createDataFrame(rows, "image_id long, i long, j long, dist double")
+    got = C.minimum_forest(edges, ["image_id"])
+    want = set()
+    for g in range(30):
+        of = list(range(6))
+        for d, i, j in sorted((d, i, j) for h, i, j, d in rows if h == g):
+            if of[i] != of[j]:
+                want.add((g, i, j, d))
+                of = [of[i] if o == of[j] else o for o in of]
+    assert {(r.image_id, r.i, r.j, r.dist) for r in got.collect()} == want
+    plan = got._jdf.queryExecution().toString()
+    assert "_bucket" in plan and "FlatMapGroupsInPandas [image_id" not in plan
+
+    px = [(0, n, y, 20 * n + x) for n in range(30) for y in range(n % 4 + 1) for x in range(n % 5 + 1) if n % 3 or y == 0 or x == 0]
+    solid = G.region_solidity(spark.createDataFrame(px, "image_id long, label long, y long, x long"))
+    assert "FlatMapGroupsInPandas" not in solid._jdf.queryExecution().toString()
+    of = {r.label: r for r in solid.collect()}
+    assert len(of) == 30
+    for n in range(30):
+        area = sum(p[1] == n for p in px)
+        assert of[n].solidity == area / of[n].hull_area
+        if n % 3:
+            assert of[n].hull_area == area  # full rectangles are convex
+    assert of[9].hull_area > sum(p[1] == 9 for p in px) - 1
