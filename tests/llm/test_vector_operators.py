@@ -64,6 +64,52 @@ def test_top_k_of_large_components(spark):
     assert [(-r["score"], r["vec_id"]) for r in got] == want
 
 
+@pytest.mark.parametrize("spread", [0.05, 3.0])
+def test_top_k_of_deep_trees(spark, spread):
+    """Blocks of many leaves, clustered or not, in several groups; equal vectors tie."""
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(12, 8))
+    x = np.floor(64 * (base[rng.integers(0, 12, 3000)] + spread * rng.normal(size=(3000, 8))))
+    x[2000:2400] = x[1999]
+    d = spark.createDataFrame([(i, (v / 64).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = Counter(tuple(r) for r in covertree.top_k(d, F.col("vec_id") % 3 == 0, cells=2, rows=1024).collect())
+    want = Counter()
+    for q in range(0, 3000, 3):
+        s = x @ x[q]
+        s[q] = -np.inf
+        want.update((q, k + 1, int(c), int(s[c])) for k, c in enumerate(np.lexsort((np.arange(3000), -s))[:20]))
+    assert got == want
+
+
+def test_cover_trees_hold_every_point():
+    """Each point lies in one leaf, within the radius of every node above it; children share out their node's points."""
+    x = np.random.default_rng(5).normal(size=(2000, 6)) * 100
+    t = covertree.Tree(x)
+    assert sorted(t.order) == list(range(2000)) and len(t.lo) > 8
+    for i in range(len(t.lo)):
+        d = np.linalg.norm(x[t.order[t.lo[i] : t.hi[i]]] - x[t.centre[i]], axis=1)
+        assert d.max() <= t.radius[i]
+        kids = np.arange(t.first[i], t.first[i] + t.kids[i])
+        assert not len(kids) or ((t.hi - t.lo)[kids].sum() == t.hi[i] - t.lo[i] and (t.lo[kids[1:]] == t.hi[kids[:-1]]).all())
+
+
+def test_top_k_of_mixed_sizes(spark):
+    """Zero, small and huge vectors in one block: none is rounded for the sake of another."""
+    rows = [(i, [float(e) for e in v]) for i, v in enumerate([[0, 0], [0, 0], [1, 2], [3, -1], [2**30 + 1, 5], [2**30 + 3, 7], [2**25 + 1, 1]])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = Counter()
+    for q, a in rows:
+        s = sorted((-sum(int(x) * int(y) for x, y in zip(a, b, strict=True)), c) for c, b in rows if c != q)
+        want.update((q, k + 1, c, -z) for k, (z, c) in enumerate(s[:4]))
+    assert Counter(tuple(r) for r in covertree.top_k(d, F.lit(True), k=4, scale=1, cells=1).collect()) == want
+
+
+def test_even_directions_make_few_nodes():
+    """Points that all lie far apart don't become a node each, whose pairs would be walked one by one."""
+    t = covertree.Tree(np.floor(64 * np.random.default_rng(2).normal(size=(2048, 64)) / 8))
+    assert len(t.lo) <= 128
+
+
 def test_few_candidates_and_empty(vectors):
     two = vectors.filter("vec_id < 2")
     assert covertree.top_k(two, F.col("vec_id") == 0).count() == 1
