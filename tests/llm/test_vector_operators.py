@@ -43,6 +43,55 @@ def test_forest(vectors, block):
     assert all(r["kept"] == (r["component_id"] == i) and r["component_id"] <= i for i, r in got.items())
 
 
+@pytest.fixture(scope="module")
+def wide_vectors(spark):
+    """40 components; ten labels, one of them large, with a crowd of near copies, equal vectors and pairs close to the threshold."""
+    rng = np.random.default_rng(23)
+    x = rng.normal(size=(1500, 40))
+    x[:300] = x[0] + rng.normal(size=(300, 40)) * 0.1
+    x[300:320] = x[0]
+    for i in range(400, 800, 2):
+        a, b = x[i] / np.linalg.norm(x[i]), x[i + 1] - (x[i + 1] @ x[i]) / (x[i] @ x[i]) * x[i]
+        x[i + 1] = rng.uniform(0.92, 0.94) * a + np.sqrt(1 - 0.93**2) * b / np.linalg.norm(b)
+    label = np.where(np.arange(1500) < 900, 0, np.arange(1500) % 10)
+    return x, label, spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, label, strict=True))], "vec_id long, embedding array<double>, label int").repartition(3).cache()
+
+
+def rows_of(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def test_forest_links_and_components(wide_vectors):
+    x, label, d = wide_vectors
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (x @ x.T >= 0.93) & (label[:, None] == label)
+    np.fill_diagonal(near, False)
+    least = np.arange(len(x))
+    while (new := np.minimum(least, np.where(near, least, len(x)).min(axis=1))).tolist() != least.tolist():
+        least = new
+    got = rows_of(forest.near_links(d, leaf=10, sample=400))
+    assert got == [(i, int(n), int(c), bool(c == i)) for i, (n, c) in enumerate(zip(near.sum(axis=1), least, strict=True))]
+
+
+def test_forest_in_pieces_and_branches(wide_vectors):
+    """Branches, pieces of branches and blocks only deal out the work."""
+    d = wide_vectors[2]
+    whole = rows_of(forest.near_links(d, leaf=10, sample=400, spill=0.02, trees=3))
+    assert rows_of(forest.near_links(d, leaf=10, sample=400, spill=0.02, trees=3, slab=100, block=64)) == whole
+    one = d.withColumn("label", F.lit(1))
+    assert rows_of(forest.near_links(one, leaf=10, sample=400, spill=0.02, trees=3, slab=60)) == rows_of(forest.near_links(one, leaf=10, sample=400, spill=0.02, trees=3))
+
+
+def test_vectors_travel_once_a_tree(wide_vectors, monkeypatch):
+    """Not once for every leaf that they reach."""
+    tables = []
+    monkeypatch.setattr(forest, "written", lambda df, f=forest.written: tables.append(f(df)) or tables[-1])
+    forest.near_links(wide_vectors[2], leaf=10, sample=400)
+    lists = [(t, c) for t in tables for c, kind in t.dtypes if kind == "array<int>"]
+    (t, c), points = lists[0], lists[0][0].count()
+    assert len(lists) == 1 and t.agg(F.sum(F.size(c))).first()[0] <= 8 * points
+
+
 def test_top_k(vectors):
     rows = [r for r in vectors.collect() if usable(r)]
     v = {r["vec_id"]: np.floor(64 * np.array(r["embedding"], float)) for r in rows}
