@@ -124,7 +124,7 @@ class Best:
             tie &= np.cumsum(tie, axis=1, dtype=np.int32) <= k
             use = scores > edge
             use[:, by] |= tie
-        r, c = np.nonzero(use)
+        r, c = np.divmod(np.flatnonzero(use), len(ids))
         s = scores[r, c]
         real = s > -np.inf
         self.add(r[real] + lo, ids[c[real]], s[real].astype(np.int64))
